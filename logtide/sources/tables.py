@@ -19,10 +19,28 @@ def _with_date(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField("date", T.DateType(), True)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A single small file (one row group) is read by one task; the row-wise work
+    after it (JSON, typing, formatting) would then run serially.  Large inputs
+    already have many splits, so for them this adds nothing and no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, spread over the cores when it arrives as one split."""
+    return spread(read_table(spark, sf_dir, "events"))
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Stored journal logs (date-partitioned parquet) with the declared schema."""
     ensure_utc(spark)
@@ -39,19 +57,19 @@ def read_process_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def journal_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return journal_logs_from_events(read_table(spark, sf_dir, "events"))
+    return journal_logs_from_events(read_events(spark, sf_dir))
 
 
 def process_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return process_metrics_from_events(read_table(spark, sf_dir, "events"))
+    return process_metrics_from_events(read_events(spark, sf_dir))
 
 
 def raw_journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return raw_journal_lines_from_events(read_table(spark, sf_dir, "events"))
+    return raw_journal_lines_from_events(read_events(spark, sf_dir))
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    return raw_samples_from_events(read_table(spark, sf_dir, "events"))
+    return raw_samples_from_events(read_events(spark, sf_dir))
