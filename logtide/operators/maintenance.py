@@ -79,10 +79,6 @@ def retain_by_age(df: DataFrame, now: datetime, days: int) -> tuple[DataFrame, D
     return df.filter(~old), df.agg(F.count_if(old).alias("deleted"))
 
 
-def _micros(dt: datetime) -> int:
-    return (dt - EPOCH) // timedelta(microseconds=1)
-
-
 def _from_micros(us: int) -> datetime:
     return EPOCH + timedelta(microseconds=us)
 
@@ -226,7 +222,8 @@ def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | No
     ensure_utc(spark)
     table = spark.read.parquet(path)
     scope = table if dates is None else table.filter(F.col("date").isin([str(d) for d in dates]))
-    removed = scope.filter(~keep).count()
+    per_date = scope.groupBy("date").agg(F.count_if(~keep).alias("gone")).collect()  # one row per date
+    removed = sum(r["gone"] for r in per_date)
     if removed == 0:
         return 0
     kept = scope.filter(keep)
@@ -239,8 +236,8 @@ def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | No
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         staged.write.mode("overwrite").partitionBy("date").parquet(path)
-        emptied = scope.select("date").distinct().join(staged.select("date").distinct(), "date", "left_anti")
-        _drop_date_dirs(spark, path, [r["date"] for r in emptied.collect()])
+        left = {r["date"] for r in staged.select("date").distinct().collect()}
+        _drop_date_dirs(spark, path, [r["date"] for r in per_date if r["date"] not in left])
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return removed
@@ -273,14 +270,71 @@ def compact(spark: SparkSession, path: str, dates: list, files_per_date: int = 1
     return spark.read.parquet(stage).count()
 
 
-def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days: int) -> int:
-    """C7 on a stored table: whole old dates are dropped by partition, only the
-    edge date is rewritten."""
-    cutoff = now - timedelta(days=int(days))
+def delete_before(spark: SparkSession, path: str, cutoff: datetime) -> int:
+    """Delete stored rows with timestamp < cutoff: whole older dates are dropped
+    by partition (no data read beyond a count), only the cutoff's date is rewritten."""
     table = spark.read.parquet(path)
-    old_dates = [r["date"] for r in table.filter(F.col("date") < F.lit(cutoff.date().isoformat()).cast("date"))
-                 .select("date").distinct().collect()]
-    removed = table.filter(F.col("date") < F.lit(cutoff.date().isoformat()).cast("date")).count()
-    _drop_date_dirs(spark, path, old_dates)
+    older = table.filter(F.col("date") < F.lit(cutoff.date().isoformat()).cast("date"))
+    counts = older.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per date
+    _drop_date_dirs(spark, path, [r["date"] for r in counts])
     keep = F.col("timestamp") >= ts_literal_like(table, "timestamp", cutoff)
-    return removed + rewrite_dates(spark, path, keep, [cutoff.date()])
+    return sum(r["n"] for r in counts) + rewrite_dates(spark, path, keep, [cutoff.date()])
+
+
+def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days: int) -> int:
+    """C7 on a stored table; returns rows deleted."""
+    return delete_before(spark, path, now - timedelta(days=int(days)))
+
+
+def apply_retention_by_size(spark: SparkSession, path: str, max_bytes: int) -> int:
+    """C8 on a stored table: the cutoff minute comes from per-minute byte totals
+    (bounded by the time span), then whole older dates are dropped."""
+    table = spark.read.parquet(path)
+    data = table.drop("date")
+    cut = size_cutoff(data, max_bytes).first()["_keep_from"]
+    if cut is None:
+        n = table.count()
+        clear_table(spark, path)
+        return n
+    return delete_before(spark, path, cut)
+
+
+def apply_delete_minute(spark: SparkSession, path: str, minute: datetime) -> int:
+    """C5 on a stored table: only the minute's date is rewritten."""
+    table = spark.read.parquet(path)
+    return rewrite_dates(spark, path, ~minute_equals(table, minute), [minute.date()])
+
+
+def clear_table(spark: SparkSession, path: str) -> None:
+    """C6 on a stored table: replace its contents with no rows (schema kept)."""
+    table = spark.read.parquet(path)
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        empty = spark.createDataFrame([], table.schema)
+        empty.write.mode("overwrite").partitionBy("date").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def run_retention(
+    spark: SparkSession,
+    logs_path: str,
+    procs_path: str,
+    now: datetime,
+    log_retention_days: int = 30,
+    log_max_bytes: int | None = None,
+    process_retention_days: int = 7,
+    process_max_bytes: int | None = None,
+) -> DataFrame:
+    """K5: one scheduled retention run over both stored tables (age, then size),
+    returning the four counters and their total as one row."""
+    a = apply_retention_by_age(spark, logs_path, now, log_retention_days)
+    b = apply_retention_by_size(spark, logs_path, log_max_bytes) if log_max_bytes is not None else 0
+    c = apply_retention_by_age(spark, procs_path, now, process_retention_days)
+    d = apply_retention_by_size(spark, procs_path, process_max_bytes) if process_max_bytes is not None else 0
+    return spark.createDataFrame(
+        [(a, b, c, d, a + b + c + d)],
+        "logs_deleted_by_time long, logs_deleted_by_size long, processes_deleted_by_time long, "
+        "processes_deleted_by_size long, total_deleted long",
+    )

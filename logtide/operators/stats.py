@@ -137,9 +137,9 @@ def severity_counts(df: DataFrame) -> DataFrame:
     The eight-row dimension is a literal (fixed size), broadcast into a left
     join with the per-priority partial aggregate.
     """
-    spark = df.sparkSession
-    levels = spark.createDataFrame(
-        [(i, f"{i} - {name}") for i, name in enumerate(PRIORITY_LABELS)], "value int, label string"
+    value = F.col("id").cast("int")
+    levels = df.sparkSession.range(len(PRIORITY_LABELS)).select(
+        value.alias("value"), F.concat(value.cast("string"), F.lit(" - "), priority_label(value)).alias("label")
     )
     counts = df.filter(F.col("priority").between(0, 7)).groupBy(F.col("priority").alias("value")).agg(
         F.count(F.lit(1)).alias("count")
@@ -152,6 +152,11 @@ def severity_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def filters(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I4: host values, unit values and the severity catalogue (with counts)."""
+    return filter_values(df, "_HOSTNAME"), filter_values(df, "_SYSTEMD_UNIT"), severity_counts(df)
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """Name, type, default flag and non-null count per catalogue column.
 

@@ -127,3 +127,39 @@ def test_stored_table_jobs(spark, tmp_dir):
     import glob
 
     assert len(glob.glob(f"{path}/date={last}/*.parquet")) == 1
+
+
+def test_stored_table_delete_size_clear_and_scheduled_run(spark, tmp_dir):
+    from logtide.operators.stats import buffer_stats
+
+    logs = tables.journal_logs(spark, "/root/testdata/sf0.001")
+    procs = tables.process_metrics(spark, "/root/testdata/sf0.001")
+    lp, pp = f"{tmp_dir}/logs", f"{tmp_dir}/procs"
+    M.write_logs(logs, lp)
+    M.write_process_metrics(procs, pp)
+    n = logs.count()
+
+    first_minute = tables.read_logs(spark, lp).agg({"timestamp": "min"}).first()[0].replace(second=0, microsecond=0)
+    in_minute = logs.filter(logs.minute_key == first_minute.strftime("%Y-%m-%dT%H:%M:00+00:00")).count()
+    assert M.apply_delete_minute(spark, lp, first_minute) == in_minute >= 1
+    assert tables.read_logs(spark, lp).count() == n - in_minute
+
+    stored = tables.read_logs(spark, lp).drop("date")
+    budget = 60_000
+    kept_df, _ = M.retain_by_size(stored, budget)
+    expect_kept = kept_df.count()
+    removed = M.apply_retention_by_size(spark, lp, budget)
+    assert removed == n - in_minute - expect_kept
+    assert tables.read_logs(spark, lp).count() == expect_kept
+
+    rep = M.run_retention(spark, lp, pp, datetime(2024, 1, 31), 3, 10**9, 7, 0).first()
+    procs_n = procs.count()
+    assert rep.processes_deleted_by_time + rep.processes_deleted_by_size == procs_n
+    after_procs = tables.read_process_metrics(spark, pp).count()
+    assert after_procs == 0  # a zero budget keeps nothing
+    assert rep.total_deleted == (rep.logs_deleted_by_time + rep.logs_deleted_by_size
+                                 + rep.processes_deleted_by_time + rep.processes_deleted_by_size)
+
+    M.clear_table(spark, lp)
+    assert tables.read_logs(spark, lp).count() == 0
+    assert buffer_stats(tables.read_logs(spark, lp)).first().total_entries == 0
