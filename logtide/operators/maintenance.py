@@ -144,7 +144,7 @@ def drop_oldest_tenth(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def minute_totals(df: DataFrame) -> DataFrame:
     """Bytes and rows per minute (bounded by the time span, 1,440 per day)."""
-    return df.groupBy(F.date_trunc("minute", F.col("timestamp")).alias("minute")).agg(
+    return df.groupBy(F.date_trunc("minute", F.col("timestamp").cast("timestamp_ntz")).alias("minute")).agg(
         F.sum(row_bytes(df)).alias("bytes"), F.count(F.lit(1)).alias("rows")
     )
 

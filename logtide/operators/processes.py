@@ -13,6 +13,7 @@ from logtide.functions.columns import (
     human_runtime,
     memory_percent,
     search_text,
+    ts_literal_like,
     uid_text,
 )
 from logtide.schemas import PROCESS_SCHEMA
@@ -55,14 +56,40 @@ def dedupe_samples(df: DataFrame, order_col: str | None = "seq") -> DataFrame:
     return picked.select("timestamp", "pid", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def latest_timestamp(procs: DataFrame):
+    """Newest sample time, as a scalar.
+
+    On a date-partitioned table the newest date comes first (partition values
+    only), so the timestamp maximum reads one date's timestamp column.
+    """
+    scope = procs
+    if "date" in procs.columns:
+        newest_date = procs.agg(F.max("date")).first()[0]
+        if newest_date is None:
+            return None
+        scope = procs.filter(F.col("date") == F.lit(newest_date))
+    # As a zone-less value, so the driver sees the UTC wall clock whatever its own zone.
+    return scope.agg(F.max(F.col("timestamp").cast("timestamp_ntz"))).first()[0]
+
+
+def snapshot(procs: DataFrame, ts) -> DataFrame:
+    """Rows of one sample set; the time literal reaches the Parquet scan."""
+    if ts is None:
+        return procs.limit(0)
+    cond = F.col("timestamp") == ts_literal_like(procs, "timestamp", ts)
+    if "date" in procs.columns:
+        cond = cond & (F.col("date") == F.lit(ts.date().isoformat()).cast("date"))
+    return procs.filter(cond)
+
+
 def latest_processes(procs: DataFrame) -> DataFrame:
     """Every row of the newest sample set, with the set's size.
 
-    max(timestamp) is a one-row aggregate, broadcast into the join (a one-row
-    bound), so the table itself is not shuffled.
+    The newest time is found first (one column, one aggregate), then the set
+    is a filtered scan: row groups and dates without that time are skipped.
+    The total is a one-row aggregate of the same small set, broadcast back.
     """
-    latest = procs.agg(F.max("timestamp").alias("_latest"))
-    snap = procs.join(F.broadcast(latest), F.col("timestamp") == F.col("_latest"), "inner").drop("_latest")
+    snap = snapshot(procs, latest_timestamp(procs))
     total = snap.agg(F.count(F.lit(1)).alias("total"))
     return snap.crossJoin(F.broadcast(total))
 
@@ -70,8 +97,7 @@ def latest_processes(procs: DataFrame) -> DataFrame:
 def process_table(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """Newest snapshot, fuzzy search, CPU order (pid breaks ties), one page,
     with the display texts (bytes, runtime, memory percent)."""
-    latest = procs.agg(F.max("timestamp").alias("_latest"))
-    snap = procs.join(F.broadcast(latest), F.col("timestamp") == F.col("_latest"), "inner").drop("_latest")
+    snap = snapshot(procs, latest_timestamp(procs))
     if q is not None and q.strip():
         snap = snap.filter(fuzzy(search_text(), q.lower()))
     limit = min(max(int(limit), MIN_LIMIT), MAX_LIMIT)

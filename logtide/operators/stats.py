@@ -63,23 +63,36 @@ def buffer_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def status(df: DataFrame, byte_total: DataFrame | None = None) -> DataFrame:
-    """Buffer statistics plus the stored byte total (sum of row sizes)."""
-    stats = buffer_stats(df)
-    if byte_total is None:
-        byte_total = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).cast("long").alias("stored_bytes"))
-    return stats.crossJoin(F.broadcast(byte_total))
+def status(df: DataFrame) -> DataFrame:
+    """Buffer statistics plus the stored byte total (sum of row sizes), one pass."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total_entries"),
+        F.count_distinct("minute_key").alias("buffered_minutes"),
+        F.min("minute_key").alias("oldest_minute"),
+        F.max("minute_key").alias("newest_minute"),
+        F.coalesce(F.sum(row_bytes(df, exclude=("date",))), F.lit(0)).cast("long").alias("stored_bytes"),
+    )
 
 
-def storage_stats(logs: DataFrame, procs: DataFrame) -> DataFrame:
-    """Both row counts, oldest and newest log timestamp."""
-    log_part = logs.agg(
+def _log_side(logs: DataFrame) -> DataFrame:
+    return logs.agg(
         F.count(F.lit(1)).alias("journal_log_count"),
         F.min("timestamp").alias("oldest_log_timestamp"),
         F.max("timestamp").alias("newest_log_timestamp"),
+        F.coalesce(F.sum(row_bytes(logs, exclude=("date",))), F.lit(0)).cast("long").alias("_log_bytes"),
     )
-    proc_part = procs.agg(F.count(F.lit(1)).alias("process_metric_count"))
-    return log_part.crossJoin(F.broadcast(proc_part)).select(
+
+
+def _proc_side(procs: DataFrame) -> DataFrame:
+    return procs.agg(
+        F.count(F.lit(1)).alias("process_metric_count"),
+        F.coalesce(F.sum(row_bytes(procs, exclude=("date",))), F.lit(0)).cast("long").alias("_proc_bytes"),
+    )
+
+
+def storage_stats(logs: DataFrame, procs: DataFrame) -> DataFrame:
+    """Both row counts, oldest and newest log timestamp (one pass per table)."""
+    return _log_side(logs).crossJoin(F.broadcast(_proc_side(procs))).select(
         "journal_log_count", "process_metric_count", "oldest_log_timestamp", "newest_log_timestamp"
     )
 
@@ -97,20 +110,18 @@ def storage_health(
 
     The size is rounded to 2 decimals of GiB before the percentage, as the
     status page does.  Without a given size, the stored row bytes of both
-    tables are used.
+    tables are used; counts, bounds and bytes come from one pass per table.
     """
-    stats = storage_stats(logs, procs)
+    both = _log_side(logs).crossJoin(F.broadcast(_proc_side(procs)))
     if database_size_bytes is None:
-        size = logs.agg(F.coalesce(F.sum(row_bytes(logs)), F.lit(0)).alias("b1")).crossJoin(
-            F.broadcast(procs.agg(F.coalesce(F.sum(row_bytes(procs)), F.lit(0)).alias("b2")))
-        ).select((F.col("b1") + F.col("b2")).cast("long").alias("database_size_bytes"))
+        size = (F.col("_log_bytes") + F.col("_proc_bytes")).cast("long")
     else:
-        size = stats.sparkSession.range(1).select(F.lit(int(database_size_bytes)).cast("long").alias("database_size_bytes"))
+        size = F.lit(int(database_size_bytes)).cast("long")
     max_gb = max(log_max_size_gb, process_max_size_gb)
     size_gb = F.round(F.col("database_size_bytes") / F.lit(GIB), 2)
     pct = size_gb / F.lit(float(max_gb)) * 100.0
     return (
-        stats.crossJoin(F.broadcast(size))
+        both.withColumn("database_size_bytes", size)
         .withColumn("size_gb", size_gb)
         .withColumn("usage_percent", pct)
         .withColumn(
@@ -123,6 +134,9 @@ def storage_health(
         .withColumn("log_max_size_gb", F.lit(float(log_max_size_gb)))
         .withColumn("process_retention_days", F.lit(int(process_retention_days)))
         .withColumn("process_max_size_gb", F.lit(float(process_max_size_gb)))
+        .select("journal_log_count", "process_metric_count", "oldest_log_timestamp", "newest_log_timestamp",
+                "database_size_bytes", "size_gb", "usage_percent", "status", "log_retention_days",
+                "log_max_size_gb", "process_retention_days", "process_max_size_gb")
     )
 
 
