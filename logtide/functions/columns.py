@@ -37,8 +37,15 @@ def minute_key(ts) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:00+00:00")
 
 
+def truncate_like(df, col: str, unit: str) -> Column:
+    """date_trunc that keeps the column's own type (date_trunc alone always
+    returns a zoned timestamp, even for a zone-less column)."""
+    return F.date_trunc(unit, F.col(col)).cast(df.schema[col].dataType)
+
+
 def minute_start(ts) -> Column:
-    return F.date_trunc("minute", _col(ts))
+    """Start of the minute as a zone-less UTC wall clock."""
+    return F.date_trunc("minute", _col(ts)).cast("timestamp_ntz")
 
 
 def strict_int(c, type_name: str = "int") -> Column:

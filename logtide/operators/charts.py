@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.functions.columns import PRIORITY_LABELS, UNKNOWN_LABEL, priority_label
+from logtide.functions.columns import PRIORITY_LABELS, UNKNOWN_LABEL, priority_label, truncate_like
 from logtide.operators.predicates import log_filter
 
 DEFAULT_LEVEL = 6  # a NULL priority is charted as Info
@@ -24,7 +24,7 @@ def timechart(df: DataFrame, now: datetime, start="-1h", end="now", q=None, host
     matched = log_filter(df, now, start, end, q, hostname, unit, priority)
     return (
         matched.groupBy(
-            F.date_trunc("minute", F.col("timestamp")).alias("time_bin"),
+            truncate_like(matched, "timestamp", "minute").alias("time_bin"),
             F.coalesce(F.col("priority"), F.lit(DEFAULT_LEVEL)).alias("priority"),
         )
         .agg(F.count(F.lit(1)).alias("count"))

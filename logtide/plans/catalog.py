@@ -133,7 +133,7 @@ _STACK_SQL = """, long AS ({unions}),
  stacked AS (SELECT time_bin, level_order, level, count,
    SUM(count) OVER (PARTITION BY time_bin ORDER BY level_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upper
    FROM long)
-SELECT time_bin, level_order, level, count, upper - count AS lower, upper,
+SELECT time_bin, level_order, level, count, CAST(upper - count AS BIGINT) AS lower, CAST(upper AS BIGINT) AS upper,
  (SELECT COALESCE(MAX({total}), 0) FROM pivoted) AS max_stack FROM stacked""".format(
     unions=" UNION ALL ".join(
         f"SELECT time_bin, {i} AS level_order, '{name}' AS level, \"{name}\" AS count FROM pivoted"
@@ -349,7 +349,8 @@ def q_storage_stats(spark, sf):
      round(z.database_size_bytes / 1073741824.0, 2) / 1.0 * 100.0 AS usage_percent,
      CASE WHEN round(z.database_size_bytes / 1073741824.0, 2) / 1.0 * 100.0 >= 90 THEN 'critical'
           WHEN round(z.database_size_bytes / 1073741824.0, 2) / 1.0 * 100.0 >= 75 THEN 'warning' ELSE 'good' END AS status,
-     30 AS log_retention_days, 1.0 AS log_max_size_gb, 7 AS process_retention_days, 0.5 AS process_max_size_gb
+     30 AS log_retention_days, CAST(1.0 AS DOUBLE) AS log_max_size_gb, 7 AS process_retention_days,
+     CAST(0.5 AS DOUBLE) AS process_max_size_gb
      FROM (""" + _STORAGE_SQL + """) s, (SELECT CAST(
        (SELECT COALESCE(SUM(""" + row_bytes_sql(JOURNAL_SCHEMA) + """), 0) FROM journal_logs)
      + (SELECT COALESCE(SUM(""" + row_bytes_sql(PROCESS_SCHEMA) + """), 0) FROM process_metrics) AS BIGINT)

@@ -13,7 +13,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtide.functions.columns import row_bytes, ts_literal_like
+from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
 from logtide.operators.ingest import parse_entries
 from logtide.session import ensure_utc
 
@@ -99,7 +99,7 @@ def recent_history(df: DataFrame, now: datetime, cutoff: datetime | None = None,
 def minute_bytes(df: DataFrame) -> DataFrame:
     """Stored bytes and rows per minute: a partial aggregate bounded by the time span
     (1,440 rows per day), whatever the row count."""
-    return df.groupBy(F.date_trunc("minute", F.col("timestamp")).alias("minute")).agg(
+    return df.groupBy(truncate_like(df, "timestamp", "minute").alias("minute")).agg(
         F.sum(row_bytes(df)).alias("bytes"), F.count(F.lit(1)).alias("rows")
     )
 

@@ -15,6 +15,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+DUCK_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
@@ -53,6 +57,8 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     ocols, orows = rel.columns, rel.fetchall()
     assert sorted(scols) == sorted(ocols)
+    otypes = dict(zip(ocols, [str(t) for t in rel.types]))
+    assert {c: DUCK_TYPES.get(t, t) for c, t in df.dtypes} == otypes
     assert len(srows) == len(orows)
     assert _canon(srows, scols) == _canon(orows, ocols)
 
