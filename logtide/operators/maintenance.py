@@ -23,11 +23,9 @@ from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, ts_literal_like
 from logtide.operators.predicates import minute_equals
+from logtide.operators.ranking import kth_timestamp
 from logtide.session import checkpoint_dir, ensure_utc
 
-EPOCH = datetime(1970, 1, 1)
-# Bucket widths in microseconds for the order-statistic descent.
-_LEVELS = [86_400_000_000, 60_000_000, 1_000_000, 1_000, 1]
 
 
 # C1-C4 --------------------------------------------------------------------------
@@ -79,46 +77,9 @@ def retain_by_age(df: DataFrame, now: datetime, days: int) -> tuple[DataFrame, D
     return df.filter(~old), df.agg(F.count_if(old).alias("deleted"))
 
 
-def _from_micros(us: int) -> datetime:
-    return EPOCH + timedelta(microseconds=us)
-
-
 def kth_smallest_timestamp(df: DataFrame, k: int) -> datetime | None:
-    """The k-th smallest timestamp (1-based), found without sorting the rows.
-
-    Descends day -> minute -> second -> ms -> us: each level counts rows per
-    bucket inside the chosen parent bucket (a pushed-down time range), so each
-    aggregate has at most 1,440 rows (the first: days in the table).
-    """
-    if k <= 0:
-        return None
-    ts = F.col("timestamp")
-    us = F.unix_micros(ts.cast("timestamp"))
-    remaining, lo, width_parent = k, None, None
-    for width in _LEVELS:
-        scope = df
-        if lo is not None:
-            scope = df.filter(
-                (ts >= ts_literal_like(df, "timestamp", _from_micros(lo)))
-                & (ts < ts_literal_like(df, "timestamp", _from_micros(lo + width_parent)))
-            )
-        buckets = (
-            scope.filter(ts.isNotNull())
-            .groupBy(F.floor(us / F.lit(width)).cast("long").alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("b")
-            .collect()
-        )
-        chosen = None
-        for row in buckets:
-            if row["n"] >= remaining:
-                chosen = row["b"]
-                break
-            remaining -= row["n"]
-        if chosen is None:
-            return None
-        lo, width_parent = chosen * width, width
-    return _from_micros(lo)
+    """The k-th smallest timestamp (1-based), by the bounded bucket descent."""
+    return kth_timestamp(df, k, descending=False)
 
 
 def drop_oldest_tenth(df: DataFrame) -> tuple[DataFrame, DataFrame]:

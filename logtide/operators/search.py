@@ -3,10 +3,14 @@
 Paging plan.  A page within the first TOPK_MAX_ROWS rows is a top-k
 (`TakeOrderedAndProject`): each task keeps only offset+limit rows and one small
 merge finishes it.  A deeper page would send offset+limit rows per task to that
-single merge, so it instead takes a distributed route: a range-partitioned
-global sort, a checkpoint on the shared folder (so the numbering is stable even
-if executors are lost), row counts per sorted partition (one row per partition,
-a bounded broadcast), and a filter on the global row number.
+single merge, so it is cut out of the order instead (`ranking`): by time, the
+window's boundary timestamps are located by a bounded bucket descent; by a
+low-cardinality column (host, unit, priority, command), by per-value counts.
+Rows between the boundaries are read by a pushed-down filter; only rows that
+share a boundary value are ordered by the cursor, and if there are many of
+those, by a range-partitioned sort checkpointed to the shared folder (so the
+numbering is stable if executors are lost) with row counts per sorted
+partition (one row per partition, a bounded broadcast).
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.operators.predicates import log_filter, minute_equals
+from logtide.operators.ranking import key_slice, rank_slice
 from logtide.schemas import DEFAULT_COLUMNS, DISPLAY_NAMES, column_for
 from logtide.session import checkpoint_dir
 
 DEFAULT_LIMIT = 1000
 MAX_LIMIT = 100_000
-TOPK_MAX_ROWS = 20_000
+TOPK_MAX_ROWS = 1_000
 TIEBREAK = "__CURSOR"
 
 # --- fixed values: sort names accepted by the search -------------------------
@@ -85,7 +90,10 @@ def sort_columns(sort: str = "timestamp", sort_dir: str = "desc", tiebreak: str
 
 def page(df: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset: int = 0,
          topk_max_rows: int = TOPK_MAX_ROWS) -> DataFrame:
-    """Rows [offset, offset+limit) of df in the given total order."""
+    """Rows [offset, offset+limit) of df in the given total order (any order).
+
+    A top-k within `topk_max_rows`, else the checkpointed global sort.
+    """
     limit = max(0, min(int(limit), MAX_LIMIT))
     offset = max(0, int(offset))
     if offset + limit <= topk_max_rows:
@@ -96,6 +104,27 @@ def page(df: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset:
     return _deep_page(df, order, limit, offset)
 
 
+def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc", limit: int = DEFAULT_LIMIT,
+                offset: int = 0, topk_max_rows: int = TOPK_MAX_ROWS) -> DataFrame:
+    """F1 + F2: one page of the allow-listed sort.
+
+    Small pages are a top-k.  Deeper pages never merge offset+limit rows per
+    task in one place: by time they locate the window's boundary timestamps
+    (bucket descent), by a low-cardinality column they use per-value counts;
+    only rows sharing a boundary value are ordered by the cursor.
+    """
+    limit = max(0, min(int(limit), MAX_LIMIT))
+    offset = max(0, int(offset))
+    col = SORT_COLUMNS.get((sort or "").lower(), "timestamp")
+    asc = (sort_dir or "").lower() == "asc"
+    if offset + limit <= topk_max_rows:
+        return page(df, sort_columns(sort, sort_dir), limit, offset, topk_max_rows)
+    if col == "timestamp":
+        return rank_slice(df, offset, offset + limit, descending=not asc, col=col, tiebreak=TIEBREAK,
+                          small=topk_max_rows)
+    return key_slice(df, offset, offset + limit, col, descending=not asc, tiebreak=TIEBREAK, small=topk_max_rows)
+
+
 def _deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     numbered = (
@@ -138,7 +167,7 @@ def search(
     """Filter, sort, page, then project with display names."""
     cols = resolve_columns(columns, strict=True)
     matched = log_filter(df, now, start, end, q, hostname, unit, priority)
-    rows = page(matched, sort_columns(sort, sort_dir), limit, offset, topk_max_rows)
+    rows = sorted_page(matched, sort, sort_dir, limit, offset, topk_max_rows)
     return rows.select(*display_projection(cols))
 
 
@@ -170,7 +199,7 @@ def search_page(df: DataFrame, now: datetime, start="-1h", end="now", q=None, ho
     """
     cols = resolve_columns(columns, strict=False)
     matched = log_filter(df, now, start, end, q, hostname, unit, priority)
-    rows = page(matched, sort_columns(sort, sort_dir), limit, offset).select(*display_projection(cols))
+    rows = sorted_page(matched, sort, sort_dir, limit, offset).select(*display_projection(cols))
     lim = max(0, min(int(limit), MAX_LIMIT))
     total = matched.agg(F.count(F.lit(1)).alias("total"))
     returned = F.least(F.lit(lim).cast("long"), F.greatest(F.col("total") - F.lit(int(offset)), F.lit(0)))

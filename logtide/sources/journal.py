@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
 from logtide.operators.ingest import parse_entries
+from logtide.operators.ranking import rank_slice
 from logtide.session import ensure_utc
 
 MAP_TYPE = "map<string,string>"
@@ -63,9 +64,15 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(*_newest_order(df))
 
 
+def _newest(df: DataFrame, n: int) -> DataFrame:
+    tiebreak = "__SEQNUM" if "__SEQNUM" in df.columns else None
+    return rank_slice(df, 0, int(n), descending=True, col="timestamp", tiebreak=tiebreak)
+
+
 def tail(df: DataFrame, n: int) -> DataFrame:
-    """A3: the newest n entries (top-k)."""
-    return df.orderBy(*_newest_order(df)).limit(int(n))
+    """A3: the newest n entries: a top-k when small, else the rows from the
+    located n-th newest timestamp on (no P x n merge in one task)."""
+    return _newest(df, n)
 
 
 def at_timestamp(df: DataFrame, ts: datetime) -> DataFrame:
@@ -87,12 +94,12 @@ def recent_history(df: DataFrame, now: datetime, cutoff: datetime | None = None,
     """Of the newest `max_checked` entries, those with cutoff <= ts <= now.
 
     The cap applies before the window filter (the newest entries are checked
-    first), so entries after `now` use up checks.  The cap is the feature: it is
-    a top-k of bounded size.
+    first), so entries after `now` use up checks.  The cap is the feature; the
+    newest `max_checked` rows are cut out by locating the boundary timestamp.
     """
     cutoff = cutoff or (now - DEFAULT_HISTORY)
     lo, hi = ts_literal_like(df, "timestamp", cutoff), ts_literal_like(df, "timestamp", now)
-    checked = df.orderBy(*_newest_order(df)).limit(int(max_checked))
+    checked = _newest(df, max_checked)
     return checked.filter((F.col("timestamp") >= lo) & (F.col("timestamp") <= hi))
 
 
