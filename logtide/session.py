@@ -40,7 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
     On a cluster this is set by the cluster (a shared file system all executors
-    see).  Only when it is unset -- local tests -- a private folder is made.
+    see) and is only read here.  A private folder is made only for a local
+    master with nothing configured (tests); a cluster without the setting is an
+    error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="logtide-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
