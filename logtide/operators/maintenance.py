@@ -9,8 +9,9 @@ overwrites the same files.
 
 Cutoffs that depend on the data (the oldest tenth, size budgets) are found on
 small aggregates whose size is bounded by the time span, never by the row
-count: per-minute totals, or a bucket descent day -> minute -> second ->
-millisecond -> microsecond where each level holds at most 1,440 buckets.
+count: per-minute totals, or a bucket descent day -> minute -> millisecond
+-> microsecond (`operators.ranking`) where each level holds at most 60,000
+buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, ts_literal_like
 from logtide.operators.predicates import minute_equals
-from logtide.operators.ranking import kth_timestamp
+from logtide.operators.ranking import kth_timestamp, locate_ranks
 from logtide.session import checkpoint_dir, ensure_utc
 
 
@@ -90,9 +91,10 @@ def drop_oldest_tenth(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     k-th smallest timestamp, which is found by a bucket descent instead of a
     sort of 10% of the table.
     """
-    n = df.count()
-    k = int(round(n / 10))  # Python rounds half to even
-    cut = kth_smallest_timestamp(df, k)
+    # k = n/10, half to even (Python's round), resolved from the descent's first
+    # level so the table is not counted in a separate pass.
+    found = locate_ranks(df, [lambda n: int(round(n / 10))])[0]
+    cut = found[0] if found else None
     spark = df.sparkSession
     if cut is None:
         report = spark.range(1).select(F.lit(0).cast("long").alias("deleted"), F.lit(None).cast("timestamp_ntz").alias("cutoff"))

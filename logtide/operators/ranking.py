@@ -4,8 +4,9 @@ A top-k (`TakeOrderedAndProject`) keeps k rows per task and merges P x k rows
 in one task; fine for small k, not for the history cap (10,000) or deep pages
 on thousands of partitions.  For time-ordered windows we instead locate the
 boundary timestamps of the window by a bucket descent -- day -> minute ->
-second -> millisecond -> microsecond, each level an aggregate of at most 1,440
-buckets inside a pushed-down time range -- and then read exactly the rows
+millisecond -> microsecond, each level one aggregate job for both boundaries,
+with at most 1,440 / 60,000 / 1,000 buckets per parent inside a pushed-down
+time range -- and then read exactly the rows
 between the boundaries.  Rows that share a boundary timestamp are ordered by
 the tie-breaker with an ordinary (small) page.
 """
@@ -20,9 +21,17 @@ from pyspark.sql import functions as F
 from logtide.functions.columns import ts_literal_like
 
 EPOCH = datetime(1970, 1, 1)
-# Bucket widths in microseconds, coarse to fine.
-LEVELS = [86_400_000_000, 60_000_000, 1_000_000, 1_000, 1]
+# Bucket widths in microseconds, coarse to fine: day, minute, millisecond, microsecond.
+LEVELS = [86_400_000_000, 60_000_000, 1_000, 1]
 SMALL_TOPK = 1_000
+# A top-k merges (input partitions x rows kept per task) rows in one task; above
+# this many rows the window is cut out of the order instead.
+MERGE_BUDGET_ROWS = 2_000_000
+
+
+def topk_fits(df: DataFrame, rows: int) -> bool:
+    """Size check for a single-task top-k merge."""
+    return df.rdd.getNumPartitions() * max(1, int(rows)) <= MERGE_BUDGET_ROWS
 
 
 def from_micros(us: int) -> datetime:
@@ -30,44 +39,77 @@ def from_micros(us: int) -> datetime:
 
 
 def _range(df: DataFrame, col: str, lo_us: int, hi_us: int) -> Column:
+    """[lo, hi) on the time column, plus the implied date range on a date-partitioned
+    table, so each descent level lists and reads only the dates it needs."""
     c = F.col(col)
-    return (c >= ts_literal_like(df, col, from_micros(lo_us))) & (c < ts_literal_like(df, col, from_micros(hi_us)))
-
-
-def locate_rank(df: DataFrame, k: int, descending: bool = False, col: str = "timestamp"):
-    """Where the k-th row (1-based) of the time order falls.
-
-    Returns (T, before, at): T the k-th row's timestamp, `before` the number of
-    rows strictly ahead of T in the order, `at` the number of rows at T.
-    None when the table has fewer than k rows (NULL times are not ranked).
+    lo, hi = from_micros(lo_us), from_micros(hi_us)
+    cond = (c >= ts_literal_like(df, col, lo)) & (c < ts_literal_like(df, col, hi))
+    if "date" in df.columns:
+        cond = cond & F.col("date").between(F.lit(lo.date().isoformat()).cast("date"),
+                                            F.lit(hi.date().isoformat()).cast("date"))
+    return cond
+
+
+def locate_ranks(df: DataFrame, ks: list, descending: bool = False, col: str = "timestamp") -> list:
+    """Where the k-th rows (1-based) of the time order fall, for several k at once.
+
+    For each k returns (T, before, at): T the k-th row's timestamp, `before`
+    the number of rows strictly ahead of T in the order, `at` the number of
+    rows at T; None when the table has fewer than k rows (NULL times are not
+    ranked).  One aggregate job per level serves every k: it counts rows per
+    bucket inside the parent buckets still in play.  A k may be a function of
+    the row count, which the first level yields for free (so "the n/10-th row"
+    needs no separate count pass).
     """
-    if k <= 0:
-        return None
     us = F.unix_micros(F.col(col).cast("timestamp"))
-    remaining, before = k, 0
-    lo, width_parent = None, None
-    chosen_n = 0
+    live = df.filter(F.col(col).isNotNull())
+    state = [{"k": k, "rem": None, "before": 0, "lo": None, "w": None, "n": 0} for k in ks]
     for width in LEVELS:
-        scope = df.filter(F.col(col).isNotNull())
-        if lo is not None:
-            scope = scope.filter(_range(df, col, lo, lo + width_parent))
+        active = [t for t in state if t is not None]
+        if not active:
+            break
+        parents = sorted({(t["lo"], t["w"]) for t in active if t["lo"] is not None})
+        scope = live
+        if parents:
+            cond = None
+            for lo, w in parents:
+                c = _range(df, col, lo, lo + w)
+                cond = c if cond is None else (cond | c)
+            scope = live.filter(cond)
         rows = (
             scope.groupBy(F.floor(us / F.lit(width)).cast("long").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
-            .collect()  # bounded: at most 1,440 buckets below the first level
+            .collect()  # bounded: days in the table, then <= 1,440 / 60,000 / 1,000 buckets per parent
         )
         rows.sort(key=lambda r: r["b"], reverse=descending)
-        chosen = None
-        for r in rows:
-            if r["n"] >= remaining:
-                chosen, chosen_n = r["b"], r["n"]
-                break
-            remaining -= r["n"]
-            before += r["n"]
-        if chosen is None:
-            return None
-        lo, width_parent = chosen * width, width
-    return from_micros(lo), before, chosen_n
+        for i, t in enumerate(state):
+            if t is None:
+                continue
+            if t["rem"] is None:  # first level: resolve k, possibly from the total
+                k = t["k"](sum(r["n"] for r in rows)) if callable(t["k"]) else t["k"]
+                if k <= 0:
+                    state[i] = None
+                    continue
+                t["rem"] = k
+            inside = rows if t["lo"] is None else [
+                r for r in rows if t["lo"] <= r["b"] * width < t["lo"] + t["w"]]
+            chosen = None
+            for r in inside:
+                if r["n"] >= t["rem"]:
+                    chosen = r
+                    break
+                t["rem"] -= r["n"]
+                t["before"] += r["n"]
+            if chosen is None:
+                state[i] = None
+                continue
+            t["lo"], t["w"], t["n"] = chosen["b"] * width, width, chosen["n"]
+    return [None if t is None else (from_micros(t["lo"]), t["before"], t["n"]) for t in state]
+
+
+def locate_rank(df: DataFrame, k: int, descending: bool = False, col: str = "timestamp"):
+    """Single-k form of `locate_ranks`."""
+    return locate_ranks(df, [k], descending, col)[0]
 
 
 def kth_timestamp(df: DataFrame, k: int, descending: bool = False, col: str = "timestamp") -> datetime | None:
@@ -91,11 +133,16 @@ def _small_page(df: DataFrame, order: list[Column], offset: int, limit: int) ->
     return out.limit(limit)
 
 
+def _fits(df: DataFrame, stop: int, small: int | None) -> bool:
+    return stop <= small if small is not None else topk_fits(df, stop)
+
+
 def rank_slice(df: DataFrame, start: int, stop: int, descending: bool = True, col: str = "timestamp",
-               tiebreak: str | None = None, small: int = SMALL_TOPK) -> DataFrame:
+               tiebreak: str | None = None, small: int | None = None) -> DataFrame:
     """Rows ranked [start, stop) (0-based) by (col, tiebreak) in one direction.
 
-    Small windows are a top-k.  Larger ones: locate the first and last row's
+    A top-k when its single-task merge fits the budget (or `stop <= small` when
+    a fixed bound is given).  Otherwise: locate the first and last row's
     timestamps, take every row strictly between them (a pushed-down range),
     and slice the rows at the two boundary timestamps by the tie-breaker.
     """
@@ -104,12 +151,11 @@ def rank_slice(df: DataFrame, start: int, stop: int, descending: bool = True, co
     live = df.filter(F.col(col).isNotNull())
     if stop <= start:
         return df.limit(0)
-    if stop <= small:
+    if _fits(live, stop, small):
         return _small_page(live, order, start, stop - start)
-    first = locate_rank(live, start + 1, descending, col)
+    first, last = locate_ranks(live, [start + 1, stop], descending, col)
     if first is None:
         return df.limit(0)
-    last = locate_rank(live, stop, descending, col)
     t_first, before_first, at_first = first
     tie = _order(tiebreak, descending, None) if tiebreak else []
     c = F.col(col)
@@ -136,7 +182,7 @@ def _boundary(rows: DataFrame, tie: list[Column], offset: int, limit: int) -> Da
         return rows.limit(0)
     if not tie:
         return rows.limit(limit) if offset == 0 else rows.offset(offset).limit(limit)
-    if offset + limit <= SMALL_TOPK:
+    if topk_fits(rows, offset + limit):
         return _small_page(rows, tie, offset, limit)
     from logtide.operators.search import _deep_page
 
@@ -144,7 +190,7 @@ def _boundary(rows: DataFrame, tie: list[Column], offset: int, limit: int) -> Da
 
 
 def key_slice(df: DataFrame, start: int, stop: int, key: str, descending: bool, tiebreak: str | None,
-              small: int = SMALL_TOPK) -> DataFrame:
+              small: int | None = None) -> DataFrame:
     """Rows ranked [start, stop) by (key, tiebreak), NULL keys last both ways, for a
     sort column with few distinct values (host, unit, priority, command).
 
@@ -158,7 +204,7 @@ def key_slice(df: DataFrame, start: int, stop: int, key: str, descending: bool,
     tie = _order(tiebreak, descending, None) if tiebreak else []
     if stop <= start:
         return df.limit(0)
-    if stop <= small:
+    if _fits(df, stop, small):
         return _small_page(df, order + tie, start, stop - start)
     counts = df.groupBy(k.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
     values = sorted((r for r in counts if r["v"] is not None), key=lambda r: r["v"], reverse=descending)

@@ -1,9 +1,10 @@
 """Log search: column choice, allow-listed sort, paging.
 
-Paging plan.  A page within the first TOPK_MAX_ROWS rows is a top-k
-(`TakeOrderedAndProject`): each task keeps only offset+limit rows and one small
-merge finishes it.  A deeper page would send offset+limit rows per task to that
-single merge, so it is cut out of the order instead (`ranking`): by time, the
+Paging plan.  A page is a top-k (`TakeOrderedAndProject`) when its merge is
+small: each task keeps offset+limit rows and one task merges them, so the
+size check is input partitions x (offset+limit) against a fixed budget.  A
+larger page would overload that single merge, so it is cut out of the order
+instead (`ranking`): by time, the
 window's boundary timestamps are located by a bounded bucket descent; by a
 low-cardinality column (host, unit, priority, command), by per-value counts.
 Rows between the boundaries are read by a pushed-down filter; only rows that
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.operators.predicates import log_filter, minute_equals
-from logtide.operators.ranking import key_slice, rank_slice
+from logtide.operators.ranking import key_slice, rank_slice, topk_fits
 from logtide.schemas import DEFAULT_COLUMNS, DISPLAY_NAMES, column_for
 from logtide.session import checkpoint_dir
 
@@ -105,10 +106,12 @@ def page(df: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset:
 
 
 def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc", limit: int = DEFAULT_LIMIT,
-                offset: int = 0, topk_max_rows: int = TOPK_MAX_ROWS) -> DataFrame:
+                offset: int = 0, topk_max_rows: int | None = None) -> DataFrame:
     """F1 + F2: one page of the allow-listed sort.
 
-    Small pages are a top-k.  Deeper pages never merge offset+limit rows per
+    A page is a top-k when its single-task merge (input partitions x
+    (offset+limit) rows) fits the merge budget, or within `topk_max_rows` when
+    a fixed bound is given.  Otherwise it never merges offset+limit rows per
     task in one place: by time they locate the window's boundary timestamps
     (bucket descent), by a low-cardinality column they use per-value counts;
     only rows sharing a boundary value are ordered by the cursor.
@@ -117,8 +120,9 @@ def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc",
     offset = max(0, int(offset))
     col = SORT_COLUMNS.get((sort or "").lower(), "timestamp")
     asc = (sort_dir or "").lower() == "asc"
-    if offset + limit <= topk_max_rows:
-        return page(df, sort_columns(sort, sort_dir), limit, offset, topk_max_rows)
+    fits = offset + limit <= topk_max_rows if topk_max_rows is not None else topk_fits(df, offset + limit)
+    if fits:
+        return page(df, sort_columns(sort, sort_dir), limit, offset, offset + limit)
     if col == "timestamp":
         return rank_slice(df, offset, offset + limit, descending=not asc, col=col, tiebreak=TIEBREAK,
                           small=topk_max_rows)
@@ -162,7 +166,7 @@ def search(
     sort: str = "timestamp",
     sort_dir: str = "desc",
     columns=None,
-    topk_max_rows: int = TOPK_MAX_ROWS,
+    topk_max_rows: int | None = None,
 ) -> DataFrame:
     """Filter, sort, page, then project with display names."""
     cols = resolve_columns(columns, strict=True)
