@@ -79,31 +79,15 @@ def severity_class(p) -> Column:
 
 
 def fixed1(v) -> Column:
-    """Text of a non-negative double with one decimal, rounded on its exact binary
-    value (ties to even), as C and Rust formatting do.
+    """Text of a number with one decimal, rounded on its exact binary value with
+    ties to even, as C and Rust formatting do (6.55 is stored as 6.5499... and
+    gives 6.5; 0.25 gives 0.2).
 
-    Java-style `format_string('%.1f')` rounds the shortest decimal text instead,
-    so 6.55 (stored as 6.5499999...) would give 6.6.  Here v is scaled by a power
-    of two to an exact 64-bit integer N = v * 2^S (S = 57 - exponent), and the
-    digit is decided with exact integer shifts on 10 * N.
+    `format_string('%.1f')` would round the shortest decimal text half-up
+    instead (6.6, 0.3); `format_number` with a pattern uses a decimal formatter
+    that works on the exact value, without grouping separators.
     """
-    v = _col(v).cast("double")
-    s = (F.lit(57) - F.greatest(F.floor(F.log2(v)), F.lit(-5))).cast("int")
-    t = (v * F.pow(F.lit(2.0), s)).cast("long") * F.lit(10).cast("long")
-    q = F.call_function("shiftright", t, s)
-    rem = t - F.call_function("shiftleft", q, s)
-    half = F.call_function("shiftleft", F.lit(1).cast("long"), s - 1)
-    up = (rem > half) | ((rem == half) & (F.pmod(q, F.lit(2).cast("long")) == 1))
-    tenths = q + F.when(up, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    exact = F.concat(
-        F.floor(tenths / 10).cast("long").cast("string"), F.lit("."), F.pmod(tenths, F.lit(10).cast("long")).cast("string")
-    )
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(v < 2.0**-10, F.lit("0.0"))
-        .when(v < 2.0**52, exact)
-        .otherwise(F.format_string("%.1f", v))
-    )
+    return F.call_function("format_number", _col(v).cast("double"), F.lit("0.0"))
 
 
 def human_bytes(b) -> Column:
