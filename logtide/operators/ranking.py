@@ -29,9 +29,20 @@ SMALL_TOPK = 1_000
 MERGE_BUDGET_ROWS = 2_000_000
 
 
+def planned_partitions(df: DataFrame) -> int:
+    """Partitions feeding the next operator, read from the physical plan without
+    running it (asking the RDD would make adaptive execution run shuffles).
+    Falls back to the number of input files when the plan leaves it open."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()  # the initial plan; nothing is executed
+    n = plan.outputPartitioning().numPartitions()
+    return max(n, len(df.inputFiles()), 1)
+
+
 def topk_fits(df: DataFrame, rows: int) -> bool:
     """Size check for a single-task top-k merge."""
-    return df.rdd.getNumPartitions() * max(1, int(rows)) <= MERGE_BUDGET_ROWS
+    return planned_partitions(df) * max(1, int(rows)) <= MERGE_BUDGET_ROWS
 
 
 def from_micros(us: int) -> datetime:

@@ -39,6 +39,11 @@ def count_by_minute(df: DataFrame, minute: datetime) -> DataFrame:
     return df.filter(minute_equals(df, minute)).agg(F.count(F.lit(1)).alias("count"))
 
 
+def minute_counts(df: DataFrame) -> DataFrame:
+    """G4 for every minute at once: rows per minute key (partial aggregate)."""
+    return df.groupBy("minute_key").agg(F.count(F.lit(1)).alias("count"))
+
+
 def distinct_minutes(df: DataFrame) -> DataFrame:
     """The distinct minute keys (partial distinct per task, then one shuffle)."""
     return df.select("minute_key").distinct()

@@ -304,6 +304,12 @@ def q_count_by_minute(spark, sf):
     return stats.count_by_minute(_logs(spark, sf), MINUTE)
 
 
+@register("minute_counts", with_ctes(
+    "SELECT minute_key, COUNT(*) AS count FROM journal_logs GROUP BY minute_key", JOURNAL_CTE))
+def q_minute_counts(spark, sf):
+    return stats.minute_counts(_logs(spark, sf))
+
+
 @register("distinct_minutes", with_ctes("SELECT DISTINCT minute_key FROM journal_logs", JOURNAL_CTE))
 def q_distinct_minutes(spark, sf):
     return stats.distinct_minutes(_logs(spark, sf))
@@ -690,12 +696,12 @@ def q_ingest_summary(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from logtide.plans import streams  # noqa: F401  registers the streaming queries
+    from logtide.plans import stored, streams  # noqa: F401  registers the stored-table and streaming queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from logtide.plans import streams  # noqa: F401
+    from logtide.plans import stored, streams  # noqa: F401
 
     return dict(ORACLE)

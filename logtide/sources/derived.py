@@ -17,6 +17,18 @@ from logtide.schemas import JOURNAL_SCHEMA, PROCESS_SCHEMA
 _UNIX_MICROS = "unix_micros(CAST(ts AS TIMESTAMP))"
 
 
+def _conform(df: DataFrame, schema) -> DataFrame:
+    """All columns of `schema` in order and type; absent ones as typed NULLs.
+    One SQL projection, so a wide table costs one call, not one per column."""
+    have = set(df.columns)
+    exprs = [
+        f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name in have
+        else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for f in schema.fields
+    ]
+    return df.selectExpr(*exprs)
+
+
 def _message(event_id: Column, event_type: Column, user_id: Column) -> Column:
     m4 = event_id % 4
     middle = (
@@ -69,11 +81,7 @@ def journal_logs_from_events(events: DataFrame) -> DataFrame:
             F.create_map(F.lit("CUSTOM_K"), F.get_json_object(F.col("props"), "$.k"))
         ),
     }
-    cols = [
-        (filled[f.name] if f.name in filled else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in JOURNAL_SCHEMA.fields
-    ]
-    return events.select(*cols)
+    return _conform(events.select(*[c.alias(n) for n, c in filled.items()]), JOURNAL_SCHEMA)
 
 
 def raw_journal_lines_from_events(events: DataFrame) -> DataFrame:
@@ -126,12 +134,7 @@ def process_metrics_from_events(events: DataFrame) -> DataFrame:
         "user": F.when(u % 7 == 0, F.lit(None).cast("string")).otherwise((u % 3).cast("string")),
         "runtime": (e * 37) % 400000,
     }
-    return first.select(
-        *[
-            (filled[f.name] if f.name in filled else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in PROCESS_SCHEMA.fields
-        ]
-    )
+    return _conform(first.select(*[c.alias(n) for n, c in filled.items()]), PROCESS_SCHEMA)
 
 
 def raw_samples_from_events(events: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def spread(df: DataFrame) -> DataFrame:
     already have many splits, so for them this adds nothing and no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() < cores:  # a bare scan: plans the file splits, runs nothing
         return df.repartition(cores)
     return df
 
