@@ -27,6 +27,8 @@ SMALL_TOPK = 1_000
 # A top-k merges (input partitions x rows kept per task) rows in one task; above
 # this many rows the window is cut out of the order instead.
 MERGE_BUDGET_ROWS = 2_000_000
+# Most distinct sort-key values whose counts are brought to the driver.
+MAX_KEY_VALUES = 100_000
 
 
 def planned_partitions(df: DataFrame) -> int:
@@ -217,7 +219,12 @@ def key_slice(df: DataFrame, start: int, stop: int, key: str, descending: bool,
         return df.limit(0)
     if _fits(df, stop, small):
         return _small_page(df, order + tie, start, stop - start)
-    counts = df.groupBy(k.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = df.groupBy(k.alias("v")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_KEY_VALUES + 1).collect()
+    if len(counts) > MAX_KEY_VALUES:
+        # Not a low-cardinality column after all: number the sorted rows instead.
+        from logtide.operators.search import _deep_page
+
+        return _deep_page(df, order + tie, stop - start, start)
     values = sorted((r for r in counts if r["v"] is not None), key=lambda r: r["v"], reverse=descending)
     values += [r for r in counts if r["v"] is None]
     pos, pieces, inner = 0, [], []

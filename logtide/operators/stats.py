@@ -153,8 +153,9 @@ def filter_values(df: DataFrame, column: str) -> DataFrame:
 def severity_counts(df: DataFrame) -> DataFrame:
     """The eight levels with `p - label` and their row counts, zero where none.
 
-    The eight-row dimension is a literal (fixed size), broadcast into a left
-    join with the per-priority partial aggregate.
+    The eight-row dimension is generated; the per-priority counts are a partial
+    aggregate over priorities 0..7 (at most eight rows, a proven bound), so they
+    are the broadcast side of the left join.
     """
     value = F.col("id").cast("int")
     levels = df.sparkSession.range(len(PRIORITY_LABELS)).select(
@@ -164,8 +165,7 @@ def severity_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count")
     )
     return (
-        F.broadcast(levels)
-        .join(counts, "value", "left")
+        levels.join(F.broadcast(counts), "value", "left")
         .select("value", "label", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
         .orderBy("value")
     )
