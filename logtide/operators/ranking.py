@@ -32,14 +32,22 @@ MAX_KEY_VALUES = 100_000
 
 
 def planned_partitions(df: DataFrame) -> int:
-    """Partitions feeding the next operator, read from the physical plan without
-    running it (asking the RDD would make adaptive execution run shuffles).
-    Falls back to the number of input files when the plan leaves it open."""
+    """Partitions feeding the next operator, without running anything.
+
+    After a shuffle the planned partitioning says it (asking the RDD there
+    would make adaptive execution run the shuffle).  A plain scan pipeline
+    reports its file splits after partition pruning, which the RDD gives from
+    split planning alone.
+    """
     plan = df._jdf.queryExecution().executedPlan()
     if plan.nodeName() == "AdaptiveSparkPlan":
         plan = plan.executedPlan()  # the initial plan; nothing is executed
     n = plan.outputPartitioning().numPartitions()
-    return max(n, len(df.inputFiles()), 1)
+    if n > 0:
+        return n
+    if "Exchange" in plan.toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.rdd.getNumPartitions(), 1)
 
 
 def topk_fits(df: DataFrame, rows: int) -> bool:
