@@ -24,15 +24,18 @@ def field(name: str, fields: str = "fields") -> Column:
     return F.col(fields).getItem(name)
 
 
-def with_entry_timestamp(df: DataFrame, now: datetime, fields: str = "fields") -> DataFrame:
+def with_entry_timestamp(df: DataFrame, now: datetime | None, fields: str = "fields") -> DataFrame:
     """B1: entry time from __REALTIME_TIMESTAMP microseconds; absent -> now.
 
-    Adds `timestamp` and `_ts_ok`; a present but unparsable clock gives
-    `_ts_ok = false` (the entry is rejected by `accept_entries`).
+    `now=None` uses the query's current time (fixed per micro-batch in a
+    stream); an explicit `now` makes results repeatable.  Adds `timestamp` and
+    `_ts_ok`; a present but unparsable clock gives `_ts_ok = false` (the entry
+    is rejected by `accept_entries`).
     """
     raw = field(REALTIME, fields)
     micros = F.when(raw.rlike(r"^\+?[0-9]+$"), raw.try_cast("long"))
-    ts = F.when(raw.isNull(), ts_literal(now)).otherwise(F.timestamp_micros(micros).cast("timestamp_ntz"))
+    now_col = F.current_timestamp().cast("timestamp_ntz") if now is None else ts_literal(now)
+    ts = F.when(raw.isNull(), now_col).otherwise(F.timestamp_micros(micros).cast("timestamp_ntz"))
     return df.withColumn("timestamp", ts).withColumn("_ts_ok", raw.isNull() | micros.isNotNull())
 
 
@@ -93,7 +96,7 @@ def rejected_entries(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("_ts_ok")).drop("_ts_ok")
 
 
-def parse_entries(entries: DataFrame, now: datetime) -> DataFrame:
+def parse_entries(entries: DataFrame, now: datetime | None = None) -> DataFrame:
     """Entry map -> typed rows; entries with an unparsable clock are dropped."""
     return type_fields(accept_entries(with_entry_timestamp(entries, now)))
 

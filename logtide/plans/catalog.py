@@ -535,8 +535,9 @@ def _nonnull_count_sql() -> str:
      json_extract_string(extra_fields, '$.CUSTOM_K') AS f_custom_k, message AS f_message FROM journal_logs""",
     JOURNAL_CTE))
 def q_rebuild_fields(spark, sf):
-    logs = _logs(spark, sf)
-    rebuilt = ingest.rebuild_fields(logs.select("*"))
+    # Row-wise map building: spread a single-split input over the cores first.
+    logs = tables.spread(_logs(spark, sf))
+    rebuilt = ingest.rebuild_fields(logs)
     m = F.col("fields")
     return rebuilt.select(
         "timestamp",

@@ -33,12 +33,13 @@ def _checkpoint(df: DataFrame, name: str, location: str | None) -> str:
     return location or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
 
 
-def typed_log_stream(entries: DataFrame, now: datetime) -> DataFrame:
-    """K1 transform: stateless; `now` stands in for entries without a clock."""
+def typed_log_stream(entries: DataFrame, now: datetime | None = None) -> DataFrame:
+    """K1 transform: stateless; entries without a clock get `now` (by default
+    the micro-batch's current time)."""
     return parse_entries(entries, now).withColumn("date", F.to_date("timestamp"))
 
 
-def start_log_ingest(entries: DataFrame, now: datetime, path: str, checkpoint: str | None = None,
+def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkpoint: str | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Append typed rows to the date-partitioned log table."""
     w = (

@@ -121,3 +121,10 @@ def test_ingest_summary(spark):
 
 def test_entries_unused_helper(spark):
     assert entries(spark, [(None, {"A": "b"})]).count() == 1
+
+
+def test_missing_clock_defaults_to_current_time(spark):
+    e = spark.createDataFrame([({"MESSAGE": "no clock"},)], "fields map<string,string>")
+    before = datetime.utcnow().replace(microsecond=0)
+    ts = ingest.parse_entries(e).first().timestamp
+    assert before - timedelta(seconds=5) <= ts <= datetime.utcnow() + timedelta(seconds=5)
