@@ -273,8 +273,6 @@ def q_severity_counts(spark, sf):
 
 
 def _profile_sql() -> str:
-    from logtide.plans.oracle import duck_type  # noqa: F401
-
     defaults = {"timestamp", "_hostname", "_systemd_unit", "priority", "_pid", "_comm", "message"}
     fields = [f for f in JOURNAL_SCHEMA.fields if f.name not in ("__CURSOR", "__MONOTONIC_TIMESTAMP", "minute_key")]
     parts = []

@@ -9,12 +9,10 @@ checkpoint directory.
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logtide.plans.catalog import NOW, _PARSED_CTE, _ts, register
+from logtide.plans.catalog import NOW, _PARSED_CTE, register
 from logtide.plans.oracle import JOURNAL_CTE, LEVEL_SQL, SAMPLES_TYPED_CTE, with_ctes
 from logtide.session import checkpoint_dir, ensure_utc
 from logtide.sources import journal as J
@@ -39,14 +37,14 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _memory_result(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
-    name = f"logtide_{kind}_{uuid.uuid4().hex[:12]}"
-    jobs.run_to_memory(df, name, checkpoint=_scratch(spark, f"{kind}-ckpt"))
-    return spark.table(name)
+def _stream_result(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
+    out = _scratch(spark, f"{kind}-out")
+    jobs.run_to_table(df, out, checkpoint=_scratch(spark, f"{kind}-ckpt"))
+    return spark.read.parquet(out)
 
 
-_WATERMARK = timedelta(minutes=10)
-_CLOSED = f"(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
+# Bins a 10-minute watermark has closed once every event has been read.
+_CLOSED = "(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
 @register("stream_timechart", with_ctes(
@@ -55,7 +53,7 @@ _CLOSED = f"(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
     f"WHERE date_trunc('minute', \"timestamp\") + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY 1, 2", JOURNAL_CTE))
 def q_stream_timechart(spark, sf):
     logs = journal_logs_from_events(_events_stream(spark, sf))
-    return _memory_result(spark, jobs.live_timechart(logs, "10 minutes"), "timechart")
+    return _stream_result(spark, jobs.live_timechart(logs, "10 minutes"), "timechart")
 
 
 @register("stream_ingest_summary", with_ctes(
@@ -66,7 +64,7 @@ def q_stream_timechart(spark, sf):
     JOURNAL_CTE))
 def q_stream_ingest_summary(spark, sf):
     logs = journal_logs_from_events(_events_stream(spark, sf))
-    return _memory_result(spark, jobs.live_ingest_summary(logs, "journal", "10 minutes"), "summary")
+    return _stream_result(spark, jobs.live_ingest_summary(logs, "journal", "10 minutes"), "summary")
 
 
 @register("stream_ingest", with_ctes(
@@ -94,5 +92,3 @@ def q_stream_samples(spark, sf):
     q.awaitTermination()
     return spark.read.parquet(out).select("timestamp", "pid")
 
-
-_ = (_ts, F)

@@ -113,13 +113,15 @@ def live_ingest_summary(df: DataFrame, source: str, watermark: str = "10 minutes
     )
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> StreamingQuery:
-    """Drive a stream to completion into an in-memory table (tests, small checks)."""
+def run_to_table(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Drive a stream over everything available into a Parquet table (append
+    mode, exactly-once file sink); results stay on the shared file system,
+    never in driver memory."""
     q = (
-        df.writeStream.format("memory")
-        .queryName(name)
-        .outputMode(mode)
-        .option("checkpointLocation", _checkpoint(df, name, checkpoint))
+        df.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint or f"{path}-checkpoint")
         .trigger(availableNow=True)
         .start()
     )
