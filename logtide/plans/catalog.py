@@ -694,6 +694,18 @@ def q_ingest_summary(spark, sf):
     return ingest.ingest_summary(_logs(spark, sf), "journal")
 
 
+@register("ingest_summary_all", with_ctes(
+    "SELECT time_bucket(INTERVAL 5 MINUTE, \"timestamp\") AS window_start, "
+    "time_bucket(INTERVAL 5 MINUTE, \"timestamp\") + INTERVAL 5 MINUTE AS window_end, 'journal' AS source, "
+    "COUNT(*) AS rows FROM journal_logs GROUP BY 1, 2 UNION ALL "
+    "SELECT time_bucket(INTERVAL 5 MINUTE, \"timestamp\") AS window_start, "
+    "time_bucket(INTERVAL 5 MINUTE, \"timestamp\") + INTERVAL 5 MINUTE AS window_end, 'samples' AS source, "
+    "COUNT(*) AS rows FROM samples_typed GROUP BY 1, 2", JOURNAL_CTE, SAMPLES_TYPED_CTE))
+def q_ingest_summary_all(spark, sf):
+    samples = processes.to_process_metrics(tables.raw_samples(spark, sf))
+    return ingest.ingest_summary_all(_logs(spark, sf), samples)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from logtide.plans import stored, streams  # noqa: F401  registers the stored-table and streaming queries
 
