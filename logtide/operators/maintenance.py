@@ -173,23 +173,36 @@ def _staging_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/logtide-staging-{uuid.uuid4().hex}"
 
 
+def _date_counts(scope: DataFrame, keep: Column) -> list:
+    """Rows kept and removed per date: one aggregate, one row per date."""
+    return scope.groupBy("date").agg(
+        F.count_if(keep).alias("kept"), F.count_if(~keep).alias("gone")
+    ).collect()
+
+
 def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | None = None,
-                  files_per_date: int | None = None) -> int:
+                  files_per_date: int | None = None, per_date: list | None = None) -> int:
     """Keep only rows matching `keep` in the given dates (all when None).
 
     The kept rows are staged in the shared checkpoint folder, then written back
-    with dynamic partition overwrite; a date left with no rows is removed by
-    writing the kept rows only, so untouched dates are never read or written.
-    Returns the number of rows removed.
+    with dynamic partition overwrite; a date left with no rows is removed, and
+    dates with nothing to remove are neither read nor written.  Returns the
+    number of rows removed.
     """
     ensure_utc(spark)
     table = spark.read.parquet(path)
-    scope = table if dates is None else table.filter(F.col("date").isin([str(d) for d in dates]))
-    per_date = scope.groupBy("date").agg(F.count_if(~keep).alias("gone")).collect()  # one row per date
+    if per_date is None:
+        scope = table if dates is None else table.filter(F.col("date").isin([str(d) for d in dates]))
+        per_date = _date_counts(scope, keep)
     removed = sum(r["gone"] for r in per_date)
     if removed == 0:
         return 0
-    kept = scope.filter(keep)
+    emptied = [r["date"] for r in per_date if r["kept"] == 0]
+    touched = [str(r["date"]) for r in per_date if r["gone"] > 0 and r["kept"] > 0]
+    if not touched:
+        _drop_date_dirs(spark, path, emptied)
+        return removed
+    kept = table.filter(F.col("date").isin(touched)).filter(keep)
     stage = _staging_path(spark)
     kept.write.mode("overwrite").partitionBy("date").parquet(stage)
     staged = spark.read.parquet(stage)
@@ -199,8 +212,7 @@ def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | No
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         staged.write.mode("overwrite").partitionBy("date").parquet(path)
-        left = {r["date"] for r in staged.select("date").distinct().collect()}
-        _drop_date_dirs(spark, path, [r["date"] for r in per_date if r["date"] not in left])
+        _drop_date_dirs(spark, path, emptied)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return removed
@@ -237,11 +249,11 @@ def delete_before(spark: SparkSession, path: str, cutoff: datetime) -> int:
     """Delete stored rows with timestamp < cutoff: whole older dates are dropped
     by partition (no data read beyond a count), only the cutoff's date is rewritten."""
     table = spark.read.parquet(path)
-    older = table.filter(F.col("date") < F.lit(cutoff.date().isoformat()).cast("date"))
-    counts = older.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per date
-    _drop_date_dirs(spark, path, [r["date"] for r in counts])
     keep = F.col("timestamp") >= ts_literal_like(table, "timestamp", cutoff)
-    return sum(r["n"] for r in counts) + rewrite_dates(spark, path, keep, [cutoff.date()])
+    # Dates up to the cutoff's own: older ones lose every row (dropped as
+    # directories), the cutoff's date is rewritten.  One aggregate counts both.
+    scope = table.filter(F.col("date") <= F.lit(cutoff.date().isoformat()).cast("date"))
+    return rewrite_dates(spark, path, keep, per_date=_date_counts(scope, keep))
 
 
 def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days: int) -> int:
