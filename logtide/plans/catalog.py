@@ -465,7 +465,7 @@ _SIZE_TEXT = (
    WHEN 'K' THEN 1024.0 WHEN 'M' THEN 1048576.0 WHEN 'G' THEN 1073741824.0 WHEN 'T' THEN 1099511627776.0
    ELSE 1.0 END AS BIGINT) AS size_bytes FROM events""")
 def q_size_text(spark, sf):
-    ev = tables.read_table(spark, sf, "events")
+    ev = tables.read_events(spark, sf)
     e, u = F.col("event_id"), F.col("user_id")
     suffix = (F.when(e % 6 == 0, "K").when(e % 6 == 1, "M").when(e % 6 == 2, "g").when(e % 6 == 3, "T")
               .when(e % 6 == 4, ".5G").otherwise(""))

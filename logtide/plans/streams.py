@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logtide.plans.catalog import NOW, _PARSED_CTE, register
 from logtide.plans.oracle import JOURNAL_CTE, LEVEL_SQL, SAMPLES_TYPED_CTE, with_ctes
+from logtide.schemas import EVENTS_SCHEMA
 from logtide.session import checkpoint_dir, ensure_utc
 from logtide.sources import journal as J
 from logtide.sources import samples as S
@@ -29,9 +30,8 @@ def _scratch(spark: SparkSession, kind: str) -> str:
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a file stream (the parquet file is the only input file)."""
     ensure_utc(spark)
-    schema = tables.read_table(spark, sf, "events").schema
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(EVENTS_SCHEMA)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf.rstrip("/"))
     )

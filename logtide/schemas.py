@@ -133,6 +133,18 @@ PROCESS_SCHEMA = T.StructType(
     ]
 )
 
+# The supplied `events` table the fixtures are derived from (read without inference).
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType(), True),
+        T.StructField("ts", T.TimestampNTZType(), True),
+        T.StructField("user_id", T.LongType(), True),
+        T.StructField("event_type", T.StringType(), True),
+        T.StructField("value", T.DoubleType(), True),
+        T.StructField("props", T.StringType(), True),
+    ]
+)
+
 # One process sample as it arrives from a sampler (file or stream source).
 RAW_SAMPLE_SCHEMA = T.StructType(
     [

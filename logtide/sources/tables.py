@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from logtide.schemas import JOURNAL_SCHEMA, PROCESS_SCHEMA
+from logtide.schemas import EVENTS_SCHEMA, JOURNAL_SCHEMA, PROCESS_SCHEMA
 from logtide.session import ensure_utc
 from logtide.sources.derived import (
     journal_logs_from_events,
@@ -37,7 +37,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events")
+    """The events table with its declared schema (no footer inference pass)."""
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
