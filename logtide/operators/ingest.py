@@ -64,7 +64,8 @@ def typed_columns(fields: str = "fields") -> list[Column]:
 
 def extra_fields_sql(fields: str = "fields") -> str:
     known = ", ".join(_quote(n) for n in KNOWN_FIELD_NAMES)
-    rest = f"map_filter(`{fields}`, (k, v) -> NOT (k IN ({known})))"  # IN over 73 literals: a hash-set test
+    # IN over 73 literals is a hash-set test; JSON nulls count as absent fields.
+    rest = f"map_filter(`{fields}`, (k, v) -> v IS NOT NULL AND NOT (k IN ({known})))"
     return f"CASE WHEN size({rest}) > 0 THEN to_json({rest}) END"
 
 

@@ -89,8 +89,11 @@ def test_parse_lines_json_values(spark):
         [('{"MESSAGE":"x","PRIORITY":3,"_BYTES":[1,2],"GONE":null}',), ("not json",)], "value string"
     )
     rows = parse_lines(lines).collect()
+    assert len(rows) == 1  # the non-JSON line is dropped
     f = dict(rows[0].fields)
-    assert f == {"MESSAGE": "x", "PRIORITY": "3", "_BYTES": "[1,2]"}
+    assert {k: v for k, v in f.items() if v is not None} == {"MESSAGE": "x", "PRIORITY": "3", "_BYTES": "[1,2]"}
+    typed_row = ingest.parse_entries(parse_lines(lines), NOW).first()
+    assert typed_row.extra_fields == '{"_BYTES":"[1,2]"}'  # JSON null left out like an absent field
 
 
 def test_rebuild_overflow_wins_on_duplicate(spark):
