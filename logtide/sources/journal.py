@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
 from logtide.operators.ingest import parse_entries
-from logtide.operators.ranking import rank_slice
+from logtide.operators.ranking import locate_ranks, rank_slice
 from logtide.session import ensure_utc
 
 MAP_TYPE = "map<string,string>"
@@ -76,6 +76,22 @@ def tail(df: DataFrame, n: int) -> DataFrame:
     return _newest(df, n)
 
 
+def tail_start(df: DataFrame, n: int) -> datetime | None:
+    """A3 (stream form): the time from which the newest n stored entries begin,
+    located by the bounded bucket descent; None when there are fewer than n."""
+    found = locate_ranks(df, [int(n)], descending=True)[0]
+    return found[0] if found else None
+
+
+def follow_from(entries: DataFrame, start: datetime | None) -> DataFrame:
+    """A3 (stream form): typed entries at or after `start` (all when None).
+    Entries sharing the start time are all kept, so a tie can add a few more
+    than n."""
+    if start is None:
+        return entries
+    return entries.filter(F.col("timestamp") >= ts_literal_like(entries, "timestamp", start))
+
+
 def at_timestamp(df: DataFrame, ts: datetime) -> DataFrame:
     """A5: entries whose microsecond clock equals ts exactly."""
     micros = F.unix_micros(F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))

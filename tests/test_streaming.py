@@ -86,3 +86,19 @@ def test_sample_stream_dedupes_within_watermark(spark, tmp_dir):
     got = spark.read.parquet(out)
     assert got.count() == raw.select("timestamp", "pid").distinct().count()
     assert got.groupBy("timestamp", "pid").count().filter("count > 1").count() == 0
+
+
+def test_follow_from_tail(spark, tmp_dir):
+    stored = tables.journal_logs(spark, SF001)
+    start = J.tail_start(stored, 50)
+    newest = stored.orderBy(F.col("timestamp").desc()).limit(50).agg(F.min("timestamp")).first()[0]
+    assert start == newest
+    src = f"{tmp_dir}/journal"
+    tables.raw_journal_lines(spark, SF001).write.text(src)
+    typed = jobs.typed_log_stream(J.stream_journal(spark, src), NOW)
+    out = f"{tmp_dir}/followed"
+    jobs.run_to_table(J.follow_from(typed, start), out, f"{tmp_dir}/ckpt")
+    got = spark.read.parquet(out)
+    batch = J.read_journal_typed(spark, src, NOW)  # same lines; entries without a clock get NOW
+    assert got.count() == batch.filter(F.col("timestamp") >= F.lit(start)).count() >= 50
+    assert J.tail_start(stored, 10**6) is None
