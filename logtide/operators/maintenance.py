@@ -261,12 +261,34 @@ def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days:
     return delete_before(spark, path, now - timedelta(days=int(days)))
 
 
+def stored_size_cutoff(table: DataFrame, max_bytes: int) -> datetime | None:
+    """Oldest minute kept under a byte budget on a date-partitioned table.
+
+    Same rule as `size_cutoff`, but dates are visited newest first, in batches
+    of 1, 2, 4, ... dates per job, and per-minute totals (at most 1,440 rows a
+    date) are read only while the budget lasts.  A retention run thus reads
+    about the data it keeps, not the whole table, in a number of jobs
+    logarithmic in the dates kept.  The date list comes from partition values.
+    """
+    dates = sorted((r["date"] for r in table.select("date").distinct().collect()), reverse=True)
+    used, keep_from, i, batch = 0, None, 0, 1
+    while i < len(dates):
+        chunk = [str(d) for d in dates[i:i + batch]]
+        part = table.filter(F.col("date").isin(chunk)).drop("date")
+        for m in sorted(minute_totals(part).collect(), key=lambda r: r["minute"], reverse=True):
+            if used + m["bytes"] > max_bytes:
+                return keep_from
+            used += m["bytes"]
+            keep_from = m["minute"]
+        i, batch = i + batch, batch * 2
+    return keep_from
+
+
 def apply_retention_by_size(spark: SparkSession, path: str, max_bytes: int) -> int:
-    """C8 on a stored table: the cutoff minute comes from per-minute byte totals
-    (bounded by the time span), then whole older dates are dropped."""
+    """C8 on a stored table: the cutoff minute from `stored_size_cutoff`, then
+    whole older dates are dropped and the cutoff's date is rewritten."""
     table = spark.read.parquet(path)
-    data = table.drop("date")
-    cut = size_cutoff(data, max_bytes).first()["_keep_from"]
+    cut = stored_size_cutoff(table, max_bytes)
     if cut is None:
         n = table.count()
         clear_table(spark, path)

@@ -90,15 +90,22 @@ def locate_ranks(df: DataFrame, ks: list, descending: bool = False, col: str = "
         if not active:
             break
         parents = sorted({(t["lo"], t["w"]) for t in active if t["lo"] is not None})
-        scope = live
+        by_date = width == LEVELS[0] and "date" in df.columns
+        # A NULL time has a NULL date, so the date test alone excludes it.
+        scope = df.filter(F.col("date").isNotNull()) if by_date else live
         if parents:
             cond = None
             for lo, w in parents:
                 c = _range(df, col, lo, lo + w)
                 cond = c if cond is None else (cond | c)
             scope = live.filter(cond)
+        bucket = F.floor(us / F.lit(width)).cast("long")
+        if by_date:
+            # Day buckets of a date-partitioned table: the partition value is the
+            # timestamp's date, so the first level reads no column data at all.
+            bucket = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date")).cast("long")
         rows = (
-            scope.groupBy(F.floor(us / F.lit(width)).cast("long").alias("b"))
+            scope.groupBy(bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()  # bounded: days in the table, then <= 1,440 / 60,000 / 1,000 buckets per parent
         )

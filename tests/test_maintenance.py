@@ -163,3 +163,13 @@ def test_stored_table_delete_size_clear_and_scheduled_run(spark, tmp_dir):
     M.clear_table(spark, lp)
     assert tables.read_logs(spark, lp).count() == 0
     assert buffer_stats(tables.read_logs(spark, lp)).first().total_entries == 0
+
+
+def test_stored_size_cutoff_matches_whole_table_rule(spark, tmp_dir):
+    logs = tables.journal_logs(spark, "/root/testdata/sf0.001")
+    path = f"{tmp_dir}/logs"
+    M.write_logs(logs, path)
+    table = spark.read.parquet(path)
+    for budget in [0, 5_000, 60_000, 250_000, 10**9]:
+        whole = M.size_cutoff(table.drop("date"), budget).first()["_keep_from"]
+        assert M.stored_size_cutoff(table, budget) == whole
