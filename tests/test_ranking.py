@@ -63,3 +63,18 @@ def test_boundary_shared_by_many_rows_uses_distributed_page(spark):
     df = _frame(spark, rows)
     got = [r.cur for r in rank_slice(df, 1200, 1505, True, "timestamp", "cur", small=100).collect()]
     assert got == _expect_time(rows, 1200, 1505, True)
+
+
+def test_descent_on_date_partitioned_table(spark, tmp_dir):
+    from logtide.operators import maintenance as M
+    from logtide.sources import tables
+
+    logs = tables.journal_logs(spark, "/root/testdata/sf0.001")
+    M.write_logs(logs, f"{tmp_dir}/logs")
+    stored = tables.read_logs(spark, f"{tmp_dir}/logs")
+    for k in (1, 37, 500, 1000):
+        assert locate_rank(stored, k) == locate_rank(logs, k)
+        assert locate_rank(stored, k, descending=True) == locate_rank(logs, k, descending=True)
+    got = [r["__CURSOR"] for r in rank_slice(stored, 100, 400, True, "timestamp", "__CURSOR", small=10).collect()]
+    want = [r["__CURSOR"] for r in logs.orderBy(logs.timestamp.desc(), logs.__CURSOR.desc()).collect()][100:400]
+    assert got == want
