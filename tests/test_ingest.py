@@ -1,7 +1,7 @@
 """Typed ingest and the storage unit cases: round trip, conversions, overflow,
 NULL fields, statistics, minute delete, retention."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -128,6 +128,9 @@ def test_entries_unused_helper(spark):
 
 def test_missing_clock_defaults_to_current_time(spark):
     e = spark.createDataFrame([({"MESSAGE": "no clock"},)], "fields map<string,string>")
-    before = datetime.utcnow().replace(microsecond=0)
+    def utc_now():
+        return datetime.now(timezone.utc).replace(tzinfo=None)
+
+    before = utc_now()
     ts = ingest.parse_entries(e).first().timestamp
-    assert before - timedelta(seconds=5) <= ts <= datetime.utcnow() + timedelta(seconds=5)
+    assert before - timedelta(seconds=5) <= ts <= utc_now() + timedelta(seconds=5)
