@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from logtide.functions.columns import row_bytes
@@ -173,3 +174,26 @@ def test_stored_size_cutoff_matches_whole_table_rule(spark, tmp_dir):
     for budget in [0, 5_000, 60_000, 250_000, 10**9]:
         whole = M.size_cutoff(table.drop("date"), budget).first()["_keep_from"]
         assert M.stored_size_cutoff(table, budget) == whole
+
+
+def test_written_files_are_time_ordered_and_compaction_splits_dates(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    logs = tables.journal_logs(spark, "/root/testdata/sf0.001")
+    path = f"{tmp_dir}/logs"
+    M.write_logs(logs.repartition(3), path)
+    for f in glob.glob(f"{path}/date=*/*.parquet"):
+        ts = pq.read_table(f, columns=["timestamp"]).column(0).to_pylist()
+        assert ts == sorted(ts)
+    dates = sorted(r.date for r in tables.read_logs(spark, path).select("date").distinct().collect())[:2]
+    n = tables.read_logs(spark, path).filter(F.col("date").isin([str(d) for d in dates])).count()
+    assert M.compact(spark, path, dates, files_per_date=2) == n
+    for d in dates:
+        files = glob.glob(f"{path}/date={d}/*.parquet")
+        assert 1 <= len(files) <= 2
+        for f in files:
+            ts = pq.read_table(f, columns=["timestamp"]).column(0).to_pylist()
+            assert ts == sorted(ts)
+    assert tables.read_logs(spark, path).count() == logs.count()
