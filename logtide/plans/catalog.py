@@ -515,10 +515,10 @@ def q_extra_fields(spark, sf):
                         F.get_json_object("extra_fields", "$.CUSTOM_K").alias("custom_k"))
 
 
-@register("ingest_report", f"""SELECT CAST(COUNT(*) AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS rejected FROM events""")
+@register("ingest_report", """SELECT COUNT(*) AS lines, CAST(0 AS BIGINT) AS not_json, COUNT(*) AS accepted,
+ CAST(0 AS BIGINT) AS rejected FROM events""")
 def q_ingest_report(spark, sf):
-    entries = J.parse_lines(tables.raw_journal_lines(spark, sf))
-    return ingest.ingest_report(entries, NOW)
+    return J.line_report(tables.raw_journal_lines(spark, sf), NOW)
 
 
 def _nonnull_count_sql() -> str:

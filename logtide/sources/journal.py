@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
-from logtide.operators.ingest import parse_entries
+from logtide.operators.ingest import parse_entries, with_entry_timestamp
 from logtide.operators.ranking import locate_ranks, rank_slice
 from logtide.session import ensure_utc
 
@@ -33,6 +33,20 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.select(F.from_json(F.col(col), MAP_TYPE).alias("fields")).filter(F.col("fields").isNotNull())
 
 
+def line_report(lines: DataFrame, now: datetime | None = None, col: str = "value") -> DataFrame:
+    """Ingest counters over raw lines in one pass: lines read, lines that are not
+    JSON objects, entries accepted, entries rejected for an unparsable clock."""
+    parsed = lines.select(F.from_json(F.col(col), MAP_TYPE).alias("fields"))
+    tagged = with_entry_timestamp(parsed, now)
+    ok_json = F.col("fields").isNotNull()
+    return tagged.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(~ok_json).alias("not_json"),
+        F.count_if(ok_json & F.col("_ts_ok")).alias("accepted"),
+        F.count_if(ok_json & ~F.col("_ts_ok")).alias("rejected"),
+    )
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """A1: exported journal files -> `fields` map rows (batch)."""
     ensure_utc(spark)

@@ -134,3 +134,13 @@ def test_missing_clock_defaults_to_current_time(spark):
     before = utc_now()
     ts = ingest.parse_entries(e).first().timestamp
     assert before - timedelta(seconds=5) <= ts <= utc_now() + timedelta(seconds=5)
+
+
+def test_line_report(spark):
+    from logtide.sources.journal import line_report
+
+    lines = spark.createDataFrame(
+        [('{"MESSAGE":"a","__REALTIME_TIMESTAMP":"5"}',), ('{"MESSAGE":"b"}',), ("garbage",),
+         ('{"MESSAGE":"c","__REALTIME_TIMESTAMP":"x"}',)], "value string")
+    r = line_report(lines, NOW).first()
+    assert (r.lines, r.not_json, r.accepted, r.rejected) == (4, 1, 2, 1)
