@@ -125,3 +125,18 @@ def test_size_bytes_column(spark):
     df = spark.createDataFrame([(s,) for s in ["5G", "500m", "1T", "1024K", "1024", "abc", "G", "1.5G"]], "s string")
     got = [r[0] for r in df.select(C.size_bytes("s")).collect()]
     assert got == [5 * 1024**3, 500 * 1024**2, 1024**4, 1024**2, 1024, None, None, int(1.5 * 1024**3)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fixed1_random_values_match_printf(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    vals = ([round(rnd.uniform(0, 100), 2) for _ in range(400)] + [rnd.uniform(0, 5000) for _ in range(400)]
+            + [k / 20 for k in range(200)] + [rnd.randrange(0, 10**12) / 8 for _ in range(200)])
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").select(C.fixed1("v")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    want = [r[0] for r in con.sql("SELECT printf('%.1f', v) FROM t ORDER BY i").fetchall()]
+    assert got == want
