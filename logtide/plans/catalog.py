@@ -416,7 +416,8 @@ _SEARCH_TEXT_SQL = (
 
 @register("process_fuzzy", with_ctes(
     f"{_PTABLE_SELECT} FROM ({_LATEST}) WHERE regexp_matches({_SEARCH_TEXT_SQL}, '1.*v.*i') "
-    "ORDER BY cpu_usage DESC NULLS LAST, pid LIMIT 5 OFFSET 3", PROCESS_CTE))
+    # the requested limit 5 is clamped to the minimum page of 10
+    "ORDER BY cpu_usage DESC NULLS LAST, pid LIMIT 10 OFFSET 3", PROCESS_CTE))
 def q_process_fuzzy(spark, sf):
     return processes.process_table(_procs(spark, sf), q="1VI", limit=5, offset=3)
 
