@@ -4,6 +4,7 @@ column names, order-insensitive values), plus the entry smoke check."""
 import datetime as dt
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
@@ -38,11 +39,14 @@ def _canon(rows, cols):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SF = os.environ.get("LOGTIDE_ORACLE_SF", SF01)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
 
 
@@ -52,7 +56,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF01)
+    df = entry.queries()[name](spark, SF)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
     rel = duck.sql(entry.oracle_sql()[name])
     ocols, orows = rel.columns, rel.fetchall()
