@@ -19,7 +19,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, ts_literal_like
@@ -119,26 +119,61 @@ def minute_totals(df: DataFrame) -> DataFrame:
     )
 
 
-def size_cutoff(df: DataFrame, max_bytes: int) -> DataFrame:
-    """One-row frame: the oldest minute kept under a byte budget (NULL keeps none).
+def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit") -> datetime | None:
+    """Oldest minute kept when whole minutes are taken newest first under a byte
+    budget; None when no minute is kept.
+
+    rule "fit" (retention, C8): a minute is kept while it and all newer ones
+    fit the budget.  rule "reach" (backfill, A8): a minute is loaded while the
+    newer ones are still under the budget, so the last one crosses it.
 
-    Minutes are kept newest first while the bytes of that minute and all newer
-    ones stay within the budget; the running sum is over per-minute totals only.
+    Two bounded aggregates, no window over the table: per-day totals (one row
+    per day) walked newest first, then per-minute totals (at most 1,440) of the
+    single day where the budget runs out.
     """
-    w = Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = minute_totals(df).withColumn("_cum", F.sum("bytes").over(w))
-    return cum.filter(F.col("_cum") <= F.lit(int(max_bytes))).agg(F.min("minute").alias("_keep_from"))
+    budget = int(max_bytes)
+    ts = F.col("timestamp").cast("timestamp_ntz")
+    rb = row_bytes(df, exclude=("date",))
+    days = (df.filter(F.col("timestamp").isNotNull())
+            .groupBy(F.date_trunc("day", ts).cast("timestamp_ntz").alias("day")).agg(F.sum(rb).alias("bytes")))
+    used, keep_from, boundary = 0, None, None
+    for d in sorted(days.collect(), key=lambda r: r["day"], reverse=True):
+        whole = used + d["bytes"] <= budget if rule == "fit" else used + d["bytes"] < budget
+        if not whole:
+            boundary = d["day"]
+            break
+        used += d["bytes"]
+        keep_from = d["day"]
+    if boundary is None:
+        # every day kept whole: the oldest minute present is the cut
+        return df.agg(F.min(F.date_trunc("minute", ts).cast("timestamp_ntz"))).first()[0] if keep_from else None
+    lit = ts_literal_like(df, "timestamp", boundary)
+    day_rows = df.filter((F.col("timestamp") >= lit)
+                         & (F.col("timestamp") < ts_literal_like(df, "timestamp", boundary + timedelta(days=1))))
+    for m in sorted(minute_totals(day_rows).collect(), key=lambda r: r["minute"], reverse=True):
+        if rule == "fit":
+            if used + m["bytes"] > budget:
+                break
+        elif used >= budget:
+            break
+        used += m["bytes"]
+        keep_from = m["minute"]
+    return keep_from
+
+
+def size_cutoff(df: DataFrame, max_bytes: int) -> DataFrame:
+    """One-row frame `_keep_from`: the oldest minute kept under a byte budget
+    (NULL keeps none), by `budget_cutoff`."""
+    cut = budget_cutoff(df, max_bytes, "fit")
+    return df.sparkSession.range(1).select(F.lit(cut).cast("timestamp_ntz").alias("_keep_from"))
 
 
 def retain_by_size(df: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Delete the oldest whole minutes until the table's bytes fit max_bytes."""
-    cut = size_cutoff(df, max_bytes)
-    tagged = df.crossJoin(F.broadcast(cut)).withColumn(
-        "_keep", F.col("_keep_from").isNotNull() & (F.col("timestamp") >= F.col("_keep_from"))
-    )
-    kept = tagged.filter(F.col("_keep")).drop("_keep", "_keep_from")
-    report = tagged.agg(F.count_if(~F.col("_keep")).alias("deleted"))
-    return kept, report
+    """Delete the oldest whole minutes until the table's bytes fit max_bytes.
+    The cutoff is a literal, so the kept rows are a pushed-down time filter."""
+    cut = budget_cutoff(df, max_bytes, "fit")
+    keep = F.lit(False) if cut is None else F.col("timestamp") >= ts_literal_like(df, "timestamp", cut)
+    return df.filter(keep), df.agg(F.count_if(~keep | F.col("timestamp").isNull()).alias("deleted"))
 
 
 def retention_report(

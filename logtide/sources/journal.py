@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
@@ -146,15 +146,13 @@ def backfill(df: DataFrame, max_bytes: int) -> DataFrame:
     """Newest entries first, whole minutes, until the stored bytes reach the budget.
 
     A minute is loaded when the bytes of all newer minutes are still under the
-    budget.  The running sum runs over the per-minute totals only (bounded by
-    the time span, not the data); the cutoff minute is a one-row frame applied
-    by a broadcast join, so the rows themselves are never sorted or shuffled.
+    budget.  The cutoff minute comes from two bounded aggregates (per day, then
+    per minute of one day) and is applied as a pushed-down time filter, so the
+    rows themselves are never sorted or shuffled.
     """
-    per_minute = minute_bytes(df)
-    w = Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    newer = per_minute.withColumn("_newer", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-    cutoff = newer.filter(F.col("_newer") < F.lit(int(max_bytes))).agg(F.min("minute").alias("_cut"))
-    return (
-        df.join(F.broadcast(cutoff), F.col("timestamp") >= F.col("_cut"), "inner")
-        .drop("_cut")
-    )
+    from logtide.operators.maintenance import budget_cutoff
+
+    cut = budget_cutoff(df, max_bytes, "reach")
+    if cut is None:
+        return df.limit(0)
+    return df.filter(F.col("timestamp") >= ts_literal_like(df, "timestamp", cut))
