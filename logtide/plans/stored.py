@@ -10,6 +10,7 @@ import uuid
 from datetime import timedelta
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from logtide.operators import maintenance, processes, search
 from logtide.plans.catalog import (
@@ -51,10 +52,9 @@ def q_stored_search(spark, sf):
     f"SELECT l.*, (SELECT COUNT(*) FROM ({_LATEST})) AS total FROM ({_LATEST}) l", PROCESS_CTE))
 def q_stored_latest_processes(spark, sf):
     base = _store(spark, sf, "procs")
-    procs = tables.read_process_metrics(spark, f"{base}/procs").drop("date")
     stored = tables.read_process_metrics(spark, f"{base}/procs")
     snap = processes.latest_processes(stored)
-    return snap.select(*procs.columns, "total")
+    return snap.select(*[f.name for f in PROCESS_SCHEMA.fields], "total")
 
 
 _PROC_MINUTE = (
@@ -83,8 +83,6 @@ def q_stored_retention_run(spark, sf):
         spark, f"{base}/logs", f"{base}/procs", NOW, log_retention_days=20, log_max_bytes=1_000_000,
         process_retention_days=7, process_max_bytes=20_000,
     )
-    from pyspark.sql import functions as F
-
     logs_left = tables.read_logs(spark, f"{base}/logs").count()
     procs_left = tables.read_process_metrics(spark, f"{base}/procs").count()
     return report.select(
