@@ -102,3 +102,21 @@ def test_follow_from_tail(spark, tmp_dir):
     batch = J.read_journal_typed(spark, src, NOW)  # same lines; entries without a clock get NOW
     assert got.count() == batch.filter(F.col("timestamp") >= F.lit(start)).count() >= 50
     assert J.tail_start(stored, 10**6) is None
+
+
+def test_sample_dedupe_across_micro_batches(spark, tmp_dir):
+    raw = tables.raw_samples(spark, SF001).drop("seq")
+    src = f"{tmp_dir}/samples"
+    first = raw.filter(F.col("pid") % 2 == 0)
+    first.coalesce(1).write.json(f"{src}/a")
+    # a later file repeats every (timestamp, pid) of the first one, plus new samples
+    raw.coalesce(1).write.json(f"{src}/b")
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", "1")
+              .option("recursiveFileLookup", "true").json(src))
+    out = f"{tmp_dir}/procs"
+    q = jobs.start_sample_ingest(stream, out, checkpoint=f"{tmp_dir}/ckpt", watermark="7 days")
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    assert q.lastProgress is not None
+    assert got.groupBy("timestamp", "pid").count().filter("count > 1").count() == 0
+    assert got.count() == raw.select("timestamp", "pid").distinct().count()
