@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, truncate_like, ts_literal_like
-from logtide.operators.ingest import parse_entries, with_entry_timestamp
+from logtide.operators.ingest import parse_entries, rows_where_once, with_entry_timestamp
 from logtide.operators.ranking import locate_ranks, rank_slice
 from logtide.session import ensure_utc
 
@@ -28,9 +28,11 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
     Non-text values (numbers, arrays) are kept as their JSON text.  A JSON null
     reads as NULL, the same as an absent field, and is left out of the overflow
-    JSON; no lambda is applied here, so the parse stays in generated code.
+    JSON; no lambda is applied here, so the parse stays in generated code, and
+    `rows_where_once` keeps it to one parse per line.
     """
-    return lines.select(F.from_json(F.col(col), MAP_TYPE).alias("fields")).filter(F.col("fields").isNotNull())
+    parsed = lines.select(F.from_json(F.col(col), MAP_TYPE).alias("fields"))
+    return rows_where_once(parsed, F.col("fields").isNotNull())
 
 
 def line_report(lines: DataFrame, now: datetime | None = None, col: str = "value") -> DataFrame:
