@@ -65,3 +65,12 @@ def test_dedupe_combines_before_the_shuffle(spark):
 
     plan = _plan(dedupe_samples(to_process_metrics(tables.raw_samples(spark, SF001)), "seq"))
     assert "partial_min_by" in plan
+
+
+def test_journal_lines_are_parsed_once(spark, tmp_path_factory):
+    from logtide.sources import journal as J
+
+    path = str(tmp_path_factory.mktemp("lines")) + "/lines"
+    tables.raw_journal_lines(spark, SF001).write.text(path)
+    plan = _plan(J.read_journal_typed(spark, path, NOW))
+    assert plan.count("from_json(") == 1
