@@ -1,8 +1,12 @@
 """Structured Streaming forms of the live flows (K1-K4).
 
-K1  log ingest: text files -> fields map -> typed rows -> Parquet file sink
-    (stateless; the checkpoint replaces the journal cursor, the file sink is
-    exactly-once per micro-batch, replacing the all-or-nothing transaction).
+K1  log ingest: text files -> fields map -> typed rows -> the stored table
+    (stateless; the checkpoint replaces the journal cursor).  Each micro-batch
+    is appended by the same batch writer the table jobs use (`foreachBatch`),
+    not by the streaming file sink: a file sink keeps its own metadata log,
+    and readers of a path with that log ignore files written by batch jobs
+    (retention rewrites, compaction).  A per-batch marker in the checkpoint
+    folder stops a replayed batch from being appended twice.
 K2  sample ingest: typed samples de-duplicated on (timestamp, pid) within a
     watermark (bounded state).
 K3  live timechart: one-minute event-time windows x level, append mode; a bin
@@ -39,18 +43,50 @@ def typed_log_stream(entries: DataFrame, now: datetime | None = None) -> DataFra
     return parse_entries(entries, now).withColumn("date", F.to_date("timestamp"))
 
 
+def _path_exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _touch(spark, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
+def _append_once(write, path: str, checkpoint: str):
+    """foreachBatch body: append a micro-batch unless its marker says it was.
+
+    Spark replays a micro-batch only when the query restarts before the batch
+    was recorded; the marker (written after the append commits) turns that
+    replay into a no-op, so the one window for a duplicate is a driver loss
+    between the append's commit and the marker.
+    """
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        marker = f"{checkpoint.rstrip('/')}/appended/{epoch_id}"
+        spark = batch.sparkSession
+        if _path_exists(spark, marker):
+            return
+        write(batch, path)
+        _touch(spark, marker)
+
+    return run
+
+
 def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkpoint: str | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Append typed rows to the date-partitioned log table."""
+    from logtide.operators.maintenance import write_logs
+
+    ckpt = _checkpoint(entries, "log_ingest", checkpoint)
     w = (
-        typed_log_stream(entries, now)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", _checkpoint(entries, "log_ingest", checkpoint))
-        .partitionBy("date")
-        .outputMode("append")
+        typed_log_stream(entries, now).drop("date")
+        .writeStream.foreachBatch(_append_once(write_logs, path, ckpt))
+        .option("checkpointLocation", ckpt)
     )
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start(path)
+    return w.start()
 
 
 def sample_stream(samples: DataFrame, watermark: str = "1 minute") -> DataFrame:
@@ -65,16 +101,18 @@ def sample_stream(samples: DataFrame, watermark: str = "1 minute") -> DataFrame:
 
 def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None = None,
                         watermark: str = "1 minute", trigger: dict | None = None) -> StreamingQuery:
+    """Append de-duplicated samples to the date-partitioned table."""
+    from logtide.operators.maintenance import write_process_metrics
+
+    ckpt = _checkpoint(samples, "sample_ingest", checkpoint)
     w = (
         sample_stream(samples, watermark)
-        .withColumn("date", F.to_date("timestamp"))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", _checkpoint(samples, "sample_ingest", checkpoint))
-        .partitionBy("date")
+        .writeStream.foreachBatch(_append_once(write_process_metrics, path, ckpt))
         .outputMode("append")
+        .option("checkpointLocation", ckpt)
     )
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start(path)
+    return w.start()
 
 
 def live_timechart(logs: DataFrame, watermark: str = "10 minutes") -> DataFrame:

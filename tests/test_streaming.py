@@ -120,3 +120,35 @@ def test_sample_dedupe_across_micro_batches(spark, tmp_dir):
     assert q.lastProgress is not None
     assert got.groupBy("timestamp", "pid").count().filter("count > 1").count() == 0
     assert got.count() == raw.select("timestamp", "pid").distinct().count()
+
+
+def test_stream_and_batch_jobs_share_one_table(spark, tmp_dir):
+    from logtide.operators import maintenance as M
+
+    table = f"{tmp_dir}/logs"
+    batch_part = tables.journal_logs(spark, SF001).filter(F.col("__SEQNUM") < 500)
+    M.write_logs(batch_part, table)
+    src = f"{tmp_dir}/journal"
+    tables.raw_journal_lines(spark, SF001).write.text(src)
+    q = jobs.start_log_ingest(J.stream_journal(spark, src), NOW, table, checkpoint=f"{tmp_dir}/ckpt")
+    q.awaitTermination()
+    both = tables.read_logs(spark, table)
+    assert both.count() == 500 + 1000  # batch rows and streamed rows are all visible
+    removed = M.apply_retention_by_age(spark, table, NOW, 10)
+    left = tables.read_logs(spark, table)
+    assert left.count() == 1500 - removed and left.filter(F.col("timestamp") < F.lit(datetime(2024, 1, 21))).count() == 0
+    dates = [r.date for r in left.select("date").distinct().collect()][:3]
+    M.compact(spark, table, dates, 1)
+    assert tables.read_logs(spark, table).count() == 1500 - removed
+
+
+def test_replayed_micro_batch_is_not_appended_twice(spark, tmp_dir):
+    from logtide.operators.maintenance import write_logs
+
+    run = jobs._append_once(write_logs, f"{tmp_dir}/logs", f"{tmp_dir}/ckpt")
+    batch = tables.journal_logs(spark, SF001).limit(10)
+    run(batch, 7)
+    run(batch, 7)  # a replay of the same epoch after a restart
+    assert spark.read.parquet(f"{tmp_dir}/logs").count() == 10
+    run(batch, 8)
+    assert spark.read.parquet(f"{tmp_dir}/logs").count() == 20
