@@ -90,3 +90,48 @@ def q_stored_retention_run(spark, sf):
         "total_deleted", F.lit(logs_left).cast("long").alias("logs_left"),
         F.lit(procs_left).cast("long").alias("processes_left"),
     )
+
+
+@register("stored_compaction", with_ctes(
+    'SELECT CAST("timestamp" AS DATE) AS date, COUNT(*) AS rows, MIN("timestamp") AS first_ts, '
+    'MAX("timestamp") AS last_ts FROM journal_logs GROUP BY 1', JOURNAL_CTE))
+def q_stored_compaction(spark, sf):
+    """C11: every date rewritten into one time-ordered file; rows per date unchanged."""
+    base = _store(spark, sf, "logs")
+    path = f"{base}/logs"
+    dates = [r["date"] for r in tables.read_logs(spark, path).select("date").distinct().collect()]
+    maintenance.compact(spark, path, dates, files_per_date=1)
+    return tables.read_logs(spark, path).groupBy("date").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
+_FIRST_MINUTE = "(SELECT MIN(minute_key) FROM journal_logs)"
+
+
+@register("stored_delete_minute", with_ctes(
+    f"SELECT (SELECT COUNT(*) FROM journal_logs WHERE minute_key = {_FIRST_MINUTE}) AS deleted, "
+    f"(SELECT COUNT(*) FROM journal_logs WHERE minute_key <> {_FIRST_MINUTE}) AS left_rows", JOURNAL_CTE))
+def q_stored_delete_minute(spark, sf):
+    """C5 on a stored table: delete the oldest minute, only its date is rewritten."""
+    from datetime import datetime
+
+    base = _store(spark, sf, "logs")
+    path = f"{base}/logs"
+    first = tables.read_logs(spark, path).agg(F.min("minute_key")).first()[0]
+    deleted = maintenance.apply_delete_minute(spark, path, datetime.strptime(first[:16], "%Y-%m-%dT%H:%M"))
+    left = tables.read_logs(spark, path).count()
+    return spark.range(1).select(F.lit(deleted).cast("long").alias("deleted"),
+                                 F.lit(left).cast("long").alias("left_rows"))
+
+
+@register("stored_clear", with_ctes(
+    "SELECT COUNT(*) AS rows_before, CAST(0 AS BIGINT) AS rows_after FROM journal_logs", JOURNAL_CTE))
+def q_stored_clear(spark, sf):
+    """C6 on a stored table: every row removed, the table still readable."""
+    base = _store(spark, sf, "logs")
+    path = f"{base}/logs"
+    before = tables.read_logs(spark, path).count()
+    maintenance.clear_table(spark, path)
+    after = tables.read_logs(spark, path).count()
+    return spark.range(1).select(F.lit(before).cast("long").alias("rows_before"),
+                                 F.lit(after).cast("long").alias("rows_after"))
