@@ -74,3 +74,11 @@ def test_journal_lines_are_parsed_once(spark, tmp_path_factory):
     tables.raw_journal_lines(spark, SF001).write.text(path)
     plan = _plan(J.read_journal_typed(spark, path, NOW))
     assert plan.count("from_json(") == 1
+
+
+def test_write_layout_is_range_partitioned_and_time_sorted(spark):
+    from logtide.operators.maintenance import _write_layout
+
+    plan = _plan(_write_layout(tables.journal_logs(spark, SF001)))
+    assert "rangepartitioning(date" in plan and "timestamp" in plan.split("rangepartitioning(")[1].split(")")[0]
+    assert "Sort [date" in plan
