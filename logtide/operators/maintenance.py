@@ -124,8 +124,12 @@ def drop_oldest_tenth(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def minute_totals(df: DataFrame) -> DataFrame:
-    """Bytes and rows per minute (bounded by the time span, 1,440 per day)."""
-    return df.groupBy(F.date_trunc("minute", F.col("timestamp").cast("timestamp_ntz")).alias("minute")).agg(
+    """Bytes and rows per minute (bounded by the time span, 1,440 per day).
+
+    The minute is zone-less (date_trunc alone returns a zoned timestamp, which
+    the driver would read in its own local zone)."""
+    minute = F.date_trunc("minute", F.col("timestamp").cast("timestamp_ntz")).cast("timestamp_ntz")
+    return df.groupBy(minute.alias("minute")).agg(
         F.sum(row_bytes(df)).alias("bytes"), F.count(F.lit(1)).alias("rows")
     )
 
@@ -176,7 +180,8 @@ def size_cutoff(df: DataFrame, max_bytes: int) -> DataFrame:
     """One-row frame `_keep_from`: the oldest minute kept under a byte budget
     (NULL keeps none), by `budget_cutoff`."""
     cut = budget_cutoff(df, max_bytes, "fit")
-    return df.sparkSession.range(1).select(F.lit(cut).cast("timestamp_ntz").alias("_keep_from"))
+    value = F.lit(None).cast("timestamp_ntz") if cut is None else ts_literal_like(df, "timestamp", cut).cast("timestamp_ntz")
+    return df.sparkSession.range(1).select(value.alias("_keep_from"))
 
 
 def retain_by_size(df: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
