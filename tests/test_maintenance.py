@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
-from logtide.functions.columns import row_bytes
+from logtide.functions.columns import row_bytes, ts_literal
 from logtide.operators import maintenance as M
 from logtide.schemas import PROCESS_SCHEMA, PROCESS_SCHEMA_V1
 from logtide.sources import journal as J
@@ -115,7 +115,7 @@ def test_stored_table_jobs(spark, tmp_dir):
     # age retention: whole dates dropped by partition, the edge date rewritten
     now = datetime(2024, 1, 31)
     removed = M.apply_retention_by_age(spark, path, now, 10)
-    expect_removed = logs.filter(logs.timestamp < datetime(2024, 1, 21)).count()
+    expect_removed = logs.filter(logs.timestamp < ts_literal(datetime(2024, 1, 21))).count()
     assert removed == expect_removed
     after = tables.read_logs(spark, path)
     assert after.count() == n - expect_removed

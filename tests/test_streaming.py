@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
+from logtide.functions.columns import ts_literal
 from logtide.operators import charts
 from logtide.sources import journal as J
 from logtide.sources import samples as S
@@ -39,7 +40,7 @@ def test_live_timechart_matches_batch_on_closed_bins_and_drops_late_rows(spark,
     got = run()
     batch = charts.timechart(tables.journal_logs(spark, SF001), NOW, start="-40d")
     max_ts = tables.read_table(spark, SF001, "events").agg(F.max("ts")).first()[0]
-    closed = batch.filter(F.col("time_bin") + F.expr("INTERVAL 1 MINUTE") <= F.lit(max_ts - timedelta(minutes=10)))
+    closed = batch.filter(F.col("time_bin") + F.expr("INTERVAL 1 MINUTE") <= ts_literal(max_ts - timedelta(minutes=10)))
     key = ["time_bin", "priority", "level", "count"]
     a = got.select(*key).toPandas().sort_values(key).reset_index(drop=True)
     b = closed.select(*key).toPandas().sort_values(key).reset_index(drop=True)
@@ -100,7 +101,7 @@ def test_follow_from_tail(spark, tmp_dir):
     jobs.run_to_table(J.follow_from(typed, start), out, f"{tmp_dir}/ckpt")
     got = spark.read.parquet(out)
     batch = J.read_journal_typed(spark, src, NOW)  # same lines; entries without a clock get NOW
-    assert got.count() == batch.filter(F.col("timestamp") >= F.lit(start)).count() >= 50
+    assert got.count() == batch.filter(F.col("timestamp") >= ts_literal(start)).count() >= 50
     assert J.tail_start(stored, 10**6) is None
 
 
@@ -136,7 +137,7 @@ def test_stream_and_batch_jobs_share_one_table(spark, tmp_dir):
     assert both.count() == 500 + 1000  # batch rows and streamed rows are all visible
     removed = M.apply_retention_by_age(spark, table, NOW, 10)
     left = tables.read_logs(spark, table)
-    assert left.count() == 1500 - removed and left.filter(F.col("timestamp") < F.lit(datetime(2024, 1, 21))).count() == 0
+    assert left.count() == 1500 - removed and left.filter(F.col("timestamp") < ts_literal(datetime(2024, 1, 21))).count() == 0
     dates = [r.date for r in left.select("date").distinct().collect()][:3]
     M.compact(spark, table, dates, 1)
     assert tables.read_logs(spark, table).count() == 1500 - removed
