@@ -35,3 +35,26 @@ def test_fuzzy_is_in_order_subsequence(spark, texts, q):
     got = sorted(r.i for r in df.filter(fuzzy(F.col("t"), q)).collect())
     want = sorted(i for i, t in enumerate(texts) if _subsequence(q, t))
     assert got == want
+
+
+def _runtime_text(s: int) -> str:
+    """The display rule in plain Python: the two largest units, zero remainder left out."""
+    steps = [("d", 86400, "h", 3600), ("h", 3600, "m", 60), ("m", 60, "s", 1)]
+    if s < 60:
+        return f"{s}s"
+    for big, big_size, small, small_size in steps:
+        if s >= big_size:
+            whole, rem = divmod(s, big_size)
+            rem //= small_size
+            return f"{whole}{big} {rem}{small}" if rem else f"{whole}{big}"
+    return f"{s}s"
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=10**8), min_size=1, max_size=30))
+def test_human_runtime_rule(spark, seconds):
+    from logtide.functions.columns import human_runtime
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i int, s long")
+    got = [r[1] for r in df.select("i", human_runtime("s")).orderBy("i").collect()]
+    assert got == [_runtime_text(s) for s in seconds]
