@@ -9,9 +9,10 @@ overwrites the same files.
 
 Cutoffs that depend on the data (the oldest tenth, size budgets) are found on
 small aggregates whose size is bounded by the time span, never by the row
-count: per-minute totals, or a bucket descent day -> minute -> millisecond
--> microsecond (`operators.ranking`) where each level holds at most 60,000
-buckets.
+count: per-day totals and one day's per-minute totals for size budgets, or a
+bucket descent day -> minute -> millisecond -> microsecond
+(`operators.ranking`) where each level holds at most 60,000 buckets.  The
+cutoff then reaches the scan as a literal time filter.
 """
 
 from __future__ import annotations
