@@ -173,6 +173,7 @@ def rank_slice(df: DataFrame, start: int, stop: int, descending: bool = True, co
     a fixed bound is given).  Otherwise: locate the first and last row's
     timestamps, take every row strictly between them (a pushed-down range),
     and slice the rows at the two boundary timestamps by the tie-breaker.
+    Rows are ranked by non-NULL time only; the stored `timestamp` is NOT NULL.
     """
     start, stop = max(0, int(start)), max(0, int(stop))
     order = _order(col, descending, tiebreak)
