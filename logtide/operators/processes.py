@@ -16,6 +16,7 @@ from logtide.functions.columns import (
     ts_literal_like,
     uid_text,
 )
+from logtide.operators.ranking import topk_fits
 from logtide.schemas import PROCESS_SCHEMA
 
 MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 10, 1000, 100
@@ -102,10 +103,17 @@ def process_table(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_L
         snap = snap.filter(fuzzy(search_text(), q.lower()))
     limit = min(max(int(limit), MIN_LIMIT), MAX_LIMIT)
     offset = max(0, int(offset))
-    rows = snap.orderBy(F.col("cpu_usage").desc_nulls_last(), F.col("pid").asc())
-    if offset:
-        rows = rows.offset(offset)
-    rows = rows.limit(limit)
+    order = [F.col("cpu_usage").desc_nulls_last(), F.col("pid").asc()]
+    if topk_fits(snap, offset + limit):
+        rows = snap.orderBy(*order)
+        if offset:
+            rows = rows.offset(offset)
+        rows = rows.limit(limit)
+    else:
+        # the offset is not capped: a deep page is numbered over a distributed sort
+        from logtide.operators.search import _deep_page
+
+        rows = _deep_page(snap, order, limit, offset)
     return rows.select(
         "timestamp", "pid", "name", "cpu_usage", "mem_usage", "user", "runtime", "cmdline",
         F.coalesce(F.col("virtual_memory"), F.lit(0.0)).alias("virtual_memory"), "status", "parent_pid",

@@ -54,3 +54,13 @@ def test_process_table_limits_and_fuzzy(spark):
     assert [r.pid for r in P.process_table(procs, q="FFx").collect()] == [42]
     assert [r.pid for r in P.process_table(procs, q="35.5").collect()] == [42, 77]
     assert P.process_table(procs, q="   ").count() == 3
+
+
+def test_process_table_deep_page_matches_top_k(spark, monkeypatch):
+    from logtide.operators import ranking
+
+    procs = P.dedupe_samples(P.to_process_metrics(_samples(spark)), "seq")
+    top = [r.pid for r in P.process_table(procs, limit=10, offset=1).collect()]
+    monkeypatch.setattr(ranking, "MERGE_BUDGET_ROWS", 0)  # force the distributed route
+    deep = [r.pid for r in P.process_table(procs, limit=10, offset=1).collect()]
+    assert top == deep == [77, 1]
