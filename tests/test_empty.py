@@ -53,3 +53,10 @@ def test_field_accessor(spark):
     r = e.select(ingest.field("MESSAGE").alias("m"), ingest.field("_PID").alias("p"),
                  ingest.field("NOPE").alias("n")).first()
     assert (r.m, r.p, r.n) == ("m", "7", None)
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from logtide.session import checkpoint_dir
+
+    configured = spark.sparkContext.getCheckpointDir()
+    assert configured and checkpoint_dir(spark) == configured
