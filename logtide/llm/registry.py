@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language
+from logtide.llm import language, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,11 @@ def q_op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", language.crc_fold("doc_id", 5) == 0)
     model = language.train(docs.where("not held_out"))
     return language.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
+@register("op5_mixing")
+def q_op5(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents mixed by source weights 1, 2, 3, ...: the words each one contributes."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    mixed = mixing.allot(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
