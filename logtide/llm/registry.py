@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, mixing
+from logtide.llm import language, mixing, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,21 @@ def q_op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     mixed = mixing.allot(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP3_SQL = """
+WITH x AS (SELECT DISTINCT vec_id, [floor(256 * CAST(c AS DOUBLE)) for c in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([c for c in embedding if c IS NULL OR isnan(c) OR isinf(c)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@register("op3_topk", OP3_SQL)
+def q_op3(spark: SparkSession, sf: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector against all others."""
+    vectors = search.quantised(table(spark, sf, "embeddings"))
+    return search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
