@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, mixing, search
+from logtide.llm import language, mixing, packing, search
+
+#: Public vocabulary files; executors have them in the same place.
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +62,16 @@ def q_op3(spark: SparkSession, sf: str) -> DataFrame:
     """The five highest inner products of every fiftieth vector against all others."""
     vectors = search.quantised(table(spark, sf, "embeddings"))
     return search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@register("op4_packing")
+def q_op4(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of at most 2048 ids."""
+    pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -21,5 +21,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Later uses read the table: a lost executor costs a re-read, not the lineage."""
     path = new_folder(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
