@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, mixing, packing, search
+from logtide.llm import language, mixing, neighbours, packing, search
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,3 +75,9 @@ def q_op4(spark: SparkSession, sf: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 2048 ids."""
     pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register("op6_fingerprints")
+def q_op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits, and their likeness."""
+    return neighbours.compared(table(spark, sf, "documents").select("doc_id", "text"))

@@ -112,11 +112,11 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) of about `limit` bytes each (one row at least)."""
+def blocks(texts: list[bytes], limit: int = BLOCK_BYTES, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges [a, b) of about `limit` bytes and at most `most` rows each (one row at least)."""
     a, size = 0, 0
     for i, t in enumerate(texts):
-        if i > a and size + len(t) > limit:
+        if i > a and (size + len(t) > limit or i - a >= most):
             yield a, i
             a, size = i, 0
         size += len(t) + 1
