@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, mixing, neighbours, packing, search
+from logtide.llm import language, mixing, neighbours, packing, search, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,3 +81,20 @@ def q_op4(spark: SparkSession, sf: str) -> DataFrame:
 def q_op6(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and of their edits, and their likeness."""
     return neighbours.compared(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON p.h = k.h
+"""
+
+
+@register("op7_warc", OP7_SQL)
+def q_op7(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written as WARC records, and every record looked up and read back."""
+    archive = warc.write_archive(table(spark, sf, "pages"))
+    return warc.resolved(warc.read_archive(archive, archive.captures))
