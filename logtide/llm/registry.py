@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import language, mixing, neighbours, packing, search, warc
+from logtide.llm import debruijn, language, mixing, neighbours, packing, search, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -98,3 +98,10 @@ def q_op7(spark: SparkSession, sf: str) -> DataFrame:
     """All pages written as WARC records, and every record looked up and read back."""
     archive = warc.write_archive(table(spark, sf, "pages"))
     return warc.resolved(warc.read_archive(archive, archive.captures))
+
+
+@register("op10_debruijn")
+def q_op10(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the 50-word passages that a smaller doc_id already has."""
+    out = debruijn.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

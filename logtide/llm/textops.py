@@ -180,3 +180,34 @@ def shingles(words: Words, k: int, base: int = odd(13)) -> tuple[np.ndarray, np.
         whole = mix(PrefixHash(words.hashes, base).value(words.first[short], words.first[short + 1]) + _U(k))
         doc, h = np.concatenate([doc, short]), np.concatenate([h, whole])
     return doc, h
+
+
+def window_runs(h: np.ndarray, first: np.ndarray, k: int, gram: int, base: int, segment: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """All windows of k values of each sequence, in runs that share an anchor.
+
+    first: places where the sequences in `h` begin, and the end.  A window's anchor is
+    the leftmost of its grams of `gram` values with the least hash, so that equal
+    windows have equal anchors at equal distances, wherever they stand.
+    Returns (start, count, anchor place, anchor hash), a run of `count` windows each."""
+    ends = np.repeat(first[1:], np.diff(first))
+    out = []
+    for a in range(0, max(0, len(h) - k + 1), segment):
+        part = h[a : a + segment + k - 1]
+        grams = mix(windows_hash(part, gram, base))
+        key = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        at = (sliding_min(key, k - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
+        place = np.arange(a, a + len(at))
+        ok = ends[a : a + len(at)] - place >= k
+        at, place = at[ok], place[ok]
+        if not len(at):
+            continue
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)])
+        begin = np.flatnonzero(new)
+        out.append((place[begin], np.diff(np.append(begin, len(at))), at[begin] + a, grams[at[begin]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
