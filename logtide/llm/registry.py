@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import debruijn, language, mixing, neighbours, packing, search, warc
+from logtide.llm import debruijn, language, mixing, neighbours, packing, search, suffixes, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,3 +105,10 @@ def q_op10(spark: SparkSession, sf: str) -> DataFrame:
     """All documents without the 50-word passages that a smaller doc_id already has."""
     out = debruijn.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op8_suffixes")
+def q_op8(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start in two places."""
+    out = suffixes.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
