@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import debruijn, language, mixing, neighbours, packing, search, suffixes, warc
+from logtide.llm import debruijn, language, minhash, mixing, neighbours, packing, search, suffixes, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -112,3 +112,9 @@ def q_op8(spark: SparkSession, sf: str) -> DataFrame:
     """All documents without the bytes of 400-byte strings that start in two places."""
     out = suffixes.without_repeats(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op9_minhash")
+def q_op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document: Jaccard of five-word shingles at least 0.8, linked."""
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "class_id", "class_size")
