@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import debruijn, language, minhash, mixing, neighbours, packing, search, suffixes, warc
+from logtide.llm import debruijn, language, lm, minhash, mixing, neighbours, packing, search, suffixes, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -118,3 +118,10 @@ def q_op8(spark: SparkSession, sf: str) -> DataFrame:
 def q_op9(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document: Jaccard of five-word shingles at least 0.8, linked."""
     return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "class_id", "class_size")
+
+
+@register("op2_lm")
+def q_op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Model and unigram scores of all documents; a seventh of them, by crc32 of doc_id, is held out of training."""
+    docs = table(spark, sf, "documents").withColumn("held_out", language.crc_fold("doc_id", 7) == 2)
+    return lm.score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
