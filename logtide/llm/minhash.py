@@ -42,6 +42,7 @@ MOST_TEXTS, BLOCK_BYTES = 2048, 1 << 20
 _U = np.uint64
 _FIRST_RANK = 2.0**-6  # width of the first cell along the rank axis; each next one is as wide as all before
 _NONE = _U(2**64 - 1)
+_LAST = 2**63 - 1
 
 
 def _salted(h: np.ndarray, salt: int) -> np.ndarray:
@@ -196,25 +197,44 @@ def links(docs: DataFrame, least: float = LEAST, size: int = SHINGLE, bands: int
     return pairs.groupBy("component", "i", "j").applyInArrow(_links(least), "a long, b long")
 
 
+def _classes(docs: DataFrame, key: str, text: str, least: float, options: dict) -> DataFrame:
+    """(id, node, n, class_id, class_size, leader): a row for each id and text; n rows have them."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    linked = links(docs.select(F.xxhash64(body).alias("node"), body.alias("text")), least, **options)
+    classes = written(components(linked), "classes")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(body).alias("node"))
+    named = written(rows.groupBy("id", "node").agg(F.count("*").alias("n")).join(classes, "node", "left")
+                    .select("id", "node", "n", F.coalesce("component", "node").alias("class")), "class-rows")
+    # a null id comes last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    heads = named.groupBy("class").agg(first.alias("x"), F.sum("n").alias("class_size")).select("class", F.col("x.id").alias("class_id"), F.col("x.node").alias("head"), "class_size")
+    leader = F.col("class_id").eqNullSafe(F.col("id")) & (F.col("head") == F.col("node"))
+    return written(named.join(heads, "class").select("id", "node", "n", "class_id", "class_size", leader.alias("leader")), "class-members")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, keep: list[str] | None = None, **options) -> DataFrame:
-    """`docs` (its columns `keep`, by default all) with class_id, class_size and leader: whether the row stays if one of each class does.
+    """`docs` (its columns `keep`, by default all) with class_id, class_size and leader.
 
-    The leader is a row of the least id; among rows of equal id, or none, one of the least text hash."""
+    The leader of a class is the row of its least id; among rows of equal id, or none,
+    that of the least text hash (all of them, if equal rows repeat)."""
     result = ("class_id", "class_size", "leader")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in result]
+    of = _classes(docs, key, text, least, options).withColumnsRenamed({"id": "__id2", "node": "__node2"})
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(body).alias("__node"))
-    linked = links(docs.select(F.xxhash64(body).alias("node"), body.alias("text")), least, **options)
-    classes = written(components(linked), "classes")
-    named = written(rows.groupBy("__id", "__node").agg(F.count("*").alias("n")).join(classes.withColumnRenamed("node", "__node"), "__node", "left")
-                    .select("__id", "__node", "n", F.coalesce("component", "__node").alias("__class")), "class-rows")
-    # a null id comes last
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__node").alias("node")))
-    heads = written(named.groupBy("__class").agg(first.alias("x"), F.sum("n").alias("class_size")).select(
-        "__class", F.col("x.id").alias("class_id"), F.col("x.node").alias("head"), "class_size"), "class-heads")
-    of = named.join(heads, "__class").select("__id", "__node", "class_id", "class_size", (F.col("class_id").eqNullSafe(F.col("__id")) & (F.col("head") == F.col("__node"))).alias("leader"))
-    of = of.withColumnsRenamed({"__id": "id2", "__node": "node2"})
-    out = rows.join(of, rows["__id"].eqNullSafe(of["id2"]) & (rows["__node"] == of["node2"]))
-    return out.select(*[F.col(f"`{c}`") for c in keep], "class_id", "class_size", "leader")
+    out = rows.join(of, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__node") == F.col("__node2")))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *result)
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, **options) -> DataFrame:
+    """`docs` with one row of each class: its leader, and one only where equal rows repeat.
+
+    Only ids and hashes of the rows that go are joined, so the texts stay in place while
+    these are few."""
+    of = _classes(docs, key, text, least, options).select(F.coalesce("id", F.lit(_LAST)).alias("__id"), F.col("node").alias("__node"), "leader", "n")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select("*", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("__id"), F.xxhash64(body).alias("__node"))
+    on, repeated = ["__id", "__node"], of.where("leader and n > 1").select("__id", "__node")
+    single = join_counted(rows, of.where("not leader or n > 1").select(*on), on, "left_anti")
+    again = join_counted(rows, repeated, on, "left_semi").dropDuplicates(on)
+    return single.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
