@@ -36,7 +36,7 @@ from logtide.llm.scratch import written
 from logtide.llm.textops import blocks, texts_of
 
 OWN_CLASSES, SHARED_CLASSES, HEAD = 128, 128, 1 << 17
-DIM, NOISE, BATCH, EPOCHS, LEAST_STEPS, ROUNDS, RATE = 24, 64, 2048, 1, 300, 3, 0.3
+DIM, NOISE, BATCH, EPOCHS, LEAST_STEPS, ROUNDS, RATE, FREQUENCY = 24, 64, 2048, 1, 100, 3, 0.3, 0.1
 END = b""
 FLUSH = 200_000
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -174,18 +174,26 @@ class Parameters:
         ends = np.cumsum([x.size for x in vars(self).values()])
         return Parameters(*[p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, ends[:-1]), vars(self).values())])
 
-    def logits(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of all classes after the given contexts."""
+    def log_probabilities(self, two: np.ndarray, one: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probabilities of all classes after the given contexts.
+
+        A tenth (FREQUENCY) comes from the classes' frequencies: a context unlike all
+        training text can't cost more than that."""
         q = self.vectors[one] @ self.before + self.vectors[two] @ self.two_before
         s = q @ self.outputs.T + self.bias
         top = s.max(1, keepdims=True)
-        return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+        e = np.exp(s - top)
+        return np.log((1 - FREQUENCY) * e / e.sum(1, keepdims=True) + FREQUENCY * frequency.astype(np.float32))
+
+
+def frequencies(class_total: np.ndarray) -> np.ndarray:
+    return (class_total + 0.5) / (class_total + 0.5).sum()
 
 
 def start(class_total: np.ndarray, seed: int = 5) -> Parameters:
     """Small random vectors; the biases are the classes' frequencies, so the model begins as these."""
     rng, n = np.random.default_rng(seed), len(class_total)
-    p = (class_total + 0.5) / (class_total + 0.5).sum()
+    p = frequencies(class_total)
     made = 0.1 * rng.standard_normal((n, DIM)), np.eye(DIM), 0.5 * np.eye(DIM), 0.1 * rng.standard_normal((n, DIM)), np.log(p)
     return Parameters(*[x.astype(np.float32) for x in made])
 
@@ -193,7 +201,7 @@ def start(class_total: np.ndarray, seed: int = 5) -> Parameters:
 def nce(p: Parameters, triple: np.ndarray, count: np.ndarray, class_total: np.ndarray, seed: int) -> Parameters:
     """Noise-contrastive training on counted triples: batches drawn by count, EPOCHS times the list, LEAST_STEPS at least."""
     rng, n = np.random.default_rng(seed), len(class_total)
-    noise = (class_total + 0.5) / (class_total + 0.5).sum()
+    noise = frequencies(class_total)
     log_noise, k = np.log(noise).astype(np.float32), NOISE
     p = Parameters(*[x.copy() for x in vars(p).values()])
     seen = [np.full_like(x, 1e-2) for x in vars(p).values()]
@@ -261,11 +269,11 @@ def _score(shared, model, flat_shape):
 
         vocab = Vocabulary(**shared.value)
         p = start(vocab.class_total).like(model.value)
-        n = len(vocab.class_total)
+        n, frequency = len(vocab.class_total), frequencies(vocab.class_total)
         number = TaskContext.get().partitionId() << 33
         # of a word inside its class: 1 for a class of one word, else (count + 1) / (tokens + words + 1)
         inside = np.where(np.arange(n) < OWN_CLASSES, 0.0, np.log10(vocab.class_total + vocab.class_words + 1.0))
-        gain = np.log10(vocab.head_count + 1.0)
+        gain = np.log10(np.append(vocab.head_count, 0) + 1.0)  # the last one for words outside the head
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in blocks(texts, 4 << 20):
@@ -281,7 +289,7 @@ def _score(shared, model, flat_shape):
                     if not len(some):
                         break
                     own = order[lo:hi]
-                    logp[own] = p.logits(some // n, some % n)[place[own] - i * 4096, cls[own]] / LN10
+                    logp[own] = p.log_probabilities(some // n, some % n, frequency)[place[own] - i * 4096, cls[own]] / LN10
                 known = at >= 0
                 logp -= inside[cls]
                 logp[known] += np.where(cls[known] < OWN_CLASSES, 0.0, gain[at[known]])
