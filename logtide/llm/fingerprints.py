@@ -58,8 +58,8 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     both = np.sort(np.concatenate([a, b]))
     same = both[1:] == both[:-1]
     union = both[np.concatenate([[True], ~same])]
-    last = union[min(k, len(union)) - 1]
-    return float((same & (both[1:] <= last)).sum() / min(k, len(union)))
+    n = len(union) if max(len(a), len(b)) < k else min(k, len(union))  # two whole sets: all of their union
+    return float((same & (both[1:] <= union[n - 1])).sum() / n)
 
 
 def text_of(sketch: np.ndarray) -> str:
@@ -91,7 +91,8 @@ def merged(sketches: DataFrame, by: str, sketch: str = "sketch", k: int = K) ->
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    whole = F.array_sort(F.array_union(a, b))
+    union = F.when(F.greatest(F.size(a), F.size(b)) < k, whole).otherwise(F.slice(whole, 1, k))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(
         F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union))
 

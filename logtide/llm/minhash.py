@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     that of the least text hash (all of them, if equal rows repeat)."""
     result = ("class_id", "class_size", "leader")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in result]
-    of = _classes(docs, key, text, least, options).withColumnsRenamed({"id": "__id2", "node": "__node2"})
+    of = _classes(docs, key, text, least, options).select(F.col("id").alias("__id2"), F.col("node").alias("__node2"), *result)
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(body).alias("__node"))
     out = rows.join(of, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__node") == F.col("__node2")))
