@@ -70,7 +70,7 @@ def _packed(width: int, pivots: np.ndarray, size: int):
                 norm = (m * m).sum(1)
                 gap = np.maximum(0, norm[:, None] + (pivots * pivots).sum(1) - 2 * m @ pivots.T)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], pa.binary()) for x in (part.column(0).to_numpy().tobytes(), m.tobytes(), np.sqrt(gap).tobytes())],
+                    [pa.array([x], pa.binary()) for x in (part.column(0).to_numpy().tobytes(), m.tobytes(), np.sqrt(gap).astype(np.float32).tobytes())],
                     names=["ids", "vectors", "table"])
 
     return run
@@ -79,12 +79,11 @@ def _packed(width: int, pivots: np.ndarray, size: int):
 def _best(q_ids, q, q_table, ids, m, table, start, k) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query of the block: id, and the candidates that may be among its k best."""
     norm = (m * m).sum(1)
+    slack = 4e-7 * float(table.max())
     for i in range(len(q_ids)):
-        low = np.zeros(len(ids))
-        for p in range(table.shape[1]):
-            np.maximum(low, np.abs(table[:, p] - q_table[i, p]), out=low)
-        # the table is rounded: a hair of slack keeps the bound a bound
-        low = np.maximum(0, low - 1e-6 * (1 + low))
+        low = np.abs(table - q_table[i]).max(1)
+        # the table is rounded to 24 bits: a little slack keeps the bound a bound
+        low = np.maximum(0, low.astype(np.float64) - slack - 4e-7 * q_table[i].max())
         bound = (norm + (q[i] * q[i]).sum() - low * low) / 2 + 1e-3
         bound[ids == q_ids[i]] = -np.inf
         order = np.argsort(-bound, kind="stable")
@@ -135,12 +134,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = PI
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             for r in range(batch.num_rows):
                 q_ids, ids = get(cols["q_ids"][r], np.int64), get(cols["ids"][r], np.int64)
-                shape = lambda c, n: get(cols[c][r], np.float64).reshape(n, -1)  # noqa: E731,B023
+                shape = lambda c, n, t=np.float64: get(cols[c][r], t).reshape(n, -1)  # noqa: E731,B023
                 q, m = shape("q", len(q_ids)), shape("vectors", len(ids))
                 scores = q @ pivots.T
                 scores[q_ids[:, None] == pivot_ids] = -np.inf
                 start = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q_ids), -np.inf)
-                out = list(_best(q_ids, q, shape("q_table", len(q_ids)), ids, m, shape("table", len(ids)), start, k))
+                out = list(_best(q_ids, q, shape("q_table", len(q_ids), np.float32), ids, m, shape("table", len(ids), np.float32), start, k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64), pa.int64()),
                      pa.array(np.concatenate([x[1] for x in out]).astype(np.int64), pa.int64()),
