@@ -8,13 +8,15 @@ checkpoint directory.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtide.plans.catalog import NOW, _PARSED_CTE, register
 from logtide.plans.oracle import JOURNAL_CTE, LEVEL_SQL, SAMPLES_TYPED_CTE, with_ctes
-from logtide.schemas import EVENTS_SCHEMA
+from logtide.schemas import EVENTS_SCHEMA, PROCESS_SCHEMA
 from logtide.session import checkpoint_dir, ensure_utc
 from logtide.sources import journal as J
 from logtide.sources import samples as S
@@ -37,34 +39,25 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _stream_result(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
-    out = _scratch(spark, f"{kind}-out")
-    jobs.run_to_table(df, out, checkpoint=_scratch(spark, f"{kind}-ckpt"))
-    return spark.read.parquet(out)
-
-
-# Bins a 10-minute watermark has closed once every event has been read.
-_CLOSED = "(SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
-
-
 @register("stream_timechart", with_ctes(
     "SELECT date_trunc('minute', \"timestamp\") AS time_bin, COALESCE(priority, 6) AS priority, "
-    + LEVEL_SQL.format(p="COALESCE(priority, 6)") + " AS level, COUNT(*) AS count FROM journal_logs "
-    f"WHERE date_trunc('minute', \"timestamp\") + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY 1, 2", JOURNAL_CTE))
+    + LEVEL_SQL.format(p="COALESCE(priority, 6)") + " AS level, COUNT(*) AS count FROM journal_logs GROUP BY 1, 2", JOURNAL_CTE))
 def q_stream_timechart(spark, sf):
-    logs = journal_logs_from_events(_events_stream(spark, sf))
-    return _stream_result(spark, jobs.live_timechart(logs, "10 minutes"), "timechart")
+    """K3: the live chart after all events, open bins included."""
+    out = _scratch(spark, "timechart-out")
+    jobs.start_live_timechart(journal_logs_from_events(_events_stream(spark, sf)), out).awaitTermination()
+    return jobs.read_live_timechart(spark, out)
 
 
 @register("stream_ingest_summary", with_ctes(
     "SELECT time_bucket(INTERVAL 5 MINUTE, \"timestamp\") AS window_start, "
     "time_bucket(INTERVAL 5 MINUTE, \"timestamp\") + INTERVAL 5 MINUTE AS window_end, 'journal' AS source, "
-    "COUNT(*) AS rows FROM journal_logs "
-    f"WHERE time_bucket(INTERVAL 5 MINUTE, \"timestamp\") + INTERVAL 5 MINUTE <= {_CLOSED} GROUP BY 1, 2",
-    JOURNAL_CTE))
+    "COUNT(*) AS rows FROM journal_logs GROUP BY 1, 2", JOURNAL_CTE))
 def q_stream_ingest_summary(spark, sf):
-    logs = journal_logs_from_events(_events_stream(spark, sf))
-    return _stream_result(spark, jobs.live_ingest_summary(logs, "journal", "10 minutes"), "summary")
+    """K4: rows per five minutes, the open windows included."""
+    out = _scratch(spark, "summary-out")
+    jobs.start_live_summary(journal_logs_from_events(_events_stream(spark, sf)), "journal", out).awaitTermination()
+    return jobs.read_live_summary(spark, out)
 
 
 @register("stream_ingest", with_ctes(
@@ -75,20 +68,28 @@ def q_stream_ingest(spark, sf):
     src = _scratch(spark, "journal-in")
     tables.raw_journal_lines(spark, sf).write.text(src)
     out = _scratch(spark, "journal-out")
-    q = jobs.start_log_ingest(J.stream_journal(spark, src), NOW, out, checkpoint=_scratch(spark, "journal-ckpt"))
+    q = jobs.start_log_ingest(J.stream_journal(spark, src), NOW, out)
     q.awaitTermination()
     return spark.read.parquet(out).select(
         "timestamp", "minute_key", "message", "priority", "_HOSTNAME", "_SYSTEMD_UNIT", "_PID", "_COMM",
         "__CURSOR", "__SEQNUM", "__REALTIME_TIMESTAMP", "extra_fields")
 
 
-@register("stream_samples", with_ctes('SELECT DISTINCT "timestamp", pid FROM samples_typed', SAMPLES_TYPED_CTE))
+_SAMPLE_COLUMNS = [f.name for f in PROCESS_SCHEMA.fields]
+_LEAST = ", ".join(f'"{c}" NULLS FIRST' for c in _SAMPLE_COLUMNS if c not in ("timestamp", "pid"))
+
+
+@register("stream_samples", with_ctes(
+    "SELECT " + ", ".join(f'"{c}"' for c in _SAMPLE_COLUMNS) + " FROM (SELECT *, row_number() OVER (PARTITION BY \"timestamp\", pid "
+    f"ORDER BY CASE WHEN seq % 3 = 0 THEN 2 ELSE seq % 3 - 1 END, {_LEAST}) AS _n FROM samples_typed) WHERE _n = 1", SAMPLES_TYPED_CTE))
 def q_stream_samples(spark, sf):
+    """K2: three files, out of time order, one micro-batch each; the first arrival of a (timestamp, pid) stays."""
     ensure_utc(spark)
     src = _scratch(spark, "samples-in")
-    tables.raw_samples(spark, sf).drop("seq").write.json(src)
+    raw = tables.raw_samples(spark, sf)
+    for arrival, third in enumerate((1, 2, 0)):
+        raw.where(F.col("seq") % 3 == third).drop("seq").coalesce(1).write.json(f"{src}/{arrival}")
+        time.sleep(0.05)  # files of a stream are read in order of their times
     out = _scratch(spark, "samples-out")
-    q = jobs.start_sample_ingest(S.stream_process_samples(spark, src), out, checkpoint=_scratch(spark, "samples-ckpt"))
-    q.awaitTermination()
-    return spark.read.parquet(out).select("timestamp", "pid")
-
+    jobs.start_sample_ingest(S.stream_process_samples(spark, f"{src}/*", max_files_per_trigger=1), out).awaitTermination()
+    return tables.read_process_metrics(spark, out).select(*_SAMPLE_COLUMNS)

@@ -1,25 +1,27 @@
 """Structured Streaming forms of the live flows (K1-K4).
 
+Micro-batches are appended by the same batch writers the table jobs use
+(`foreachBatch`), not by the streaming file sink: a file sink keeps its own
+metadata log, and readers of a path with that log ignore files written by batch
+jobs (retention rewrites, compaction).  An epoch's files carry its name, and a
+replayed epoch first removes those an earlier attempt has left, so a batch is in
+the table once, whole, however often it is tried.
+
 K1  log ingest: text files -> fields map -> typed rows -> the stored table
-    (stateless; the checkpoint replaces the journal cursor).  Each micro-batch
-    is appended by the same batch writer the table jobs use (`foreachBatch`),
-    not by the streaming file sink: a file sink keeps its own metadata log,
-    and readers of a path with that log ignore files written by batch jobs
-    (retention rewrites, compaction).  A per-batch marker in the checkpoint
-    folder stops a replayed batch from being appended twice.
-K2  sample ingest: typed samples de-duplicated on (timestamp, pid) within a
-    watermark (bounded state).
-K3  live timechart: one-minute event-time windows x level, append mode; a bin
-    is emitted once the watermark passes it; rows later than the watermark are
-    dropped.
-K4  live ingest summary: five-minute windows per source.
-
-Checkpoints go under the shared folder named by spark.checkpoint.dir unless a
-location is given.
+    (stateless; the checkpoint replaces the journal cursor).
+K2  sample ingest: one row per (timestamp, pid), compared with the stored dates
+    the batch touches.  No watermark: a sample may come as late as it likes.
+K3  live timechart: each batch appends its counts per minute and level; the
+    chart adds them up, so open bins and late rows are in it.  `live_timechart`
+    is the windowed form (append mode) for sinks that want closed bins only.
+K4  live ingest summary: the same with five-minute windows per source.
+
+Checkpoints go beside the output, or where a location is given.
 """
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -30,11 +32,13 @@ from logtide.functions.columns import priority_label
 from logtide.operators.charts import DEFAULT_LEVEL
 from logtide.operators.ingest import parse_entries
 from logtide.operators.processes import to_process_metrics
-from logtide.session import checkpoint_dir
+from logtide.sources.files import TableFiles
+from logtide.sources.tables import read_process_metrics
 
 
-def _checkpoint(df: DataFrame, name: str, location: str | None) -> str:
-    return location or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
+def _checkpoint(path: str, location: str | None) -> str:
+    """A checkpoint of its own for every output path."""
+    return location or f"{path.rstrip('/')}-checkpoint"
 
 
 def typed_log_stream(entries: DataFrame, now: datetime | None = None) -> DataFrame:
@@ -43,33 +47,23 @@ def typed_log_stream(entries: DataFrame, now: datetime | None = None) -> DataFra
     return parse_entries(entries, now).withColumn("date", F.to_date("timestamp"))
 
 
-def _path_exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _touch(spark, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+def _append_once(write, path: str, checkpoint: str, prepare=None):
+    """foreachBatch body: the micro-batch's rows as this epoch's files.
 
+    The rows are written beside the table first and moved in by renaming; what an
+    earlier attempt of the epoch moved in is removed before the rows are prepared
+    (`prepare` may compare them with the stored table)."""
+    run_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
-def _append_once(write, path: str, checkpoint: str):
-    """foreachBatch body: append a micro-batch unless its marker says it was.
-
-    Spark replays a micro-batch only when the query restarts before the batch
-    was recorded; the marker (written after the append commits) turns that
-    replay into a no-op, so the one window for a duplicate is a driver loss
-    between the append's commit and the marker.
-    """
     def run(batch: DataFrame, epoch_id: int) -> None:
-        marker = f"{checkpoint.rstrip('/')}/appended/{epoch_id}"
         spark = batch.sparkSession
-        if _path_exists(spark, marker):
-            return
-        write(batch, path)
-        _touch(spark, marker)
+        table = TableFiles(spark, path)
+        prefix = f"epoch-{run_name}-{epoch_id}-"
+        table.delete(table.files(prefix))
+        rows = prepare(batch) if prepare else batch
+        stage = table.stage(f"{run_name}-{epoch_id}")
+        write(rows, stage)
+        table.move_in(stage, prefix)
 
     return run
 
@@ -79,7 +73,7 @@ def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkp
     """Append typed rows to the date-partitioned log table."""
     from logtide.operators.maintenance import write_logs
 
-    ckpt = _checkpoint(entries, "log_ingest", checkpoint)
+    ckpt = _checkpoint(path, checkpoint)
     w = (
         typed_log_stream(entries, now).drop("date")
         .writeStream.foreachBatch(_append_once(write_logs, path, ckpt))
@@ -89,25 +83,36 @@ def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkp
     return w.start()
 
 
-def sample_stream(samples: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """K2 transform: typed samples, one per (timestamp, pid) within the watermark."""
-    typed = to_process_metrics(samples).withColumn("_event_time", F.col("timestamp").cast("timestamp"))
-    return (
-        typed.withWatermark("_event_time", watermark)
-        .dropDuplicatesWithinWatermark(["timestamp", "pid"])
-        .drop("_event_time")
-    )
+def new_samples(batch: DataFrame, path: str) -> DataFrame:
+    """Typed samples of a batch that the stored table lacks, one per (timestamp, pid).
+
+    Of equal keys in a batch the least row stays (a fixed rule: files of a batch have
+    no order).  Only the stored dates between the batch's first and last are read."""
+    typed = to_process_metrics(batch)
+    rest = [c for c in typed.columns if c not in ("timestamp", "pid")]
+    own = typed.groupBy("timestamp", "pid").agg(F.min(F.struct(*rest)).alias("_r")).select("timestamp", "pid", "_r.*").select(*typed.columns)
+    spark = batch.sparkSession
+    if not TableFiles(spark, path).files():
+        return own
+    first, last = own.agg(F.min(F.to_date("timestamp")), F.max(F.to_date("timestamp"))).first()
+    if first is None:
+        return own
+    days = [F.lit(d.isoformat()).cast("date") for d in (first, last)]
+    stored = read_process_metrics(spark, path).where(F.col("date").between(*days))
+    return own.join(stored.select("timestamp", "pid"), ["timestamp", "pid"], "left_anti").select(*typed.columns)
 
 
 def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None = None,
-                        watermark: str = "1 minute", trigger: dict | None = None) -> StreamingQuery:
-    """Append de-duplicated samples to the date-partitioned table."""
+                        watermark: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Append the samples that the date-partitioned table lacks.
+
+    `watermark` is accepted for callers of the windowed form and has no effect:
+    no sample is too late."""
     from logtide.operators.maintenance import write_process_metrics
 
-    ckpt = _checkpoint(samples, "sample_ingest", checkpoint)
+    ckpt = _checkpoint(path, checkpoint)
     w = (
-        sample_stream(samples, watermark)
-        .writeStream.foreachBatch(_append_once(write_process_metrics, path, ckpt))
+        samples.writeStream.foreachBatch(_append_once(write_process_metrics, path, ckpt, lambda b: new_samples(b, path)))
         .outputMode("append")
         .option("checkpointLocation", ckpt)
     )
@@ -115,6 +120,47 @@ def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None =
     return w.start()
 
 
+def _start_counts(rows: DataFrame, count, path: str, checkpoint: str | None, trigger: dict | None) -> StreamingQuery:
+    """Append each batch's counts; no state is kept, counts of later batches add up on reading."""
+    def write(batch: DataFrame, stage: str) -> None:
+        count(batch).withColumn("date", F.to_date(F.col("bin"))).repartitionByRange("date").write.partitionBy("date").parquet(stage)
+
+    ckpt = _checkpoint(path, checkpoint)
+    w = rows.writeStream.foreachBatch(_append_once(write, path, ckpt)).option("checkpointLocation", ckpt)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def start_live_timechart(logs: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """K3: counts per minute and level of every batch, kept under `path`."""
+    def count(batch: DataFrame) -> DataFrame:
+        minute = F.date_trunc("minute", F.col("timestamp")).cast("timestamp_ntz")
+        return batch.groupBy(minute.alias("bin"), F.coalesce("priority", F.lit(DEFAULT_LEVEL)).alias("priority")).agg(F.count("*").alias("n"))
+
+    return _start_counts(logs, count, path, checkpoint, trigger)
+
+
+def read_live_timechart(spark, path: str) -> DataFrame:
+    """The chart of everything ingested so far, open bins included."""
+    parts = spark.read.schema("bin timestamp_ntz, priority int, n long, date date").parquet(path)
+    sums = parts.groupBy("bin", "priority").agg(F.sum("n").alias("count"))
+    return sums.select(F.col("bin").alias("time_bin"), "priority", priority_label(F.col("priority")).alias("level"), "count")
+
+
+def start_live_summary(rows: DataFrame, source: str, path: str, checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """K4: rows per source and five minutes of every batch, kept under `path`."""
+    def count(batch: DataFrame) -> DataFrame:
+        window = F.window(F.col("timestamp").cast("timestamp"), "5 minutes")
+        return batch.groupBy(window.start.cast("timestamp_ntz").alias("bin")).agg(F.count("*").alias("n")).withColumn("source", F.lit(source))
+
+    return _start_counts(rows, count, path, checkpoint, trigger)
+
+
+def read_live_summary(spark, path: str) -> DataFrame:
+    parts = spark.read.schema("bin timestamp_ntz, n long, source string, date date").parquet(path)
+    sums = parts.groupBy("bin", "source").agg(F.sum("n").alias("rows"))
+    return sums.select(F.col("bin").alias("window_start"), (F.col("bin") + F.expr("INTERVAL 5 MINUTES")).alias("window_end"), "source", "rows")
+
+
 def live_timechart(logs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """K3: one-minute bins x level over a typed log stream (append mode)."""
     t = F.col("timestamp").cast("timestamp")

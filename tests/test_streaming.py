@@ -153,3 +153,67 @@ def test_replayed_micro_batch_is_not_appended_twice(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/logs").count() == 10
     run(batch, 8)
     assert spark.read.parquet(f"{tmp_dir}/logs").count() == 20
+
+
+def test_late_samples_are_kept_and_stored_keys_are_not_repeated(spark, tmp_dir):
+    raw = tables.raw_samples(spark, SF001).drop("seq")
+    one = raw.limit(1)
+
+    def at(minute, folder):
+        stamp = datetime(2024, 1, 1, 0, minute)
+        one.withColumn("timestamp", ts_literal(stamp, ntz=False)).coalesce(1).write.mode("append").json(f"{tmp_dir}/in/{folder}")
+
+    stream = lambda: spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").json(f"{tmp_dir}/in")
+    out = f"{tmp_dir}/procs"
+    # files out of time order, one run each, then a repeat of a stored key
+    for n, minute in enumerate((10, 5, 11, 5)):
+        at(minute, n)
+        jobs.start_sample_ingest(stream(), out).awaitTermination()
+    got = sorted(r.timestamp.minute for r in tables.read_process_metrics(spark, out).collect())
+    assert got == [5, 10, 11]
+    # a second stream of the same files adds nothing either
+    jobs.start_sample_ingest(stream(), out, checkpoint=f"{tmp_dir}/other").awaitTermination()
+    assert tables.read_process_metrics(spark, out).count() == 3
+
+
+def test_replay_after_a_half_finished_append(spark, tmp_dir):
+    import glob
+    import os
+    import shutil
+
+    from logtide.operators.maintenance import write_logs
+
+    run = jobs._append_once(write_logs, f"{tmp_dir}/logs", f"{tmp_dir}/ckpt")
+    batch = tables.journal_logs(spark, SF001)
+    run(batch, 0)
+    run(batch.limit(5), 1)
+    # as if the driver was lost half way: some of the epoch's files are gone, a staging folder is left
+    files = sorted(glob.glob(f"{tmp_dir}/logs/date=*/epoch-*-0-*"))
+    for f in files[: len(files) // 2]:
+        shutil.move(f, f"{tmp_dir}/aside-{os.path.basename(f)}")
+    os.makedirs(f"{tmp_dir}/logs/_stage-x")
+    run(batch, 0)
+    assert spark.read.parquet(f"{tmp_dir}/logs").count() == 1005
+
+
+def test_live_counts_hold_open_bins_and_late_rows(spark, tmp_dir):
+    src = f"{tmp_dir}/events"
+    schema = _copy_events(spark, src)
+    stream = lambda: journal_logs_from_events(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src))
+    jobs.start_live_timechart(stream(), f"{tmp_dir}/chart").awaitTermination()
+    jobs.start_live_summary(stream(), "journal", f"{tmp_dir}/summary").awaitTermination()
+    late = spark.createDataFrame([(900002, datetime(2024, 1, 1, 0, 0, 30), 1, "error", 1.0, '{"k": 1}')], schema)
+    late.coalesce(1).write.parquet(f"{src}/part1")
+    jobs.start_live_timechart(stream(), f"{tmp_dir}/chart").awaitTermination()
+    jobs.start_live_summary(stream(), "journal", f"{tmp_dir}/summary").awaitTermination()
+    whole = journal_logs_from_events(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(src))
+    key = ["time_bin", "priority", "level", "count"]
+    chart = charts.timechart(whole, NOW, start="-40d").select(*key)
+    live = jobs.read_live_timechart(spark, f"{tmp_dir}/chart").select(*key)
+    assert live.exceptAll(chart).count() == 0 == chart.exceptAll(live).count()
+    summary = jobs.read_live_summary(spark, f"{tmp_dir}/summary")
+    assert summary.agg(F.sum("rows")).first()[0] == whole.count()
+
+
+def test_checkpoints_follow_the_output(spark):
+    assert jobs._checkpoint("/a/logs/", None) != jobs._checkpoint("/a/procs", None) and jobs._checkpoint("/a", "/b") == "/b"
