@@ -2,16 +2,19 @@
 retention by age and by size, the oldest-tenth cut, reports, compaction.
 
 Stored tables are Parquet partitioned by `date`.  Deletes are expressed as the
-complementary filter; table jobs rewrite only the dates a delete touches, by
-staging the kept rows in the shared checkpoint folder and then overwriting
-those date partitions (dynamic partition overwrite), so a plan never reads and
-overwrites the same files.
+complementary filter; table jobs rewrite only the dates a delete touches.  A job
+lists the files it replaces before it reads them, writes their replacement beside
+the table, moves that in and deletes exactly the listed files: rows that others
+append meanwhile are in files it never touches.  A note in the table names the
+files to delete from the moment the replacement is whole, so the next job finishes
+what a failed one began; between the two steps readers may see rows twice, never
+miss any.
 
 Cutoffs that depend on the data (the oldest tenth, size budgets) are found on
 small aggregates whose size is bounded by the time span, never by the row
-count: per-day totals and one day's per-minute totals for size budgets, or a
-bucket descent day -> minute -> millisecond -> microsecond
-(`operators.ranking`) where each level holds at most 60,000 buckets.  The
+count: a bucket descent day -> minute -> millisecond -> microsecond
+(`operators.ranking` for ranks, `budget_cutoff` for bytes) where each level holds
+at most 60,000 buckets.  The
 cutoff then reaches the scan as a literal time filter.
 """
 
@@ -24,9 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes, ts_literal_like
-from logtide.operators.predicates import minute_equals
-from logtide.operators.ranking import kth_timestamp, locate_ranks
-from logtide.session import checkpoint_dir, ensure_utc
+from logtide.operators.predicates import minute_equals, time_bounds
+from logtide.operators.ranking import EPOCH, LEVELS, from_micros, kth_timestamp, locate_ranks
+from logtide.sources.files import TableFiles
+
+#: Dates whose totals are brought to the driver by one job of a size budget.
+MOST_DATES = 64
 
 
 
@@ -92,9 +98,11 @@ def clear(df: DataFrame) -> DataFrame:
 
 def retain_by_age(df: DataFrame, now: datetime, days: int) -> tuple[DataFrame, DataFrame]:
     """Delete rows with timestamp < now - days (a row exactly at the cutoff stays)."""
-    cutoff = ts_literal_like(df, "timestamp", now - timedelta(days=int(days)))
-    old = F.col("timestamp") < cutoff
-    return df.filter(~old), df.agg(F.count_if(old).alias("deleted"))
+    edge = now - timedelta(days=int(days))
+    old = F.col("timestamp") < ts_literal_like(df, "timestamp", edge)
+    kept = df.filter(~old if "date" not in df.columns else ~old & time_bounds(df, "timestamp", edge, None))
+    gone = df.filter(old if "date" not in df.columns else time_bounds(df, "timestamp", None, edge))
+    return kept, gone.agg(F.count(F.lit(1)).alias("deleted"))
 
 
 def kth_smallest_timestamp(df: DataFrame, k: int) -> datetime | None:
@@ -131,54 +139,73 @@ def minute_totals(df: DataFrame) -> DataFrame:
     the driver would read in its own local zone)."""
     minute = F.date_trunc("minute", F.col("timestamp").cast("timestamp_ntz")).cast("timestamp_ntz")
     return df.groupBy(minute.alias("minute")).agg(
-        F.sum(row_bytes(df)).alias("bytes"), F.count(F.lit(1)).alias("rows")
+        F.sum(row_bytes(df, exclude=("date",))).alias("bytes"), F.count(F.lit(1)).alias("rows")
     )
 
 
+def _newest_first(df: DataFrame, ts: Column, rb: Column):
+    """(day, bytes), newest first: whole table in one aggregate, or a few dates at a time
+    of a date-partitioned one, so that a budget reads little more than it keeps."""
+    day = F.date_trunc("day", ts).cast("timestamp_ntz")
+    total = lambda part: sorted(part.groupBy(day.alias("b")).agg(F.sum(rb).alias("bytes")).collect(), key=lambda r: r["b"], reverse=True)
+    if "date" not in df.columns:
+        yield from total(df)
+        return
+    below, batch = df.agg(F.max("date")).first()[0], 1
+    while below is not None:
+        from_day = below - timedelta(days=batch - 1)
+        between = F.col("date").between(F.lit(from_day.isoformat()).cast("date"), F.lit(below.isoformat()).cast("date"))
+        yield from total(df.filter(between))
+        # across a gap in the dates, straight to the next one
+        below = df.filter(F.col("date") < F.lit(from_day.isoformat()).cast("date")).agg(F.max("date")).first()[0]
+        batch = min(2 * batch, MOST_DATES)
+
+
 def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit") -> datetime | None:
-    """Oldest minute kept when whole minutes are taken newest first under a byte
-    budget; None when no minute is kept.
+    """Oldest time kept when rows are taken newest first, instant by instant, under a
+    byte budget; None when nothing is kept.
 
-    rule "fit" (retention, C8): a minute is kept while it and all newer ones
-    fit the budget.  rule "reach" (backfill, A8): a minute is loaded while the
-    newer ones are still under the budget, so the last one crosses it.
+    rule "fit" (retention, C8): an instant is kept while it and all newer ones fit the
+    budget; the newest one is kept by any budget above 0, so a heavy instant never
+    empties a table.  rule "reach" (backfill, A8): an instant is loaded while the newer
+    ones are still under the budget, so the last one crosses it.
 
-    Two bounded aggregates, no window over the table: per-day totals (one row
-    per day) walked newest first, then per-minute totals (at most 1,440) of the
-    single day where the budget runs out.
+    Bytes are those of `row_bytes` without `date`, for frames and stored tables alike.
+    Days are walked newest first; the one where the budget runs out is cut into minutes,
+    the minute into milliseconds, that into microseconds: at most 60,000 buckets a level.
     """
     budget = int(max_bytes)
+    if budget <= 0:
+        return None
     ts = F.col("timestamp").cast("timestamp_ntz")
     rb = row_bytes(df, exclude=("date",))
-    days = (df.filter(F.col("timestamp").isNotNull())
-            .groupBy(F.date_trunc("day", ts).cast("timestamp_ntz").alias("day")).agg(F.sum(rb).alias("bytes")))
-    used, keep_from, boundary = 0, None, None
-    for d in sorted(days.collect(), key=lambda r: r["day"], reverse=True):
-        whole = used + d["bytes"] <= budget if rule == "fit" else used + d["bytes"] < budget
-        if not whole:
-            boundary = d["day"]
-            break
-        used += d["bytes"]
-        keep_from = d["day"]
-    if boundary is None:
-        # every day kept whole: the oldest minute present is the cut
-        return df.agg(F.min(F.date_trunc("minute", ts).cast("timestamp_ntz"))).first()[0] if keep_from else None
-    lit = ts_literal_like(df, "timestamp", boundary)
-    day_rows = df.filter((F.col("timestamp") >= lit)
-                         & (F.col("timestamp") < ts_literal_like(df, "timestamp", boundary + timedelta(days=1))))
-    for m in sorted(minute_totals(day_rows).collect(), key=lambda r: r["minute"], reverse=True):
-        if rule == "fit":
-            if used + m["bytes"] > budget:
-                break
-        elif used >= budget:
-            break
-        used += m["bytes"]
-        keep_from = m["minute"]
-    return keep_from
+    live = df.filter(F.col("timestamp").isNotNull())
+    used, keep_from = 0, None
+
+    def boundary(buckets) -> datetime | None:
+        nonlocal used, keep_from
+        for r in buckets:
+            if used + r["bytes"] > budget or (rule == "reach" and used + r["bytes"] == budget):
+                return r["b"]
+            used, keep_from = used + r["bytes"], r["b"]
+        return None
+
+    at, width = boundary(_newest_first(live, ts, rb)), LEVELS[0]
+    for finer in LEVELS[1:]:
+        if at is None:
+            return keep_from
+        lo = round((at - EPOCH) / timedelta(microseconds=1))
+        inside = live.filter(time_bounds(live, "timestamp", at, from_micros(lo + width)))
+        bucket = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(finer)).cast("long")
+        rows = inside.groupBy(bucket.alias("k")).agg(F.sum(rb).alias("bytes")).collect()
+        buckets = [{"b": from_micros(r["k"] * finer), "bytes": r["bytes"]} for r in rows]
+        at, width = boundary(sorted(buckets, key=lambda r: r["b"], reverse=True)), finer
+    # `at` is the instant that no longer fits
+    return at if at is not None and (rule == "reach" or keep_from is None) else keep_from
 
 
 def size_cutoff(df: DataFrame, max_bytes: int) -> DataFrame:
-    """One-row frame `_keep_from`: the oldest minute kept under a byte budget
+    """One-row frame `_keep_from`: the oldest time kept under a byte budget
     (NULL keeps none), by `budget_cutoff`."""
     cut = budget_cutoff(df, max_bytes, "fit")
     value = F.lit(None).cast("timestamp_ntz") if cut is None else ts_literal_like(df, "timestamp", cut).cast("timestamp_ntz")
@@ -186,11 +213,12 @@ def size_cutoff(df: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def retain_by_size(df: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Delete the oldest whole minutes until the table's bytes fit max_bytes.
+    """Delete the oldest rows, instant by instant, until the table's bytes fit max_bytes.
     The cutoff is a literal, so the kept rows are a pushed-down time filter."""
     cut = budget_cutoff(df, max_bytes, "fit")
     keep = F.lit(False) if cut is None else F.col("timestamp") >= ts_literal_like(df, "timestamp", cut)
-    return df.filter(keep), df.agg(F.count_if(~keep | F.col("timestamp").isNull()).alias("deleted"))
+    kept = df.filter(keep if cut is None else time_bounds(df, "timestamp", cut, None))
+    return kept, df.agg(F.count_if(~keep | F.col("timestamp").isNull()).alias("deleted"))
 
 
 def retention_report(
@@ -228,8 +256,8 @@ def retention_report(
 # Table jobs on stored (date-partitioned) tables ------------------------------------
 
 
-def _staging_path(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/logtide-staging-{uuid.uuid4().hex}"
+def _read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*files)
 
 
 def _date_counts(scope: DataFrame, keep: Column) -> list:
@@ -239,55 +267,43 @@ def _date_counts(scope: DataFrame, keep: Column) -> list:
     ).collect()
 
 
+def _replace(spark: SparkSession, path: str, old: list[str], rows: DataFrame | None) -> None:
+    """Exchange the listed files for `rows`; nothing else in the table is touched."""
+    table, name = TableFiles(spark, path), uuid.uuid4().hex[:12]
+    stage = table.stage(name)
+    if rows is not None:
+        rows.write.partitionBy("date").parquet(stage)
+    table.note(name, old)
+    table.finish(name)
+
+
 def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | None = None,
-                  files_per_date: int | None = None, per_date: list | None = None) -> int:
+                  files_per_date: int | None = None) -> int:
     """Keep only rows matching `keep` in the given dates (all when None).
 
-    The kept rows are staged in the shared checkpoint folder, then written back
-    with dynamic partition overwrite; a date left with no rows is removed, and
-    dates with nothing to remove are neither read nor written.  Returns the
-    number of rows removed.
+    Dates with nothing to remove are not written, a date that keeps nothing loses its
+    files.  Returns the number of rows removed; rows appended meanwhile stay.
     """
-    ensure_utc(spark)
-    table = spark.read.parquet(path)
-    if per_date is None:
-        scope = table if dates is None else table.filter(F.col("date").isin([str(d) for d in dates]))
-        per_date = _date_counts(scope, keep)
+    table = TableFiles(spark, path)
+    table.recover()
+    files = table.files(dates=None if dates is None else [str(d) for d in dates])
+    if not files:
+        return 0
+    scope = _read_files(spark, path, files)
+    per_date = _date_counts(scope, keep)
     removed = sum(r["gone"] for r in per_date)
     if removed == 0:
         return 0
-    emptied = [r["date"] for r in per_date if r["kept"] == 0]
+    changed = {f"date={r['date']}" for r in per_date if r["gone"] > 0}
     touched = [str(r["date"]) for r in per_date if r["gone"] > 0 and r["kept"] > 0]
-    if not touched:
-        _drop_date_dirs(spark, path, emptied)
-        return removed
-    kept = table.filter(F.col("date").isin(touched)).filter(keep)
-    stage = _staging_path(spark)
-    _time_ordered(kept).write.mode("overwrite").partitionBy("date").parquet(stage)
-    staged = spark.read.parquet(stage)
-    if files_per_date:
-        staged = _per_date_buckets(staged, len(touched), files_per_date)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy("date").parquet(path)
-        _drop_date_dirs(spark, path, emptied)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    kept = None
+    if touched:
+        kept = scope.filter(F.col("date").isin(touched)).filter(keep)
+        kept = _per_date_buckets(kept, len(touched), files_per_date) if files_per_date else _time_ordered(kept)
+    _replace(spark, path, [f for f in files if f.rsplit("/", 2)[1] in changed], kept)
     return removed
 
 
-def _drop_date_dirs(spark: SparkSession, path: str, dates: list) -> None:
-    """Remove date partitions that have no rows left (through the Hadoop file system)."""
-    if not dates:
-        return
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for d in dates:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/date={d}")
-        p.getFileSystem(conf).delete(p, True)
-
-
 def _per_date_buckets(df: DataFrame, n_dates: int, files_per_date: int) -> DataFrame:
     """About `files_per_date` tasks (so files) per date: hash on (date, bucket),
     so one large date is split over several tasks instead of landing in one."""
@@ -298,30 +314,26 @@ def _per_date_buckets(df: DataFrame, n_dates: int, files_per_date: int) -> DataF
 
 def compact(spark: SparkSession, path: str, dates: list, files_per_date: int = 1) -> int:
     """C11: rewrite the given dates into about `files_per_date` time-ordered
-    files each; returns rows rewritten."""
-    table = spark.read.parquet(path)
-    scope = table.filter(F.col("date").isin([str(d) for d in dates]))
-    stage = _staging_path(spark)
-    scope.write.mode("overwrite").partitionBy("date").parquet(stage)
-    staged = _per_date_buckets(spark.read.parquet(stage), len(dates), files_per_date)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy("date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return spark.read.parquet(stage).count()
+    files each; returns rows rewritten.  Rows appended meanwhile keep their own files."""
+    table = TableFiles(spark, path)
+    table.recover()
+    files = table.files(dates=[str(d) for d in dates])
+    if not files:
+        return 0
+    scope = _read_files(spark, path, files)
+    n = scope.count()
+    _replace(spark, path, files, _per_date_buckets(scope, len(dates), files_per_date))
+    return n
 
 
 def delete_before(spark: SparkSession, path: str, cutoff: datetime) -> int:
-    """Delete stored rows with timestamp < cutoff: whole older dates are dropped
-    by partition (no data read beyond a count), only the cutoff's date is rewritten."""
-    table = spark.read.parquet(path)
-    keep = F.col("timestamp") >= ts_literal_like(table, "timestamp", cutoff)
-    # Dates up to the cutoff's own: older ones lose every row (dropped as
-    # directories), the cutoff's date is rewritten.  One aggregate counts both.
-    scope = table.filter(F.col("date") <= F.lit(cutoff.date().isoformat()).cast("date"))
-    return rewrite_dates(spark, path, keep, per_date=_date_counts(scope, keep))
+    """Delete stored rows with timestamp < cutoff.  Dates come from the folders' names:
+    older ones are counted and dropped, only the cutoff's date is rewritten."""
+    dates = [d for d in TableFiles(spark, path).dates() if d <= cutoff.date().isoformat()]
+    if not dates:
+        return 0
+    keep = F.col("timestamp") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
+    return rewrite_dates(spark, path, keep, dates)
 
 
 def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days: int) -> int:
@@ -330,37 +342,20 @@ def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days:
 
 
 def stored_size_cutoff(table: DataFrame, max_bytes: int) -> datetime | None:
-    """Oldest minute kept under a byte budget on a date-partitioned table.
-
-    Same rule as `size_cutoff`, but dates are visited newest first, in batches
-    of 1, 2, 4, ... dates per job, and per-minute totals (at most 1,440 rows a
-    date) are read only while the budget lasts.  A retention run thus reads
-    about the data it keeps, not the whole table, in a number of jobs
-    logarithmic in the dates kept.  The date list comes from partition values.
-    """
-    dates = sorted((r["date"] for r in table.select("date").distinct().collect()), reverse=True)
-    used, keep_from, i, batch = 0, None, 0, 1
-    while i < len(dates):
-        chunk = [str(d) for d in dates[i:i + batch]]
-        part = table.filter(F.col("date").isin(chunk)).drop("date")
-        for m in sorted(minute_totals(part).collect(), key=lambda r: r["minute"], reverse=True):
-            if used + m["bytes"] > max_bytes:
-                return keep_from
-            used += m["bytes"]
-            keep_from = m["minute"]
-        i, batch = i + batch, batch * 2
-    return keep_from
+    """Oldest time kept under a byte budget on a date-partitioned table: `budget_cutoff`,
+    which walks its dates newest first, at most MOST_DATES a job."""
+    return budget_cutoff(table, max_bytes, "fit")
 
 
 def apply_retention_by_size(spark: SparkSession, path: str, max_bytes: int) -> int:
-    """C8 on a stored table: the cutoff minute from `stored_size_cutoff`, then
-    whole older dates are dropped and the cutoff's date is rewritten."""
+    """C8 on a stored table: the cutoff from `stored_size_cutoff`, then whole older
+    dates are dropped and the cutoff's date is rewritten."""
+    if not TableFiles(spark, path).files():
+        return 0
     table = spark.read.parquet(path)
     cut = stored_size_cutoff(table, max_bytes)
     if cut is None:
-        n = table.count()
-        clear_table(spark, path)
-        return n
+        return rewrite_dates(spark, path, F.lit(False))
     return delete_before(spark, path, cut)
 
 
@@ -371,15 +366,10 @@ def apply_delete_minute(spark: SparkSession, path: str, minute: datetime) -> int
 
 
 def clear_table(spark: SparkSession, path: str) -> None:
-    """C6 on a stored table: replace its contents with no rows (schema kept)."""
-    table = spark.read.parquet(path)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    try:
-        empty = spark.createDataFrame([], table.schema)
-        empty.write.mode("overwrite").partitionBy("date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """C6 on a stored table: the files it has now are removed; read it by its declared schema."""
+    table = TableFiles(spark, path)
+    table.recover()
+    _replace(spark, path, table.files(), None)
 
 
 def run_retention(

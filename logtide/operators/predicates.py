@@ -13,21 +13,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import ts_literal_like
-from logtide.functions.text import contains_pattern, parse_time, split_list, ts_text
+from logtide.functions.text import contains_pattern, parse_time, split_list
 
 
 def _as_time(value, now: datetime) -> datetime:
     return parse_time(value, now) if isinstance(value, str) else value
 
 
+def time_bounds(df: DataFrame, col: str, start: datetime | None, end: datetime | None) -> Column:
+    """start <= col < end (either may be open), with the date range this implies on a
+    date-partitioned table, so that files of other dates are never opened."""
+    conds = []
+    if start is not None:
+        conds.append(F.col(col) >= ts_literal_like(df, col, start))
+    if end is not None:
+        conds.append(F.col(col) < ts_literal_like(df, col, end))
+    if "date" in df.columns:
+        if start is not None:
+            conds.append(F.col("date") >= F.lit(start.date().isoformat()).cast("date"))
+        if end is not None:
+            conds.append(F.col("date") <= F.lit(end.date().isoformat()).cast("date"))
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def time_range(df: DataFrame, start: datetime, end: datetime, col: str = "timestamp") -> Column:
     """Half-open [start, end); adds the date range when the table is date-partitioned."""
-    cond = (F.col(col) >= ts_literal_like(df, col, start)) & (F.col(col) < ts_literal_like(df, col, end))
-    if "date" in df.columns:
-        cond = cond & (F.col("date") >= F.lit(start.date().isoformat()).cast("date")) & (
-            F.col("date") <= F.lit(end.date().isoformat()).cast("date")
-        )
-    return cond
+    return time_bounds(df, col, start, end)
 
 
 def message_contains(q: str | None, col: str = "message") -> Column | None:
@@ -84,6 +98,3 @@ def log_filter(
             out = out.filter(c)
     return out
 
-
-def describe_range(start: datetime, end: datetime) -> str:
-    return f"[{ts_text(start)}, {ts_text(end)})"

@@ -416,12 +416,37 @@ _SEARCH_TEXT_SQL = (
 
 @register("process_fuzzy", with_ctes(
     f"{_PTABLE_SELECT} FROM ({_LATEST}) WHERE regexp_matches({_SEARCH_TEXT_SQL}, '1.*v.*i') "
-    # the requested limit 5 is clamped to the minimum page of 10
-    "ORDER BY cpu_usage DESC NULLS LAST, pid LIMIT 10 OFFSET 3", PROCESS_CTE))
+    "ORDER BY cpu_usage DESC NULLS LAST, pid LIMIT 5 OFFSET 3", PROCESS_CTE))
 def q_process_fuzzy(spark, sf):
     return processes.process_table(_procs(spark, sf), q="1VI", limit=5, offset=3)
 
 
+_SHOWN = (
+    "\"timestamp\", pid, COALESCE(CAST(parent_pid AS VARCHAR), '-') AS parent_pid_text, name, COALESCE(status, '-') AS status_text, "
+    "concat(printf('%.1f', cpu_usage), '%') AS cpu_text, mem_text, '-' AS virtual_memory_text, COALESCE(\"user\", '-') AS user_text, "
+    "runtime_text, COALESCE(cmdline, '-') AS cmdline_text"
+)
+_SHOWN_ROWS = f"(SELECT {_SHOWN}, runtime, cpu_usage, \"user\" FROM (SELECT {_PTABLE_SELECT.split(' ', 1)[1]} FROM ({_LATEST})))"
+
+
+@register("process_page", with_ctes(
+    f"SELECT s.*, r.* EXCLUDE (runtime, cpu_usage, \"user\") FROM (SELECT * FROM {_SHOWN_ROWS} ORDER BY cpu_usage DESC NULLS LAST, pid LIMIT 7 OFFSET 2) r, "
+    f"(SELECT MAX(\"timestamp\") AS snapshot, COUNT(*) AS total, CAST(2 AS BIGINT) AS \"offset\", LEAST(7, GREATEST(COUNT(*) - 2, 0)) AS returned, "
+    f"CASE WHEN COUNT(*) > 9 THEN CAST(9 AS BIGINT) END AS next_offset, CASE WHEN COUNT(*) > 9 THEN 'more' WHEN COUNT(*) = 0 THEN 'none' ELSE 'end' END AS state "
+    f"FROM ({_LATEST})) s", PROCESS_CTE))
+def q_process_page(spark, sf):
+    """I7 as shown: display texts beside the page state of the newest snapshot."""
+    rows, state = processes.process_page(_procs(spark, sf), limit=7, offset=2)
+    return rows.crossJoin(F.broadcast(state))
+
+
+@register("process_sorted", with_ctes(
+    f"{_PTABLE_SELECT} FROM ({_LATEST}) ORDER BY \"user\" ASC NULLS LAST, pid LIMIT 20", PROCESS_CTE))
+def q_process_sorted(spark, sf):
+    """I7 sorted by another shown column, NULLs last."""
+    return processes.process_table(_procs(spark, sf), limit=20, sort="user", sort_dir="asc")
+
+
 @register("process_search_text", with_ctes(
     f'SELECT "timestamp", pid, {_SEARCH_TEXT_SQL} AS search_text FROM process_metrics', PROCESS_CTE))
 def q_process_search_text(spark, sf):
@@ -460,11 +485,14 @@ _SIZE_TEXT = (
 )
 
 
-@register("size_text", f"""SELECT event_id, {_SIZE_TEXT} AS size_text,
- CAST(CAST(regexp_extract(upper({_SIZE_TEXT}), '^([0-9]*\\.?[0-9]+)([KMGT]?)$', 1) AS DOUBLE) *
-   CASE regexp_extract(upper({_SIZE_TEXT}), '^([0-9]*\\.?[0-9]+)([KMGT]?)$', 2)
-   WHEN 'K' THEN 1024.0 WHEN 'M' THEN 1048576.0 WHEN 'G' THEN 1073741824.0 WHEN 'T' THEN 1099511627776.0
-   ELSE 1.0 END AS BIGINT) AS size_bytes FROM events""")
+def _sized(suffix: str, factor: str) -> str:
+    return f"WHEN right(size_text, 1) = '{suffix}' THEN TRY_CAST(left(size_text, length(size_text) - 1) AS DOUBLE) * {factor} "
+
+
+# a capital suffix multiplies, anything else must be a number as it stands
+@register("size_text", f"""SELECT event_id, size_text, CAST(trunc(CASE WHEN v < 0 THEN 0 ELSE v END) AS BIGINT) AS size_bytes FROM (SELECT event_id, size_text,
+ CASE {_sized("T", "1099511627776.0")}{_sized("G", "1073741824.0")}{_sized("M", "1048576.0")}{_sized("K", "1024.0")}
+ ELSE TRY_CAST(size_text AS DOUBLE) END AS v FROM (SELECT event_id, {_SIZE_TEXT} AS size_text FROM events))""")
 def q_size_text(spark, sf):
     ev = tables.read_events(spark, sf)
     e, u = F.col("event_id"), F.col("user_id")
@@ -575,23 +603,31 @@ def q_skip_older_than(spark, sf):
     return skipped.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("kept"))))
 
 
-@register("recent_history", with_ctes(
-    'SELECT __CURSOR, "timestamp" FROM (SELECT * FROM journal_logs ORDER BY "timestamp" DESC, __SEQNUM DESC '
-    f'LIMIT 10000) WHERE "timestamp" >= {_ts(NOW - timedelta(days=2))} AND "timestamp" <= {_ts(NOW)}', JOURNAL_CTE))
+_HISTORY = f'"timestamp" >= {_ts(NOW - timedelta(days=2))} AND "timestamp" <= {_ts(NOW)}'
+
+
+@register("recent_history", with_ctes(f'SELECT __CURSOR, "timestamp" FROM journal_logs WHERE {_HISTORY}', JOURNAL_CTE))
 def q_recent_history(spark, sf):
     return J.recent_history(_logs(spark, sf), NOW, NOW - timedelta(days=2)).select("__CURSOR", "timestamp")
 
 
-_MINUTE_BYTES = (
-    "per_minute AS (SELECT date_trunc('minute', \"timestamp\") AS minute, SUM({rb}) AS bytes FROM journal_logs "
-    "GROUP BY 1)"
+@register("recent_history_capped", with_ctes(
+    'SELECT __CURSOR, "timestamp" FROM (SELECT * FROM journal_logs ORDER BY "timestamp" DESC, __SEQNUM DESC '
+    f"LIMIT 500) WHERE {_HISTORY}", JOURNAL_CTE))
+def q_recent_history_capped(spark, sf):
+    """A7 with a cap the caller gives: of the newest 500 entries only."""
+    return J.recent_history(_logs(spark, sf), NOW, NOW - timedelta(days=2), max_checked=500).select("__CURSOR", "timestamp")
+
+
+_INSTANT_BYTES = (
+    "per_instant AS (SELECT \"timestamp\" AS instant, SUM({rb}) AS bytes FROM journal_logs GROUP BY 1)"
 ).format(rb=row_bytes_sql(JOURNAL_SCHEMA))
 
 
 @register("backfill_budget", with_ctes(
-    'SELECT __CURSOR, "timestamp" FROM journal_logs WHERE "timestamp" >= (SELECT MIN(minute) FROM ('
-    "SELECT minute, COALESCE(SUM(bytes) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    " AS newer FROM per_minute) WHERE newer < 250000)", JOURNAL_CTE, _MINUTE_BYTES))
+    'SELECT __CURSOR, "timestamp" FROM journal_logs WHERE "timestamp" >= (SELECT MIN(instant) FROM ('
+    "SELECT instant, COALESCE(SUM(bytes) OVER (ORDER BY instant DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    " AS newer FROM per_instant) WHERE newer < 250000)", JOURNAL_CTE, _INSTANT_BYTES))
 def q_backfill_budget(spark, sf):
     return J.backfill(_logs(spark, sf), 250_000).select("__CURSOR", "timestamp")
 
@@ -608,9 +644,9 @@ def q_retain_by_age(spark, sf):
 
 
 @register("retain_by_size", with_ctes(
-    'SELECT __CURSOR, "timestamp" FROM journal_logs WHERE "timestamp" >= (SELECT MIN(minute) FROM ('
-    "SELECT minute, SUM(bytes) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum "
-    "FROM per_minute) WHERE cum <= 400000)", JOURNAL_CTE, _MINUTE_BYTES))
+    'SELECT __CURSOR, "timestamp" FROM journal_logs WHERE "timestamp" >= (SELECT MIN(instant) FROM ('
+    "SELECT instant, SUM(bytes) OVER (ORDER BY instant DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum "
+    "FROM per_instant) WHERE cum <= 400000)", JOURNAL_CTE, _INSTANT_BYTES))
 def q_retain_by_size(spark, sf):
     kept, _ = maintenance.retain_by_size(_logs(spark, sf), 400_000)
     return kept.select("__CURSOR", "timestamp")
@@ -634,22 +670,22 @@ def q_delete_minute(spark, sf):
 
 
 _PROC_MINUTE_BYTES = (
-    "proc_minute AS (SELECT date_trunc('minute', \"timestamp\") AS minute, SUM({rb}) AS bytes FROM process_metrics "
+    "proc_minute AS (SELECT \"timestamp\" AS minute, SUM({rb}) AS bytes FROM process_metrics "
     f"WHERE \"timestamp\" >= {_ts(NOW - timedelta(days=7))} GROUP BY 1)"
 ).format(rb=row_bytes_sql(PROCESS_SCHEMA))
 _LOG_MINUTE_AFTER_AGE = (
-    "log_minute AS (SELECT date_trunc('minute', \"timestamp\") AS minute, SUM({rb}) AS bytes FROM journal_logs "
+    "log_minute AS (SELECT \"timestamp\" AS minute, SUM({rb}) AS bytes FROM journal_logs "
     f"WHERE \"timestamp\" >= {_ts(NOW - timedelta(days=20))} GROUP BY 1)"
 ).format(rb=row_bytes_sql(JOURNAL_SCHEMA))
 
 
-def _size_deleted(table: str, minutes: str, age_days: int, budget: int) -> str:
+def _size_deleted(table: str, instants: str, age_days: int, budget: int) -> str:
+    """Rows that age left and the size budget removes: older than the oldest instant that
+    still fits with all newer ones, or than the newest one if none fits."""
+    cum = f"SELECT minute, SUM(bytes) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {instants}"
     return (
-        f'(SELECT COUNT(*) FROM {table} WHERE "timestamp" >= {_ts(NOW - timedelta(days=age_days))} AND '
-        f'("timestamp" < (SELECT MIN(minute) FROM (SELECT minute, SUM(bytes) OVER (ORDER BY minute DESC ROWS '
-        f"BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {minutes}) WHERE cum <= {budget}) OR "
-        f"(SELECT MIN(minute) FROM (SELECT minute, SUM(bytes) OVER (ORDER BY minute DESC ROWS BETWEEN UNBOUNDED "
-        f"PRECEDING AND CURRENT ROW) AS cum FROM {minutes}) WHERE cum <= {budget}) IS NULL))"
+        f'(SELECT COUNT(*) FROM {table} WHERE "timestamp" >= {_ts(NOW - timedelta(days=age_days))} AND "timestamp" < '
+        f"(SELECT COALESCE(MIN(minute) FILTER (WHERE cum <= {budget}), MAX(minute)) FROM ({cum})))"
     )
 
 

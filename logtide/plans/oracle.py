@@ -21,7 +21,7 @@ PRIORITY_SQL = (
     "WHEN 'signup' THEN NULL ELSE event_id % 10 END AS INTEGER)"
 )
 HOSTNAME_SQL = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat('host-', CAST(user_id % 5 AS VARCHAR)) END"
-CURSOR_SQL = "concat('c-', lpad(CAST(event_id AS VARCHAR), 10, '0'))"
+CURSOR_SQL = "concat('c-', lpad(CAST(event_id AS VARCHAR), CAST(greatest(10, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0'))"
 EXTRA_SQL = "concat('{\"CUSTOM_K\":\"', json_extract_string(props, '$.k'), '\"}')"
 
 JOURNAL_FILLED = {

@@ -58,11 +58,11 @@ def q_stored_latest_processes(spark, sf):
 
 
 _PROC_MINUTE = (
-    "proc_minute AS (SELECT date_trunc('minute', \"timestamp\") AS minute, SUM({rb}) AS bytes FROM process_metrics "
+    "proc_minute AS (SELECT \"timestamp\" AS minute, SUM({rb}) AS bytes FROM process_metrics "
     f"WHERE \"timestamp\" >= {_ts(NOW - timedelta(days=7))} GROUP BY 1)"
 ).format(rb=row_bytes_sql(PROCESS_SCHEMA))
 _LOG_MINUTE = (
-    "log_minute AS (SELECT date_trunc('minute', \"timestamp\") AS minute, SUM({rb}) AS bytes FROM journal_logs "
+    "log_minute AS (SELECT \"timestamp\" AS minute, SUM({rb}) AS bytes FROM journal_logs "
     f"WHERE \"timestamp\" >= {_ts(NOW - timedelta(days=20))} GROUP BY 1)"
 ).format(rb=row_bytes_sql(JOURNAL_SCHEMA))
 

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from logtide.functions.columns import ts_literal_like
 from logtide.operators.ingest import parse_entries, rows_where_once, with_entry_timestamp
+from logtide.operators.predicates import time_bounds
 from logtide.operators.ranking import locate_ranks, rank_slice
 from logtide.session import ensure_utc
 
 MAP_TYPE = "map<string,string>"
-HISTORY_MAX_CHECKED = 10_000
 DEFAULT_HISTORY = timedelta(hours=1)
 
 
@@ -111,42 +111,47 @@ def follow_from(entries: DataFrame, start: datetime | None) -> DataFrame:
 def at_timestamp(df: DataFrame, ts: datetime) -> DataFrame:
     """A5: entries whose microsecond clock equals ts exactly."""
     micros = F.unix_micros(F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))
-    return df.filter(F.col("__REALTIME_TIMESTAMP") == micros)
+    exact = F.col("__REALTIME_TIMESTAMP") == micros
+    if "date" in df.columns:
+        # a stored entry with a clock has that clock as its timestamp: open its date only
+        exact = exact & time_bounds(df, "timestamp", ts, ts + timedelta(microseconds=1))
+    return df.filter(exact)
 
 
 def skip_older_than(df: DataFrame, cutoff: datetime) -> tuple[DataFrame, DataFrame]:
     """Entries at or after cutoff, and a one-row count of those skipped."""
-    lit = ts_literal_like(df, "timestamp", cutoff)
-    kept = df.filter(F.col("timestamp") >= lit)
-    skipped = df.agg(F.count_if(F.col("timestamp") < lit).alias("skipped"))
+    kept = df.filter(time_bounds(df, "timestamp", cutoff, None))
+    skipped = df.filter(time_bounds(df, "timestamp", None, cutoff)).agg(F.count(F.lit(1)).alias("skipped"))
     return kept, skipped
 
 
 def recent_history(df: DataFrame, now: datetime, cutoff: datetime | None = None,
-                   max_checked: int = HISTORY_MAX_CHECKED) -> DataFrame:
-    """Of the newest `max_checked` entries, those with cutoff <= ts <= now.
+                   max_checked: int | None = None) -> DataFrame:
+    """Entries with cutoff <= ts <= now, of the newest `max_checked` ones if that is given.
 
-    The cap applies before the window filter (the newest entries are checked
-    first), so entries after `now` use up checks.  The cap is the feature; the
-    newest `max_checked` rows are cut out by locating the boundary timestamp.
+    A cap is the caller's choice.  It applies before the window filter (the newest
+    entries are checked first), so entries after `now` use up checks; the newest
+    `max_checked` rows are cut out by locating the boundary timestamp.
     """
     cutoff = cutoff or (now - DEFAULT_HISTORY)
     lo, hi = ts_literal_like(df, "timestamp", cutoff), ts_literal_like(df, "timestamp", now)
-    checked = _newest(df, max_checked)
-    return checked.filter((F.col("timestamp") >= lo) & (F.col("timestamp") <= hi))
+    window = (F.col("timestamp") >= lo) & (F.col("timestamp") <= hi)
+    if max_checked is None:
+        return df.filter(window & time_bounds(df, "timestamp", cutoff, now + timedelta(microseconds=1)))
+    return _newest(df, max_checked).filter(window)
 
 
 def backfill(df: DataFrame, max_bytes: int) -> DataFrame:
-    """Newest entries first, whole minutes, until the stored bytes reach the budget.
+    """Newest entries first, instant by instant, until the stored bytes reach the budget.
 
-    A minute is loaded when the bytes of all newer minutes are still under the
-    budget.  The cutoff minute comes from two bounded aggregates (per day, then
-    per minute of one day) and is applied as a pushed-down time filter, so the
-    rows themselves are never sorted or shuffled.
+    An instant is loaded when the bytes of all newer ones are still under the
+    budget.  The cutoff comes from bounded aggregates (`budget_cutoff`) and is
+    applied as a pushed-down time filter, so the rows themselves are never
+    sorted or shuffled.
     """
     from logtide.operators.maintenance import budget_cutoff
 
     cut = budget_cutoff(df, max_bytes, "reach")
     if cut is None:
         return df.limit(0)
-    return df.filter(F.col("timestamp") >= ts_literal_like(df, "timestamp", cut))
+    return df.filter(time_bounds(df, "timestamp", cut, None))

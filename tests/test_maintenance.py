@@ -49,24 +49,24 @@ def test_kth_smallest_matches_sort(spark, offsets, k):
 
 
 def _brute_size_keep(pdf, budget):
-    """Keep newest whole minutes while cumulative bytes (incl. the minute) <= budget."""
-    per = pdf.groupby("minute")["bytes"].sum().sort_index(ascending=False)
+    """Keep newest instants while cumulative bytes (incl. the instant) <= budget; the newest for any budget."""
+    per = pdf.groupby("timestamp")["bytes"].sum().sort_index(ascending=False)
     keep, cum = set(), 0
-    for minute, b in per.items():
+    for instant, b in per.items():
         cum += b
-        if cum <= budget:
-            keep.add(minute)
-    return sorted(pdf[pdf.minute.isin(keep)]["__CURSOR"])
+        if cum <= budget or (not keep and 0 < budget):
+            keep.add(instant)
+    return sorted(pdf[pdf.timestamp.isin(keep)]["__CURSOR"])
 
 
 def _brute_backfill(pdf, budget):
-    per = pdf.groupby("minute")["bytes"].sum().sort_index(ascending=False)
+    per = pdf.groupby("timestamp")["bytes"].sum().sort_index(ascending=False)
     keep, newer = set(), 0
-    for minute, b in per.items():
+    for instant, b in per.items():
         if newer < budget:
-            keep.add(minute)
+            keep.add(instant)
         newer += b
-    return sorted(pdf[pdf.minute.isin(keep)]["__CURSOR"])
+    return sorted(pdf[pdf.timestamp.isin(keep)]["__CURSOR"])
 
 
 def test_size_budgets_match_brute_force(spark):
@@ -74,7 +74,6 @@ def test_size_budgets_match_brute_force(spark):
     stamps = [T0 + timedelta(seconds=rnd.randint(0, 3600)) for _ in range(300)]
     df = _frame(spark, stamps)
     pdf = df.select("__CURSOR", "timestamp", row_bytes(df).alias("bytes")).toPandas()
-    pdf["minute"] = pd.to_datetime(pdf["timestamp"]).dt.floor("min")
     total = int(pdf["bytes"].sum())
     for budget in [0, 50, total // 3, total // 2, total, total * 2]:
         kept, rep = M.retain_by_size(df, budget)
@@ -171,9 +170,77 @@ def test_stored_size_cutoff_matches_whole_table_rule(spark, tmp_dir):
     path = f"{tmp_dir}/logs"
     M.write_logs(logs, path)
     table = spark.read.parquet(path)
-    for budget in [0, 5_000, 60_000, 250_000, 10**9]:
+    for budget in [0, 1, 5_000, 60_000, 250_000, 10**9]:
         whole = M.size_cutoff(table.drop("date"), budget).first()["_keep_from"]
         assert M.stored_size_cutoff(table, budget) == whole
+        kept = sorted(r["__CURSOR"] for r in M.retain_by_size(table.drop("date"), budget)[0].collect())
+        assert kept == sorted(r["__CURSOR"] for r in M.retain_by_size(table, budget)[0].collect())
+        loaded = sorted(r["__CURSOR"] for r in J.backfill(logs, budget).collect())
+        assert loaded == sorted(r["__CURSOR"] for r in J.backfill(table, budget).collect())
+
+
+def test_a_heavy_newest_minute_does_not_empty_a_table(spark, tmp_dir):
+    start = datetime(2026, 1, 20, 12, 0, 0)
+    logs = _frame(spark, [start + timedelta(milliseconds=i) for i in range(1000)])
+    path = f"{tmp_dir}/logs"
+    M.write_logs(logs, path)
+    one = logs.agg(F.max(row_bytes(logs))).first()[0]
+    assert M.apply_retention_by_size(spark, path, 100 * one) <= 900
+    left = spark.read.parquet(path)
+    assert 100 <= left.count() < 1000 and left.agg(F.sum(row_bytes(left, exclude=("date",)))).first()[0] <= 100 * one
+    M.apply_retention_by_size(spark, path, 1)
+    assert spark.read.parquet(path).count() == 1  # the newest instant
+
+
+def _append_between(monkeypatch, spark, path, rows):
+    """Appends `rows` after a job has written its replacement and before it exchanges files."""
+    from logtide.sources.files import TableFiles
+
+    note = TableFiles.note
+
+    def later(self, name, old):
+        M.write_logs(rows, path)
+        note(self, name, old)
+
+    monkeypatch.setattr(TableFiles, "note", later)
+
+
+def test_rows_appended_during_a_rewrite_stay(spark, tmp_dir, monkeypatch):
+    import glob
+
+    path = f"{tmp_dir}/logs"
+    M.write_logs(_frame(spark, [T0 + timedelta(seconds=i) for i in range(50)]), path)
+    late = _frame(spark, [T0 + timedelta(milliseconds=500 + i) for i in range(7)])
+    _append_between(monkeypatch, spark, path, late)
+    day = T0.date()
+    assert M.compact(spark, path, [day]) == 50
+    assert spark.read.parquet(path).count() == 57
+    assert M.delete_before(spark, path, T0 + timedelta(hours=1)) == 57 and spark.read.parquet(path).count() == 7
+    assert not (glob.glob(f"{path}/_stage*") + glob.glob(f"{path}/_replace*"))  # nothing staged is left behind
+
+
+def test_a_failed_exchange_is_finished_by_the_next_job(spark, tmp_dir, monkeypatch):
+    import glob
+
+    from logtide.sources.files import TableFiles
+
+    path = f"{tmp_dir}/logs"
+    M.write_logs(_frame(spark, [T0 + timedelta(seconds=i) for i in range(120)]), path)
+    want = sorted(r["__CURSOR"] for r in spark.read.parquet(path).where("date is not null").collect())
+
+    def fail(self, files):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(TableFiles, "delete", fail)
+        try:
+            M.compact(spark, path, [T0.date()])
+        except OSError:
+            pass
+    assert spark.read.parquet(path).count() >= 120  # doubled, never short
+    assert TableFiles(spark, path).recover() == 1
+    assert sorted(r["__CURSOR"] for r in spark.read.parquet(path).collect()) == want
+    assert not (glob.glob(f"{path}/_stage*") + glob.glob(f"{path}/_replace*"))
 
 
 def test_written_files_are_time_ordered_and_compaction_splits_dates(spark, tmp_dir):
