@@ -53,6 +53,7 @@ from logtide.operators.predicates import log_filter  # noqa: F401
 from logtide.operators.processes import (  # noqa: F401
     dedupe_samples,
     latest_processes,
+    process_page,
     process_table,
     to_process_metrics,
 )
@@ -102,7 +103,11 @@ from logtide.sources.tables import read_logs, read_process_metrics  # noqa: F401
 from logtide.streaming.jobs import (  # noqa: F401
     live_ingest_summary,
     live_timechart,
+    read_live_summary,
+    read_live_timechart,
     run_to_table,
+    start_live_summary,
+    start_live_timechart,
     start_log_ingest,
     start_sample_ingest,
 )

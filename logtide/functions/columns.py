@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from logtide.functions.text import ts_text
+from logtide.functions.text import SIZE_NUMBER, ts_text
 
 # --- fixed values: severity names by syslog priority 0..7 -------------------
 PRIORITY_LABELS = ["Emergency", "Alert", "Critical", "Error", "Warning", "Notice", "Info", "Debug"]
@@ -157,19 +157,18 @@ def age_seconds(ts, now: datetime) -> Column:
 
 
 def size_bytes(text) -> Column:
-    """Column form of the size parser: `5G` etc. -> bytes; NULL if unparsable."""
-    t = F.upper(F.trim(_col(text)))
-    m = r"^([0-9]*\.?[0-9]+)([KMGT]?)$"
-    num = F.regexp_extract(t, m, 1).try_cast("double")
-    unit = F.regexp_extract(t, m, 2)
-    mult = (
-        F.when(unit == "K", 1024.0)
-        .when(unit == "M", 1024.0**2)
-        .when(unit == "G", 1024.0**3)
-        .when(unit == "T", 1024.0**4)
-        .otherwise(1.0)
-    )
-    return F.when(t.rlike(m), (num * mult).cast("long"))
+    """Column form of `parse_size`: `5G` etc. -> bytes, NULL if it is not a size.
+
+    A BIGINT ends at 2**63 - 1, where larger sizes stay."""
+    t = F.btrim(_col(text).cast("string"), F.lit(" \t\n\r\x0b\x0c"))
+    unit = F.when(t.rlike("[KMGT]$"), F.right(t, F.lit(1))).otherwise("")
+    number = F.when(unit != "", F.left(t, F.length(t) - 1)).otherwise(t)
+    mult = F.lit(1.0)
+    for i, u in enumerate("KMGT"):
+        mult = F.when(unit == u, 1024.0 ** (i + 1)).otherwise(mult)
+    value = number.try_cast("double") * mult
+    bytes_ = F.when(F.isnan(value) | ~(value > 0), 0).when(value >= 2.0**63, 2**63 - 1).otherwise(value.try_cast("long"))
+    return F.when(number.rlike(f"^(?:{SIZE_NUMBER.pattern})$"), bytes_.cast("long"))
 
 
 def row_bytes(df, exclude=()) -> Column:

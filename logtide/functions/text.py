@@ -62,20 +62,24 @@ def contains_pattern(q: str) -> str:
     return "%" + escape_like(q) + "%"
 
 
+#: A decimal number as the size settings take it.
+SIZE_NUMBER = re.compile(r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))")
+
+
 def parse_size(text: str) -> int:
-    """`5G`, `500M`, `1T`, `1024K` or a plain number of bytes; fractions allowed."""
-    s = text.strip().upper()
-    if not s:
-        raise ValueError("empty size")
-    mult = 1
-    if s[-1] in _SIZE_UNITS:
-        mult = _SIZE_UNITS[s[-1]]
-        s = s[:-1]
-    try:
-        value = float(s)
-    except ValueError as e:
-        raise ValueError(f"Invalid size: {text}") from e
-    return int(value * mult)
+    """`5G`, `500M`, `1T`, `1024K` (capitals) or a plain number of bytes.
+
+    The number may have a sign, a fraction, an exponent, or be `inf` or `nan`; the
+    result is cut to whole bytes and kept between 0 and 2**64 - 1 (`nan`: 0)."""
+    s = text.strip()
+    mult = _SIZE_UNITS.get(s[-1:], 1)
+    number = s[:-1] if s[-1:] in _SIZE_UNITS else s
+    if not SIZE_NUMBER.fullmatch(number):
+        raise ValueError(f"not a size: {text!r}")
+    value = float(number) * mult
+    if not value > 0:
+        return 0
+    return 2**64 - 1 if value >= 2.0**64 else int(value)
 
 
 def split_list(text: str | None) -> list[str] | None:

@@ -72,15 +72,11 @@ def typed_column_sql(fields: str = "fields") -> list[str]:
     return out
 
 
-def typed_columns(fields: str = "fields") -> list[Column]:
-    return [F.expr(e) for e in typed_column_sql(fields)]
-
-
 def extra_fields_sql(fields: str = "fields") -> str:
     known = ", ".join(_quote(n) for n in KNOWN_FIELD_NAMES)
     # IN over 73 literals is a hash-set test; JSON nulls count as absent fields.
     rest = f"map_filter(`{fields}`, (k, v) -> v IS NOT NULL AND NOT (k IN ({known})))"
-    return f"CASE WHEN size({rest}) > 0 THEN to_json({rest}) END"
+    return f"nullif(to_json({rest}), '{{}}')"
 
 
 def extra_fields(fields: str = "fields") -> Column:
@@ -107,10 +103,6 @@ def accept_entries(df: DataFrame) -> DataFrame:
     return rows_where_once(df, F.col("_ts_ok")).drop("_ts_ok")
 
 
-def rejected_entries(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("_ts_ok")).drop("_ts_ok")
-
-
 def parse_entries(entries: DataFrame, now: datetime | None = None) -> DataFrame:
     """Entry map -> typed rows; entries with an unparsable clock are dropped."""
     return type_fields(accept_entries(with_entry_timestamp(entries, now)))
@@ -128,18 +120,16 @@ def ingest_report(entries: DataFrame, now: datetime) -> DataFrame:
 def rebuild_fields(df: DataFrame) -> DataFrame:
     """Typed row -> (timestamp, fields map).
 
-    NULL columns are absent, integers come back as text, and the overflow JSON
-    is merged last; on a duplicate key the overflow value wins (typed keys that
-    the overflow also carries are dropped first, so no session-wide duplicate
-    key policy is needed).
+    NULL columns are absent, integers come back as text, and on a duplicate key the
+    overflow value wins.  The two maps are merged key by key, so the overflow JSON
+    is parsed once a row and no duplicate-key policy is needed.
     """
     keys = ", ".join(_quote(n) for _, n, _ in KNOWN_FIELDS)
     vals = ", ".join(f"CAST(`{c}` AS STRING)" for c, _, _ in KNOWN_FIELDS)
-    typed = f"map_filter(map_from_arrays(array({keys}), array({vals})), (k, v) -> v IS NOT NULL)"
-    extra = ("map_filter(coalesce(from_json(extra_fields, 'map<string,string>'), "
-             "CAST(map() AS MAP<STRING,STRING>)), (k, v) -> v IS NOT NULL)")
-    merged = (f"map_concat(map_filter({typed}, (k, v) -> NOT array_contains(map_keys({extra}), k)), {extra})")
-    return df.selectExpr("`timestamp`", f"{merged} AS fields")
+    typed = f"map_from_arrays(array({keys}), array({vals}))"
+    extra = "coalesce(from_json(extra_fields, 'map<string,string>'), CAST(map() AS MAP<STRING,STRING>))"
+    merged = f"map_zip_with({typed}, {extra}, (k, t, e) -> coalesce(e, t))"
+    return df.selectExpr("`timestamp`", f"map_filter({merged}, (k, v) -> v IS NOT NULL) AS fields")
 
 
 def ingest_summary_all(logs: DataFrame, samples: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import (
     cmdline,
+    fixed1,
     fuzzy,
     human_bytes,
     human_runtime,
@@ -19,7 +20,22 @@ from logtide.functions.columns import (
 from logtide.operators.ranking import topk_fits
 from logtide.schemas import PROCESS_SCHEMA
 
-MIN_LIMIT, MAX_LIMIT, DEFAULT_LIMIT = 10, 1000, 100
+DEFAULT_LIMIT = 100
+
+# --- fixed values: sort names accepted by the process table -------------------
+SORT_COLUMNS = {
+    "pid": "pid",
+    "ppid": "parent_pid",
+    "name": "name",
+    "status": "status",
+    "cpu": "cpu_usage",
+    "mem": "mem_usage",
+    "virt": "virtual_memory",
+    "user": "user",
+    "runtime": "runtime",
+    "cmdline": "cmdline",
+}
+# --- end fixed values ---------------------------------------------------------
 
 
 def to_process_metrics(samples: DataFrame) -> DataFrame:
@@ -95,29 +111,59 @@ def latest_processes(procs: DataFrame) -> DataFrame:
     return snap.crossJoin(F.broadcast(total))
 
 
-def process_table(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    """Newest snapshot, fuzzy search, CPU order (pid breaks ties), one page,
-    with the display texts (bytes, runtime, memory percent)."""
+def _matching(procs: DataFrame, q: str | None) -> DataFrame:
     snap = snapshot(procs, latest_timestamp(procs))
-    if q is not None and q.strip():
-        snap = snap.filter(fuzzy(search_text(), q.lower()))
-    limit = min(max(int(limit), MIN_LIMIT), MAX_LIMIT)
-    offset = max(0, int(offset))
-    order = [F.col("cpu_usage").desc_nulls_last(), F.col("pid").asc()]
-    if topk_fits(snap, offset + limit):
-        rows = snap.orderBy(*order)
-        if offset:
-            rows = rows.offset(offset)
-        rows = rows.limit(limit)
-    else:
-        # the offset is not capped: a deep page is numbered over a distributed sort
+    return snap.filter(fuzzy(search_text(), q.lower())) if q is not None and q.strip() else snap
+
+
+def process_sort(sort: str = "cpu", sort_dir: str = "desc") -> list[Column]:
+    """Allow-listed sort by a shown column, NULLs last; the pid breaks ties."""
+    col = F.col(SORT_COLUMNS.get((sort or "").lower(), "cpu_usage"))
+    first = col.asc_nulls_last() if (sort_dir or "").lower() == "asc" else col.desc_nulls_last()
+    return [first, F.col("pid").asc()]
+
+
+def _page(rows: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    limit, offset = max(0, int(limit)), max(0, int(offset))
+    if not topk_fits(rows, offset + limit):
+        # a deep page is numbered over a distributed sort
         from logtide.operators.search import _deep_page
 
-        rows = _deep_page(snap, order, limit, offset)
-    return rows.select(
+        return _deep_page(rows, order, limit, offset)
+    rows = rows.orderBy(*order)
+    return (rows.offset(offset) if offset else rows).limit(limit)
+
+
+def process_table(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0,
+                  sort: str = "cpu", sort_dir: str = "desc") -> DataFrame:
+    """Newest snapshot, fuzzy search, CPU order (pid breaks ties) or that of another
+    shown column, one page, with the display texts (bytes, runtime, memory percent)."""
+    return _page(_matching(procs, q), process_sort(sort, sort_dir), limit, offset).select(
         "timestamp", "pid", "name", "cpu_usage", "mem_usage", "user", "runtime", "cmdline",
         F.coalesce(F.col("virtual_memory"), F.lit(0.0)).alias("virtual_memory"), "status", "parent_pid",
         human_bytes("mem_usage").alias("mem_text"),
         human_runtime("runtime").alias("runtime_text"),
         memory_percent("mem_usage").alias("mem_percent"),
     )
+
+
+def process_page(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0,
+                 sort: str = "cpu", sort_dir: str = "desc") -> tuple[DataFrame, DataFrame]:
+    """The page as it is shown (every column as text), and a one-row page state with
+    the snapshot's time (total, next offset, `more` / `none` / `end`)."""
+    from logtide.operators.search import page_state
+
+    newest = latest_timestamp(procs)
+    matched = snapshot(procs, newest)
+    if q is not None and q.strip():
+        matched = matched.filter(fuzzy(search_text(), q.lower()))
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"{c}_text")
+    rows = _page(matched, process_sort(sort, sort_dir), limit, offset).select(
+        "timestamp", "pid", dash("parent_pid"), "name", dash("status"),
+        F.concat(fixed1("cpu_usage"), F.lit("%")).alias("cpu_text"), human_bytes("mem_usage").alias("mem_text"),
+        human_bytes(F.coalesce("virtual_memory", F.lit(0.0))).alias("virtual_memory_text"),
+        dash("user"), human_runtime("runtime").alias("runtime_text"), dash("cmdline"))
+    total = matched.agg(F.count(F.lit(1)).alias("total"))
+    returned = F.least(F.lit(max(0, int(limit))).cast("long"), F.greatest(F.col("total") - F.lit(max(0, int(offset))), F.lit(0)))
+    at = F.lit(None).cast("timestamp_ntz") if newest is None else F.lit(newest.isoformat(sep=" ")).cast("timestamp_ntz")
+    return rows, total.select(at.alias("snapshot"), *page_state(F.col("total"), offset, returned))

@@ -23,7 +23,6 @@ from logtide.functions.columns import ts_literal_like
 EPOCH = datetime(1970, 1, 1)
 # Bucket widths in microseconds, coarse to fine: day, minute, millisecond, microsecond.
 LEVELS = [86_400_000_000, 60_000_000, 1_000, 1]
-SMALL_TOPK = 1_000
 # A top-k merges (input partitions x rows kept per task) rows in one task; above
 # this many rows the window is cut out of the order instead.
 MERGE_BUDGET_ROWS = 2_000_000
@@ -71,6 +70,26 @@ def _range(df: DataFrame, col: str, lo_us: int, hi_us: int) -> Column:
     return cond
 
 
+def _dated(df: DataFrame, col: str, cond: Column, test) -> Column:
+    """A test of the time, and of the date it implies on a table partitioned by that date."""
+    return cond & test(F.col("date")) if "date" in df.columns and col == "timestamp" else cond
+
+
+def _at(df: DataFrame, col: str, t: datetime) -> Column:
+    day = F.lit(t.date().isoformat()).cast("date")
+    return _dated(df, col, F.col(col) == ts_literal_like(df, col, t), lambda d: d == day)
+
+
+def _before(df: DataFrame, col: str, t: datetime) -> Column:
+    day = F.lit(t.date().isoformat()).cast("date")
+    return _dated(df, col, F.col(col) < ts_literal_like(df, col, t), lambda d: d <= day)
+
+
+def _after(df: DataFrame, col: str, t: datetime) -> Column:
+    day = F.lit(t.date().isoformat()).cast("date")
+    return _dated(df, col, F.col(col) > ts_literal_like(df, col, t), lambda d: d >= day)
+
+
 def locate_ranks(df: DataFrame, ks: list, descending: bool = False, col: str = "timestamp") -> list:
     """Where the k-th rows (1-based) of the time order fall, for several k at once.
 
@@ -173,34 +192,38 @@ def rank_slice(df: DataFrame, start: int, stop: int, descending: bool = True, co
     a fixed bound is given).  Otherwise: locate the first and last row's
     timestamps, take every row strictly between them (a pushed-down range),
     and slice the rows at the two boundary timestamps by the tie-breaker.
-    Rows are ranked by non-NULL time only; the stored `timestamp` is NOT NULL.
+    Rows without a time come last, in either direction, as in a plain sort.
     """
     start, stop = max(0, int(start)), max(0, int(stop))
     order = _order(col, descending, tiebreak)
     live = df.filter(F.col(col).isNotNull())
     if stop <= start:
         return df.limit(0)
-    if _fits(live, stop, small):
-        return _small_page(live, order, start, stop - start)
+    if _fits(df, stop, small):
+        return _small_page(df, order, start, stop - start)
     first, last = locate_ranks(live, [start + 1, stop], descending, col)
+    tie = _order(tiebreak, descending, None) if tiebreak else []
+    untimed = None
+    if last is None:
+        # the window reaches past the rows with a time
+        n = live.count()
+        untimed = _boundary(df.filter(F.col(col).isNull()), tie, max(0, start - n), stop - max(n, start))
     if first is None:
-        return df.limit(0)
+        return untimed
     t_first, before_first, at_first = first
-    tie = _order(tiebreak, descending, None) if tiebreak else []
-    c = F.col(col)
     head_skip = start - before_first
     if last is None:
         # fewer than `stop` rows: everything from the first row on
-        beyond = c < ts_literal_like(df, col, t_first) if descending else c > ts_literal_like(df, col, t_first)
-        head = _boundary(live.filter(c == ts_literal_like(df, col, t_first)), tie, head_skip, at_first - head_skip)
-        return head.unionByName(live.filter(beyond)).orderBy(*order)
+        beyond = _before(df, col, t_first) if descending else _after(df, col, t_first)
+        head = _boundary(live.filter(_at(df, col, t_first)), tie, head_skip, at_first - head_skip)
+        return head.unionByName(live.filter(beyond)).unionByName(untimed).orderBy(*order)
     t_last, before_last, _ = last
     if t_first == t_last:
-        return _boundary(live.filter(c == ts_literal_like(df, col, t_first)), tie, head_skip, stop - start).orderBy(*order)
+        return _boundary(live.filter(_at(df, col, t_first)), tie, head_skip, stop - start).orderBy(*order)
     lo_t, hi_t = (t_last, t_first) if descending else (t_first, t_last)
-    inner = live.filter((c > ts_literal_like(df, col, lo_t)) & (c < ts_literal_like(df, col, hi_t)))
-    head = _boundary(live.filter(c == ts_literal_like(df, col, t_first)), tie, head_skip, at_first - head_skip)
-    tail = _boundary(live.filter(c == ts_literal_like(df, col, t_last)), tie, 0, stop - before_last)
+    inner = live.filter(_after(df, col, lo_t) & _before(df, col, hi_t))
+    head = _boundary(live.filter(_at(df, col, t_first)), tie, head_skip, at_first - head_skip)
+    tail = _boundary(live.filter(_at(df, col, t_last)), tie, 0, stop - before_last)
     return head.unionByName(inner).unionByName(tail).orderBy(*order)
 
 

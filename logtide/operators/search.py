@@ -27,7 +27,6 @@ from logtide.schemas import DEFAULT_COLUMNS, DISPLAY_NAMES, column_for
 from logtide.session import checkpoint_dir
 
 DEFAULT_LIMIT = 1000
-MAX_LIMIT = 100_000
 TOPK_MAX_ROWS = 1_000
 TIEBREAK = "__CURSOR"
 
@@ -95,8 +94,7 @@ def page(df: DataFrame, order: list[Column], limit: int = DEFAULT_LIMIT, offset:
 
     A top-k within `topk_max_rows`, else the checkpointed global sort.
     """
-    limit = max(0, min(int(limit), MAX_LIMIT))
-    offset = max(0, int(offset))
+    limit, offset = max(0, int(limit)), max(0, int(offset))
     if offset + limit <= topk_max_rows:
         ordered = df.orderBy(*order)
         if offset:
@@ -116,8 +114,7 @@ def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc",
     (bucket descent), by a low-cardinality column they use per-value counts;
     only rows sharing a boundary value are ordered by the cursor.
     """
-    limit = max(0, min(int(limit), MAX_LIMIT))
-    offset = max(0, int(offset))
+    limit, offset = max(0, int(limit)), max(0, int(offset))
     col = SORT_COLUMNS.get((sort or "").lower(), "timestamp")
     asc = (sort_dir or "").lower() == "asc"
     fits = offset + limit <= topk_max_rows if topk_max_rows is not None else topk_fits(df, offset + limit)
@@ -204,7 +201,7 @@ def search_page(df: DataFrame, now: datetime, start="-1h", end="now", q=None, ho
     cols = resolve_columns(columns, strict=False)
     matched = log_filter(df, now, start, end, q, hostname, unit, priority)
     rows = sorted_page(matched, sort, sort_dir, limit, offset).select(*display_projection(cols))
-    lim = max(0, min(int(limit), MAX_LIMIT))
+    lim = max(0, int(limit))
     total = matched.agg(F.count(F.lit(1)).alias("total"))
     returned = F.least(F.lit(lim).cast("long"), F.greatest(F.col("total") - F.lit(int(offset)), F.lit(0)))
     state = total.select(*page_state(F.col("total"), offset, returned))

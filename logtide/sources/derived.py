@@ -59,7 +59,7 @@ def _hostname(event_id: Column, user_id: Column) -> Column:
 
 
 def _cursor(event_id: Column) -> Column:
-    return F.concat(F.lit("c-"), F.lpad(event_id.cast("string"), 10, "0"))
+    return F.concat(F.lit("c-"), F.lpad(event_id.cast("string"), F.greatest(F.lit(10), F.length(event_id.cast("string"))), F.lit("0")))
 
 
 def journal_logs_from_events(events: DataFrame) -> DataFrame:

@@ -49,9 +49,24 @@ def test_parse_size():
     assert parse_size("1024K") == 1024 * 1024
     assert parse_size("1024") == 1024
     assert parse_size("1.5G") == int(1.5 * 1024**3)
-    for bad in ["abc", "G", ""]:
+    for bad in ["abc", "G", "", "5g", "1_0G", "5 G", "0x10", "5GG", "e5", "."]:
         with pytest.raises(ValueError):
             parse_size(bad)
+    assert (parse_size("-5G"), parse_size("nan"), parse_size("inf"), parse_size("1e3K"), parse_size("5.G"), parse_size(" +2K\n")) == (
+        0, 0, 2**64 - 1, 1024_000, 5 * 1024**3, 2048)
+
+
+def test_size_column_follows_the_parser(spark):
+    texts = ["5G", "500M", "1.5G", "abc", "G", "", "5g", "1_0G", "5 G", "-5G", "nan", "inf", "-inf", "1e3K", "5.G", " +2K\n", "1e30T", ".5K", "0x10", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.size_bytes("t").alias("b")).collect()
+
+    def want(t):
+        try:
+            return None if t is None else min(parse_size(t), 2**63 - 1)
+        except ValueError:
+            return None
+
+    assert [r.b for r in rows] == [want(t) for t in texts]
 
 
 def test_priority_labels_and_classes(spark):
@@ -122,9 +137,9 @@ def test_fuzzy(spark):
 
 
 def test_size_bytes_column(spark):
-    df = spark.createDataFrame([(s,) for s in ["5G", "500m", "1T", "1024K", "1024", "abc", "G", "1.5G"]], "s string")
+    df = spark.createDataFrame([(s,) for s in ["5G", "500M", "1T", "1024K", "1024", "abc", "G", "1.5G", "500m"]], "s string")
     got = [r[0] for r in df.select(C.size_bytes("s")).collect()]
-    assert got == [5 * 1024**3, 500 * 1024**2, 1024**4, 1024**2, 1024, None, None, int(1.5 * 1024**3)]
+    assert got == [5 * 1024**3, 500 * 1024**2, 1024**4, 1024**2, 1024, None, None, int(1.5 * 1024**3), None]
 
 
 @pytest.mark.parametrize("seed", [1, 2])

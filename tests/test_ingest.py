@@ -144,3 +144,16 @@ def test_line_report(spark):
          ('{"MESSAGE":"c","__REALTIME_TIMESTAMP":"x"}',)], "value string")
     r = line_report(lines, NOW).first()
     assert (r.lines, r.not_json, r.accepted, r.rejected) == (4, 1, 2, 1)
+
+
+def test_cursors_of_long_ids_are_distinct(spark):
+    from logtide.sources.derived import _cursor
+
+    df = spark.createDataFrame([(7,), (12345678901,), (12345678902,)], "event_id long")
+    assert [r.c for r in df.select(_cursor(F.col("event_id")).alias("c")).collect()] == ["c-0000000007", "c-12345678901", "c-12345678902"]
+
+
+def test_overflow_json_is_parsed_once(spark):
+    df = typed(spark, [(TS, {"MESSAGE": "x", "K": "v"})])
+    plan = ingest.rebuild_fields(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

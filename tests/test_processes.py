@@ -49,7 +49,7 @@ def test_process_table_order_and_text(spark):
 
 def test_process_table_limits_and_fuzzy(spark):
     procs = P.dedupe_samples(P.to_process_metrics(_samples(spark)), "seq")
-    assert P.process_table(procs, limit=1).count() == 3  # clamped up to 10
+    assert P.process_table(procs, limit=1).count() == 1  # as asked
     assert P.process_table(procs, offset=10).count() == 0
     assert [r.pid for r in P.process_table(procs, q="FFx").collect()] == [42]
     assert [r.pid for r in P.process_table(procs, q="35.5").collect()] == [42, 77]
@@ -64,3 +64,20 @@ def test_process_table_deep_page_matches_top_k(spark, monkeypatch):
     monkeypatch.setattr(ranking, "MERGE_BUDGET_ROWS", 0)  # force the distributed route
     deep = [r.pid for r in P.process_table(procs, limit=10, offset=1).collect()]
     assert top == deep == [77, 1]
+
+
+def test_process_page_state_texts_and_sort(spark):
+    procs = P.dedupe_samples(P.to_process_metrics(_samples(spark)), "seq")
+    rows, state = P.process_page(procs, limit=2)
+    assert [r.pid for r in rows.collect()] == [42, 77]
+    s = state.first()
+    assert (s.total, s.offset, s.returned, s.next_offset, s.state) == (3, 0, 2, 2, "more") and s.snapshot == procs.agg({"timestamp": "max"}).first()[0]
+    rows, state = P.process_page(procs, limit=2, offset=2)
+    last = rows.first()
+    assert (state.first().state, state.first().next_offset) == ("end", None)
+    assert last.cpu_text.endswith("%") and last.virtual_memory_text and last.parent_pid_text
+    none = P.process_page(procs, q="no such thing")[1].first()
+    assert (none.total, none.state) == (0, "none")
+    assert P.process_page(procs.limit(0))[1].first().state == "none"
+    assert [r.pid for r in P.process_table(procs, sort="pid", sort_dir="asc").collect()] == [1, 42, 77]
+    assert [r.pid for r in P.process_table(procs, sort="nonsense").collect()] == [42, 77, 1]

@@ -94,10 +94,20 @@ def test_paging_and_deep_page_agree(spark):
         assert top == deep == full[off:off + lim]
 
 
-def test_limit_is_capped(spark):
+def test_limit_is_as_asked(spark):
     df = _rows(spark)
-    plan = search.page(df, search.sort_columns(), limit=10**9)._jdf.queryExecution().optimizedPlan().toString()
-    assert "100000" in plan
+    plan = search.page(df, search.sort_columns(), limit=10**9, topk_max_rows=10**10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "1000000000" in plan
+
+
+def test_rows_without_a_time_come_last_by_either_plan(spark):
+    rows = [(datetime(2026, 1, 1, 0, 0, i % 3), f"c{i}") for i in range(6)] + [(None, "n1"), (None, "n2"), (None, "n0")]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, __CURSOR string")
+    for sort_dir in ("asc", "desc"):
+        for offset, limit in ((0, 20), (0, 7), (4, 4), (6, 2), (7, 9), (9, 3)):
+            small = [r["__CURSOR"] for r in search.sorted_page(df, "timestamp", sort_dir, limit, offset, topk_max_rows=100).collect()]
+            large = [r["__CURSOR"] for r in search.sorted_page(df, "timestamp", sort_dir, limit, offset, topk_max_rows=0).collect()]
+            assert small == large and len(small) == max(0, min(limit, 9 - offset))
 
 
 def test_page_state(spark):
