@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from logtide.functions.columns import PRIORITY_LABELS, priority_label, row_bytes
 from logtide.operators.predicates import minute_equals
 from logtide.schemas import DEFAULT_COLUMNS, EXCLUDED_COLUMNS
+from logtide.sources.files import TableFiles
+from logtide.sources.tables import read_logs, read_process_metrics
 
 GIB = 1024.0**3
 
@@ -145,6 +147,18 @@ def storage_health(
     )
 
 
+def stored_health(spark, logs_path: str, procs_path: str, **settings) -> DataFrame:
+    """G14 / I8 of two stored tables: sizes are file lengths, so no text column is read."""
+    size = sum(TableFiles(spark, p).stored_bytes() for p in (logs_path, procs_path))
+    return storage_health(read_logs(spark, logs_path), read_process_metrics(spark, procs_path), size, **settings)
+
+
+def stored_status(spark, logs_path: str) -> DataFrame:
+    """I9 of a stored table: buffer statistics and the length of its files."""
+    size = TableFiles(spark, logs_path).stored_bytes()
+    return buffer_stats(read_logs(spark, logs_path)).withColumn("stored_bytes", F.lit(size).cast("long"))
+
+
 def filter_values(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-null values (hosts or units)."""
     return df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value")
@@ -193,7 +207,3 @@ def column_profile(df: DataFrame) -> DataFrame:
     expr = f"stack({len(fields)}, {', '.join(parts)}) as (name, column_type, is_default, position, non_null)"
     return counts.selectExpr(expr)
 
-
-def level_names(df: DataFrame) -> DataFrame:
-    """H1 over a table: the level name of every distinct priority."""
-    return df.select("priority").distinct().withColumn("level", priority_label(F.col("priority")))

@@ -363,6 +363,21 @@ def q_storage_health(spark, sf):
     return stats.storage_health(_logs(spark, sf), _procs(spark, sf))
 
 
+# sizes in GiB against the default limit of 1 GB
+_LEVEL_SIZES = {"good": 0.5, "warning": 0.75, "critical": 0.9}
+
+
+@register("storage_levels", with_ctes(
+    " UNION ALL ".join(f"SELECT CAST({int(x * 2**30)} AS BIGINT) AS database_size_bytes, round({int(x * 2**30)} / 1073741824.0, 2) / 1.0 * 100.0 "
+                       f"AS usage_percent, '{state}' AS status, COUNT(*) AS journal_log_count FROM journal_logs" for state, x in _LEVEL_SIZES.items()), JOURNAL_CTE))
+def q_storage_levels(spark, sf):
+    """G14 with a known size, in each state; the plan reads no text column."""
+    logs, procs = _logs(spark, sf), _procs(spark, sf)
+    rows = [stats.storage_health(logs, procs, int(x * 2**30)).select("database_size_bytes", "usage_percent", "status", "journal_log_count")
+            for x in _LEVEL_SIZES.values()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @register("priority_labels", with_ctes(
     "SELECT DISTINCT priority, " + LEVEL_SQL.format(p="priority") + " AS level, "
     "CASE WHEN priority <= 2 THEN 'critical' WHEN priority = 3 THEN 'error' WHEN priority = 4 THEN 'warning' "
@@ -544,10 +559,19 @@ def q_extra_fields(spark, sf):
                         F.get_json_object("extra_fields", "$.CUSTOM_K").alias("custom_k"))
 
 
-@register("ingest_report", """SELECT COUNT(*) AS lines, CAST(0 AS BIGINT) AS not_json, COUNT(*) AS accepted,
- CAST(0 AS BIGINT) AS rejected FROM events""")
+_NOT_JSON, _BAD_CLOCK = "event_id % 89 = 0", "event_id % 83 = 0 AND event_id % 101 <> 0"
+
+
+@register("ingest_report", f"""SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE {_NOT_JSON}) AS not_json,
+ COUNT(*) FILTER (WHERE NOT ({_NOT_JSON}) AND NOT ({_BAD_CLOCK})) AS accepted,
+ COUNT(*) FILTER (WHERE NOT ({_NOT_JSON}) AND {_BAD_CLOCK}) AS rejected FROM events""")
 def q_ingest_report(spark, sf):
-    return J.line_report(tables.raw_journal_lines(spark, sf), NOW)
+    """Every 89th line is cut off and every 83rd has a clock that is not a number."""
+    seq = F.get_json_object("value", "$.__SEQNUM").cast("long")
+    bad_clock = F.regexp_replace("value", '"__REALTIME_TIMESTAMP":"', '"__REALTIME_TIMESTAMP":"x')
+    lines = tables.raw_journal_lines(spark, sf).select(
+        F.when(seq % 89 == 0, F.left(F.col("value"), F.lit(12))).when(seq % 83 == 0, bad_clock).otherwise(F.col("value")).alias("value"))
+    return J.line_report(lines, NOW)
 
 
 def _nonnull_count_sql() -> str:

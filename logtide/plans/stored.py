@@ -18,6 +18,7 @@ from logtide.plans.catalog import (
     NOW,
     TS_DESC,
     _LATEST,
+    _PARSED_CTE,
     _procs,
     _logs,
     _search_sql,
@@ -26,11 +27,15 @@ from logtide.plans.catalog import (
     _where,
     register,
 )
-from logtide.plans.oracle import JOURNAL_CTE, PROCESS_CTE, row_bytes_sql, with_ctes
+from logtide.plans.oracle import JOURNAL_CTE, PROCESS_CTE, SAMPLES_TYPED_CTE, row_bytes_sql, with_ctes
 from logtide.schemas import JOURNAL_SCHEMA, PROCESS_SCHEMA
 from logtide.session import checkpoint_dir
+from logtide.sources import journal as J
+from logtide.sources import samples as S
 from logtide.sources import tables
 
+_SAMPLE_FIELDS = ", ".join(f'"{f.name}"' for f in PROCESS_SCHEMA.fields)
+
 
 def _store(spark: SparkSession, sf: str, kind: str) -> str:
     base = f"{checkpoint_dir(spark).rstrip('/')}/logtide-store-{uuid.uuid4().hex}"
@@ -135,3 +140,20 @@ def q_stored_clear(spark, sf):
     after = tables.read_logs(spark, path).count()
     return spark.range(1).select(F.lit(before).cast("long").alias("rows_before"),
                                  F.lit(after).cast("long").alias("rows_after"))
+
+
+@register("read_journal_files", with_ctes(
+    'SELECT "timestamp", __CURSOR, message, priority, extra_fields FROM parsed', _PARSED_CTE))
+def q_read_journal_files(spark, sf):
+    """A1 as a batch: exported journal files, read and typed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-journal-{uuid.uuid4().hex}"
+    tables.raw_journal_lines(spark, sf).write.text(path)
+    return J.read_journal_typed(spark, path, NOW).select("timestamp", "__CURSOR", "message", "priority", "extra_fields")
+
+
+@register("read_sample_files", with_ctes("SELECT " + _SAMPLE_FIELDS + " FROM samples_typed", SAMPLES_TYPED_CTE))
+def q_read_sample_files(spark, sf):
+    """A9 as a batch: sample files, read and typed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-samples-{uuid.uuid4().hex}"
+    tables.raw_samples(spark, sf).drop("seq").write.json(path)
+    return processes.to_process_metrics(S.read_process_samples(spark, path))

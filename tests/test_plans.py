@@ -82,3 +82,25 @@ def test_write_layout_is_range_partitioned_and_time_sorted(spark):
     plan = _plan(_write_layout(tables.journal_logs(spark, SF001)))
     assert "rangepartitioning(date" in plan and "timestamp" in plan.split("rangepartitioning(")[1].split(")")[0]
     assert "Sort [date" in plan
+
+
+def test_time_windows_open_their_dates_only(spark, stored):
+    from datetime import timedelta
+
+    from logtide.operators.ranking import rank_slice
+    from logtide.sources import journal as J
+
+    logs = tables.read_logs(spark, f"{stored}/logs")
+    frames = [J.at_timestamp(logs, datetime(2024, 1, 9, 1, 2, 3)), J.skip_older_than(logs, NOW - timedelta(days=3))[0], J.skip_older_than(logs, NOW - timedelta(days=3))[1],
+              maintenance.retain_by_age(logs, NOW, 5)[0], maintenance.retain_by_age(logs, NOW, 5)[1], maintenance.retain_by_size(logs, 60_000)[0],
+              J.backfill(logs, 60_000), J.recent_history(logs, NOW, NOW - timedelta(days=1)), rank_slice(logs, 100, 300, small=0, tiebreak="__CURSOR")]
+    for df in frames:
+        scans = [line for line in _plan(df).split("\n") if "FileScan" in line or "Scan parquet" in line]
+        assert scans and all("PartitionFilters: [isnotnull(date" in s for s in scans)
+
+
+def test_health_with_a_known_size_reads_no_text(spark, stored):
+    for df in (stats.stored_health(spark, f"{stored}/logs", f"{stored}/procs"), stats.stored_status(spark, f"{stored}/logs")):
+        plan = _plan(df)
+        assert "message" not in plan and "extra_fields" not in plan and "cmdline" not in plan
+    assert stats.stored_health(spark, f"{stored}/logs", f"{stored}/procs").first().database_size_bytes > 10_000
