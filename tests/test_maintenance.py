@@ -5,7 +5,6 @@ conform."""
 import random
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from pyspark.sql import functions as F
