@@ -155,9 +155,6 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_texts), self.counts)
 
-    def word(self, i: int) -> bytes:
-        return self.buffer[self.starts[i] : self.ends[i]]
-
 
 def _cut(buffer: bytes, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]]:
     """(place, part): parts of about `limit` bytes that end at white space."""
