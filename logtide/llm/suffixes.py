@@ -11,10 +11,10 @@ neighbouring strings share an anchor (their least hashed gram, equal in equal st
  - an anchor that occurs once proves its run unique;
  - runs with equal anchor and equal bytes are repeated, all of them.
 Where one anchor has runs of different bytes, its distinct runs are cut, at equal
-distances from the anchor, into groups of `group` starts.  The bytes that all strings of
-a group share decide against it if unique, the bytes that any of them covers decide for
-it if equal.  What is still open, the strings about an actual end of a match, enters the
-doubling, by `seed` bytes first.
+distances from the anchor, into groups of starts.  The bytes that all strings of a group
+share decide against it if unique, the bytes that any of them covers decide for it if
+equal; groups left open are cut finer (`groups`).  What is still open then, the strings
+about an actual end of a match, enters the doubling, by `seed` bytes first.
 
 Anchors, runs, groups and seeds are compared by hashes, two independent ones of 64 bits
 together (four seeds for each string).  No step sees a group whole: counts are partial
@@ -39,7 +39,7 @@ from logtide.llm.bounded import join_counted
 from logtide.llm.scratch import written
 from logtide.llm.textops import PrefixHash, blocks, byte_table, mix, odd, signed, texts_of, window_runs
 
-LENGTH, GRAM, GROUP, SEED = 400, 128, 16, 100
+LENGTH, GRAM, GROUPS_OF, SEED = 400, 128, (16, 4), 100
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 BLOCK = 1 << 20
 VALUES = byte_table(41)
@@ -168,7 +168,29 @@ def doubled(positions: DataFrame, starts: DataFrame, length: int, seed: int) ->
     return twice.join(again, "rank", "left_semi").select(*where)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, seed: int = SEED) -> DataFrame:
+def _narrowed(docs: DataFrame, asked: DataFrame, length: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(covered, open): of listed runs, cut into groups of starts, the spans found repeated and the groups still open.
+
+    asked and open: (id, copy, p struct<anchor, shape, place, n>), n > 1 for what is known to be
+    repeated and only stands as what others may be equal to."""
+    count = F.col("shape").bitwiseAND(0xFFFFFFFF).alias("count")
+    listed = written(asked.groupBy("id", "copy").agg(F.collect_list("p").alias("ps")), "groups-asked")
+    parts = written(join_counted(docs, listed, ["id", "copy"], "inner").select("id", "copy", "text", "ps").mapInArrow(_groups(length, group), GROUPS), "groups")
+    # inner bytes that occur once: every string of the part is unique
+    inside = ["anchor", "part", "inner"]
+    kept = parts.groupBy(*inside).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1").select(*inside)
+    maybe = written(parts.join(kept, inside, "left_semi"), "groups-shared")
+    whole = [*inside, "outer", "shape"]
+    distinct = written(maybe.groupBy(*whole).agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct("id", "copy", "place")).alias("x")), "groups-distinct")
+    covered = maybe.where("weight = 1").join(distinct.where("n > 1").select(*whole), whole).select("id", "copy", "place", count)
+    # what is left, and the distinct groups it may be equal to
+    n = F.greatest("n", "weight")
+    open_parts = distinct.groupBy(*inside).agg(F.count("*").alias("m"), F.min(n).alias("least")).where("m > 1 and least = 1").select(*inside)
+    left = distinct.join(open_parts, inside, "left_semi").select("x.id", "x.copy", F.struct("anchor", "shape", "x.place", n.alias("n")).alias("p"))
+    return covered, left
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, groups: tuple[int, ...] = GROUPS_OF, seed: int = SEED) -> DataFrame:
     """(id, copy, spans array<place, count>): runs of starts of repeated strings.
 
     docs: (id long not null, copy long, text)."""
@@ -182,25 +204,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     open_anchors = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("anchor")
     asked = distinct.join(open_anchors, "anchor", "left_semi").select("x.id", "x.copy", F.struct("anchor", "shape", "x.place", "n").alias("p"))
-    asked = written(asked.groupBy("id", "copy").agg(F.collect_list("p").alias("ps")), "runs-open")
-    parts = written(join_counted(docs, asked, ["id", "copy"], "inner").select("id", "copy", "text", "ps").mapInArrow(_groups(length, group), GROUPS), "groups")
-    # inner bytes that occur once: every string of the part is unique
-    inside = ["anchor", "part", "inner"]
-    kept = parts.groupBy(*inside).agg(F.count("*").alias("n"), F.min("weight").alias("least")).where("n > 1 and least = 1").select(*inside)
-    maybe = parts.join(kept, inside, "left_semi")
-    whole = [*inside, "outer", "shape"]
-    groups = written(maybe.groupBy(*whole).agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min(F.struct("id", "copy", "place")).alias("x")), "groups-distinct")
-    covered = maybe.where("weight = 1").join(groups.where("n > 1").select(*whole), whole).select("id", "copy", "place", count)
-    # what is left, and the distinct groups it may be equal to
-    open_parts = groups.groupBy(*inside).agg(F.count("*").alias("m"), F.min(F.greatest("n", "weight")).alias("least")).where("m > 1 and least = 1").select(*inside)
-    last = groups.join(open_parts, inside, "left_semi").select("x.id", "x.copy", F.struct("x.place", count).alias("p"))
-    last = written(last.groupBy("id", "copy").agg(F.collect_list("p").alias("ps")), "groups-open")
+    spans = [equal]
+    for group in groups:
+        covered, asked = _narrowed(docs, asked, length, group)
+        spans.append(covered)
+    last = written(asked.groupBy("id", "copy").agg(F.collect_list(F.struct("p.place", F.col("p.shape").bitwiseAND(0xFFFFFFFF).alias("count"))).alias("ps")), "starts-open")
     positions = written(join_counted(docs, last, ["id", "copy"], "inner").select("id", "copy", "text", "ps").mapInArrow(_seeds(length, seed), POSITIONS).distinct(), "positions")
     starts = last.select("id", "copy", F.explode("ps").alias("p")).select(
         "id", "copy", F.explode(F.sequence(F.col("p.place"), F.col("p.place") + F.col("p.count") - 1)).alias("place")).distinct()
     found = doubled(positions, starts, length, seed).withColumn("count", F.lit(1).cast("long"))
-    spans = equal.unionByName(covered).unionByName(found)
-    return spans.groupBy("id", "copy").agg(F.collect_list(F.struct("place", "count")).alias("spans"))
+    for more in spans:
+        found = found.unionByName(more)
+    return found.groupBy("id", "copy").agg(F.collect_list(F.struct("place", "count")).alias("spans"))
 
 
 def _without(length: int, n_keep: int):
@@ -231,7 +246,7 @@ def _without(length: int, n_keep: int):
     return run
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP,
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, groups: tuple[int, ...] = GROUPS_OF,
                     seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
     """`docs` (its columns `keep`, by default all) with n_bytes, n_removed, n_spans and kept (binary)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
@@ -239,7 +254,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], body.alias("__text"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("__id"),
                        F.xxhash64(F.col(f"`{key}`"), body).alias("__copy"))
     named = rows.select(F.col("__id").alias("id"), F.col("__copy").alias("copy"), F.coalesce("__text", F.lit("")).alias("text"))
-    spans = written(repeated_spans(named, length, gram, group, seed), "byte-spans").withColumnsRenamed({"id": "__id", "copy": "__copy"})
+    spans = written(repeated_spans(named, length, gram, groups, seed), "byte-spans").withColumnsRenamed({"id": "__id", "copy": "__copy"})
     joined = join_counted(rows, spans, ["__id", "__copy"], "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "spans")
     long = [T.StructField(n, T.LongType()) for n in RESULT[:3]]
     schema = T.StructType([*[f for f in rows.schema.fields if f.name in keep], *long, T.StructField("kept", T.BinaryType())])
