@@ -47,6 +47,11 @@ def _uniform(*keys: Column | int) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
 
 
+def _let(body, **values: Column) -> Column:
+    """body of named values, each computed once and not repeated in the expression."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def _ln_factorial(x: Column) -> Column:
     small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
     series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
@@ -58,21 +63,34 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
 
     The distribution function is summed over nine standard deviations about the mean;
     what lies beyond is below the resolution of u."""
-    total, good, draws = (c.cast("double") for c in (total, good, draws))
-    low, high = F.greatest(F.lit(0.0), draws + good - total), F.least(good, draws)
-    mean = draws * good / F.greatest(total, F.lit(1.0))
-    sd = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - good / F.greatest(total, F.lit(1.0))) * (total - draws) / F.greatest(total - 1, F.lit(1.0))))
-    a, b = F.greatest(low, F.floor(mean - 9 * sd) - 2), F.least(high, F.ceil(mean + 9 * sd) + 2)
-    choose = lambda n, k: _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-    first = F.exp(choose(good, a) + choose(total - good, draws - a) - choose(total, draws))
-
-    def walk(s: Column, x: Column) -> Column:
-        ratio = (good - x) * (draws - x) / F.greatest((x + 1) * (total - good - draws + x + 1), F.lit(1.0))
-        on = F.struct((s["p"] * ratio).alias("p"), (s["cum"] + s["p"]).alias("cum"), x.alias("k"))
-        return F.when(s["cum"] > u, s).otherwise(on)
-
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("cum"), a.cast("long").alias("k"))
-    return F.aggregate(F.sequence(a.cast("long"), b.cast("long")), start, walk, lambda s: s["k"])
+    one = F.lit(1.0)
+
+    def spread(v: Column) -> Column:
+        mean = v["draws"] * v["good"] / F.greatest(v["total"], one)
+        left = (1 - v["good"] / F.greatest(v["total"], one)) * (v["total"] - v["draws"]) / F.greatest(v["total"] - 1, one)
+        return _let(lambda m: bounds(v, m), mean=mean, sd=F.sqrt(F.greatest(F.lit(0.0), mean * left)))
+
+    def bounds(v: Column, m: Column) -> Column:
+        low = F.greatest(F.lit(0.0), v["draws"] + v["good"] - v["total"], F.floor(m["mean"] - 9 * m["sd"]) - 2)
+        high = F.least(v["good"], v["draws"], F.ceil(m["mean"] + 9 * m["sd"]) + 2)
+        return _let(lambda r: summed(v, r), low=low, high=high)
+
+    def summed(v: Column, r: Column) -> Column:
+        good, bad, draws, low = v["good"], v["total"] - v["good"], v["draws"], r["low"]
+        # choose(good, low) * choose(bad, draws - low) / choose(total, draws)
+        parts = F.array(good, bad, draws, v["total"] - draws, v["total"], low, good - low, draws - low, bad - draws + low)
+        signs = F.array(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, -1.0, -1.0, -1.0, -1.0, -1.0)])
+        first = F.exp(F.aggregate(F.zip_with(F.transform(parts, _ln_factorial), signs, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+
+        def walk(s: Column, x: Column) -> Column:
+            ratio = (good - x) * (draws - x) / F.greatest((x + 1) * (bad - draws + x + 1), one)
+            on = F.struct((s["p"] * ratio).alias("p"), (s["cum"] + s["p"]).alias("cum"), x.alias("k"))
+            return F.when(s["cum"] > v["u"], s).otherwise(on)
+
+        start = F.struct(first.alias("p"), F.lit(0.0).alias("cum"), low.cast("long").alias("k"))
+        return F.aggregate(F.sequence(low.cast("long"), r["high"].cast("long")), start, walk, lambda s: s["k"])
+
+    return _let(spread, total=total.cast("double"), good=good.cast("double"), draws=draws.cast("double"), u=u)
 
 
 def _split(node: Column, quotas: Column, draws: Column, seed: int) -> Column:
