@@ -4,7 +4,7 @@ Each language owns a tree of byte contexts of up to `order` bytes.  In a context
 a byte seen there c times out of n has probability c / (n + d), d being the
 number of distinct bytes seen; what is left, d / (n + d), is the escape to the
 context that is one byte shorter, where bytes already predicted are excluded.
-Below the empty context all 256 values are equally likely.  The statistics are
+Below the empty context all 256 values are equally likely.  A NUL begins a text anew.  The statistics are
 frozen after training, so the code length of a byte depends on nothing but its
 context: it is tabulated once, and a text costs one table row per byte.
 
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logtide.llm.bounded import most_frequent
+from logtide.llm.scratch import written
 from logtide.llm.textops import blocks, texts_of
 
 UNKNOWN = "und"
@@ -42,7 +44,7 @@ class LanguageModel:
     """Frozen code lengths: bits[context, symbol, language], and how to find a context."""
 
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol; 0: a byte never seen in training
+    symbol: np.ndarray  # byte -> symbol; 0: a byte never seen in training, 1: NUL, which also stands before a text
     context: np.ndarray  # the last ORDER symbols as one number -> row of bits
     bits: np.ndarray
     order: int
@@ -52,14 +54,12 @@ class LanguageModel:
         out = np.zeros((len(texts), len(self.languages)))
         size = len(self.symbol_values)
         for a, b in blocks(texts):
-            # `order` unseen symbols before each text: no context reaches into its neighbour
+            # `order` NULs before each text: no context reaches into its neighbour
             pad = b"\x00" * self.order
             raw = np.frombuffer(pad + pad.join(texts[a:b]), dtype=np.uint8)
             sizes = np.fromiter((len(t) for t in texts[a:b]), dtype=np.int64, count=b - a)
             first = np.cumsum(np.concatenate([[0], sizes[:-1] + self.order])) + self.order
             sym = self.symbol[raw]
-            for f in first:
-                sym[f - self.order : f] = 0
             code = np.zeros(max(0, len(sym) - self.order), dtype=np.int64)
             for k in range(self.order):
                 code = code * size + sym[k : k + len(code)]
@@ -120,23 +120,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     Rows whose text or language is null teach nothing.  Spark sums the counts of
     grams; the driver gets at most max_cells / 8 of them, the most frequent."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    grams = (
-        rows.mapInArrow(_count_grams(order), "lang string, gram long, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "gram", "lang").limit(max_cells // 8).toArrow()
-    )
-    return _tabulate(grams.column("lang").to_pylist(), grams.column("gram").to_numpy(), grams.column("n").to_numpy(), order, max_cells)
+    counts = written(rows.mapInArrow(_count_grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    grams = most_frequent(counts, "n", max_cells // 8, "gram", "lang").toArrow()
+    named = grams.column("lang").combine_chunks().dictionary_encode()
+    return _tabulate(named.dictionary.to_pylist(), named.indices.to_numpy(), grams.column("gram").to_numpy(), grams.column("n").to_numpy(), order, max_cells)
 
 
-def _tabulate(lang: list[str], gram: np.ndarray, n: np.ndarray, order: int, max_cells: int) -> LanguageModel:
-    languages = sorted(set(lang))
-    which = np.fromiter((languages.index(x) for x in lang), dtype=np.int64, count=len(lang))
+def _tabulate(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, max_cells: int) -> LanguageModel:
+    """lang: place in `names` of each gram's language."""
+    languages = sorted(names)
+    which = np.array([languages.index(x) for x in names] or [0])[lang]
     length, code = gram >> 40, gram & ((1 << 40) - 1)
-    seen = np.unique(code[length == 1])
+    seen = np.setdiff1d(code[length == 1], [0])
     symbol = np.zeros(256, dtype=np.int64)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size, n_lang = len(seen) + 1, max(1, len(languages))
-    # every gram as base-`size` number; the start padding is symbol 0, like any unseen byte
+    symbol[0], symbol[seen] = 1, np.arange(2, len(seen) + 2)
+    size, n_lang = len(seen) + 2, max(1, len(languages))
+    unseen = 255 - len(seen)  # byte values that symbol 0 stands for
+    # every gram as base-`size` number
     key = np.zeros(len(code), dtype=np.int64)
     for k in reversed(range(order + 1)):
         key = key * size + np.where(length > k, symbol[(code >> (8 * k)) & 255], 0)
@@ -151,35 +151,37 @@ def _tabulate(lang: list[str], gram: np.ndarray, n: np.ndarray, order: int, max_
         best = np.argsort(-weight, kind="stable")[: max(0, room - sum(map(len, kept)))]
         kept.append(np.sort(ctx[best]))
 
-    p = np.empty((sum(map(len, kept)), size, n_lang))
+    p = np.empty((sum(map(len, kept)), size, n_lang), dtype=np.float32)
     row_of = [np.zeros(1, dtype=np.int64)]  # by order: last k symbols -> row
     base = 0
     for k in range(order + 1):
         rows = base + np.arange(len(kept[k]))
         if k == 0:
             p[0] = 1 / 256  # order -1, spread over the symbols: symbol 0 stands for all unseen bytes
-            p[0, 0] = (257 - size) / 256
+            p[0, 0] = unseen / 256
         else:
             p[rows] = p[row_of[k - 1][kept[k] % size ** (k - 1)]]
             full = np.tile(row_of[k - 1], size)
             full[kept[k]] = rows
             row_of.append(full)
-        for lang_at in range(len(languages)):
+        for lang_at in range(len(languages) if len(rows) else 0):
             own = (length == k + 1) & (which == lang_at)
             at = np.searchsorted(kept[k], key[own] // size)
             ok = (at < len(kept[k])) & (kept[k][np.minimum(at, len(kept[k]) - 1)] == key[own] // size)
             counts = np.zeros((len(rows), size))
             counts[at[ok], (key[own] % size)[ok]] = n[own][ok]
             total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            lower = np.where(counts > 0, 0, p[rows, :, lang_at])
+            lower = np.where(counts > 0, 0, p[rows, :, lang_at].astype(np.float64))
             left = lower.sum(1, keepdims=True)
             # where nothing is left to escape to, no mass goes there
             escape = np.where(left > 0, distinct / np.maximum(1, total + distinct), 0.0)
             new = np.where(counts > 0, counts / np.maximum(1, total + np.where(left > 0, distinct, 0)), escape * lower / np.where(left > 0, left, 1))
             p[rows, :, lang_at] = np.where(total > 0, new, p[rows, :, lang_at])
         base += len(rows)
-    p[:, 0] /= 257 - size  # of one unseen byte value
-    return LanguageModel(languages, symbol, row_of[order], -np.log2(np.maximum(p, 1e-30)).astype(np.float32), order)
+    p[:, 0] /= max(1, unseen)  # of one unseen byte value
+    np.maximum(p, 1e-30, out=p)
+    np.log2(p, out=p)
+    return LanguageModel(languages, symbol, row_of[order], np.negative(p, out=p), order)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

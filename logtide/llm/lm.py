@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm.bounded import most_frequent
 from logtide.llm.scratch import written
 from logtide.llm.textops import blocks, texts_of
 
@@ -99,7 +100,7 @@ def vocabulary(training: DataFrame, text: str = "text", head: int = HEAD) -> tup
     """The vocabulary and the table of all counts (word, class, n)."""
     rows = training.select(F.col(f"`{text}`").cast("string").alias("text"))
     counts = written(rows.mapInArrow(_count_words, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()  # bounded by `head`
+    top = most_frequent(counts, "n", head, "word").toArrow()  # bounded by `head`
     words, n = top.column("word").to_pylist(), top.column("n").to_numpy().copy()
     cls = top.column("class").to_numpy().astype(np.int64)
     cls[:OWN_CLASSES] = np.arange(min(OWN_CLASSES, len(cls)))
@@ -276,7 +277,7 @@ def _score(shared, model, flat_shape):
         gain = np.log10(np.append(vocab.head_count, 0) + 1.0)  # the last one for words outside the head
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for a, b in blocks(texts, 4 << 20):
+            for a, b in blocks(texts, 2 << 20):
                 words, cls, at, first, triple = _read(texts[a:b], vocab)
                 sizes = np.diff(np.append(first, len(words)))
                 doc = np.repeat(np.arange(b - a), sizes)
