@@ -1,6 +1,6 @@
 """Vectorised helpers over Arrow string batches: byte blocks, words, rolling hashes.
 
-All work is done block by block (a few MB of text), so memory depends neither on
+All work is done block by block (half a megabyte of text), so memory depends neither on
 the number of rows of an Arrow batch nor on its longest text.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Characters between words: blank, and tab to carriage return.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACE_BYTES)] = True
