@@ -114,7 +114,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     docs: (id long not null, copy long, text)."""
     paths = written(docs.select("id", "copy", "text").mapInArrow(_paths(window, gram), PATHS), "paths")
-    shared = paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written: a join of two plain tables can split the rows of a frequent minimiser, one with an aggregate can't
+    shared = written(paths.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     live = written(paths.join(shared, "anchor", "left_semi"), "paths-shared")
     compact = written(live.groupBy("anchor", "path", "shape").agg(F.min("id").alias("first"), F.max("id").alias("last")), "paths-compact")
     # below: the documents above the smallest one lose the whole path

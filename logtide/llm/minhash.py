@@ -38,7 +38,7 @@ from logtide.llm.textops import Words, blocks, mix, odd, shingles, signed, texts
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 64, 8
 BLOCK_TEXTS = 128
-MOST_TEXTS, BLOCK_BYTES = 2048, 1 << 20
+MOST_TEXTS, BLOCK_BYTES = 1024, 1 << 19
 _U = np.uint64
 _FIRST_RANK = 2.0**-6  # width of the first cell along the rank axis; each next one is as wide as all before
 _NONE = _U(2**64 - 1)
@@ -207,7 +207,9 @@ def _classes(docs: DataFrame, key: str, text: str, least: float, options: dict)
                     .select("id", "node", "n", F.coalesce("component", "node").alias("class")), "class-rows")
     # a null id comes last
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
-    heads = named.groupBy("class").agg(first.alias("x"), F.sum("n").alias("class_size")).select("class", F.col("x.id").alias("class_id"), F.col("x.node").alias("head"), "class_size")
+    heads = named.groupBy("class").agg(first.alias("x"), F.sum("n").alias("class_size"))
+    # written: a join of two plain tables can split the rows of a large class, one with an aggregate can't
+    heads = written(heads.select("class", F.col("x.id").alias("class_id"), F.col("x.node").alias("head"), "class_size"), "class-heads")
     leader = F.col("class_id").eqNullSafe(F.col("id")) & (F.col("head") == F.col("node"))
     return written(named.join(heads, "class").select("id", "node", "n", "class_id", "class_size", leader.alias("leader")), "class-members")
 

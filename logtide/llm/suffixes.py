@@ -41,7 +41,7 @@ from logtide.llm.textops import PrefixHash, blocks, byte_table, mix, odd, signed
 
 LENGTH, GRAM, GROUPS_OF, SEED = 400, 128, (16, 4), 100
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 VALUES = byte_table(41)
 GRAM_BASE, PATH_BASE, SEED_BASE = odd(42), odd(43), odd(44)
 _LAST = 2**63 - 1
@@ -195,7 +195,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     docs: (id long not null, copy long, text)."""
     runs = written(docs.select("id", "copy", "text").mapInArrow(_runs(length, gram), RUNS), "runs")
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written: a join of two plain tables can split the rows of a frequent anchor, one with an aggregate can't
+    shared = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     live = written(runs.join(shared, "anchor", "left_semi"), "runs-shared")
     same = ["anchor", "path", "shape"]
     distinct = written(live.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "copy", "place")).alias("x")), "runs-distinct")
