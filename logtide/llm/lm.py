@@ -1,19 +1,22 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-A word's probability is that of its class after the two classes before it, times that
-of the word inside its class.  The most frequent words are classes of their own; the
+A word's probability is that of its class, times that of its group in the class, times
+that of the word in its group.  The most frequent words are classes of their own; the
 others share classes by their last letters, which tell languages and word forms apart.
-The classes are predicted by a log-bilinear model: the vectors of the two classes
-before, each through its own matrix, add up to a vector whose products with the class
-vectors, and biases, are the logits; scores are normalised over all classes.  Inside a
-class, words have their frequency plus one, and one more share is kept for unknown words.
-
-Spark counts all training words and all class triples.  The triples are dealt to tasks,
-each trains on its own in numpy (NCE against the classes' frequencies, one noise sample
-a batch, Adagrad), and Spark averages the parameters by the tasks' token counts, for a
-few rounds.  Scoring is one pass over the texts: a batch's distinct contexts are scored
-by matrix products.  Words beyond the `HEAD` most frequent, which travel with the model,
-meet their counts in a join.
+Groups are up to `GROUP` of the `HEAD` most frequent words of a class, by frequency; all
+rarer words of a class are one more item, the rest.  Each class, group and item has an
+output vector and a bias.  The two words before give the context: a class vector, plus
+one of its own for each word of the head, each through its own matrix, add up to a vector
+whose products with the output vectors, and biases, are the logits; scores are normalised
+over all classes, the groups of the class, and the items of the group.  Inside the rest,
+words have their frequency plus one, and one more share is kept for unknown words.
+
+Spark counts all training words.  Each round takes its share of the training texts, all
+rounds together take each text once: tasks train on all tokens they read in numpy (NCE
+against the frequencies, a noise sample a batch for classes, siblings of each goal below them, Adagrad), and Spark averages
+the parameters, by the tasks' token counts, or a word's by its occurrences.  Scoring is
+one pass over the texts by matrix products.  Words beyond the head, which travels with
+the model, meet their counts in a join.
 
 Defined results: a null text is the end token alone; repeated rows are scored alike; with
 no training text the scores are 0; a null id belongs to the training part (its checksum
@@ -36,8 +39,9 @@ from logtide.llm.bounded import most_frequent
 from logtide.llm.scratch import written
 from logtide.llm.textops import blocks, texts_of
 
-OWN_CLASSES, SHARED_CLASSES, HEAD = 128, 128, 1 << 17
+OWN_CLASSES, SHARED_CLASSES, HEAD, GROUP = 128, 128, 1 << 17, 32
 DIM, NOISE, BATCH, EPOCHS, LEAST_STEPS, ROUNDS, RATE, FREQUENCY = 24, 64, 2048, 1, 100, 3, 0.3, 0.1
+SIBLINGS, ROW_RATE, BUFFER, SLICE = 4, 0.1, 1 << 20, 4096
 END = b""
 FLUSH = 200_000
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -114,50 +118,53 @@ def vocabulary(training: DataFrame, text: str = "text", head: int = HEAD) -> tup
     return Vocabulary({w: i for i, w in enumerate(words)}, cls, n, total, size, int(total.sum()), int(size.sum())), counts
 
 
-def _triples(classes: np.ndarray, first: np.ndarray, end_class: int) -> np.ndarray:
-    """Code (two before, before, class) of every token; before a text there are ends."""
-    n = OWN_CLASSES + SHARED_CLASSES
-    one, two = np.empty_like(classes), np.empty_like(classes)
-    one[1:], two[2:] = classes[:-1], classes[:-2]
-    one[first] = end_class
-    two[first] = end_class
-    two[np.minimum(first + 1, len(classes) - 1)] = end_class
-    return (two * n + one) * n + classes
-
-
-def _read(texts: list[bytes], vocab: Vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, class, head place, first token of each text, triple) of a block."""
+class Tree:
+    """Items (words of the head, and the rest of each shared class) by class and group.
+
+    An item's number is its place in that order, so groups and classes are ranges."""
+
+    def __init__(self, vocab: Vocabulary):
+        n, head = len(vocab.class_total), len(vocab.head_class)
+        self.rest_tokens = vocab.class_total - np.bincount(vocab.head_class, vocab.head_count, n).astype(np.int64)
+        self.rest_words = vocab.class_words - np.bincount(vocab.head_class, minlength=n)
+        cls = np.concatenate([vocab.head_class, np.arange(OWN_CLASSES, n)])
+        weight = np.concatenate([vocab.head_count, self.rest_tokens[OWN_CLASSES:] + 1]) + 0.5
+        order = np.lexsort((-weight, cls))
+        place = np.empty(len(cls), dtype=np.int64)
+        place[order] = np.arange(len(cls))
+        self.of_head, self.of_rest = place[:head], np.concatenate([np.zeros(OWN_CLASSES, dtype=np.int64), place[head:]])
+        self.item_class, self.item_weight = cls[order], weight[order]
+        nth = np.arange(len(cls)) - np.searchsorted(self.item_class, self.item_class)
+        self.item_group = np.cumsum(nth % GROUP == 0) - 1
+        first = np.flatnonzero(nth % GROUP == 0)
+        self.group_first = np.append(first, len(cls))
+        self.group_class = self.item_class[first]
+        self.group_weight = np.add.reduceat(self.item_weight, first)
+        self.class_first = np.searchsorted(self.group_class, np.arange(n + 1))
+        self.end = int(self.of_head[vocab.head[END]]) if END in vocab.head else 0
+
+    def items(self, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, np.append(self.of_head, 0)[at], self.of_rest[cls])
+
+
+def _contexts(item: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(two before, one before) of every token; before a text there are ends."""
+    one, two = np.empty_like(item), np.empty_like(item)
+    one[1:], two[2:] = item[:-1], item[:-2]
+    one[first] = end
+    two[first] = end
+    two[np.minimum(first + 1, len(item) - 1)] = end
+    return two, one
+
+
+def _read(texts: list[bytes], vocab: Vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, class, head place, first token of each text) of a block."""
     words: list[bytes] = []
     first = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         first[i] = len(words)
         words += tokens(t)
-    cls, at = vocab.classes(words)
-    return words, cls, at, first, _triples(cls, first, vocab.head_class[vocab.head[END]] if END in vocab.head else 0)
-
-
-def _count_triples(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held, size = Vocabulary(**shared.value), [], 0
-
-        def out() -> pa.RecordBatch:
-            codes, place = np.unique(np.concatenate(held[0::2]), return_inverse=True)
-            n = np.bincount(place, np.concatenate(held[1::2])).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["triple", "n"])
-
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            for a, b in blocks(texts):
-                codes, n = np.unique(_read(texts[a:b], vocab)[4], return_counts=True)
-                held += [codes, n]
-                size += len(codes)
-                if size > 2_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    return run
+    return words, *vocab.classes(words), first
 
 
 @dataclass
@@ -199,101 +206,276 @@ def start(class_total: np.ndarray, seed: int = 5) -> Parameters:
     return Parameters(*[x.astype(np.float32) for x in made])
 
 
-def nce(p: Parameters, triple: np.ndarray, count: np.ndarray, class_total: np.ndarray, seed: int) -> Parameters:
-    """Noise-contrastive training on counted triples: batches drawn by count, EPOCHS times the list, LEAST_STEPS at least."""
-    rng, n = np.random.default_rng(seed), len(class_total)
-    noise = frequencies(class_total)
-    log_noise, k = np.log(noise).astype(np.float32), NOISE
-    p = Parameters(*[x.copy() for x in vars(p).values()])
-    seen = [np.full_like(x, 1e-2) for x in vars(p).values()]
-    upto = np.cumsum(count)
-    for _ in range(max(LEAST_STEPS, EPOCHS * len(triple) // BATCH)):
-        t = triple[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), side="right")]
-        two, one, goal = t // (n * n), t // n % n, t % n
+@dataclass
+class Items:
+    """Vectors of items as context, beside that of their class, and output vectors (bias last) of items and groups."""
+
+    own: np.ndarray
+    words: np.ndarray
+    groups: np.ndarray
+
+
+def start_items(tree: Tree) -> Items:
+    """All zero but the biases, which are frequencies: the model begins as that of classes."""
+    out = []
+    for weight, parent, first in ((tree.item_weight, tree.item_group, tree.group_first), (tree.group_weight, tree.group_class, tree.class_first)):
+        table = np.zeros((len(weight), DIM + 1), dtype=np.float32)
+        table[:, DIM] = np.log(weight / np.add.reduceat(weight, first[:-1])[parent])
+        out.append(table)
+    return Items(np.zeros((len(tree.item_weight), DIM), dtype=np.float32), *out)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Trainer:
+    """Noise-contrastive training of (copies of) the parameters, batch by batch."""
+
+    def __init__(self, p: Parameters, class_total: np.ndarray, seed: int, items: Items | None = None, tree: Tree | None = None, sums: list[np.ndarray] | None = None):
+        self.rng, self.n = np.random.default_rng(seed), len(class_total)
+        self.p = Parameters(*[x.copy() for x in vars(p).values()])
+        self.seen = [np.full_like(x, 1e-2) for x in vars(p).values()]
+        self.noise = frequencies(class_total)
+        self.log_noise = np.log(self.noise).astype(np.float32)
+        self.tree, self.items = tree, None if items is None else Items(*[x.copy() for x in vars(items).values()])
+        if tree is not None:
+            self.sums = [x.copy() for x in sums] if sums else [np.ones(len(x), dtype=np.float32) for x in vars(items).values()]
+            self.times = [np.zeros(len(x), dtype=np.float32) for x in vars(items).values()]  # occurrences of each row
+            self.levels = []  # by level: share of the parent, bounds of siblings
+            for weight, parent, first in ((tree.item_weight, tree.item_group, tree.group_first), (tree.group_weight, tree.group_class, tree.class_first)):
+                share = weight / np.add.reduceat(weight, first[:-1])[parent]
+                self.levels.append((np.log(share * SIBLINGS).astype(np.float32), np.append(0, np.cumsum(weight)), first[parent], first[parent + 1]))
+
+    def _add(self, which: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """An Adagrad step of some rows, which may repeat."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        new = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        at, g = rows[new], np.add.reduceat(gradient[order], new, axis=0)
+        s = self.sums[which]
+        s[at] += (g * g).mean(1)
+        list(vars(self.items).values())[which][at] += ROW_RATE * g / np.sqrt(s[at])[:, None]
+
+    def step(self, two: np.ndarray, one: np.ndarray, goal: np.ndarray) -> None:
+        """One batch: classes, or items if there is a tree."""
+        p, n, k, size = self.p, self.n, NOISE, len(goal)
+        rows, item = (two, one), goal
+        if self.tree is not None:
+            two, one, goal = (self.tree.item_class[x] for x in (two, one, goal))
         r1, r2 = p.vectors[one], p.vectors[two]
+        if self.tree is not None:
+            r1, r2 = r1 + self.items.own[rows[1]], r2 + self.items.own[rows[0]]
         q = r1 @ p.before + r2 @ p.two_before
-        false = rng.choice(n, k, p=noise)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        up = 1 - sigmoid((q * p.outputs[goal]).sum(1) + p.bias[goal] - log_noise[goal] - np.log(k))  # wanted higher
-        down = sigmoid(q @ p.outputs[false].T + p.bias[false] - log_noise[false] - np.log(k))  # wanted lower
+        false = self.rng.choice(n, k, p=self.noise)
+        log_noise = self.log_noise + np.float32(np.log(k))
+        up = 1 - _sigmoid((q * p.outputs[goal]).sum(1) + p.bias[goal] - log_noise[goal])  # wanted higher
+        down = _sigmoid(q @ p.outputs[false].T + p.bias[false] - log_noise[false])  # wanted lower
         dq = up[:, None] * p.outputs[goal] - down @ p.outputs[false]
-        hot = np.zeros((n, BATCH), dtype=np.float32)
-        hot[goal, np.arange(BATCH)] = up
+        hot = np.zeros((n, size), dtype=np.float32)
+        at = np.arange(size)
+        hot[goal, at] = up
         out, bias = hot @ q, hot.sum(1)
         np.add.at(out, false, -(down.T @ q))
         np.add.at(bias, false, -down.sum(0))
+        if self.tree is not None:
+            some = np.flatnonzero(goal >= OWN_CLASSES)
+            if len(some):
+                q1 = np.concatenate([q[some], np.ones((len(some), 1), dtype=np.float32)], axis=1)
+                for which, own, (log_q, upto, lo, hi) in zip((1, 2), (item[some], self.tree.item_group[item[some]]), self.levels):
+                    table = self.items.words if which == 1 else self.items.groups
+                    # noise are siblings of each goal, by frequency
+                    low, high = upto[lo[own]][:, None], upto[hi[own]][:, None]
+                    bad = np.searchsorted(upto, low + self.rng.random((len(own), SIBLINGS)) * (high - low), side="right") - 1
+                    bad = np.clip(bad, lo[own][:, None], hi[own][:, None] - 1)
+                    drawn = np.concatenate([own[:, None], bad], axis=1)
+                    rows_of = table[drawn]
+                    pull = -_sigmoid(np.einsum("ijk,ik->ij", rows_of, q1) - log_q[drawn])
+                    pull[:, 0] += 1
+                    pull[hi[own] - lo[own] < 2] = 0  # an only child
+                    dq[some] += np.einsum("ij,ijk->ik", pull, rows_of[:, :, :DIM])
+                    np.add.at(self.times[which], own, 1)
+                    self._add(which, drawn.ravel(), (pull[:, :, None] * q1[:, None, :]).reshape(-1, DIM + 1))
         d1, d2 = dq @ p.before.T, dq @ p.two_before.T
-        ctx = np.zeros((n, BATCH), dtype=np.float32)
-        ctx[one, np.arange(BATCH)] = 1
-        vec = ctx @ d1
-        ctx[one, np.arange(BATCH)] = 0
-        ctx[two, np.arange(BATCH)] = 1
-        vec += ctx @ d2
-        for x, g, s in zip(vars(p).values(), (vec, r1.T @ dq, r2.T @ dq, out, bias), seen):
-            g = g / BATCH
+        hot[goal, at] = 0
+        hot[one, at] = 1
+        vec = hot @ d1
+        hot[one, at] = 0
+        hot[two, at] = 1
+        vec += hot @ d2
+        if self.tree is not None:
+            both = np.concatenate([rows[1], rows[0]])
+            np.add.at(self.times[0], both, 1)
+            self._add(0, both, np.concatenate([d1, d2]))
+        for x, g, s in zip(vars(p).values(), (vec, r1.T @ dq, r2.T @ dq, out, bias), self.seen):
+            g = g / size
             s += g * g
             x += RATE * g / np.sqrt(s)
-    return p
+
+    def learn(self, two: np.ndarray, one: np.ndarray, goal: np.ndarray, least: int = 0) -> None:
+        """EPOCHS times all tokens in random order, and `least` batches at least."""
+        n, done = len(goal), 0
+        while done < EPOCHS * n or done < least * BATCH:
+            order = self.rng.permutation(n)
+            if n < BATCH:
+                order = np.concatenate([order, self.rng.integers(0, n, BATCH - n)])
+            for a in range(0, len(order), BATCH):
+                at = order[a : a + BATCH]
+                self.step(two[at], one[at], goal[at])
+                if (done := done + len(at)) >= max(EPOCHS * n, least * BATCH):
+                    break
+
+
+def nce(p: Parameters, triple: np.ndarray, count: np.ndarray, class_total: np.ndarray, seed: int) -> Parameters:
+    """The class part alone, trained on all tokens of counted class triples, LEAST_STEPS batches at least."""
+    n = len(class_total)
+    t = np.repeat(triple, count)
+    trainer = Trainer(p, class_total, seed)
+    trainer.learn(t // (n * n), t // n % n, t % n, LEAST_STEPS)
+    return trainer.p
+
+
+def _train(shared, now, seed: int):
+    """Sums of the parameters of a task, times what it has seen of them: slice 0 of table -1 is the classes' part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        vocab = Vocabulary(**shared.value)
+        tree = Tree(vocab)
+        flat, tables, sums = now.value
+        trainer = Trainer(start(vocab.class_total).like(flat), vocab.class_total, seed * 1_000_003 + TaskContext.get().partitionId(), Items(*tables), tree, sums)
+        held, waiting, seen = [], 0, 0
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in blocks(texts):
+                _, cls, at, first = _read(texts[a:b], vocab)
+                item = tree.items(cls, at)
+                held.append((*_contexts(item, first, tree.end), item))
+                waiting += len(item)
+                if waiting >= BUFFER:
+                    trainer.learn(*[np.concatenate(x) for x in zip(*held)])
+                    held, waiting, seen = [], 0, seen + waiting
+        if waiting:
+            trainer.learn(*[np.concatenate(x) for x in zip(*held)], 0 if seen else LEAST_STEPS)
+            seen += waiting
+        if not seen:
+            return
+        names = ["which", "slice", "x", "w"]
+        row = lambda which, i, x, w: pa.RecordBatch.from_pydict(
+            {"which": pa.array([which], pa.int32()), "slice": pa.array([i], pa.int32()), "x": pa.array([x.astype("<f4").tobytes()], pa.binary()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
+        flat = trainer.p.flat()
+        yield row(-1, 0, flat * seen, np.full(1, seen)).select(names)
+        for which, (table, times, s) in enumerate(zip(vars(trainer.items).values(), trainer.times, trainer.sums)):
+            table = np.concatenate([table, s[:, None]], axis=1)
+            for i in range(0, len(table), SLICE):
+                w = times[i : i + SLICE]
+                if w.any():
+                    yield row(which, i // SLICE, table[i : i + SLICE] * w[:, None], w).select(names)
+
+    return run
 
 
-def train(training: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> Parameters:
-    """Parameters from all class triples of the training texts."""
+def _summed(group: pa.Table) -> pa.Table:
+    total = lambda c: sum(np.frombuffer(x.as_py(), dtype="<f4").astype(np.float64) for x in group.column(c))
+    return pa.table({"which": group.column("which").slice(0, 1), "slice": group.column("slice").slice(0, 1),
+                     "x": pa.array([total("x").astype("<f4").tobytes()], pa.binary()), "w": pa.array([total("w").astype("<f4").tobytes()], pa.binary())})
+
+
+def train(training: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> tuple[Parameters, Items]:
+    """Parameters from all tokens of the training texts."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(vars(vocab))
     rows = training.select(F.col(f"`{text}`").cast("string").alias("text"))
-    triples = written(rows.mapInArrow(_count_triples(shared), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")), "triples")
-    p = start(vocab.class_total)
+    p, items = start(vocab.class_total), start_items(Tree(vocab))
+    sums = [np.ones(len(x), dtype=np.float32) for x in vars(items).values()]  # Adagrad's, of each row
+    if not vocab.total:
+        return p, items
     for r in range(rounds):
-        now = spark.sparkContext.broadcast((p.flat(), vocab.class_total))
-
-        def run(batches: Iterator[pa.RecordBatch], now=now, r=r) -> Iterator[pa.RecordBatch]:
-            flat, totals = now.value
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-            if parts:
-                triple, n = (np.concatenate(x) for x in zip(*parts))
-                # weighed by what a task has seen, so that large tasks count more
-                new = nce(start(totals).like(flat), triple, n, totals, int(triple[0] % 2**31) + r).flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(new)), pa.int64()), pa.array(new * n.sum(), pa.float64()),
-                                                  pa.array(np.full(len(new), float(n.sum())), pa.float64())], names=["at", "x", "w"])
-
-        mean = triples.mapInArrow(run, "at long, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).orderBy("at")
-        flat = mean.toArrow().column("x").to_numpy()  # one row a parameter
-        if len(flat):
-            p = p.like(flat)
-    return p
-
-
-def _score(shared, model, flat_shape):
+        now = spark.sparkContext.broadcast((p.flat(), list(vars(items).values()), sums))
+        # as many models as tasks run at a time: each has the whole head
+        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).coalesce(spark.sparkContext.defaultParallelism)
+        parts = some.mapInArrow(_train(shared, now, r), "which int, slice int, x binary, w binary").groupBy("which", "slice")
+        for s in parts.applyInArrow(_summed, "which int, slice int, x binary, w binary").toArrow().to_pylist():  # the size of the model
+            x, w = np.frombuffer(s["x"], dtype="<f4"), np.frombuffer(s["w"], dtype="<f4")
+            if s["which"] < 0:
+                p = p.like(x / w[0])
+            else:
+                at, seen = slice(s["slice"] * SLICE, s["slice"] * SLICE + len(w)), w > 0
+                mean = x.reshape(len(w), -1)[seen] / w[seen, None]
+                list(vars(items).values())[s["which"]][at][seen] = mean[:, :-1]
+                sums[s["which"]][at][seen] = mean[:, -1]
+        now.unpersist()
+    return p, items
+
+
+def _among(q: np.ndarray, goal: np.ndarray, parent: np.ndarray, first: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of nodes among those of the same parent, which are ranges that begin at `first`."""
+    out = np.zeros(len(goal))
+    order = np.argsort(parent[goal], kind="stable")
+    of = parent[goal[order]]
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(of))):
+        lo, hi = first[of[a]], first[of[a] + 1]
+        if hi - lo < 2:
+            continue
+        own = order[a:b]
+        s = q[own] @ table[lo:hi, :DIM].T + table[lo:hi, DIM]
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        at = goal[own] - lo
+        out[own] = np.log((1 - FREQUENCY) * s[np.arange(b - a), at] / s.sum(1) + FREQUENCY * weight[lo + at] / weight[lo:hi].sum())
+    return out
+
+
+def log_probabilities(p: Parameters, items: Items, tree: Tree, two: np.ndarray, one: np.ndarray, goal: np.ndarray, frequency: np.ndarray, mapped=None) -> np.ndarray:
+    """Natural log-probability of each item after its context: class, group in it, item in that."""
+    first, second = mapped or mapped_contexts(p, items, tree)
+    q, cls = first[one] + second[two], tree.item_class[goal]
+    out = np.empty(len(goal))
+    for a in range(0, len(goal), 4096):
+        s = q[a : a + 4096] @ p.outputs.T + p.bias
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        own = cls[a : a + 4096]
+        out[a : a + 4096] = np.log((1 - FREQUENCY) * s[np.arange(len(s)), own] / s.sum(1) + FREQUENCY * frequency[own])
+    some = np.flatnonzero(cls >= OWN_CLASSES)
+    for a in range(0, len(some), 1 << 18):
+        at = some[a : a + (1 << 18)]
+        out[at] += _among(q[at], tree.item_group[goal[at]], tree.group_class, tree.class_first, items.groups, tree.group_weight)
+        out[at] += _among(q[at], goal[at], tree.item_group, tree.group_first, items.words, tree.item_weight)
+    return out
+
+
+def mapped_contexts(p: Parameters, items: Items, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """What each item adds to the context vector, as the word before and as the one before that."""
+    v = p.vectors[tree.item_class] + items.own
+    return v @ p.before, v @ p.two_before
+
+
+def _score(shared, model):
     """Per row what the task knows (word null), and the words it must look up (tf of each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         vocab = Vocabulary(**shared.value)
-        p = start(vocab.class_total).like(model.value)
-        n, frequency = len(vocab.class_total), frequencies(vocab.class_total)
+        flat, tables = model.value
+        p, items, tree = start(vocab.class_total).like(flat), Items(*tables), Tree(vocab)
+        frequency, mapped = frequencies(vocab.class_total), mapped_contexts(p, items, tree)
         number = TaskContext.get().partitionId() << 33
-        # of a word inside its class: 1 for a class of one word, else (count + 1) / (tokens + words + 1)
-        inside = np.where(np.arange(n) < OWN_CLASSES, 0.0, np.log10(vocab.class_total + vocab.class_words + 1.0))
+        # of a word inside the rest of its class: (count + 1) / (tokens + words + 1)
+        inside = np.log10(tree.rest_tokens + tree.rest_words + 1.0)
         gain = np.log10(np.append(vocab.head_count, 0) + 1.0)  # the last one for words outside the head
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in blocks(texts, 2 << 20):
-                words, cls, at, first, triple = _read(texts[a:b], vocab)
+                words, cls, at, first = _read(texts[a:b], vocab)
                 sizes = np.diff(np.append(first, len(words)))
                 doc = np.repeat(np.arange(b - a), sizes)
-                context, place = np.unique(triple // n, return_inverse=True)
-                logp = np.empty(len(words))
-                order = np.argsort(place, kind="stable")
-                ends = np.searchsorted(place[order], np.arange(0, len(context) + 4096, 4096))
-                for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
-                    some = context[i * 4096 : (i + 1) * 4096]
-                    if not len(some):
-                        break
-                    own = order[lo:hi]
-                    logp[own] = p.log_probabilities(some // n, some % n, frequency)[place[own] - i * 4096, cls[own]] / LN10
+                item = tree.items(cls, at)
+                two, one = _contexts(item, first, tree.end)
+                logp = log_probabilities(p, items, tree, two, one, item, frequency, mapped) / LN10
                 known = at >= 0
-                logp -= inside[cls]
-                logp[known] += np.where(cls[known] < OWN_CLASSES, 0.0, gain[at[known]])
+                logp[~known] -= inside[cls[~known]]
                 base = np.where(known, gain[at], 0.0)
                 ids = number + np.arange(b - a)
                 number += b - a
@@ -321,11 +503,11 @@ def score(docs: DataFrame, training: DataFrame, keep: list[str], text: str = "te
     spark = docs.sparkSession
     keep = [c for c in keep if c not in RESULT]
     vocab, counts = vocabulary(training, text)
-    parameters = train(training, vocab, text)
-    shared, model = spark.sparkContext.broadcast(vars(vocab)), spark.sparkContext.broadcast(parameters.flat())
+    parameters, items = train(training, vocab, text)
+    shared, model = spark.sparkContext.broadcast(vars(vocab)), spark.sparkContext.broadcast((parameters.flat(), list(vars(items).values())))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, row long, word binary, n long, known long, base double, logp double"
-    parts = written(rows.mapInArrow(_score(shared, model, None), schema), "scores")
+    parts = written(rows.mapInArrow(_score(shared, model), schema), "scores")
     # words beyond the head: none is frequent, so none is a hot key
     looked = parts.where("word is not null").select("row", "word", "n").join(counts.withColumnRenamed("n", "c").select("word", "c"), "word")
     gain = looked.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("gain"))

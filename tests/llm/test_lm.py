@@ -71,3 +71,61 @@ def test_empty(spark):
     rows = lm.score(docs, cases.empty(spark), ["doc_id"]).collect()
     assert all(r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in rows)
     assert lm.score(cases.empty(spark), docs, ["doc_id"]).count() == 0
+
+
+def _vocabulary(words):
+    """Of `words` by frequency, the most frequent first."""
+    n = np.arange(len(words), 0, -1) + 100
+    cls = np.array([i if i < lm.OWN_CLASSES else lm.shared_class(w) for i, w in enumerate(words)])
+    size = lm.OWN_CLASSES + lm.SHARED_CLASSES
+    return lm.Vocabulary({w: i for i, w in enumerate(words)}, cls, n, np.bincount(cls, n, size).astype(np.int64), np.bincount(cls, minlength=size), int(n.sum()), len(words))
+
+
+def test_items_are_normalised_over_all_classes():
+    vocab = _vocabulary([b"%dx%03d" % (i, i % 7) for i in range(2000)])
+    tree = lm.Tree(vocab)
+    p, items = lm.start(vocab.class_total), lm.start_items(tree)
+    rng = np.random.default_rng(1)
+    for x in vars(items).values():
+        x += 0.3 * rng.standard_normal(x.shape).astype(np.float32)
+    goal = np.arange(len(tree.item_class))
+    # classes 0 to OWN_CLASSES have one item each; a shared class without words has its rest
+    assert set(tree.item_class) == set(range(lm.OWN_CLASSES + lm.SHARED_CLASSES))
+    for two, one in ((3, 1500), (1999, 140)):
+        got = lm.log_probabilities(p, items, tree, np.full(len(goal), two), np.full(len(goal), one), goal, lm.frequencies(vocab.class_total))
+        assert abs(np.exp(got).sum() - 1) < 1e-4
+
+
+def test_words_of_one_class_are_told_apart(spark):
+    """Beyond the OWN_CLASSES most frequent words, all of one class: only their own vectors know which follows which."""
+    rng = np.random.default_rng(2)
+    common = [f"w{i}" for i in range(lm.OWN_CLASSES)]
+    pairs = [(f"a{i}same", f"b{i}same") for i in range(20)]
+    texts = []
+    for i in range(400):
+        words = [w for j in rng.integers(0, len(pairs), 60) for w in pairs[j]]
+        texts.append((i, " ".join([*words, *common * 4])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    c = Counter(w for _, t in texts for w in t.split())
+    assert max(c[w] for pair in pairs for w in pair) > 0 and {lm.shared_class(w.encode()) for pair in pairs for w in pair} == {lm.shared_class(b"same")}
+    vocab, _ = lm.vocabulary(docs)
+    # the words in question are not frequent enough for a class of their own
+    beyond = [w for pair in pairs for w in pair if vocab.head_class[vocab.head[w.encode()]] >= lm.OWN_CLASSES]
+    p, items = lm.train(docs, vocab)
+    tree = lm.Tree(vocab)
+    item = lambda w: tree.of_head[vocab.head[w.encode()]]
+    some = [(a, b) for a, b in pairs if a in beyond and b in beyond]
+    assert len(some) >= 10
+    one, goal, other = (np.array([item(x) for x in xs]) for xs in ([a for a, _ in some], [b for _, b in some], [b for _, b in some[1:] + some[:1]]))
+    f = lm.frequencies(vocab.class_total)
+    two = np.full(len(one), item(some[0][1]))
+    right, wrong = (lm.log_probabilities(p, items, tree, two, one, g, f) for g in (goal, other))
+    assert (right - wrong).mean() > 1
+
+
+def test_draws_follow_tokens(monkeypatch):
+    steps = []
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, two, one, goal: steps.append(len(goal)))
+    totals = np.ones(lm.OWN_CLASSES + lm.SHARED_CLASSES, dtype=np.int64)
+    lm.nce(lm.start(totals), np.arange(5), np.full(5, 200_000), totals, 1)
+    assert sum(steps) == lm.EPOCHS * 1_000_000
