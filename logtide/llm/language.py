@@ -8,9 +8,11 @@ Below the empty context all 256 values are equally likely.  A NUL begins a text
 frozen after training, so the code length of a byte depends on nothing but its
 context: it is tabulated once, and a text costs one table row per byte.
 
-Counts are taken by Spark over every training text.  The table's size is bounded
-by `MAX_CELLS` (contexts x bytes x languages): the most frequent contexts are
-kept, rarer ones fall back to their longest kept suffix.
+Counts are taken by Spark over every training text, and every gram reaches the model.
+The table's size is bounded by `MAX_CELLS` (contexts x bytes x languages): the most
+frequent contexts have a row there.  All others are kept sparse, language by language:
+a code length for each gram seen, and what the escape from each context adds; the
+code lengths are the same either way.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 with no learned language everything is `und`; equal code lengths go to the first
@@ -21,7 +23,7 @@ input that is named like one of the result is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtide.llm.bounded import most_frequent
 from logtide.llm.scratch import written
 from logtide.llm.textops import blocks, texts_of
 
@@ -39,6 +40,14 @@ MAX_CELLS = 12_000_000
 RESULT = ("lang_pred", "score", "bits_per_byte")
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of some numbers in an ascending array."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class LanguageModel:
     """Frozen code lengths: bits[context, symbol, language], and how to find a context."""
@@ -48,6 +57,30 @@ class LanguageModel:
     context: np.ndarray  # the last ORDER symbols as one number -> row of bits
     bits: np.ndarray
     order: int
+    # of each order with contexts outside the table, ascending: (order, contexts in the table, their rows,
+    # rows of the order below, by language (grams, code lengths, contexts, code lengths of the escape))
+    sparse: list[tuple] = field(default_factory=list)
+
+    def rest(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Code lengths (a column a language) of symbols whose contexts may be outside the table."""
+        size, n_lang = self.bits.shape[1:]
+        out, todo = np.zeros((len(context), n_lang)), np.ones((len(context), n_lang), dtype=bool)
+        for k, kept, rows, _, by_language in reversed(self.sparse):
+            own = context % size**k
+            at, inside = _find(kept, own)
+            inside = np.flatnonzero(inside)
+            out[inside] += np.where(todo[inside], self.bits[rows[at[inside]], symbol[inside]], 0)
+            todo[inside] = False
+            for lang, (grams, bits, contexts, escape) in enumerate(by_language):
+                i = np.flatnonzero(todo[:, lang])
+                at, ok = _find(grams, own[i] * size + symbol[i])
+                out[i[ok], lang] += bits[at[ok]]
+                todo[i[ok], lang] = False
+                i = i[~ok]
+                at, ok = _find(contexts, own[i])
+                out[i[ok], lang] += escape[at[ok]]
+        k, below = (self.sparse[0][0], self.sparse[0][3]) if self.sparse else (self.order + 1, self.context)
+        return out + np.where(todo, self.bits[below[context % size ** (k - 1)], symbol], 0)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (rows) under each language (columns)."""
@@ -64,7 +97,13 @@ class LanguageModel:
             for k in range(self.order):
                 code = code * size + sym[k : k + len(code)]
             for i in range(0, len(code), 1 << 19):  # bounded rows of float64 at a time
-                rows = self.bits[self.context[code[i : i + (1 << 19)]], sym[self.order + i :][: len(code[i : i + (1 << 19)])]]
+                ctx = code[i : i + (1 << 19)]
+                goal = sym[self.order + i :][: len(ctx)]
+                rows = self.bits[self.context[ctx], goal]
+                if self.sparse:
+                    out_of = np.flatnonzero(~_find(self.sparse[-1][1], ctx)[1])
+                    grams, place = np.unique(ctx[out_of] * size + goal[out_of], return_inverse=True)
+                    rows[out_of] = self.rest(grams // size, grams % size)[place]
                 at = np.arange(i, i + len(rows))
                 text = np.searchsorted(first - self.order, at, side="right") - 1
                 inside = at < (first - self.order + sizes)[text]
@@ -118,12 +157,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: int =
     """Context trees of every language of `docs`, from all its texts.
 
     Rows whose text or language is null teach nothing.  Spark sums the counts of
-    grams; the driver gets at most max_cells / 8 of them, the most frequent."""
+    grams; the driver gets them all, a row for each language and gram of up to order + 1 bytes."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = written(rows.mapInArrow(_count_grams(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    grams = most_frequent(counts, "n", max_cells // 8, "gram", "lang").toArrow()
-    named = grams.column("lang").combine_chunks().dictionary_encode()
-    return _tabulate(named.dictionary.to_pylist(), named.indices.to_numpy(), grams.column("gram").to_numpy(), grams.column("n").to_numpy(), order, max_cells)
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    places = docs.sparkSession.createDataFrame(list(enumerate(names)), "place int, lang string")
+    grams = counts.join(F.broadcast(places), "lang").select("place", "gram", "n").toArrow()
+    return _tabulate(names, grams.column("place").to_numpy(), grams.column("gram").to_numpy(), grams.column("n").to_numpy(), order, max_cells)
 
 
 def _tabulate(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int, max_cells: int) -> LanguageModel:
@@ -181,7 +221,37 @@ def _tabulate(names: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     p[:, 0] /= max(1, unseen)  # of one unseen byte value
     np.maximum(p, 1e-30, out=p)
     np.log2(p, out=p)
-    return LanguageModel(languages, symbol, row_of[order], np.negative(p, out=p), order)
+    model = LanguageModel(languages, symbol, row_of[order], np.negative(p, out=p), order)
+    base = 1
+    for k in range(1, order + 1):
+        own = np.flatnonzero(length == k + 1)
+        own = own[~_find(kept[k], key[own] // size)[1]]
+        by_language = [_sparse(model, row_of[k - 1], which[own] == at, at, k, key[own], n[own]) for at in range(len(languages))]
+        # in the list from the first order with such contexts on: later ones build upon it
+        if len(own) or model.sparse:
+            model.sparse.append((k, kept[k], base + np.arange(len(kept[k])), row_of[k - 1] if not model.sparse else None, by_language))
+        base += len(kept[k])
+    return model
+
+
+def _sparse(model: LanguageModel, below: np.ndarray, mine: np.ndarray, lang: int, k: int, key: np.ndarray, n: np.ndarray) -> tuple:
+    """(grams, code lengths, contexts, code lengths of the escape) of a language's contexts of k bytes outside the table."""
+    size = model.bits.shape[1]
+    order = np.argsort(key[mine], kind="stable")
+    grams, n = key[mine][order], n[mine][order].astype(np.float64)
+    contexts, place = np.unique(grams // size, return_inverse=True)
+    lower = np.empty(len(grams))
+    shorter = model if model.sparse else LanguageModel(model.languages, model.symbol, below, model.bits, k - 1)
+    for a in range(0, len(grams), 1 << 18):
+        some = grams[a : a + (1 << 18)]
+        lower[a : a + len(some)] = np.exp2(-shorter.rest(some // size % size ** (k - 1), some % size)[:, lang])
+    total, distinct = np.bincount(place, n, len(contexts)), np.bincount(place, minlength=len(contexts))
+    # where nothing is left to escape to, no mass goes there
+    left = 1 - np.bincount(place, lower, len(contexts))
+    some = distinct < 256
+    left = np.where(some, np.maximum(left, 1e-12), 1)
+    bits = -np.log2(n / (total + np.where(some, distinct, 0))[place])
+    return grams, bits.astype(np.float32), contexts, np.where(some, -np.log2(distinct / (total + distinct) / left), 100).astype(np.float32)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -80,3 +80,15 @@ def test_table_is_bounded(spark):
     model = language.train(docs, max_cells=4000)
     assert model.bits.size <= 4000 + model.bits.shape[1] * model.bits.shape[2]
     assert np.allclose(np.exp2(-model.bits.astype(float)).clip(0, 1).sum(1) + 0, np.exp2(-model.bits.astype(float)).sum(1))
+
+
+def test_code_lengths_do_not_depend_on_the_room_of_the_table(spark):
+    """Contexts outside the table count as those inside, for a language with few texts too."""
+    common = ["the cat sat on the mat and the dog ran " * 20, "a quick brown fox jumps over the lazy dog " * 20] * 10
+    df = spark.createDataFrame([(t, "x") for t in common] + [("žluťoučký kůň pěl", "y")], "text string, lang string")
+    texts = [b"the dog sat", "kůň pěl ó".encode(), b"zzq\x00a", b""]
+    want = language.train(df).code_lengths(texts)
+    for cells in (1, 400, 2000, 6000):
+        model = language.train(df, max_cells=cells)
+        assert model.languages == ["x", "y"] and model.sparse
+        assert np.allclose(model.code_lengths(texts), want, rtol=1e-4, atol=1e-3), cells
