@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import debruijn, language, lm, minhash, mixing, neighbours, packing, search, suffixes, warc
+from logtide.llm import debruijn, importance, language, lm, minhash, mixing, neighbours, packing, search, suffixes, warc
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -125,3 +125,36 @@ def q_op2(spark: SparkSession, sf: str) -> DataFrame:
     """Model and unigram scores of all documents; a seventh of them, by crc32 of doc_id, is held out of training."""
     docs = table(spark, sf, "documents").withColumn("held_out", language.crc_fold("doc_id", 7) == 2)
     return lm.score(docs, docs.where("not held_out"), keep=["doc_id", "held_out"])
+
+
+#: crc32 of a word, byte by byte, from the table of the reflected polynomial 0xEDB88320.
+OP13_SQL = """
+WITH RECURSIVE steps(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+words AS (SELECT d.rowid AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents) d),
+target AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+vocab AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM words UNION SELECT w FROM target)),
+bytes AS (SELECT w, list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))) AS b FROM vocab),
+hashed AS (SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (w) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM words) AS s_all, (SELECT count(*) FROM target) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)
+  / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+weighed AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT row_number() OVER () AS r, * FROM documents) LEFT JOIN weighed USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM ranked
+"""
+
+
+@register("op13_importance", OP13_SQL)
+def q_op13(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of the documents with 20 words or more, drawn towards the word distribution of the benchmark."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
