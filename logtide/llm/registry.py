@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import debruijn, importance, language, lm, minhash, mixing, neighbours, packing, search, suffixes, warc
+from logtide.llm import debruijn, importance, language, lm, minhash, mixing, neighbours, packing, quality, search, suffixes, warc, whitening
 
 #: Public vocabulary files; executors have them in the same place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -158,3 +158,16 @@ def q_op13(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of the documents with 20 words or more, drawn towards the word distribution of the benchmark."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return importance.resample(docs, table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op11_whitening")
+def q_op11(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings whitened by their eight leading principal components."""
+    return whitening.whiten(table(spark, sf, "embeddings"), ["vec_id"])
+
+
+@register("op12_quality")
+def q_op12(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents judged by their base counts and their distance to the distributions of their language."""
+    judged = quality.rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
