@@ -166,7 +166,50 @@ def q_op11(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"), ["vec_id"])
 
 
-@register("op12_quality")
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang FROM documents),
+top AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING sum(length(t)) > 0 ORDER BY sum(length(t)) DESC, lang LIMIT 256),
+e AS (SELECT d.*, CASE WHEN top.lang IS NULL THEN '(rest)' ELSE 'own ' || top.lang END AS g, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d LEFT JOIN top ON d.lang = top.lang),
+w AS (SELECT r, g, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM e),
+chars AS (SELECT g, sum(length(t)) AS chars FROM e GROUP BY g),
+counts AS (SELECT g, w, count(*) AS k FROM w GROUP BY g, w),
+n AS (SELECT g, sum(k) AS n FROM counts GROUP BY g),
+common AS (SELECT g, w, k / n AS q FROM counts JOIN n USING (g) JOIN chars USING (g) WHERE k * (length(w) + 1) * 400 >= chars AND length(w) <= 40),
+others AS (SELECT g, n, greatest(0.0, 1 - coalesce(sum(q), 0)) AS q, count(q) AS places FROM n LEFT JOIN common USING (g) GROUP BY g, n),
+found AS (SELECT r, w, count(*) AS c FROM w JOIN common USING (g, w) GROUP BY r, w),
+own AS (SELECT r, g, len(words) AS m FROM e WHERE len(words) > 0),
+terms AS (SELECT own.r, coalesce(c, 0) / m AS p, q FROM own JOIN common USING (g) LEFT JOIN found ON found.r = own.r AND found.w = common.w
+  UNION ALL SELECT own.r, (m - coalesce((SELECT sum(c) FROM found WHERE found.r = own.r), 0)) / m, q FROM own JOIN others USING (g)),
+common_bits AS (SELECT r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS bits FROM terms GROUP BY r),
+s0 AS (SELECT *, regexp_replace(t, '[a-z ]+', '', 'g') AS a FROM e),
+s1 AS (SELECT *, regexp_replace(a, '[^\x00-\x7F]+', '', 'g') AS b FROM s0),
+s2 AS (SELECT *, regexp_replace(b, '[A-Z]+', '', 'g') AS c FROM s1),
+s3 AS (SELECT *, regexp_replace(c, '[.,]+', '', 'g') AS d FROM s2),
+s4 AS (SELECT *, regexp_replace(d, '[\x09-\x0D]+', '', 'g') AS f FROM s3),
+s5 AS (SELECT *, regexp_replace(f, '[0-9]+', '', 'g') AS h FROM s4),
+s6 AS (SELECT *, regexp_replace(h, '[#*$%&|<>]+', '', 'g') AS j FROM s5),
+s7 AS (SELECT *, regexp_replace(j, '[!?;:''"()_/-]+', '', 'g') AS l, length(t) - length(replace(t, ' ', '')) AS blanks FROM s6),
+classes AS (SELECT r, doc_id, g, t, words, blanks, length(h) - length(j) AS symbols, length(d) - length(f) AS breaks,
+  [length(t) - length(a) - blanks, length(a) - length(b), length(b) - length(c), length(c) - length(d), length(d) - length(f), length(f) - length(h), length(h) - length(j), length(j) - length(l), length(l), blanks] AS x FROM s7),
+flat AS (SELECT r, g, unnest(x) AS x, generate_subscripts(x, 1) AS i, list_sum(x) AS size FROM classes WHERE len(words) > 0),
+every AS (SELECT g, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM classes),
+shares AS (SELECT g, i, sum(x) / sum(sum(x)) OVER (PARTITION BY g) AS q FROM every GROUP BY g, i),
+class_terms AS (SELECT r, x / size AS p, q FROM flat JOIN shares USING (g, i)),
+class_bits AS (SELECT r, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS bits FROM class_terms GROUP BY r),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM (SELECT r, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE c IS NOT NULL),
+repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM windows, range(3) s(j) WHERE k >= 2 GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM e),
+base AS (SELECT c.r, c.g, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(t) - blanks - breaks AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+  FROM classes c JOIN lines USING (r) LEFT JOIN repeated p ON p.r = c.r),
+judged AS (SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN o.n >= 5000 THEN sqrt(greatest(0, k.bits)) <= 0.3 AND greatest(0, m.bits) <= 0.35 * 0.35 + o.places / (n_words * 8 * 0.6931471805599453) END AS within
+  FROM base LEFT JOIN others o ON o.g = base.g LEFT JOIN class_bits k ON k.r = base.r LEFT JOIN common_bits m ON m.r = base.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(within, true) AS kept FROM judged
+"""
+
+
+@register("op12_quality", OP12_SQL)
 def q_op12(spark: SparkSession, sf: str) -> DataFrame:
     """All documents judged by their base counts and their distance to the distributions of their language."""
     judged = quality.rules(table(spark, sf, "documents").select("doc_id", "text", "lang"))
