@@ -76,7 +76,9 @@ def extra_fields_sql(fields: str = "fields") -> str:
     known = ", ".join(_quote(n) for n in KNOWN_FIELD_NAMES)
     # IN over 73 literals is a hash-set test; JSON nulls count as absent fields.
     rest = f"map_filter(`{fields}`, (k, v) -> v IS NOT NULL AND NOT (k IN ({known})))"
-    return f"nullif(to_json({rest}), '{{}}')"
+    # The map is built once, as the one element of an array.  (nullif would put it into a
+    # projection of its own below the 76 columns, which then search a copied map: four times slower.)
+    return f"transform(array({rest}), m -> CASE WHEN size(m) > 0 THEN to_json(m) END)[0]"
 
 
 def extra_fields(fields: str = "fields") -> Column:

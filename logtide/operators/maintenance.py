@@ -4,11 +4,16 @@ retention by age and by size, the oldest-tenth cut, reports, compaction.
 Stored tables are Parquet partitioned by `date`.  Deletes are expressed as the
 complementary filter; table jobs rewrite only the dates a delete touches.  A job
 lists the files it replaces before it reads them, writes their replacement beside
-the table, moves that in and deletes exactly the listed files: rows that others
-append meanwhile are in files it never touches.  A note in the table names the
+the table, claims their dates, looks whether the files are still there, and only then
+moves the replacement in and deletes exactly the listed files.  Of two jobs on one date
+one loses: it drops what it staged and starts again from what is stored by then.  Rows
+that others append meanwhile are in files no job touches.  A note in the table names the
 files to delete from the moment the replacement is whole, so the next job finishes
 what a failed one began; between the two steps readers may see rows twice, never
-miss any.
+miss any (`sources/files.py`).
+
+What is stored per date is known from the ledger (`sources/ledger.py`): whole dates are
+counted and dropped without a scan.
 
 Cutoffs that depend on the data (the oldest tenth, size budgets) are found on
 small aggregates whose size is bounded by the time span, never by the row
@@ -20,7 +25,10 @@ cutoff then reaches the scan as a literal time filter.
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
+from collections.abc import Callable, Iterable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +37,16 @@ from pyspark.sql import functions as F
 from logtide.functions.columns import row_bytes, ts_literal_like
 from logtide.operators.predicates import minute_equals, time_bounds
 from logtide.operators.ranking import EPOCH, LEVELS, from_micros, kth_timestamp, locate_ranks
-from logtide.sources.files import TableFiles
+from logtide.sources.files import TableFiles, date_of
+from logtide.sources.ledger import Ledger
+from logtide.sources.tables import listed_dates
 
 #: Dates whose totals are brought to the driver by one job of a size budget.
 MOST_DATES = 64
-
+#: Times a job starts anew after losing a date to another one, and the seconds it waits at most.
+ATTEMPTS, LONGEST_WAIT = 40, 5.0
+#: Bits of the Bloom filter of a batch's keys (4 MB), and bits of one of its rows.
+BLOOM_BITS, BITMAP_BITS = 1 << 25, 32768
 
 
 # C1-C4 --------------------------------------------------------------------------
@@ -61,14 +74,81 @@ def _write_layout(df: DataFrame) -> DataFrame:
     return _time_ordered(with_date(df).repartitionByRange("date", "timestamp"))
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append typed log rows, partitioned by date, time-ordered per file."""
+def _append(df: DataFrame, path: str, mode: str) -> None:
     _write_layout(df).write.mode(mode).partitionBy("date").parquet(path)
+    if not _is_stage(path):  # staged files are entered when they are in the table
+        Ledger(df.sparkSession, path).refresh()
 
 
-def write_process_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append process rows (an empty frame writes nothing new)."""
-    _write_layout(df).write.mode(mode).partitionBy("date").parquet(path)
+def _is_stage(path: str) -> bool:
+    return path.rstrip("/").rsplit("/", 1)[-1].startswith("_stage-")
+
+
+def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Append typed log rows, partitioned by date, time-ordered per file, and enter them in the ledger."""
+    _append(df, path, mode)
+
+
+def write_process_metrics(df: DataFrame, path: str, mode: str = "append") -> int | None:
+    """Append the process rows whose (timestamp, pid) is not stored (`append_samples`); returns how many.
+
+    Other modes, and staging folders, get the rows as they are."""
+    if mode == "append" and not _is_stage(path):
+        return append_samples(df, path)
+    _append(df, path, mode)
+
+
+def absent_keys(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `batch` (read twice) whose keys `stored` (scanned once) lacks; keys are compared NULL-safe.
+
+    A Bloom filter of the batch's keys, a bitmap aggregate of a fixed size, is broadcast to the
+    scan and leaves few stored keys; an exact anti-join on those decides."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(BLOOM_BITS))
+    bits = batch.groupBy(F.floor(place / BITMAP_BITS).cast("int").alias("_row")).agg(
+        F.bitmap_construct_agg(F.pmod(place, F.lit(BITMAP_BITS))).alias("_bits"))
+    own = stored.select(*keys).withColumn("_place", place)
+    own = own.withColumn("_row", F.floor(F.col("_place") / BITMAP_BITS).cast("int")).withColumn("_bit", F.pmod("_place", F.lit(BITMAP_BITS)).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    likely = own.join(F.broadcast(bits), "_row").where(byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) != 0)
+    likely = likely.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    return batch.join(likely, same, "left_anti")
+
+
+def append_samples(df: DataFrame, path: str, order_col: str = "seq") -> int:
+    """Append the samples whose (timestamp, pid) is not stored; returns how many.
+
+    Of equal keys in `df` one row stays (`processes.one_per_key`).  The batch is written beside the
+    table once; only stored files of its dates are read, once, and the dates are claimed before rows move
+    in, so of two appends of one key, at once or later, the second adds nothing."""
+    from logtide.operators.processes import one_per_key
+
+    spark, name = df.sparkSession, uuid.uuid4().hex[:12]
+    table = TableFiles(spark, path)
+    batch = table.stage(name)
+    _write_layout(one_per_key(df, order_col)).write.partitionBy("date").parquet(batch)
+    dates = sorted(p.rsplit("=", 1)[1] for p in table._glob(f"{batch}/date=*"))
+    if not dates:
+        table.drop(f"_stage-{name}")
+        return 0
+    rows = spark.read.schema(with_date(df).drop(order_col).schema).parquet(batch)
+    if not table.files(dates=dates):  # nothing to compare with: the batch itself moves in
+        n = rows.count()
+        if table.claim(name, dates) and not table.files(dates=dates) and table.note(name, []) is not False:
+            table.finish(name)
+            Ledger(spark, path).refresh()
+            return n
+        table.call_off(None)
+
+    def plan(files: list[str]) -> tuple[list[str], DataFrame, int]:
+        new = absent_keys(rows, _read_files(spark, path, files), ["timestamp", "pid"]) if files else rows
+        # a date's rows go to a few tasks, so to a few files
+        return [], _time_ordered(new.repartition("date", F.pmod(F.xxhash64("timestamp"), F.lit(8)))), -1
+
+    try:
+        return _exchange(spark, path, dates, plan, exact=True)
+    finally:
+        table.drop(f"_stage-{name}")
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
@@ -148,20 +228,19 @@ def _newest_first(df: DataFrame, ts: Column, rb: Column):
     of a date-partitioned one, so that a budget reads little more than it keeps."""
     day = F.date_trunc("day", ts).cast("timestamp_ntz")
     total = lambda part: sorted(part.groupBy(day.alias("b")).agg(F.sum(rb).alias("bytes")).collect(), key=lambda r: r["b"], reverse=True)
-    if "date" not in df.columns:
+    dates = listed_dates(df)
+    if dates is None:
         yield from total(df)
         return
-    below, batch = df.agg(F.max("date")).first()[0], 1
-    while below is not None:
-        from_day = below - timedelta(days=batch - 1)
-        between = F.col("date").between(F.lit(from_day.isoformat()).cast("date"), F.lit(below.isoformat()).cast("date"))
-        yield from total(df.filter(between))
-        # across a gap in the dates, straight to the next one
-        below = df.filter(F.col("date") < F.lit(from_day.isoformat()).cast("date")).agg(F.max("date")).first()[0]
+    at, batch = 0, 1
+    while at < len(dates):
+        last, first = dates[at], dates[min(at + batch, len(dates)) - 1]
+        yield from total(df.filter(F.col("date").between(F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))))
+        at += batch
         batch = min(2 * batch, MOST_DATES)
 
 
-def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit") -> datetime | None:
+def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit", days: Iterable | None = None) -> datetime | None:
     """Oldest time kept when rows are taken newest first, instant by instant, under a
     byte budget; None when nothing is kept.
 
@@ -171,7 +250,7 @@ def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit") -> datetime
     ones are still under the budget, so the last one crosses it.
 
     Bytes are those of `row_bytes` without `date`, for frames and stored tables alike.
-    Days are walked newest first; the one where the budget runs out is cut into minutes,
+    Days are walked newest first (`days`: their totals, if they are known already); the one where the budget runs out is cut into minutes,
     the minute into milliseconds, that into microseconds: at most 60,000 buckets a level.
     """
     budget = int(max_bytes)
@@ -190,7 +269,7 @@ def budget_cutoff(df: DataFrame, max_bytes: int, rule: str = "fit") -> datetime
             used, keep_from = used + r["bytes"], r["b"]
         return None
 
-    at, width = boundary(_newest_first(live, ts, rb)), LEVELS[0]
+    at, width = boundary(_newest_first(live, ts, rb) if days is None else days), LEVELS[0]
     for finer in LEVELS[1:]:
         if at is None:
             return keep_from
@@ -267,41 +346,71 @@ def _date_counts(scope: DataFrame, keep: Column) -> list:
     ).collect()
 
 
-def _replace(spark: SparkSession, path: str, old: list[str], rows: DataFrame | None) -> None:
-    """Exchange the listed files for `rows`; nothing else in the table is touched."""
-    table, name = TableFiles(spark, path), uuid.uuid4().hex[:12]
-    stage = table.stage(name)
-    if rows is not None:
-        rows.write.partitionBy("date").parquet(stage)
-    table.note(name, old)
-    table.finish(name)
-
-
-def rewrite_dates(spark: SparkSession, path: str, keep: Column, dates: list | None = None,
-                  files_per_date: int | None = None) -> int:
-    """Keep only rows matching `keep` in the given dates (all when None).
+def _exchange(spark: SparkSession, path: str, dates: list[str] | None, plan: Callable[[list[str]], tuple[list[str], DataFrame | None, int]], exact: bool = False) -> int:
+    """Exchange files of some dates (None: all) for others, against any number of other jobs.
+
+    plan(files now stored) -> (the files to replace, the rows that replace them, the result).  The plan
+    is made anew whenever another job has replaced one of its files meanwhile; `exact`: or added any file
+    to the dates; then the result is the number of rows staged."""
+    wait = 0.05
+    for _ in range(ATTEMPTS):
+        table, name = TableFiles(spark, path), uuid.uuid4().hex[:12]
+        table.recover()
+        files = table.files(dates=dates)
+        stage = table.stage(name)
+        try:
+            old, rows, result = plan(files)
+            if rows is not None:
+                (rows if "date" in rows.columns else with_date(rows)).write.partitionBy("date").parquet(stage)
+                if exact:
+                    result = spark.read.schema("timestamp timestamp_ntz").parquet(stage).count()
+                    if not result:
+                        table.call_off(name)
+                        return 0
+        except Exception:
+            table.call_off(name)
+            if table.all_there(files):
+                raise
+            continue  # a file went while it was read
+        if not old and rows is None:
+            return result
+        touched = sorted({date_of(p) for p in old}) if not exact else dates
+        if table.claim(name, touched) and (table.files(dates=dates) == files if exact else table.all_there(old)) and table.note(name, old) is not False:
+            table.finish(name)
+            Ledger(spark, path).refresh()
+            return result
+        table.call_off(name)
+        time.sleep(wait * random.random())
+        wait = min(2 * wait, LONGEST_WAIT)
+    raise RuntimeError(f"other jobs kept replacing the same files of {path}")
+
+
+def rewrite_dates(spark: SparkSession, path: str, keep: Column | Callable[[DataFrame], Column], dates: list | None = None,
+                  files_per_date: int | None = None, whole: Callable[[str], bool] | None = None) -> int:
+    """Keep only rows matching `keep` (a condition, or what makes one of the rows) in the given dates (all when None).
 
     Dates with nothing to remove are not written, a date that keeps nothing loses its
-    files.  Returns the number of rows removed; rows appended meanwhile stay.
+    files; dates that `whole` names go unread, counted by the ledger.  Returns the number of rows
+    removed; rows appended meanwhile stay.
     """
-    table = TableFiles(spark, path)
-    table.recover()
-    files = table.files(dates=None if dates is None else [str(d) for d in dates])
-    if not files:
-        return 0
-    scope = _read_files(spark, path, files)
-    per_date = _date_counts(scope, keep)
-    removed = sum(r["gone"] for r in per_date)
-    if removed == 0:
-        return 0
-    changed = {f"date={r['date']}" for r in per_date if r["gone"] > 0}
-    touched = [str(r["date"]) for r in per_date if r["gone"] > 0 and r["kept"] > 0]
-    kept = None
-    if touched:
-        kept = scope.filter(F.col("date").isin(touched)).filter(keep)
-        kept = _per_date_buckets(kept, len(touched), files_per_date) if files_per_date else _time_ordered(kept)
-    _replace(spark, path, [f for f in files if f.rsplit("/", 2)[1] in changed], kept)
-    return removed
+    def plan(files: list[str]) -> tuple[list[str], DataFrame | None, int]:
+        dropped = [p for p in files if whole is not None and whole(date_of(p))]
+        removed = Ledger(spark, path).rows_of(dropped) if dropped else 0
+        read = [p for p in files if p not in set(dropped)]
+        kept, changed = None, set()
+        if read:
+            scope = _read_files(spark, path, read)
+            stays = keep(scope) if callable(keep) and not isinstance(keep, Column) else keep
+            per_date = _date_counts(scope, stays)
+            removed += sum(r["gone"] for r in per_date)
+            changed = {f"date={r['date']}" for r in per_date if r["gone"] > 0}
+            touched = [str(r["date"]) for r in per_date if r["gone"] > 0 and r["kept"] > 0]
+            if touched:
+                kept = scope.filter(F.col("date").isin(touched)).filter(stays)
+                kept = _per_date_buckets(kept, len(touched), files_per_date) if files_per_date else _time_ordered(kept)
+        return dropped + [p for p in read if p.rsplit("/", 2)[1] in changed], kept, removed
+
+    return _exchange(spark, path, None if dates is None else [str(d) for d in dates], plan)
 
 
 def _per_date_buckets(df: DataFrame, n_dates: int, files_per_date: int) -> DataFrame:
@@ -315,25 +424,23 @@ def _per_date_buckets(df: DataFrame, n_dates: int, files_per_date: int) -> DataF
 def compact(spark: SparkSession, path: str, dates: list, files_per_date: int = 1) -> int:
     """C11: rewrite the given dates into about `files_per_date` time-ordered
     files each; returns rows rewritten.  Rows appended meanwhile keep their own files."""
-    table = TableFiles(spark, path)
-    table.recover()
-    files = table.files(dates=[str(d) for d in dates])
-    if not files:
-        return 0
-    scope = _read_files(spark, path, files)
-    n = scope.count()
-    _replace(spark, path, files, _per_date_buckets(scope, len(dates), files_per_date))
-    return n
+    def plan(files: list[str]) -> tuple[list[str], DataFrame | None, int]:
+        if not files:
+            return [], None, 0
+        return files, _per_date_buckets(_read_files(spark, path, files), len(dates), files_per_date), Ledger(spark, path).rows_of(files)
+
+    return _exchange(spark, path, [str(d) for d in dates], plan)
 
 
 def delete_before(spark: SparkSession, path: str, cutoff: datetime) -> int:
     """Delete stored rows with timestamp < cutoff.  Dates come from the folders' names:
-    older ones are counted and dropped, only the cutoff's date is rewritten."""
-    dates = [d for d in TableFiles(spark, path).dates() if d <= cutoff.date().isoformat()]
+    older ones are counted by the ledger and dropped, only the cutoff's date is read and rewritten."""
+    day = cutoff.date().isoformat()
+    dates = [d for d in TableFiles(spark, path).dates() if d <= day]
     if not dates:
         return 0
     keep = F.col("timestamp") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
-    return rewrite_dates(spark, path, keep, dates)
+    return rewrite_dates(spark, path, keep, dates, whole=lambda d: d < day)
 
 
 def apply_retention_by_age(spark: SparkSession, path: str, now: datetime, days: int) -> int:
@@ -347,29 +454,43 @@ def stored_size_cutoff(table: DataFrame, max_bytes: int) -> datetime | None:
     return budget_cutoff(table, max_bytes, "fit")
 
 
+def stored_cutoff(spark: SparkSession, path: str, max_bytes: int, rule: str = "fit") -> datetime | None:
+    """The same from the ledger's totals: only the date where the budget runs out is scanned."""
+    for attempt in range(ATTEMPTS):
+        files = TableFiles(spark, path).files()
+        try:
+            days = Ledger(spark, path).by_date().where("date is not null").select(F.col("date").cast("timestamp_ntz").alias("b"), "bytes").collect()
+            days.sort(key=lambda r: r["b"], reverse=True)
+            newest = [p for p in files if days and date_of(p) == days[0]["b"].date().isoformat()]
+            if not newest:
+                return None
+            schema = _read_files(spark, path, newest[:1]).schema  # no older footer is opened for it
+            return budget_cutoff(spark.read.schema(schema).parquet(path), max_bytes, rule, days)
+        except Exception:  # a file of the boundary date was replaced while it was read
+            if attempt + 1 == ATTEMPTS or TableFiles(spark, path).all_there(files):
+                raise
+    return None
+
+
 def apply_retention_by_size(spark: SparkSession, path: str, max_bytes: int) -> int:
-    """C8 on a stored table: the cutoff from `stored_size_cutoff`, then whole older
+    """C8 on a stored table: the cutoff from `stored_cutoff`, then whole older
     dates are dropped and the cutoff's date is rewritten."""
     if not TableFiles(spark, path).files():
         return 0
-    table = spark.read.parquet(path)
-    cut = stored_size_cutoff(table, max_bytes)
+    cut = stored_cutoff(spark, path, max_bytes)
     if cut is None:
-        return rewrite_dates(spark, path, F.lit(False))
+        return rewrite_dates(spark, path, F.lit(False), whole=lambda d: True)
     return delete_before(spark, path, cut)
 
 
 def apply_delete_minute(spark: SparkSession, path: str, minute: datetime) -> int:
     """C5 on a stored table: only the minute's date is rewritten."""
-    table = spark.read.parquet(path)
-    return rewrite_dates(spark, path, ~minute_equals(table, minute), [minute.date()])
+    return rewrite_dates(spark, path, lambda rows: ~minute_equals(rows, minute), [minute.date()])
 
 
 def clear_table(spark: SparkSession, path: str) -> None:
     """C6 on a stored table: the files it has now are removed; read it by its declared schema."""
-    table = TableFiles(spark, path)
-    table.recover()
-    _replace(spark, path, table.files(), None)
+    _exchange(spark, path, None, lambda files: (files, None, 0))
 
 
 def run_retention(

@@ -17,8 +17,9 @@ from logtide.functions.columns import (
     ts_literal_like,
     uid_text,
 )
-from logtide.operators.ranking import topk_fits
+from logtide.operators.ranking import select_window, topk_fits
 from logtide.schemas import PROCESS_SCHEMA
+from logtide.sources.tables import listed_dates
 
 DEFAULT_LIMIT = 100
 
@@ -73,20 +74,30 @@ def dedupe_samples(df: DataFrame, order_col: str | None = "seq") -> DataFrame:
     return picked.select("timestamp", "pid", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def one_per_key(df: DataFrame, order_col: str | None = "seq") -> DataFrame:
+    """B10 by a fixed rule in either case: the first to arrive, or without an arrival column the
+    least row of each (timestamp, pid).  The columns keep their order, the arrival column goes."""
+    columns = [c for c in df.columns if c != order_col]
+    if order_col in df.columns:
+        return dedupe_samples(df, order_col).select(*columns)
+    rest = [c for c in columns if c not in ("timestamp", "pid")]
+    least = df.groupBy("timestamp", "pid").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r"))
+    return least.select("timestamp", "pid", "_r.*").select(*columns) if rest else df.distinct()
+
+
 def latest_timestamp(procs: DataFrame):
     """Newest sample time, as a scalar.
 
-    On a date-partitioned table the newest date comes first (partition values
-    only), so the timestamp maximum reads one date's timestamp column.
-    """
-    scope = procs
-    if "date" in procs.columns:
-        newest_date = procs.agg(F.max("date")).first()[0]
-        if newest_date is None:
-            return None
-        scope = procs.filter(F.col("date") == F.lit(newest_date))
+    On a date-partitioned table the newest date comes from the file listing, so the
+    timestamp maximum reads one date's timestamp column (or, behind a filter
+    that the newest dates do not pass, a date after the other)."""
+    dates = listed_dates(procs)
     # As a zone-less value, so the driver sees the UTC wall clock whatever its own zone.
-    return scope.agg(F.max(F.col("timestamp").cast("timestamp_ntz"))).first()[0]
+    newest = lambda scope: scope.agg(F.max(F.col("timestamp").cast("timestamp_ntz"))).first()[0]
+    if dates is None:
+        return newest(procs)
+    found = (newest(procs.filter(F.col("date") == F.lit(d.isoformat()).cast("date"))) for d in dates)
+    return next((t for t in found if t is not None), None)
 
 
 def snapshot(procs: DataFrame, ts) -> DataFrame:
@@ -116,21 +127,23 @@ def _matching(procs: DataFrame, q: str | None) -> DataFrame:
     return snap.filter(fuzzy(search_text(), q.lower())) if q is not None and q.strip() else snap
 
 
+def _process_keys(sort: str, sort_dir: str) -> list[tuple[str, bool]]:
+    """Allow-listed sort by a shown column; the pid breaks ties, ascending."""
+    col = SORT_COLUMNS.get((sort or "").lower(), "cpu_usage")
+    keys = [(col, (sort_dir or "").lower() != "asc")]
+    return keys if col == "pid" else [*keys, ("pid", False)]
+
+
 def process_sort(sort: str = "cpu", sort_dir: str = "desc") -> list[Column]:
-    """Allow-listed sort by a shown column, NULLs last; the pid breaks ties."""
-    col = F.col(SORT_COLUMNS.get((sort or "").lower(), "cpu_usage"))
-    first = col.asc_nulls_last() if (sort_dir or "").lower() == "asc" else col.desc_nulls_last()
-    return [first, F.col("pid").asc()]
+    """The same as sort columns, NULLs last."""
+    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in _process_keys(sort, sort_dir)]
 
 
-def _page(rows: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+def _page(rows: DataFrame, sort: str, sort_dir: str, limit: int, offset: int) -> DataFrame:
     limit, offset = max(0, int(limit)), max(0, int(offset))
     if not topk_fits(rows, offset + limit):
-        # a deep page is numbered over a distributed sort
-        from logtide.operators.search import _deep_page
-
-        return _deep_page(rows, order, limit, offset)
-    rows = rows.orderBy(*order)
+        return select_window(rows, offset, offset + limit, _process_keys(sort, sort_dir))
+    rows = rows.orderBy(*process_sort(sort, sort_dir))
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
@@ -138,7 +151,7 @@ def process_table(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_L
                   sort: str = "cpu", sort_dir: str = "desc") -> DataFrame:
     """Newest snapshot, fuzzy search, CPU order (pid breaks ties) or that of another
     shown column, one page, with the display texts (bytes, runtime, memory percent)."""
-    return _page(_matching(procs, q), process_sort(sort, sort_dir), limit, offset).select(
+    return _page(_matching(procs, q), sort, sort_dir, limit, offset).select(
         "timestamp", "pid", "name", "cpu_usage", "mem_usage", "user", "runtime", "cmdline",
         F.coalesce(F.col("virtual_memory"), F.lit(0.0)).alias("virtual_memory"), "status", "parent_pid",
         human_bytes("mem_usage").alias("mem_text"),
@@ -158,7 +171,7 @@ def process_page(procs: DataFrame, q: str | None = None, limit: int = DEFAULT_LI
     if q is not None and q.strip():
         matched = matched.filter(fuzzy(search_text(), q.lower()))
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(f"{c}_text")
-    rows = _page(matched, process_sort(sort, sort_dir), limit, offset).select(
+    rows = _page(matched, sort, sort_dir, limit, offset).select(
         "timestamp", "pid", dash("parent_pid"), "name", dash("status"),
         F.concat(fixed1("cpu_usage"), F.lit("%")).alias("cpu_text"), human_bytes("mem_usage").alias("mem_text"),
         human_bytes(F.coalesce("virtual_memory", F.lit(0.0))).alias("virtual_memory_text"),

@@ -17,6 +17,7 @@ from logtide.functions.columns import PRIORITY_LABELS, priority_label, row_bytes
 from logtide.operators.predicates import minute_equals
 from logtide.schemas import DEFAULT_COLUMNS, EXCLUDED_COLUMNS
 from logtide.sources.files import TableFiles
+from logtide.sources.ledger import Ledger
 from logtide.sources.tables import read_logs, read_process_metrics
 
 GIB = 1024.0**3
@@ -120,6 +121,12 @@ def storage_health(
     tables are used; counts, bounds and bytes come from one pass per table.
     """
     both = _log_side(logs).crossJoin(F.broadcast(_proc_side(procs)))
+    return _health(both, database_size_bytes, log_retention_days, log_max_size_gb, process_retention_days, process_max_size_gb)
+
+
+def _health(both: DataFrame, database_size_bytes: int | None, log_retention_days: int, log_max_size_gb: float,
+            process_retention_days: int, process_max_size_gb: float) -> DataFrame:
+    """The health row from one row with counts, bounds and row bytes of both tables."""
     if database_size_bytes is None:
         size = (F.col("_log_bytes") + F.col("_proc_bytes")).cast("long")
     else:
@@ -147,16 +154,26 @@ def storage_health(
     )
 
 
-def stored_health(spark, logs_path: str, procs_path: str, **settings) -> DataFrame:
-    """G14 / I8 of two stored tables: sizes are file lengths, so no text column is read."""
-    size = sum(TableFiles(spark, p).stored_bytes() for p in (logs_path, procs_path))
-    return storage_health(read_logs(spark, logs_path), read_process_metrics(spark, procs_path), size, **settings)
+def stored_health(spark, logs_path: str, procs_path: str, size: str = "files", log_retention_days: int = LOG_RETENTION_DAYS, log_max_size_gb: float = LOG_MAX_SIZE_GB,
+                  process_retention_days: int = PROCESS_RETENTION_DAYS, process_max_size_gb: float = PROCESS_MAX_SIZE_GB) -> DataFrame:
+    """G14 / I8 of two stored tables from their ledgers: no stored date is scanned.
+
+    The size is that of the files ("files") or of the row values ("rows")."""
+    logs = Ledger(spark, logs_path).totals().select(
+        F.col("rows").alias("journal_log_count"), F.col("first").alias("oldest_log_timestamp"), F.col("last").alias("newest_log_timestamp"), F.col("bytes").alias("_log_bytes"))
+    procs = Ledger(spark, procs_path).totals().select(F.col("rows").alias("process_metric_count"), F.col("bytes").alias("_proc_bytes"))
+    stored = sum(TableFiles(spark, p).stored_bytes() for p in (logs_path, procs_path)) if size == "files" else None
+    return _health(logs.crossJoin(F.broadcast(procs)), stored, log_retention_days, log_max_size_gb, process_retention_days, process_max_size_gb)
 
 
-def stored_status(spark, logs_path: str) -> DataFrame:
-    """I9 of a stored table: buffer statistics and the length of its files."""
-    size = TableFiles(spark, logs_path).stored_bytes()
-    return buffer_stats(read_logs(spark, logs_path)).withColumn("stored_bytes", F.lit(size).cast("long"))
+def stored_status(spark, logs_path: str, size: str = "files") -> DataFrame:
+    """I9 of a stored table: rows and size from the ledger and the listing; only minute keys are scanned."""
+    ledger = Ledger(spark, logs_path).totals()
+    stored = F.lit(TableFiles(spark, logs_path).stored_bytes()) if size == "files" else F.col("bytes")
+    minutes = read_logs(spark, logs_path).agg(
+        F.count_distinct("minute_key").alias("buffered_minutes"), F.min("minute_key").alias("oldest_minute"), F.max("minute_key").alias("newest_minute"))
+    return ledger.select(F.col("rows").alias("total_entries"), stored.cast("long").alias("stored_bytes")).crossJoin(F.broadcast(minutes)).select(
+        "total_entries", "buffered_minutes", "oldest_minute", "newest_minute", "stored_bytes")
 
 
 def filter_values(df: DataFrame, column: str) -> DataFrame:

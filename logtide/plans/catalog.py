@@ -326,11 +326,14 @@ def q_buffer_stats(spark, sf):
     return stats.buffer_stats(_logs(spark, sf))
 
 
-@register("status", with_ctes(
+STATUS_SQL = (
     "SELECT COUNT(*) AS total_entries, COUNT(DISTINCT minute_key) AS buffered_minutes, "
     "MIN(minute_key) AS oldest_minute, MAX(minute_key) AS newest_minute, "
-    f"CAST(COALESCE(SUM({row_bytes_sql(JOURNAL_SCHEMA)}), 0) AS BIGINT) AS stored_bytes FROM journal_logs",
-    JOURNAL_CTE))
+    f"CAST(COALESCE(SUM({row_bytes_sql(JOURNAL_SCHEMA)}), 0) AS BIGINT) AS stored_bytes FROM journal_logs"
+)
+
+
+@register("status", with_ctes(STATUS_SQL, JOURNAL_CTE))
 def q_status(spark, sf):
     return stats.status(_logs(spark, sf))
 
@@ -348,7 +351,7 @@ def q_storage_stats(spark, sf):
     return stats.storage_stats(_logs(spark, sf), _procs(spark, sf))
 
 
-@register("storage_health", with_ctes(
+HEALTH_SQL = (
     """SELECT s.*, z.database_size_bytes, round(z.database_size_bytes / 1073741824.0, 2) AS size_gb,
      round(z.database_size_bytes / 1073741824.0, 2) / 1.0 * 100.0 AS usage_percent,
      CASE WHEN round(z.database_size_bytes / 1073741824.0, 2) / 1.0 * 100.0 >= 90 THEN 'critical'
@@ -358,7 +361,10 @@ def q_storage_stats(spark, sf):
      FROM (""" + _STORAGE_SQL + """) s, (SELECT CAST(
        (SELECT COALESCE(SUM(""" + row_bytes_sql(JOURNAL_SCHEMA) + """), 0) FROM journal_logs)
      + (SELECT COALESCE(SUM(""" + row_bytes_sql(PROCESS_SCHEMA) + """), 0) FROM process_metrics) AS BIGINT)
-       AS database_size_bytes) z""", JOURNAL_CTE, PROCESS_CTE))
+       AS database_size_bytes) z""")
+
+
+@register("storage_health", with_ctes(HEALTH_SQL, JOURNAL_CTE, PROCESS_CTE))
 def q_storage_health(spark, sf):
     return stats.storage_health(_logs(spark, sf), _procs(spark, sf))
 

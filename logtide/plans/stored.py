@@ -7,15 +7,18 @@ the correctness check covers partition pruning and the table jobs as well.
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from logtide.operators import maintenance, processes, search
+from logtide.operators import maintenance, processes, search, stats
 from logtide.plans.catalog import (
     DEFAULT_SELECT,
+    HEALTH_SQL,
     NOW,
+    STATUS_SQL,
     TS_DESC,
     _LATEST,
     _PARSED_CTE,
@@ -33,6 +36,8 @@ from logtide.session import checkpoint_dir
 from logtide.sources import journal as J
 from logtide.sources import samples as S
 from logtide.sources import tables
+from logtide.sources.ledger import Ledger
+from logtide.streaming import jobs
 
 _SAMPLE_FIELDS = ", ".join(f'"{f.name}"' for f in PROCESS_SCHEMA.fields)
 
@@ -118,8 +123,6 @@ _FIRST_MINUTE = "(SELECT MIN(minute_key) FROM journal_logs)"
     f"(SELECT COUNT(*) FROM journal_logs WHERE minute_key <> {_FIRST_MINUTE}) AS left_rows", JOURNAL_CTE))
 def q_stored_delete_minute(spark, sf):
     """C5 on a stored table: delete the oldest minute, only its date is rewritten."""
-    from datetime import datetime
-
     base = _store(spark, sf, "logs")
     path = f"{base}/logs"
     first = tables.read_logs(spark, path).agg(F.min("minute_key")).first()[0]
@@ -157,3 +160,83 @@ def q_read_sample_files(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-samples-{uuid.uuid4().hex}"
     tables.raw_samples(spark, sf).drop("seq").write.json(path)
     return processes.to_process_metrics(S.read_process_samples(spark, path))
+
+
+_BY_DATE = (
+    'CAST("timestamp" AS DATE) AS date, COUNT(*) AS rows, MIN("timestamp") AS first_ts, MAX("timestamp") AS last_ts'
+)
+
+
+def _by_date(df):
+    return df.groupBy("date").agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+
+
+@register("stored_concurrent_jobs", with_ctes(
+    f'SELECT {_BY_DATE} FROM journal_logs WHERE "timestamp" >= {_ts(NOW - timedelta(days=25))} '
+    f"AND NOT (\"timestamp\" >= {_ts(datetime(2024, 1, 20, 12))} AND \"timestamp\" < {_ts(datetime(2024, 1, 20, 12, 1))}) GROUP BY 1", JOURNAL_CTE))
+def q_stored_concurrent_jobs(spark, sf):
+    """C5, C7, C11 at once: two compactions, age retention and a minute's deletion on the same dates;
+    whichever loses a date starts again, and no row is doubled or lost."""
+    path = f"{_store(spark, sf, 'logs')}/logs"
+    dates = [f"2024-01-{d:02d}" for d in (6, 20, 21)]
+    todo = [lambda: maintenance.compact(spark, path, dates), lambda: maintenance.compact(spark, path, dates, 2),
+            lambda: maintenance.apply_retention_by_age(spark, path, NOW, 25),
+            lambda: maintenance.apply_delete_minute(spark, path, datetime(2024, 1, 20, 12))]
+    with ThreadPoolExecutor(len(todo)) as pool:
+        for job in [pool.submit(f) for f in todo]:
+            job.result()
+    return _by_date(tables.read_logs(spark, path))
+
+
+@register("stored_replayed_epochs", with_ctes(
+    f'SELECT {_BY_DATE} FROM journal_logs WHERE "timestamp" >= {_ts(NOW - timedelta(days=20))} GROUP BY 1', JOURNAL_CTE))
+def q_stored_replayed_epochs(spark, sf):
+    """Two epochs of a stream, compacted and cut by retention, then replayed: nothing comes twice or back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-epochs-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf)
+    halves = [logs.where(F.col("__SEQNUM") % 2 == i) for i in (0, 1)]
+    run = jobs._append_once(maintenance.write_logs, path, f"{path}-checkpoint")
+    for epoch, rows in enumerate(halves):
+        run(rows, epoch)
+    maintenance.compact(spark, path, [f"2024-01-{d:02d}" for d in range(1, 32)])
+    maintenance.apply_retention_by_age(spark, path, NOW, 20)
+    for epoch, rows in enumerate(halves):
+        run(rows, epoch)
+    return _by_date(tables.read_logs(spark, path))
+
+
+@register("stored_append_twice", with_ctes("SELECT " + _SAMPLE_FIELDS + " FROM process_metrics", PROCESS_CTE))
+def q_stored_append_twice(spark, sf):
+    """A third of the samples, all of them, and all again: every (timestamp, pid) is stored once."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-append-{uuid.uuid4().hex}"
+    procs = _procs(spark, sf)
+    for batch in (procs.where(F.col("pid") % 3 == 0), procs, procs):
+        maintenance.write_process_metrics(batch, path)
+    return tables.read_process_metrics(spark, path).select(*[f.name for f in PROCESS_SCHEMA.fields])
+
+
+@register("stored_ledger", with_ctes(
+    f'SELECT {_BY_DATE}, CAST(SUM({row_bytes_sql(JOURNAL_SCHEMA)}) AS BIGINT) AS bytes FROM journal_logs '
+    f'WHERE "timestamp" >= {_ts(NOW - timedelta(days=15))} GROUP BY 1', JOURNAL_CTE))
+def q_stored_ledger(spark, sf):
+    """The date ledger after appends, compaction and retention: what a scan of the table would say."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/logtide-ledger-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf)
+    for i in (0, 1):
+        maintenance.write_logs(logs.where(F.col("__SEQNUM") % 2 == i), path)
+    maintenance.compact(spark, path, ["2024-01-16", "2024-01-20"])
+    maintenance.apply_retention_by_age(spark, path, NOW, 15)
+    return Ledger(spark, path).by_date().select("date", "rows", F.col("first").alias("first_ts"), F.col("last").alias("last_ts"), F.col("bytes").cast("long").alias("bytes"))
+
+
+@register("stored_health", with_ctes(HEALTH_SQL, JOURNAL_CTE, PROCESS_CTE))
+def q_stored_health(spark, sf):
+    """G14 / I8 of stored tables, from their ledgers."""
+    base = _store(spark, sf, "both")
+    return stats.stored_health(spark, f"{base}/logs", f"{base}/procs", size="rows")
+
+
+@register("stored_status", with_ctes(STATUS_SQL, JOURNAL_CTE))
+def q_stored_status(spark, sf):
+    """I9 of a stored table: size and rows from its ledger."""
+    return stats.stored_status(spark, f"{_store(spark, sf, 'logs')}/logs", size="rows")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date as Date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -32,6 +34,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def listed_dates(df: DataFrame) -> list[Date] | None:
+    """Dates of the files behind a date-partitioned frame, newest first, from the listing Spark
+    already holds; None for any other frame.  No file is opened."""
+    if "date" not in df.columns:
+        return None
+    names = {p.rsplit("/", 2)[1] for p in df.inputFiles()}
+    if not names or not all(n.startswith("date=") for n in names):
+        return None
+    days = [n.split("=", 1)[1] for n in names]
+    return sorted((Date.fromisoformat(d) for d in days if d[:1].isdigit()), reverse=True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

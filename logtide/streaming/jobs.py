@@ -3,9 +3,10 @@
 Micro-batches are appended by the same batch writers the table jobs use
 (`foreachBatch`), not by the streaming file sink: a file sink keeps its own
 metadata log, and readers of a path with that log ignore files written by batch
-jobs (retention rewrites, compaction).  An epoch's files carry its name, and a
-replayed epoch first removes those an earlier attempt has left, so a batch is in
-the table once, whole, however often it is tried.
+jobs (retention rewrites, compaction).  An epoch's files carry its name, and records
+beside the table say how far it has come: staged whole, or in.  A replay goes on from
+there, and it adds nothing once the epoch is in, also after its files were compacted,
+cut by retention or deleted; a batch is in the table once, whole, however often it is tried.
 
 K1  log ingest: text files -> fields map -> typed rows -> the stored table
     (stateless; the checkpoint replaces the journal cursor).
@@ -31,7 +32,8 @@ from pyspark.sql.streaming import StreamingQuery
 from logtide.functions.columns import priority_label
 from logtide.operators.charts import DEFAULT_LEVEL
 from logtide.operators.ingest import parse_entries
-from logtide.operators.processes import to_process_metrics
+from logtide.operators.maintenance import absent_keys, write_logs, write_process_metrics
+from logtide.operators.processes import one_per_key, to_process_metrics
 from logtide.sources.files import TableFiles
 from logtide.sources.tables import read_process_metrics
 
@@ -47,23 +49,36 @@ def typed_log_stream(entries: DataFrame, now: datetime | None = None) -> DataFra
     return parse_entries(entries, now).withColumn("date", F.to_date("timestamp"))
 
 
+def _run_name(table: TableFiles, checkpoint: str) -> str:
+    """Names a stream by the id in its checkpoint, so that a stream begun anew counts its epochs anew."""
+    try:
+        text = table.read_at(f"{checkpoint.rstrip('/')}/metadata")
+    except Exception:  # a folder that cannot be read names itself
+        text = None
+    return hashlib.md5((text or checkpoint).encode()).hexdigest()[:12]
+
+
 def _append_once(write, path: str, checkpoint: str, prepare=None):
     """foreachBatch body: the micro-batch's rows as this epoch's files.
 
-    The rows are written beside the table first and moved in by renaming; what an
-    earlier attempt of the epoch moved in is removed before the rows are prepared
-    (`prepare` may compare them with the stored table)."""
-    run_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-
+    The rows are written beside the table first (`prepare` may compare them with the stored table) and
+    recorded as staged, then moved in by renaming and recorded as in.  A replay writes only what
+    was not staged, moves only what is still staged, and skips what is in."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         table = TableFiles(spark, path)
-        prefix = f"epoch-{run_name}-{epoch_id}-"
-        table.delete(table.files(prefix))
-        rows = prepare(batch) if prepare else batch
-        stage = table.stage(f"{run_name}-{epoch_id}")
-        write(rows, stage)
-        table.move_in(stage, prefix)
+        run_name = _run_name(table, checkpoint)
+        prefix, name = f"epoch-{run_name}-{epoch_id}-", f"{run_name}-{epoch_id}"
+        state = table.epoch_state(run_name, epoch_id)
+        if state == "skip":
+            return
+        if state == "write":
+            table.delete(table.files(prefix))
+            rows = prepare(batch) if prepare else batch
+            write(rows, table.stage(name))
+            table.epoch_staged(run_name, epoch_id)
+        table.move_in(f"{table.path}/_stage-{name}", prefix)
+        table.epoch_done(run_name, epoch_id)
 
     return run
 
@@ -71,8 +86,6 @@ def _append_once(write, path: str, checkpoint: str, prepare=None):
 def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkpoint: str | None = None,
                      trigger: dict | None = None) -> StreamingQuery:
     """Append typed rows to the date-partitioned log table."""
-    from logtide.operators.maintenance import write_logs
-
     ckpt = _checkpoint(path, checkpoint)
     w = (
         typed_log_stream(entries, now).drop("date")
@@ -87,10 +100,9 @@ def new_samples(batch: DataFrame, path: str) -> DataFrame:
     """Typed samples of a batch that the stored table lacks, one per (timestamp, pid).
 
     Of equal keys in a batch the least row stays (a fixed rule: files of a batch have
-    no order).  Only the stored dates between the batch's first and last are read."""
-    typed = to_process_metrics(batch)
-    rest = [c for c in typed.columns if c not in ("timestamp", "pid")]
-    own = typed.groupBy("timestamp", "pid").agg(F.min(F.struct(*rest)).alias("_r")).select("timestamp", "pid", "_r.*").select(*typed.columns)
+    no order).  Only the stored dates between the batch's first and last are read,
+    and of those only keys that a Bloom filter of the batch's keys lets through."""
+    own = one_per_key(to_process_metrics(batch), None)
     spark = batch.sparkSession
     if not TableFiles(spark, path).files():
         return own
@@ -99,7 +111,7 @@ def new_samples(batch: DataFrame, path: str) -> DataFrame:
         return own
     days = [F.lit(d.isoformat()).cast("date") for d in (first, last)]
     stored = read_process_metrics(spark, path).where(F.col("date").between(*days))
-    return own.join(stored.select("timestamp", "pid"), ["timestamp", "pid"], "left_anti").select(*typed.columns)
+    return absent_keys(own, stored, ["timestamp", "pid"])
 
 
 def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None = None,
@@ -108,8 +120,6 @@ def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None =
 
     `watermark` is accepted for callers of the windowed form and has no effect:
     no sample is too late."""
-    from logtide.operators.maintenance import write_process_metrics
-
     ckpt = _checkpoint(path, checkpoint)
     w = (
         samples.writeStream.foreachBatch(_append_once(write_process_metrics, path, ckpt, lambda b: new_samples(b, path)))
