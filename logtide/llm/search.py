@@ -15,7 +15,9 @@ the pruning, results are exact for any pivots.
 
 Defined results: rows whose id or vector is null, or whose vector holds a null or
 non-finite component, take no part, neither do empty vectors; a shorter vector
-counts as padded by zeros; wholly repeated rows count once; ties go to the smaller
+counts as padded by zeros; wholly repeated rows count once (an id names a vector, so
+a row stored twice is one candidate and one query, not a rank of its own twice over); scores are
+exact while they, and the squared lengths, stay below 2^53; ties go to the smaller
 id, further ties (an id with several vectors) to all of them in order of score;
 a query never meets candidates of its own id.
 """

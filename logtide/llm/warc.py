@@ -120,6 +120,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least: int = LEAS
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     size = F.octet_length("payload")
     shared = rows.where(size >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
+    shared = written(shared, "shared-payloads")  # a plain scan, so that the join can split a frequent payload
     refers = F.when((size >= least) & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
     typed = rows.join(shared.drop("n"), "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -263,12 +264,16 @@ def read_archive(archive: Archive, captures: DataFrame) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits stand for the payload they refer to."""
-    own = written(records.select("page_id", "record_type", "record_id", "refers_to_id", F.octet_length("payload").cast("long").alias("n"),
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits stand for the payload they refer to.
+
+    A record id may stand for several pages of one page_id; a revisit means that of its own payload's digest."""
+    own = written(records.select("page_id", "record_type", "record_id", "refers_to_id", "digest", F.octet_length("payload").cast("long").alias("n"),
                                  F.sha1("payload").alias("sha1")), "records")
-    original = own.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("to"), F.max("n").alias("to_n"), F.max("sha1").alias("to_sha1"))
-    revisits = own.where("record_type = 'revisit'").join(original.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left").select(
-        "page_id", F.col("to_n").alias("payload_bytes"), F.col("to_sha1").alias("payload_digest"), "record_type", F.col("to").alias("refers_to"))
+    original = own.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id"), F.col("sha1").alias("digest")).agg(
+        F.max("page_id").alias("to"), F.max("n").alias("to_n"))
+    original = written(original, "responses")
+    revisits = own.where("record_type = 'revisit'").join(original, ["refers_to_id", "digest"], "left").select(
+        "page_id", F.col("to_n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("to").alias("refers_to"))
     return own.where("record_type = 'response'").select(
         "page_id", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
     ).unionByName(revisits)

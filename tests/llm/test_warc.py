@@ -64,3 +64,12 @@ def test_null_and_repeated_ids(spark, rows):
     assert len(out) == len(rows) and all(r.payload_bytes == 2000 for r in out)
     if any(r[0] is not None for r in rows):
         assert sorted((r.record_type, r.refers_to) for r in out if r.page_id is None) == [("revisit", 1)]
+
+
+def test_one_id_with_several_payloads(spark):
+    rows = [(9, "http://a/", "a" * 2000), (9, "http://b/", "b" * 3000), (1, "http://c/", "a" * 2000), (2, "http://d/", "b" * 3000), (9, "http://e/", "c" * 10)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(warc.read_archive(archive, archive.captures)).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got[:2] == [(1, 2000, sha("a" * 2000), "revisit", 9), (2, 3000, sha("b" * 3000), "revisit", 9)]
+    assert {r[:4] for r in got if r[0] == 9} == {(9, 2000, sha("a" * 2000), "response"), (9, 3000, sha("b" * 3000), "response"), (9, 10, sha("c" * 10), "response")}
