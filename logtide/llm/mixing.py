@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a hypergeometric splitting tree (DataFrame functions only).
 
-Documents are dealt into `blocks` blocks of their source by a hash of their key.
+Documents are dealt into `blocks` blocks of their source by a hash of key, text and source.
 A source's target becomes whole passes over its blocks and, for what is left, the
 first blocks of one more permuted pass; a gap that the next block would overfill
 is closed by later blocks that fit (a few rounds).  The blocks to take are the exact quotas of the sources.  A binary tree splits them
@@ -15,7 +15,7 @@ Aggregates hold at most `blocks` rows a source; sizes are summed before any
 shuffle, and the hot source is spread over its blocks.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; documents with equal keys share a block; with no words at all
+last in order; keys may be null or repeated, documents alike in key, text and source share a block; with no words at all
 every target is 0; columns of the input named like one of the result are replaced.
 """
 
@@ -148,7 +148,7 @@ def allot(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     own = docs.select(
         "*", words_in(F.col(f"`{text}`")).alias("size"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("__source"),
         F.col(f"`{source}`").isNull().alias("__none"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(blocks)).cast("int").alias("__block"))
+        F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"), F.col(f"`{source}`")), F.lit(blocks)).cast("int").alias("__block"))
     sized = written(own.groupBy("__source", "__none", "__block").agg(F.sum("size").alias("words")), "mix-blocks")
     name = F.when(~F.col("__none"), F.col("__source"))
     by_source = sized.groupBy("__source", "__none").agg(F.sum("words").alias("source_size"), F.count("*").alias("n_blocks"))

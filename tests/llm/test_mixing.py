@@ -94,3 +94,12 @@ def test_mix_returns_the_copies(spark):
 def test_no_python_on_the_way(spark):
     plan = mixing.mix(cases.documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_null_and_repeated_keys_come_near_their_targets(spark):
+    rng = __import__("random").Random(6)
+    for key in (None, 7):
+        rows = [(key, cases.sentence(rng, 80), "a") for _ in range(300)] + [(i, cases.sentence(rng, 200), "b") for i in range(30)]
+        out = mixing.allot(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+        for r in out.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= 0.05 * r.target
