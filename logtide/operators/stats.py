@@ -17,7 +17,7 @@ from logtide.functions.columns import PRIORITY_LABELS, priority_label, row_bytes
 from logtide.operators.predicates import minute_equals
 from logtide.schemas import DEFAULT_COLUMNS, EXCLUDED_COLUMNS
 from logtide.sources.files import TableFiles
-from logtide.sources.ledger import Ledger
+from logtide.sources.ledger import Ledger, Values
 from logtide.sources.tables import read_logs, read_process_metrics
 
 GIB = 1024.0**3
@@ -176,6 +176,15 @@ def stored_status(spark, logs_path: str, size: str = "files") -> DataFrame:
         "total_entries", "buffered_minutes", "oldest_minute", "newest_minute", "stored_bytes")
 
 
+def stored_filters(spark, logs_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """G9 / G10 / I4 of a stored table from its dictionaries: hosts, units and severity counts, as `filters`
+    gives them, without a scan of the rows of files that were asked before."""
+    values = Values(spark, logs_path)
+    hosts, units = (values.counts(c).where("value is not null").select("value").orderBy("value") for c in ("_HOSTNAME", "_SYSTEMD_UNIT"))
+    counts = values.counts("priority").select(F.col("value").cast("int").alias("priority"), F.col("rows").alias("_n"))
+    return hosts, units, _severities(counts)
+
+
 def filter_values(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-null values (hosts or units)."""
     return df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value")

@@ -573,11 +573,22 @@ _NOT_JSON, _BAD_CLOCK = "event_id % 89 = 0", "event_id % 83 = 0 AND event_id % 1
  COUNT(*) FILTER (WHERE NOT ({_NOT_JSON}) AND {_BAD_CLOCK}) AS rejected FROM events""")
 def q_ingest_report(spark, sf):
     """Every 89th line is cut off and every 83rd has a clock that is not a number."""
+    return J.line_report(spoiled_lines(spark, sf), NOW)
+
+
+def spoiled_lines(spark, sf, keep_seq: bool = False):
     seq = F.get_json_object("value", "$.__SEQNUM").cast("long")
     bad_clock = F.regexp_replace("value", '"__REALTIME_TIMESTAMP":"', '"__REALTIME_TIMESTAMP":"x')
-    lines = tables.raw_journal_lines(spark, sf).select(
-        F.when(seq % 89 == 0, F.left(F.col("value"), F.lit(12))).when(seq % 83 == 0, bad_clock).otherwise(F.col("value")).alias("value"))
-    return J.line_report(lines, NOW)
+    value = F.when(seq % 89 == 0, F.left(F.col("value"), F.lit(12))).when(seq % 83 == 0, bad_clock).otherwise(F.col("value"))
+    return tables.raw_journal_lines(spark, sf).select(value.alias("value"), *([seq.alias("seq")] if keep_seq else []))
+
+
+@register("ingest_rejects", f"""SELECT 'not_json' AS reason, CAST(NULL AS BIGINT) AS seq, COUNT(*) AS lines FROM events WHERE {_NOT_JSON}
+ UNION ALL SELECT 'bad_clock', CAST(event_id AS BIGINT), COUNT(*) FROM events WHERE NOT ({_NOT_JSON}) AND {_BAD_CLOCK} GROUP BY 2""")
+def q_ingest_rejects(spark, sf):
+    """A1 / B1: the lines that are not accepted, with their reason."""
+    seq = F.get_json_object("line", "$.__SEQNUM").cast("long")
+    return J.rejected_lines(spoiled_lines(spark, sf), NOW).groupBy("reason", seq.alias("seq")).agg(F.count("*").alias("lines"))
 
 
 def _nonnull_count_sql() -> str:

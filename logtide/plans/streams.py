@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.plans.catalog import NOW, _PARSED_CTE, register
+from logtide.plans.catalog import NOW, _BAD_CLOCK, _NOT_JSON, _PARSED_CTE, register, spoiled_lines
 from logtide.plans.oracle import JOURNAL_CTE, LEVEL_SQL, SAMPLES_TYPED_CTE, with_ctes
 from logtide.schemas import EVENTS_SCHEMA, PROCESS_SCHEMA
 from logtide.session import checkpoint_dir, ensure_utc
@@ -93,3 +93,19 @@ def q_stream_samples(spark, sf):
     out = _scratch(spark, "samples-out")
     jobs.start_sample_ingest(S.stream_process_samples(spark, f"{src}/*", max_files_per_trigger=1), out).awaitTermination()
     return tables.read_process_metrics(spark, out).select(*_SAMPLE_COLUMNS)
+
+
+@register("stream_rejects", f"""SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE NOT ({_NOT_JSON}) AND NOT ({_BAD_CLOCK})) AS accepted,
+ COUNT(*) FILTER (WHERE {_NOT_JSON}) AS not_json, COUNT(*) FILTER (WHERE NOT ({_NOT_JSON}) AND {_BAD_CLOCK}) AS bad_clock,
+ (SELECT COUNT(*) FROM events WHERE NOT ({_NOT_JSON}) AND NOT ({_BAD_CLOCK})) AS stored FROM events GROUP BY event_id % 2""")
+def q_stream_rejects(spark, sf):
+    """K1 with counted rejects: two files of lines, some spoiled, a micro-batch each."""
+    ensure_utc(spark)
+    src, out, side = _scratch(spark, "spoiled-in"), _scratch(spark, "spoiled-out"), _scratch(spark, "spoiled-rejects")
+    lines = spoiled_lines(spark, sf, keep_seq=True)
+    for half in (0, 1):
+        lines.where(F.col("seq") % 2 == half).select("value").coalesce(1).write.text(f"{src}/{half}")
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", "1").load(f"{src}/*")
+    jobs.start_journal_ingest(lines, NOW, out, side).awaitTermination()
+    stored = spark.read.parquet(out).count()
+    return jobs.read_ingest_counts(spark, side).select("lines", "accepted", "not_json", "bad_clock", F.lit(stored).cast("long").alias("stored"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import ts_literal_like
-from logtide.operators.ingest import parse_entries, rows_where_once, with_entry_timestamp
+from logtide.operators.ingest import parse_entries, rows_where_once, type_fields, with_entry_timestamp
 from logtide.operators.predicates import time_bounds
 from logtide.operators.ranking import locate_ranks, rank_slice
 from logtide.session import ensure_utc
@@ -49,6 +49,26 @@ def line_report(lines: DataFrame, now: datetime | None = None, col: str = "value
     )
 
 
+def judged_lines(lines: DataFrame, now: datetime | None = None, col: str = "value") -> DataFrame:
+    """(line, fields, timestamp, reason): every line parsed once; reason is NULL for an entry to
+    accept, `not_json` for a line that is no JSON object, `bad_clock` for an entry whose clock is no number."""
+    parsed = lines.select(F.col(col).alias("line"), F.from_json(F.col(col), MAP_TYPE).alias("fields"))
+    reason = F.when(F.col("fields").isNull(), "not_json").when(~F.col("_ts_ok"), "bad_clock")
+    return with_entry_timestamp(parsed, now).withColumn("reason", reason).drop("_ts_ok")
+
+
+def accepted_rows(lines: DataFrame, now: datetime | None = None, col: str = "value") -> DataFrame:
+    """Typed rows of the lines that are accepted."""
+    judged = judged_lines(lines, now, col).select("fields", "timestamp", "reason")
+    return type_fields(rows_where_once(judged, F.col("reason").isNull()))
+
+
+def rejected_lines(lines: DataFrame, now: datetime | None = None, col: str = "value") -> DataFrame:
+    """(reason, line) of the lines that are not: with `accepted_rows`, every line is in one of the two."""
+    judged = judged_lines(lines, now, col).select("reason", "line")
+    return rows_where_once(judged, F.col("reason").isNotNull())
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """A1: exported journal files -> `fields` map rows (batch)."""
     ensure_utc(spark)

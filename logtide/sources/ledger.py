@@ -1,11 +1,14 @@
-"""Date ledger of a stored table: rows, bytes, first and last time of every data file.
+"""What is known of each data file of a stored table: the date ledger and the value dictionary.
 
-Entries are small Parquet files in `_ledger`, one folder for each write.  An entry
+Entries are small Parquet files in a folder of the table, one folder for each write.  An entry
 counts as long as its data file is there, so a rewrite or a deletion needs no
 upkeep; a data file without an entry (of a stream's batch, of a job that died, of a
-table that never had a ledger) is measured once, when the ledger is next asked.
-Size budgets, reports and status pages add the entries up instead of scanning
-stored dates: what they read grows with the number of files.
+table that never had entries) is measured once, when they are next asked for.
+What is read to answer grows with the number of files, not with the rows.
+
+- `Ledger`: rows, bytes, first and last time.  Size budgets, reports and status pages add
+  them up instead of scanning stored dates.
+- `Values`: the values of the filter columns with their rows.  The search page's choices are merged from them.
 """
 
 from __future__ import annotations
@@ -18,49 +21,53 @@ from pyspark.sql import functions as F
 from logtide.functions.columns import row_bytes
 from logtide.sources.files import TableFiles, date_of
 
-SCHEMA = "day string, file string, rows long, bytes long, first timestamp_ntz, last timestamp_ntz"
 #: Folders of entries after which they are written anew as one.
 MOST_PARTS = 24
 #: Data files that are measured by one scan.
 MOST_FILES = 10_000
+FILTER_COLUMNS = ("_HOSTNAME", "_SYSTEMD_UNIT", "priority")
+
 
+class Entries:
+    """Entries (day, file, ...) of one table's data files; subclasses say what is measured."""
 
-class Ledger:
-    """The entries of one table."""
+    FOLDER: str
+    SCHEMA: str
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.table = spark, path.rstrip("/"), TableFiles(spark, path)
 
+    def _of(self, rows: DataFrame) -> DataFrame:
+        """The entries of some rows that carry `day` and `file`."""
+        raise NotImplementedError
+
     def _parts(self) -> list[str]:
         """Folders of entries; those that were written anew are left out, and deleted when nobody reads them any more."""
         old: set[str] = set()
-        for record in self.table._names("_ledger-merged"):
-            names = (self.table.read(f"_ledger-merged/{record}") or "").split("\n")
+        for record in self.table._names(f"{self.FOLDER}-merged"):
+            names = (self.table.read(f"{self.FOLDER}-merged/{record}") or "").split("\n")
             old |= set(names)
-            if self.table.age(f"_ledger-merged/{record}") > self.table.lease:
+            if self.table.age(f"{self.FOLDER}-merged/{record}") > self.table.lease:
                 for n in names:
-                    self.table.drop(f"_ledger/{n}")
-                self.table.delete([f"{self.path}/_ledger-merged/{record}"])
-        return [p for p in self.table._glob(f"{self.path}/_ledger/*") if p.rsplit("/", 1)[1] not in old]
+                    self.table.drop(f"{self.FOLDER}/{n}")
+                self.table.delete([f"{self.path}/{self.FOLDER}-merged/{record}"])
+        return [p for p in self.table._glob(f"{self.path}/{self.FOLDER}/*") if p.rsplit("/", 1)[1] not in old]
 
     def _noted(self, parts: list[str]) -> DataFrame:
         """All entries, of files that are gone, too; a file that was measured twice has one."""
-        frame = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
-        return frame.dropDuplicates(["day", "file"])
+        frame = self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return frame.dropDuplicates()
 
     def _present(self, files: list[str]) -> DataFrame:
         names = [(date_of(p), p.rsplit("/", 1)[1]) for p in files]
         return self.spark.createDataFrame(names, "day string, file string")
 
     def _measure(self, files: list[str]) -> None:
-        """One scan of the files' time and the lengths of their values; an entry for each."""
+        """One scan of the files; what the entries need of them."""
         rows = self.spark.read.option("basePath", self.path).parquet(*files)
-        time = F.col("timestamp").cast("timestamp_ntz")
-        own = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.col("_metadata.file_name").alias("file"),
-                          time.alias("t"), row_bytes(rows, exclude=("date",)).alias("b"))
-        found = own.groupBy(F.element_at(F.split("folder", "="), -1).alias("day"), "file").agg(
-            F.count("*").alias("rows"), F.sum("b").alias("bytes"), F.min("t").alias("first"), F.max("t").alias("last"))
-        found.coalesce(1).write.parquet(f"{self.path}/_ledger/{uuid.uuid4().hex}")
+        folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        own = rows.select(F.element_at(F.split(folder, "="), -1).alias("day"), F.col("_metadata.file_name").alias("file"), *[F.col(f"`{c}`") for c in rows.columns if c != "date"])
+        self._of(own).coalesce(1).write.parquet(f"{self.path}/{self.FOLDER}/{uuid.uuid4().hex}")
 
     def refresh(self) -> DataFrame:
         """Entries of all data files that are there now; files without one are measured first."""
@@ -68,7 +75,7 @@ class Ledger:
             files, parts = self.table.files(), self._parts()
             known: set = set()
             if parts and files:
-                own = self._noted(parts).select("day", "file").join(self._present(files), ["day", "file"], "left_semi")
+                own = self._noted(parts).select("day", "file").distinct().join(self._present(files), ["day", "file"], "left_semi")
                 known = {(r["day"], r["file"]) for r in own.toLocalIterator()}
             missing = [p for p in files if (date_of(p), p.rsplit("/", 1)[1]) not in known]
             try:
@@ -81,15 +88,27 @@ class Ledger:
         if missing:
             parts = self._parts()
         if not files or not parts:
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], self.SCHEMA)
         entries = self._noted(parts).join(self._present(files), ["day", "file"], "left_semi")
         if len(parts) > MOST_PARTS:
             name = uuid.uuid4().hex
-            entries.coalesce(1).write.parquet(f"{self.path}/_ledger/{name}")  # readers of both see doubles, which count once
-            self.table.publish(f"_ledger-merged/{name}", "\n".join(p.rsplit("/", 1)[1] for p in parts))
-            entries = self._noted([f"{self.path}/_ledger/{name}"])
+            entries.coalesce(1).write.parquet(f"{self.path}/{self.FOLDER}/{name}")  # readers of both see doubles, which count once
+            self.table.publish(f"{self.FOLDER}-merged/{name}", "\n".join(p.rsplit("/", 1)[1] for p in parts))
+            entries = self._noted([f"{self.path}/{self.FOLDER}/{name}"])
         return entries
 
+
+class Ledger(Entries):
+    """Rows, bytes, first and last time of every data file."""
+
+    FOLDER = "_ledger"
+    SCHEMA = "day string, file string, rows long, bytes long, first timestamp_ntz, last timestamp_ntz"
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        time = F.col("timestamp").cast("timestamp_ntz")
+        return rows.groupBy("day", "file").agg(
+            F.count("*").alias("rows"), F.sum(row_bytes(rows, exclude=("day", "file"))).alias("bytes"), F.min(time).alias("first"), F.max(time).alias("last"))
+
     def by_date(self) -> DataFrame:
         """(date, rows, bytes, first, last), a row for each stored date; rows without a time are under no date."""
         return self.refresh().groupBy(F.try_to_date("day").alias("date")).agg(
@@ -104,3 +123,20 @@ class Ledger:
         """Rows of some data files."""
         own = self.refresh().join(self._present(files), ["day", "file"], "left_semi") if files else None
         return 0 if own is None else own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
+class Values(Entries):
+    """Every value of the filter columns, as text, with its rows, for every data file; a file's rows without value are under NULL."""
+
+    FOLDER = "_values"
+    SCHEMA = "day string, file string, name string, value string, rows long"
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        pairs = [F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in FILTER_COLUMNS if c in rows.columns]
+        pairs = pairs or [F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("value"))]  # so that the file has an entry
+        own = rows.select("day", "file", F.explode(F.array(*pairs)).alias("x"))
+        return own.groupBy("day", "file", "x.name", "x.value").agg(F.count("*").alias("rows"))
+
+    def counts(self, column: str) -> DataFrame:
+        """(value, rows) of one filter column over the whole table, NULL included."""
+        return self.refresh().where(F.col("name") == column).groupBy("value").agg(F.sum("rows").alias("rows"))

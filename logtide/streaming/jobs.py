@@ -35,6 +35,7 @@ from logtide.operators.ingest import parse_entries
 from logtide.operators.maintenance import absent_keys, write_logs, write_process_metrics
 from logtide.operators.processes import one_per_key, to_process_metrics
 from logtide.sources.files import TableFiles
+from logtide.sources.journal import accepted_rows, line_report, rejected_lines
 from logtide.sources.tables import read_process_metrics
 
 
@@ -96,6 +97,61 @@ def start_log_ingest(entries: DataFrame, now: datetime | None, path: str, checkp
     return w.start()
 
 
+def _dated_parts(rows: DataFrame, stage: str) -> None:
+    """Rows with their `date`, as they come."""
+    rows.write.partitionBy("date").parquet(stage)
+
+
+def ingest_lines(lines: DataFrame, now: datetime | None, path: str, rejects: str, checkpoint: str, epoch: int) -> None:
+    """One batch of journal lines: accepted ones into the table, the others with their reason into
+    `rejects`/lines, and lines, accepted, not_json and bad_clock into `rejects`/counts.
+
+    The lines are parsed once, and once more only if some were rejected: how many were accepted is in the
+    footers of the files just written, how many lines there are takes no parse.  Each output has records of
+    its own, so a replay completes what is missing and repeats nothing."""
+    spark = lines.sparkSession
+    table = TableFiles(spark, path)
+    run_name = _run_name(table, checkpoint)
+    known = table.epoch_state(run_name, epoch) != "skip"
+    _append_once(write_logs, path, checkpoint, lambda b: accepted_rows(b, now))(lines, epoch)
+    day = F.current_date() if now is None else F.lit(now.date().isoformat()).cast("date")
+
+    def counted(batch: DataFrame) -> DataFrame:
+        files = table.files(f"epoch-{run_name}-{epoch}-")
+        if known:
+            accepted = spark.read.schema("timestamp timestamp_ntz").parquet(*files).count() if files else 0
+            n = batch.count()
+        else:  # the table had the epoch already, perhaps in other files by now
+            n, _, accepted, _ = line_report(batch, now).first()
+        reasons = {}
+        if n != accepted:
+            _append_once(_dated_parts, f"{rejects}/lines", checkpoint, lambda b: rejected_lines(b, now).withColumn("date", day))(batch, epoch)
+            side = TableFiles(spark, f"{rejects}/lines").files(f"epoch-{run_name}-{epoch}-")
+            reasons = {r["reason"]: r["count"] for r in spark.read.schema("reason string").parquet(*side).groupBy("reason").count().collect()}
+        row = [(epoch, n, accepted, reasons.get("not_json", 0), reasons.get("bad_clock", 0))]
+        return spark.createDataFrame(row, "epoch long, lines long, accepted long, not_json long, bad_clock long").coalesce(1).withColumn("date", day)
+
+    _append_once(_dated_parts, f"{rejects}/counts", checkpoint, counted)(lines, epoch)
+
+
+def start_journal_ingest(lines: DataFrame, now: datetime | None, path: str, rejects: str, checkpoint: str | None = None,
+                         trigger: dict | None = None) -> StreamingQuery:
+    """K1 / C3 over raw lines (`value`), with what is not accepted kept and counted (`ingest_lines`)."""
+    ckpt = _checkpoint(path, checkpoint)
+    w = lines.writeStream.foreachBatch(lambda batch, epoch: ingest_lines(batch, now, path, rejects, ckpt, epoch)).option("checkpointLocation", ckpt)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_rejects(spark, rejects: str) -> DataFrame:
+    """(reason, line, date) of everything rejected."""
+    return spark.read.schema("reason string, line string, date date").parquet(f"{rejects}/lines")
+
+
+def read_ingest_counts(spark, rejects: str) -> DataFrame:
+    """(epoch, lines, accepted, not_json, bad_clock, date), a row a batch; accepted + not_json + bad_clock = lines."""
+    return spark.read.schema("epoch long, lines long, accepted long, not_json long, bad_clock long, date date").parquet(f"{rejects}/counts")
+
+
 def new_samples(batch: DataFrame, path: str) -> DataFrame:
     """Typed samples of a batch that the stored table lacks, one per (timestamp, pid).
 
