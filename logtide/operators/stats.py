@@ -17,7 +17,7 @@ from logtide.functions.columns import PRIORITY_LABELS, priority_label, row_bytes
 from logtide.operators.predicates import minute_equals
 from logtide.schemas import DEFAULT_COLUMNS, EXCLUDED_COLUMNS
 from logtide.sources.files import TableFiles
-from logtide.sources.ledger import Ledger, Values
+from logtide.sources.ledger import Filled, Ledger, Values
 from logtide.sources.tables import read_logs, read_process_metrics
 
 GIB = 1024.0**3
@@ -197,13 +197,17 @@ def severity_counts(df: DataFrame) -> DataFrame:
     aggregate over priorities 0..7 (at most eight rows, a proven bound), so they
     are the broadcast side of the left join.
     """
+    counts = df.filter(F.col("priority").between(0, 7)).groupBy("priority").agg(F.count(F.lit(1)).alias("_n"))
+    return _severities(counts)
+
+
+def _severities(counts: DataFrame) -> DataFrame:
+    """The eight levels with the rows that `counts` (priority, _n) has of them."""
     value = F.col("id").cast("int")
-    levels = df.sparkSession.range(len(PRIORITY_LABELS)).select(
+    levels = counts.sparkSession.range(len(PRIORITY_LABELS)).select(
         value.alias("value"), F.concat(value.cast("string"), F.lit(" - "), priority_label(value)).alias("label")
     )
-    counts = df.filter(F.col("priority").between(0, 7)).groupBy(F.col("priority").alias("value")).agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    counts = counts.filter(F.col("priority").between(0, 7)).select(F.col("priority").alias("value"), F.col("_n").alias("count"))
     return (
         levels.join(F.broadcast(counts), "value", "left")
         .select("value", "label", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
@@ -222,9 +226,13 @@ def column_profile(df: DataFrame) -> DataFrame:
     One aggregate of count(col) over all columns (a single pass), then `stack`
     to one row per column.
     """
-    defaults = {c.lower() for c in DEFAULT_COLUMNS}
     fields = [f for f in df.schema.fields if f.name not in EXCLUDED_COLUMNS and f.name != "date"]
-    counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)])
+    return _profile(df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)]), fields)
+
+
+def _profile(counts: DataFrame, fields: list) -> DataFrame:
+    """The catalogue from one row of counts c0, c1, ... in the order of the fields."""
+    defaults = {c.lower() for c in DEFAULT_COLUMNS}
     parts = []
     for i, f in enumerate(fields):
         name = f.name.replace("'", "\\'")
@@ -233,3 +241,10 @@ def column_profile(df: DataFrame) -> DataFrame:
     expr = f"stack({len(fields)}, {', '.join(parts)}) as (name, column_type, is_default, position, non_null)"
     return counts.selectExpr(expr)
 
+
+def stored_column_profile(spark, logs_path: str) -> DataFrame:
+    """E5 / I5 of a stored table from the filled counts of its files: no column of files asked before is read."""
+    fields = [f for f in read_logs(spark, logs_path).schema.fields if f.name not in EXCLUDED_COLUMNS and f.name != "date"]
+    own = Filled(spark, logs_path).refresh()
+    sums = [F.coalesce(F.sum(F.when(F.col("name") == f.name, F.col("rows"))), F.lit(0)).alias(f"c{i}") for i, f in enumerate(fields)]
+    return _profile(own.agg(*sums), fields)

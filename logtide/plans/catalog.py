@@ -285,7 +285,10 @@ def _profile_sql() -> str:
     return with_ctes(" UNION ALL ".join(parts), JOURNAL_CTE)
 
 
-@register("column_profile", _profile_sql())
+PROFILE_SQL = _profile_sql()
+
+
+@register("column_profile", PROFILE_SQL)
 def q_column_profile(spark, sf):
     return stats.column_profile(_logs(spark, sf))
 

@@ -18,6 +18,7 @@ from logtide.plans.catalog import (
     DEFAULT_SELECT,
     HEALTH_SQL,
     NOW,
+    PROFILE_SQL,
     STATUS_SQL,
     TS_DESC,
     _LATEST,
@@ -240,3 +241,36 @@ def q_stored_health(spark, sf):
 def q_stored_status(spark, sf):
     """I9 of a stored table: size and rows from its ledger."""
     return stats.stored_status(spark, f"{_store(spark, sf, 'logs')}/logs", size="rows")
+
+
+_FILTERS = (
+    "SELECT 'host' AS kind, _HOSTNAME AS value, CAST(NULL AS BIGINT) AS count FROM journal_logs WHERE _HOSTNAME IS NOT NULL AND {keep} GROUP BY 2 "
+    "UNION ALL SELECT 'unit', _SYSTEMD_UNIT, NULL FROM journal_logs WHERE _SYSTEMD_UNIT IS NOT NULL AND {keep} GROUP BY 2 "
+    "UNION ALL SELECT 'severity', CAST(v AS VARCHAR), (SELECT COUNT(*) FROM journal_logs WHERE priority = v AND {keep}) FROM range(8) r(v)"
+).format(keep=f'"timestamp" >= {_ts(NOW - timedelta(days=15))}')
+
+
+@register("stored_filters", with_ctes(_FILTERS, JOURNAL_CTE))
+def q_stored_filters(spark, sf):
+    """G9 / G10 / I4 from the dictionaries of a stored table, asked before and after rewrites."""
+    path = f"{_store(spark, sf, 'logs')}/logs"
+    stats.stored_filters(spark, path)[0].count()
+    maintenance.compact(spark, path, ["2024-01-16", "2024-01-20"])
+    maintenance.apply_retention_by_age(spark, path, NOW, 15)
+    hosts, units, severities = stats.stored_filters(spark, path)
+    none = F.lit(None).cast("long").alias("count")
+    return hosts.select(F.lit("host").alias("kind"), "value", none).unionByName(units.select(F.lit("unit").alias("kind"), "value", none)).unionByName(
+        severities.select(F.lit("severity").alias("kind"), F.col("value").cast("string").alias("value"), "count"))
+
+
+@register("stored_column_profile", PROFILE_SQL)
+def q_stored_column_profile(spark, sf):
+    """E5 / I5 from the filled counts of a stored table."""
+    return stats.stored_column_profile(spark, f"{_store(spark, sf, 'logs')}/logs")
+
+
+@register("stored_text_search", _search_sql(_where(NOW - timedelta(days=30), q="USER_17"), TS_DESC, select=DEFAULT_SELECT))
+def q_stored_text_search(spark, sf):
+    """A text search that reads only files whose trigrams allow it."""
+    path = f"{_store(spark, sf, 'logs')}/logs"
+    return search.search(tables.read_logs_with_text(spark, path, "USER_17"), NOW, start="-30d", q="USER_17")

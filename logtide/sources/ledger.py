@@ -9,13 +9,16 @@ What is read to answer grows with the number of files, not with the rows.
 - `Ledger`: rows, bytes, first and last time.  Size budgets, reports and status pages add
   them up instead of scanning stored dates.
 - `Values`: the values of the filter columns with their rows.  The search page's choices are merged from them.
+- `Filled`: how many rows have a value, column by column, for the column catalogue.
+- `Trigrams`: which three-byte sequences the lower-cased messages hold, as a bitmap; a text search
+  leaves out files that lack one of its own.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.functions.columns import row_bytes
@@ -25,6 +28,8 @@ from logtide.sources.files import TableFiles, date_of
 MOST_PARTS = 24
 #: Data files that are measured by one scan.
 MOST_FILES = 10_000
+#: Bits of a file's trigram signature, and bits of one of its rows.
+TRIGRAM_BITS, BITMAP_BITS = 1 << 18, 32768
 FILTER_COLUMNS = ("_HOSTNAME", "_SYSTEMD_UNIT", "priority")
 
 
@@ -140,3 +145,49 @@ class Values(Entries):
     def counts(self, column: str) -> DataFrame:
         """(value, rows) of one filter column over the whole table, NULL included."""
         return self.refresh().where(F.col("name") == column).groupBy("value").agg(F.sum("rows").alias("rows"))
+
+
+class Filled(Entries):
+    """Rows with a value of every column, for every data file."""
+
+    FOLDER = "_filled"
+    SCHEMA = "day string, file string, name string, rows long"
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        names = [c for c in rows.columns if c not in ("day", "file")]
+        counts = rows.groupBy("day", "file").agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+        pairs = [F.struct(F.lit(c).alias("name"), F.col(f"c{i}").alias("rows")) for i, c in enumerate(names)]
+        return counts.select("day", "file", F.explode(F.array(*pairs)).alias("x")).select("day", "file", "x.name", "x.rows")
+
+
+def trigram_places(text: Column) -> Column:
+    """Places in a signature of the three-byte sequences of a lower-cased text."""
+    raw = F.lower(text).cast("binary")
+    n = F.octet_length(raw)
+    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.pmod(F.xxhash64(F.substring(raw, i, F.lit(3))), F.lit(TRIGRAM_BITS)))
+    return F.array_distinct(F.when(n > 2, grams).otherwise(F.array().cast("array<bigint>")))
+
+
+class Trigrams(Entries):
+    """A bitmap of the messages' trigrams for every data file, in rows of 32,768 bits."""
+
+    FOLDER = "_trigrams"
+    SCHEMA = "day string, file string, chunk int, bits binary"
+
+    def _of(self, rows: DataFrame) -> DataFrame:
+        places = rows.select("day", "file", F.explode_outer(trigram_places(F.col("message"))).alias("p"))
+        chunk = F.coalesce(F.floor(F.col("p") / BITMAP_BITS).cast("int"), F.lit(-1))  # -1: so that a file without text has an entry
+        bit = F.coalesce(F.pmod("p", F.lit(BITMAP_BITS)), F.lit(0).cast("long"))
+        return places.groupBy("day", "file", chunk.alias("chunk")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+    def files_with(self, q: str) -> list[str] | None:
+        """Data files whose messages may hold `q`, whatever its case; None if q is too short to say."""
+        asked = self.spark.range(1).select(F.explode(trigram_places(F.lit(q))).alias("p"))
+        asked = asked.select(F.floor(F.col("p") / BITMAP_BITS).cast("int").alias("chunk"), F.pmod("p", F.lit(BITMAP_BITS)).cast("int").alias("bit"))
+        n = asked.count()
+        if not n:
+            return None
+        byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+        held = self.refresh().join(F.broadcast(asked), "chunk").where(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0)
+        rows = held.groupBy("day", "file").agg(F.count("*").alias("n")).where(F.col("n") == n).select("day", "file").toLocalIterator()
+        return sorted(f"{self.path}/date={r['day']}/{r['file']}" for r in rows)

@@ -61,6 +61,21 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_with_date(JOURNAL_SCHEMA)).parquet(path)
 
 
+def read_logs_with_text(spark: SparkSession, path: str, q: str | None) -> DataFrame:
+    """D3 on a stored table: the rows of files whose messages may hold `q`; the search itself still decides.
+
+    Files are left out by their trigram signatures (measured once for each file); a text of less than
+    three bytes reads everything."""
+    from logtide.sources.ledger import Trigrams
+
+    files = Trigrams(spark, path).files_with(q) if q else None
+    if files is None:
+        return read_logs(spark, path)
+    ensure_utc(spark)
+    reader = spark.read.schema(_with_date(JOURNAL_SCHEMA)).option("basePath", path)
+    return reader.parquet(*files) if files else read_logs(spark, path).limit(0)
+
+
 def read_process_metrics(spark: SparkSession, path: str) -> DataFrame:
     ensure_utc(spark)
     return spark.read.schema(_with_date(PROCESS_SCHEMA)).parquet(path)
