@@ -109,3 +109,17 @@ def q_stream_rejects(spark, sf):
     jobs.start_journal_ingest(lines, NOW, out, side).awaitTermination()
     stored = spark.read.parquet(out).count()
     return jobs.read_ingest_counts(spark, side).select("lines", "accepted", "not_json", "bad_clock", F.lit(stored).cast("long").alias("stored"))
+
+
+@register("stream_timechart_merged", with_ctes(
+    "SELECT date_trunc('minute', \"timestamp\") AS time_bin, COALESCE(priority, 6) AS priority, "
+    + LEVEL_SQL.format(p="COALESCE(priority, 6)") + " AS level, COUNT(*) AS count FROM journal_logs GROUP BY 1, 2", JOURNAL_CTE))
+def q_stream_timechart_merged(spark, sf):
+    """K3 over ten micro-batches whose count files are merged on the way."""
+    src, out = _scratch(spark, "chart-in"), _scratch(spark, "chart-out")
+    events = tables.read_events(spark, sf)
+    for i in range(10):
+        events.where(F.col("event_id") % 10 == i).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{src}/*")
+    jobs.start_live_timechart(journal_logs_from_events(stream), out).awaitTermination()
+    return jobs.read_live_timechart(spark, out)

@@ -13,7 +13,7 @@ K1  log ingest: text files -> fields map -> typed rows -> the stored table
 K2  sample ingest: one row per (timestamp, pid), compared with the stored dates
     the batch touches.  No watermark: a sample may come as late as it likes.
 K3  live timechart: each batch appends its counts per minute and level; the
-    chart adds them up, so open bins and late rows are in it.  `live_timechart`
+    chart adds them up, so open bins and late rows are in it; count files are merged level by level.  `live_timechart`
     is the windowed form (append mode) for sinks that want closed bins only.
 K4  live ingest summary: the same with five-minute windows per source.
 
@@ -37,6 +37,7 @@ from logtide.operators.processes import one_per_key, to_process_metrics
 from logtide.sources.files import TableFiles
 from logtide.sources.journal import accepted_rows, line_report, rejected_lines
 from logtide.sources.tables import read_process_metrics
+from logtide.streaming.merging import FAN, merge_counts, read_counts
 
 
 def _checkpoint(path: str, location: str | None) -> str:
@@ -186,13 +187,22 @@ def start_sample_ingest(samples: DataFrame, path: str, checkpoint: str | None =
     return w.start()
 
 
-def _start_counts(rows: DataFrame, count, path: str, checkpoint: str | None, trigger: dict | None) -> StreamingQuery:
-    """Append each batch's counts; no state is kept, counts of later batches add up on reading."""
+def _start_counts(rows: DataFrame, count, keys: tuple[str, ...], path: str, checkpoint: str | None, trigger: dict | None) -> StreamingQuery:
+    """Append each batch's counts; no state is kept, counts of later batches add up on reading.
+
+    Every `FAN`-th batch merges the count files of the dates (`merging`), so their number stays small."""
     def write(batch: DataFrame, stage: str) -> None:
         count(batch).withColumn("date", F.to_date(F.col("bin"))).repartitionByRange("date").write.partitionBy("date").parquet(stage)
 
     ckpt = _checkpoint(path, checkpoint)
-    w = rows.writeStream.foreachBatch(_append_once(write, path, ckpt)).option("checkpointLocation", ckpt)
+    append = _append_once(write, path, ckpt)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        append(batch, epoch)
+        if epoch % FAN == FAN - 1:
+            merge_counts(batch.sparkSession, path, keys)
+
+    w = rows.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -202,12 +212,12 @@ def start_live_timechart(logs: DataFrame, path: str, checkpoint: str | None = No
         minute = F.date_trunc("minute", F.col("timestamp")).cast("timestamp_ntz")
         return batch.groupBy(minute.alias("bin"), F.coalesce("priority", F.lit(DEFAULT_LEVEL)).alias("priority")).agg(F.count("*").alias("n"))
 
-    return _start_counts(logs, count, path, checkpoint, trigger)
+    return _start_counts(logs, count, ("bin", "priority"), path, checkpoint, trigger)
 
 
 def read_live_timechart(spark, path: str) -> DataFrame:
     """The chart of everything ingested so far, open bins included."""
-    parts = spark.read.schema("bin timestamp_ntz, priority int, n long, date date").parquet(path)
+    parts = read_counts(spark, path, "bin timestamp_ntz, priority int, n long, date date")
     sums = parts.groupBy("bin", "priority").agg(F.sum("n").alias("count"))
     return sums.select(F.col("bin").alias("time_bin"), "priority", priority_label(F.col("priority")).alias("level"), "count")
 
@@ -218,11 +228,11 @@ def start_live_summary(rows: DataFrame, source: str, path: str, checkpoint: str
         window = F.window(F.col("timestamp").cast("timestamp"), "5 minutes")
         return batch.groupBy(window.start.cast("timestamp_ntz").alias("bin")).agg(F.count("*").alias("n")).withColumn("source", F.lit(source))
 
-    return _start_counts(rows, count, path, checkpoint, trigger)
+    return _start_counts(rows, count, ("bin", "source"), path, checkpoint, trigger)
 
 
 def read_live_summary(spark, path: str) -> DataFrame:
-    parts = spark.read.schema("bin timestamp_ntz, n long, source string, date date").parquet(path)
+    parts = read_counts(spark, path, "bin timestamp_ntz, n long, source string, date date")
     sums = parts.groupBy("bin", "source").agg(F.sum("n").alias("rows"))
     return sums.select(F.col("bin").alias("window_start"), (F.col("bin") + F.expr("INTERVAL 5 MINUTES")).alias("window_end"), "source", "rows")
 
