@@ -33,16 +33,16 @@ def parse_time(text: str, now: datetime) -> datetime:
         body = text[1:]
         unit = body[-1:] if body else ""
         if unit not in _REL_UNITS:
-            raise ValueError(f"Invalid relative time format: {text}")
+            raise ValueError(f"not an offset like -15m: {text!r}")
         num = body[:-1]
         if not _INT_RE.match(num):
-            raise ValueError(f"Invalid number in relative time: {num}")
+            raise ValueError(f"the offset {text!r} needs a whole number, not {num!r}")
         return now - timedelta(**{_REL_UNITS[unit]: int(num)})
     m = re.match(
         r"^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$", text
     )
     if not m:
-        raise ValueError(f"Invalid time format: {text}")
+        raise ValueError(f"neither now, an offset nor a date with time and zone: {text!r}")
     frac = (m.group(7) or ".0")[1:][:6].ljust(6, "0")
     tz = m.group(8)
     offset = timezone.utc if tz in ("Z", "z") else timezone(

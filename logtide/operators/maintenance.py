@@ -207,9 +207,13 @@ def drop_oldest_tenth(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         report = spark.range(1).select(F.lit(0).cast("long").alias("deleted"), F.lit(None).cast("timestamp_ntz").alias("cutoff"))
         return df, report
     lit = ts_literal_like(df, "timestamp", cut)
-    gone = F.col("timestamp") <= lit
-    report = df.agg(F.count_if(gone).alias("deleted")).withColumn("cutoff", lit.cast("timestamp_ntz"))
-    return df.filter(~gone | F.col("timestamp").isNull()), report
+    t, before, untimed = F.col("timestamp"), F.col("timestamp") <= lit, F.col("timestamp").isNull()
+    after = t > lit
+    if "date" in df.columns:  # either side opens its own dates only; a row without a time has no date
+        day = F.lit(cut.date().isoformat()).cast("date")
+        before, after, untimed = before & (F.col("date") <= day), after & (F.col("date") >= day), untimed & F.col("date").isNull()
+    report = df.filter(before).agg(F.count(F.lit(1)).alias("deleted")).withColumn("cutoff", lit.cast("timestamp_ntz"))
+    return df.filter(after | untimed), report
 
 
 def minute_totals(df: DataFrame) -> DataFrame:
@@ -376,8 +380,7 @@ def _exchange(spark: SparkSession, path: str, dates: list[str] | None, plan: Cal
             return result
         touched = sorted({date_of(p) for p in old}) if not exact else dates
         if table.claim(name, touched) and (table.files(dates=dates) == files if exact else table.all_there(old)) and table.note(name, old) is not False:
-            table.finish(name)
-            Ledger(spark, path).refresh()
+            table.finish(name)  # the new files enter the ledger when it is next asked
             return result
         table.call_off(name)
         time.sleep(wait * random.random())
@@ -427,7 +430,7 @@ def compact(spark: SparkSession, path: str, dates: list, files_per_date: int = 1
     def plan(files: list[str]) -> tuple[list[str], DataFrame | None, int]:
         if not files:
             return [], None, 0
-        return files, _per_date_buckets(_read_files(spark, path, files), len(dates), files_per_date), Ledger(spark, path).rows_of(files)
+        return files, _per_date_buckets(scope := _read_files(spark, path, files), len(dates), files_per_date), scope.count()
 
     return _exchange(spark, path, [str(d) for d in dates], plan)
 

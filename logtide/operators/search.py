@@ -6,12 +6,11 @@ size check is input partitions x (offset+limit) against a fixed budget.  A
 larger page would overload that single merge, so it is cut out of the order
 instead (`ranking`): by time, the
 window's boundary timestamps are located by a bounded bucket descent; by a
-low-cardinality column (host, unit, priority, command), by per-value counts.
-Rows between the boundaries are read by a pushed-down filter; only rows that
-share a boundary value are ordered by the cursor, and if there are many of
-those, by a range-partitioned sort checkpointed to the shared folder (so the
-numbering is stable if executors are lost) with row counts per sorted
-partition (one row per partition, a bounded broadcast).
+column (host, unit, priority, command), by selection on the compound key
+(column, cursor): sampled splitters and exact counts between them.
+Rows between the boundaries are read by a pushed-down filter; rows that share a
+boundary timestamp are cut by selection on the cursor.  Nothing but key columns is
+read before the page, and nothing is checkpointed.
 """
 
 from __future__ import annotations
@@ -58,7 +57,7 @@ def resolve_columns(columns: str | list[str] | None, strict: bool = True) -> lis
     found = [c for c in (column_for(r) for r in requested) if c is not None]
     if not found:
         if strict:
-            raise ValueError("No valid columns specified")
+            raise ValueError("none of the requested columns is a column of the log table")
         found = [column_for(c) for c in DEFAULT_COLUMNS]
     return found
 
@@ -111,8 +110,7 @@ def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc",
     (offset+limit) rows) fits the merge budget, or within `topk_max_rows` when
     a fixed bound is given.  Otherwise it never merges offset+limit rows per
     task in one place: by time they locate the window's boundary timestamps
-    (bucket descent), by a low-cardinality column they use per-value counts;
-    only rows sharing a boundary value are ordered by the cursor.
+    (bucket descent), by another column selection finds the window's first and last key.
     """
     limit, offset = max(0, int(limit)), max(0, int(offset))
     col = SORT_COLUMNS.get((sort or "").lower(), "timestamp")
@@ -127,6 +125,7 @@ def sorted_page(df: DataFrame, sort: str = "timestamp", sort_dir: str = "desc",
 
 
 def _deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """A page of any order at all, by a checkpointed sort; the allow-listed sorts do not need it."""
     checkpoint_dir(df.sparkSession)
     numbered = (
         df.orderBy(*order)

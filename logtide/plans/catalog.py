@@ -246,6 +246,32 @@ def q_entries_for_minute(spark, sf):
     return search.entries_for_minute(_logs(spark, sf), MINUTE).select("timestamp", "__CURSOR", "message")
 
 
+_BUSIEST = "(SELECT minute_key FROM journal_logs GROUP BY 1 ORDER BY COUNT(*) DESC, minute_key LIMIT 1)"
+
+
+@register("entries_for_busiest_minute", with_ctes(
+    'SELECT row_number() OVER (ORDER BY "timestamp", __CURSOR) - 1 AS place, "timestamp", __CURSOR, message FROM journal_logs '
+    f"WHERE minute_key = {_BUSIEST}", JOURNAL_CTE))
+def q_entries_for_busiest_minute(spark, sf):
+    """F5 / D7 on a minute of several rows, in the order in which they come."""
+    logs = _logs(spark, sf)
+    top = logs.groupBy("minute_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "minute_key").first()["minute_key"]
+    rows = search.entries_for_minute(logs, datetime.strptime(top[:16], "%Y-%m-%dT%H:%M"))
+    return rows.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "timestamp", "__CURSOR", "message")
+
+
+@register("delete_busiest_minute", with_ctes(
+    f"SELECT COUNT(*) FILTER (WHERE minute_key = {_BUSIEST}) AS deleted, COUNT(*) FILTER (WHERE minute_key <> {_BUSIEST}) AS kept, "
+    f"(SELECT COUNT(*) FROM journal_logs WHERE minute_key = {_BUSIEST}) AS count FROM journal_logs", JOURNAL_CTE))
+def q_delete_busiest_minute(spark, sf):
+    """C5 and G4 on a minute of several rows."""
+    logs = _logs(spark, sf)
+    top = logs.groupBy("minute_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "minute_key").first()["minute_key"]
+    minute = datetime.strptime(top[:16], "%Y-%m-%dT%H:%M")
+    kept, deleted = maintenance.delete_minute(logs, minute)
+    return deleted.crossJoin(F.broadcast(kept.agg(F.count("*").alias("kept")))).crossJoin(F.broadcast(stats.count_by_minute(logs, minute)))
+
+
 # --------------------------------------------------------------------------- I4, I5, stats
 
 
@@ -621,6 +647,22 @@ def q_rebuild_fields(spark, sf):
     )
 
 
+def _field_texts_sql() -> str:
+    from logtide.schemas import KNOWN_FIELDS
+
+    known = ", ".join(f"CASE WHEN \"{c}\" IS NOT NULL THEN concat('{n}=', CAST(\"{c}\" AS VARCHAR)) END" for c, n, _ in KNOWN_FIELDS)
+    extra = "CASE WHEN extra_fields IS NOT NULL THEN concat('CUSTOM_K=', json_extract_string(extra_fields, '$.CUSTOM_K')) END"
+    return f"array_to_string(list_sort(list_filter([{known}, {extra}], lambda x: x IS NOT NULL)), chr(10))"
+
+
+@register("rebuild_fields_whole", with_ctes(f'SELECT "timestamp", {_field_texts_sql()} AS fields FROM journal_logs', JOURNAL_CTE))
+def q_rebuild_fields_whole(spark, sf):
+    """Every key and value of the rebuilt maps, as sorted text."""
+    rebuilt = ingest.rebuild_fields(tables.spread(_logs(spark, sf)))
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rebuilt.select("timestamp", F.array_join(F.sort_array(pairs), "\n").alias("fields"))
+
+
 @register("tail", with_ctes(
     'SELECT __CURSOR, "timestamp" FROM journal_logs ORDER BY "timestamp" DESC, __SEQNUM DESC LIMIT 100', JOURNAL_CTE))
 def q_tail(spark, sf):

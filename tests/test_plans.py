@@ -93,7 +93,7 @@ def test_time_windows_open_their_dates_only(spark, stored):
     logs = tables.read_logs(spark, f"{stored}/logs")
     frames = [J.at_timestamp(logs, datetime(2024, 1, 9, 1, 2, 3)), J.skip_older_than(logs, NOW - timedelta(days=3))[0], J.skip_older_than(logs, NOW - timedelta(days=3))[1],
               maintenance.retain_by_age(logs, NOW, 5)[0], maintenance.retain_by_age(logs, NOW, 5)[1], maintenance.retain_by_size(logs, 60_000)[0],
-              J.backfill(logs, 60_000), J.recent_history(logs, NOW, NOW - timedelta(days=1)), rank_slice(logs, 100, 300, small=0, tiebreak="__CURSOR")]
+              maintenance.drop_oldest_tenth(logs)[1], J.backfill(logs, 60_000), J.recent_history(logs, NOW, NOW - timedelta(days=1)), rank_slice(logs, 100, 300, small=0, tiebreak="__CURSOR")]
     for df in frames:
         scans = [line for line in _plan(df).split("\n") if "FileScan" in line or "Scan parquet" in line]
         assert scans and all("PartitionFilters: [isnotnull(date" in s for s in scans)
@@ -104,3 +104,17 @@ def test_health_with_a_known_size_reads_no_text(spark, stored):
         plan = _plan(df)
         assert "message" not in plan and "extra_fields" not in plan and "cmdline" not in plan
     assert stats.stored_health(spark, f"{stored}/logs", f"{stored}/procs").first().database_size_bytes > 10_000
+
+
+def test_oldest_tenth_keeps_its_own_dates_and_rows_without_time(spark, stored):
+    kept, _ = maintenance.drop_oldest_tenth(tables.read_logs(spark, f"{stored}/logs"))
+    scan = next(line for line in _plan(kept).split("\n") if "FileScan" in line)
+    assert "PartitionFilters: [((date" in scan or "PartitionFilters: [(isnull(date" in scan or ">= 2024" in scan.split("PushedFilters")[0]
+
+
+def test_overflow_fields_share_a_projection_with_the_columns(spark):
+    from logtide.operators import ingest
+    from logtide.sources import journal as J
+
+    plan = _plan(ingest.parse_entries(J.parse_lines(tables.raw_journal_lines(spark, SF001)), NOW))
+    assert "_common_expr" not in plan and plan.count("map_filter(") == 2  # one for the fixture's lines, one for the overflow
