@@ -33,6 +33,7 @@ from logtide.operators.ingest import (  # noqa: F401
     with_entry_timestamp,
 )
 from logtide.operators.maintenance import (  # noqa: F401
+    append_samples,
     apply_delete_minute,
     apply_retention_by_age,
     apply_retention_by_size,
@@ -81,9 +82,14 @@ from logtide.operators.stats import (  # noqa: F401
     status,
     storage_health,
     storage_stats,
+    stored_column_profile,
+    stored_filters,
+    stored_health,
+    stored_status,
 )
 from logtide.session import build_session, checkpoint_dir  # noqa: F401
 from logtide.sources.journal import (  # noqa: F401
+    accepted_rows,
     at_timestamp,
     backfill,
     follow_from,
@@ -93,19 +99,24 @@ from logtide.sources.journal import (  # noqa: F401
     read_journal,
     read_journal_typed,
     recent_history,
+    rejected_lines,
     skip_older_than,
     stream_journal,
     tail,
     tail_start,
 )
 from logtide.sources.samples import read_process_samples, stream_process_samples  # noqa: F401
-from logtide.sources.tables import read_logs, read_process_metrics  # noqa: F401
+from logtide.sources.tables import read_logs, read_logs_with_text, read_process_metrics  # noqa: F401
 from logtide.streaming.jobs import (  # noqa: F401
+    ingest_lines,
     live_ingest_summary,
     live_timechart,
+    read_ingest_counts,
     read_live_summary,
     read_live_timechart,
+    read_rejects,
     run_to_table,
+    start_journal_ingest,
     start_live_summary,
     start_live_timechart,
     start_log_ingest,

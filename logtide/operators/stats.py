@@ -18,7 +18,7 @@ from logtide.operators.predicates import minute_equals
 from logtide.schemas import DEFAULT_COLUMNS, EXCLUDED_COLUMNS
 from logtide.sources.files import TableFiles
 from logtide.sources.ledger import Filled, Ledger, Values
-from logtide.sources.tables import read_logs, read_process_metrics
+from logtide.sources.tables import read_logs
 
 GIB = 1024.0**3
 
