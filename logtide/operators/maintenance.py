@@ -45,6 +45,8 @@ from logtide.sources.tables import listed_dates
 MOST_DATES = 64
 #: Times a job starts anew after losing a date to another one, and the seconds it waits at most.
 ATTEMPTS, LONGEST_WAIT = 40, 5.0
+#: Bytes of rows, as tasks hold them, that a task sorts and writes; a larger batch gets more tasks, a larger date more files.
+FILE_BYTES = 128 << 20
 #: Bits of the Bloom filter of a batch's keys (4 MB), and bits of one of its rows.
 BLOOM_BITS, BITMAP_BITS = 1 << 25, 32768
 
@@ -63,15 +65,31 @@ def _time_ordered(df: DataFrame) -> DataFrame:
     return df.sortWithinPartitions("date", "timestamp")
 
 
+def _memory(df: DataFrame) -> Column:
+    """Bytes that rows take in a sort: 8 a field, a text its own besides."""
+    return F.coalesce(F.sum(row_bytes(df) + F.lit(8 * len(df.columns))), F.lit(0))
+
+
+def _by_value(df: DataFrame) -> Column:
+    """A hash of a row's values but its date, by which rows of one time are spread."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.name != "date" and "map<" not in f.dataType.simpleString()])
+
+
 def _write_layout(df: DataFrame) -> DataFrame:
     """Range-partition by (date, timestamp), then sort within each task.
 
     Each task gets a contiguous stretch of time, so it writes files for one or
     two dates instead of every date it happened to hold (tasks x dates small
     files), and a date holding a third of the rows is split over several tasks
-    by the sampled range bounds.  Adaptive execution sizes the partition count.
+    by the sampled range bounds.  Adaptive execution sizes the partition count by
+    compressed bytes, which say little of rows of mostly empty columns: where a task
+    for every core would hold more than `FILE_BYTES` of rows, there are as many as keep to it.
     """
-    return _time_ordered(with_date(df).repartitionByRange("date", "timestamp"))
+    rows = with_date(df)
+    tasks = -(-rows.agg(_memory(rows)).first()[0] // FILE_BYTES)
+    if tasks <= df.sparkSession.sparkContext.defaultParallelism:
+        return _time_ordered(rows.repartitionByRange("date", "timestamp"))
+    return _time_ordered(rows.repartitionByRange(tasks, F.col("date"), F.col("timestamp"), _by_value(rows)))
 
 
 def _append(df: DataFrame, path: str, mode: str) -> None:
@@ -410,27 +428,38 @@ def rewrite_dates(spark: SparkSession, path: str, keep: Column | Callable[[DataF
             touched = [str(r["date"]) for r in per_date if r["gone"] > 0 and r["kept"] > 0]
             if touched:
                 kept = scope.filter(F.col("date").isin(touched)).filter(stays)
-                kept = _per_date_buckets(kept, len(touched), files_per_date) if files_per_date else _time_ordered(kept)
+                kept = _per_date_buckets(kept, files_per_date)[0] if files_per_date else _time_ordered(kept)
         return dropped + [p for p in read if p.rsplit("/", 2)[1] in changed], kept, removed
 
     return _exchange(spark, path, None if dates is None else [str(d) for d in dates], plan)
 
 
-def _per_date_buckets(df: DataFrame, n_dates: int, files_per_date: int) -> DataFrame:
-    """About `files_per_date` tasks (so files) per date: hash on (date, bucket),
-    so one large date is split over several tasks instead of landing in one."""
+def _per_date_buckets(df: DataFrame, files_per_date: int) -> tuple[DataFrame, int]:
+    """(rows dealt to a task for each file, their number): `files_per_date` files a date, and as many more as
+    keep each to about `FILE_BYTES` of rows, so that a task's memory does not grow with a date.
+    Rows are dealt by their values; no two files share a task."""
     k = max(1, int(files_per_date))
-    bucket = F.pmod(F.xxhash64("timestamp", "__CURSOR" if "__CURSOR" in df.columns else "timestamp"), F.lit(k))
-    return _time_ordered(df.repartition(max(1, n_dates) * k, "date", bucket))
+    dates = df.groupBy("date").agg(F.count("*").alias("rows"), _memory(df).alias("size")).collect()  # a row a date
+    files, first = [], 0
+    for r in dates:
+        files.append((r["date"], first, n := max(k, -(-r["size"] // FILE_BYTES))))
+        first += n
+    if not files:
+        return df, 0
+    date = df.schema["date"].dataType.simpleString()
+    dealt = F.broadcast(df.sparkSession.createDataFrame(files, f"__date {date}, __first int, __files int"))
+    file = F.col("__first") + F.when(F.col("__files") > 1, F.pmod(_by_value(df), F.col("__files"))).otherwise(0)
+    rows = df.join(dealt, F.col("date").eqNullSafe(F.col("__date"))).repartitionById(first, file.cast("int")).select(*[F.col(f"`{c}`") for c in df.columns])
+    return _time_ordered(rows), sum(r["rows"] for r in dates)
 
 
 def compact(spark: SparkSession, path: str, dates: list, files_per_date: int = 1) -> int:
-    """C11: rewrite the given dates into about `files_per_date` time-ordered
-    files each; returns rows rewritten.  Rows appended meanwhile keep their own files."""
+    """C11: rewrite the given dates into about `files_per_date` time-ordered files each, more for
+    dates above `FILE_BYTES`; returns rows rewritten.  Rows appended meanwhile keep their own files."""
     def plan(files: list[str]) -> tuple[list[str], DataFrame | None, int]:
         if not files:
             return [], None, 0
-        return files, _per_date_buckets(scope := _read_files(spark, path, files), len(dates), files_per_date), scope.count()
+        return files, *_per_date_buckets(_read_files(spark, path, files), files_per_date)
 
     return _exchange(spark, path, [str(d) for d in dates], plan)
 

@@ -107,7 +107,7 @@ def q_stored_retention_run(spark, sf):
     'SELECT CAST("timestamp" AS DATE) AS date, COUNT(*) AS rows, MIN("timestamp") AS first_ts, '
     'MAX("timestamp") AS last_ts FROM journal_logs GROUP BY 1', JOURNAL_CTE))
 def q_stored_compaction(spark, sf):
-    """C11: every date rewritten into one time-ordered file; rows per date unchanged."""
+    """C11: every date rewritten into one time-ordered file (a very large one into several); rows per date unchanged."""
     base = _store(spark, sf, "logs")
     path = f"{base}/logs"
     dates = [r["date"] for r in tables.read_logs(spark, path).select("date").distinct().collect()]

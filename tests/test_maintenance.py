@@ -263,3 +263,25 @@ def test_written_files_are_time_ordered_and_compaction_splits_dates(spark, tmp_d
             ts = pq.read_table(f, columns=["timestamp"]).column(0).to_pylist()
             assert ts == sorted(ts)
     assert tables.read_logs(spark, path).count() == logs.count()
+
+
+def test_tasks_hold_a_bounded_part_of_a_large_date(spark, tmp_dir, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    # one moment, other ids: neither dates nor times can part the rows
+    logs = tables.journal_logs(spark, "/root/testdata/sf0.001").drop("timestamp").withColumn("timestamp", F.lit("2024-01-03 10:00:00").cast("timestamp_ntz"))
+    n = logs.count()
+    want = sorted(r["__CURSOR"] or "" for r in logs.collect())
+    size = M.with_date(logs).agg(M._memory(M.with_date(logs))).first()[0]
+    monkeypatch.setattr(M, "FILE_BYTES", size // 40)
+    path = f"{tmp_dir}/logs"
+    rows_of = lambda: [pq.read_metadata(f).num_rows for f in glob.glob(f"{path}/date=*/*.parquet")]
+    M.write_logs(logs, path)
+    assert sum(rows_of()) == n and max(rows_of()) < n / 5
+    assert M.compact(spark, path, ["2024-01-03"], 1) == n
+    assert sum(rows_of()) == n and max(rows_of()) < n / 5 and 30 < len(rows_of()) <= 41
+    assert sorted(r["__CURSOR"] or "" for r in tables.read_logs(spark, path).collect()) == want
+    monkeypatch.setattr(M, "FILE_BYTES", 128 << 20)
+    assert M.compact(spark, path, ["2024-01-03"], 1) == n and rows_of() == [n]
