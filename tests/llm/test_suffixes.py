@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from logtide.llm import registry, suffixes
@@ -68,3 +71,22 @@ def test_rounds():
     assert suffixes._rounds(400, 100) == [(100, 100), (200, 200)]
     assert suffixes._rounds(23, 5) == [(5, 5), (10, 10), (20, 3)]
     assert list(suffixes._offsets(400, 100)) == [0, 100, 200, 300]
+
+
+def test_tasks_take_a_few_texts_at_a_time_and_spans_as_longs():
+    texts = [b"x" * (i % 50) for i in range(2000)]
+    spans = pa.array([None if i % 3 == 0 else [] if i % 3 == 1 else [(2 << 32) | 4, (30 << 32) | 1] for i in range(2000)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), spans], names=["doc_id", "text", "spans"])
+    taken = []
+    out = list(suffixes._without(10, 1)(taken.append(b.num_rows) or b for b in [batch]))
+    assert taken == [2000] and max(b.num_rows for b in out) <= 512
+    got = list(itertools.chain.from_iterable(zip(*[c.to_pylist() for c in b.columns]) for b in out))
+    for i, text in enumerate(texts):
+        gone = np.zeros(100, dtype=bool)
+        if i % 3 == 2:
+            gone[2:15], gone[30:40] = True, True
+        if len(text) >= 40 or i % 3 < 2:  # else the spans end beyond the text
+            kept = bytes(b for b, g in zip(text, gone) if not g)
+            assert got[i] == (i, len(text), len(text) - len(kept), 2 if i % 3 == 2 else 0, kept)
+    listed, at = suffixes._lists(spans.slice(1, 5))
+    assert at.tolist() == [0, 0, 2, 2, 2, 4] and listed.tolist() == [(2 << 32) | 4, (30 << 32) | 1] * 2
