@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -129,3 +130,25 @@ def test_draws_follow_tokens(monkeypatch):
     totals = np.ones(lm.OWN_CLASSES + lm.SHARED_CLASSES, dtype=np.int64)
     lm.nce(lm.start(totals), np.arange(5), np.full(5, 200_000), totals, 1)
     assert sum(steps) == lm.EPOCHS * 1_000_000
+
+
+def test_scoring_holds_little_beside_its_tokens():
+    """Contexts met again are not held again: vectors of all tokens would take 38 MB a copy here."""
+    vocab = _vocabulary([b"%dx%03d" % (i, i % 7) for i in range(2000)])
+    tree = lm.Tree(vocab)
+    p, items, rng = lm.start(vocab.class_total), lm.start_items(tree), np.random.default_rng(4)
+    two, one, goal = rng.integers(0, len(tree.item_class), (3, 100))[:, rng.integers(0, 100, 400_000)]
+    tracemalloc.start()
+    out = lm.log_probabilities(p, items, tree, two, one, goal, lm.frequencies(vocab.class_total))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 400_000 and peak < 60 << 20
+    few = lm.log_probabilities(p, items, tree, two[:50], one[:50], goal[:50], lm.frequencies(vocab.class_total))
+    assert np.allclose(out[:50], few, atol=1e-5)
+
+
+def test_great_logits_stay_finite():
+    s = np.array([[500.0, 499, -500], [-500, -501, -700], [0, 1, 2]], dtype=np.float32)
+    want = np.exp(s.astype(float) - s.max(1, keepdims=True))
+    e = lm._exp(s.copy())
+    assert np.allclose(e / e.sum(1, keepdims=True), want / want.sum(1, keepdims=True), atol=1e-6)
