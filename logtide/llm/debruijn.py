@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtide.llm.bounded import join_counted
+from logtide.llm.bounded import MOST_BYTES, join_counted
 from logtide.llm.scratch import written
-from logtide.llm.textops import PrefixHash, Words, blocks, mix, odd, signed, texts_of, window_runs
+from logtide.llm.textops import PrefixHash, Words, blocks, mix, odd, signed, slices, texts_of, window_runs
 
 WINDOW, GRAM = 50, 12
 RESULT = ("n_words", "n_removed", "kept")
@@ -64,7 +64,7 @@ PATHS = "anchor long, path long, shape long, id long, copy long, place long"
 def _edges(window: int):
     """The edges of some paths of each document: (anchor, at, edge, first, path, shape)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, lists = texts_of(batch.column(0)), batch.column(1).to_pylist()
             for a, b in blocks(texts):
                 w = Words(texts[a:b])
@@ -87,17 +87,17 @@ EDGES = "anchor long, at long, edge long, first long, path long, shape long, ste
 
 def _without(window: int, n_keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lists = texts_of(batch.column(n_keep)), batch.column(n_keep + 1).to_pylist()
+        for batch in slices(batches):
+            texts, lists = texts_of(batch.column(n_keep)), batch.column(n_keep + 1)
+            begin, count = (lists.flatten().field(c).to_numpy() for c in ("place", "count"))
+            end = begin + count + window - 1
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(texts, lists):
+            for text, a, b in zip(texts, at[:-1], at[1:]):
                 words = text.split()
                 n_words.append(len(words))
-                if spans:
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    for s in spans:
-                        gone[s["place"]] += 1
-                        gone[s["place"] + s["count"] + window - 1] -= 1
+                if a < b:
+                    gone = np.bincount(begin[a:b], minlength=len(words) + 1) - np.bincount(end[a:b], minlength=len(words) + 1)
                     stay = np.cumsum(gone)[:-1] == 0
                     words = [words[i] for i in np.flatnonzero(stay)]
                 n_removed.append(n_words[-1] - len(words))
@@ -128,7 +128,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     sources = live.join(branches, ["anchor", "path", "shape", "id"]).groupBy("anchor", "path", "shape", "id").agg(F.min(F.struct("copy", "place")).alias("x"))
     wanted = written(sources.select("id", F.col("x.copy").alias("copy"), F.struct("anchor", "path", "shape", "id", F.col("x.place").alias("place")).alias("p"))
                      .groupBy("id", "copy").agg(F.collect_list("p").alias("ps")), "branches")
-    edges = written(join_counted(docs, wanted, ["id", "copy"], "inner").select("text", "ps").mapInArrow(_edges(window), EDGES), "edges")
+    edges = written(join_counted(docs, wanted, ["id", "copy"], "inner", most_bytes=MOST_BYTES).select("text", "ps").mapInArrow(_edges(window), EDGES), "edges")
     least = edges.groupBy("anchor", "at", "edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
     earlier = edges.join(least, ["anchor", "at", "edge"]).where("first > least").select("anchor", "path", "shape", F.col("first").alias("id"), "step")
     again = live.join(earlier, ["anchor", "path", "shape", "id"]).select("id", "copy", (F.col("place") + F.col("step")).alias("place"), F.lit(1).cast("long").alias("count"))
@@ -143,7 +143,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                        F.xxhash64(F.col(f"`{key}`"), body).alias("__copy"))
     named = rows.select(F.col("__id").alias("id"), F.col("__copy").alias("copy"), F.coalesce("__text", F.lit("")).alias("text"))
     spans = written(repeated_spans(named, window, gram), "spans").withColumnsRenamed({"id": "__id", "copy": "__copy"})
-    joined = join_counted(rows, spans, ["__id", "__copy"], "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "spans")
+    joined = join_counted(rows, spans, ["__id", "__copy"], "left", most_bytes=MOST_BYTES).select(*[F.col(f"`{c}`") for c in keep], "__text", "spans")
     schema = T.StructType([*[f for f in rows.schema.fields if f.name in keep], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_without(window, len(keep)), schema)

@@ -64,3 +64,12 @@ def test_both_joins_agree(spark, monkeypatch):
     b = sorted(debruijn.without_repeats(docs).select("n_words", "n_removed", "kept").collect())
     assert a == b
     assert debruijn.without_repeats(cases.empty(spark)).count() == 0
+
+
+def test_long_lists_travel_by_key(spark, monkeypatch):
+    docs = cases.documents(spark).select("doc_id", "text")
+    monkeypatch.setattr(debruijn, "MOST_BYTES", 0)
+    got = debruijn.without_repeats(docs, window=8, gram=3)
+    assert got.columns == ["doc_id", "text", "n_words", "n_removed", "kept"]
+    rows = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()]
+    assert Counter(rows) == _brute([(r.doc_id, r.text or "") for r in docs.collect()], 8)
